@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_snapshots, decontaminate, language_id, license_scan, packing, quality_rules, substring_dedup, token_counts, url_rules
+from . import chat_snapshots, decontaminate, language_id, license_scan, ngram_join, packing, quality_rules, substring_dedup, token_counts, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
 
@@ -55,4 +59,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_ids", (F.size("item_ids") > 0).alias("contaminated"), "max_containment")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_substring_dedup, op4_chat_snapshots, op5_license_scan, op6_quality_rules, op7_url_rules, op8_packing, op9_token_counts, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_substring_dedup, op4_chat_snapshots, op5_license_scan, op6_quality_rules, op7_url_rules, op8_packing, op9_token_counts, op10_decontaminate)}
