@@ -2,5 +2,718 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import numeric as nm
+from ..functions import text as tx
+from ..functions.metrics import metric_columns
+from ..operators import clustering, embeddings, evaluation, experiments, features, graphs, representations, rules, synthesis
+from ..sources import adapters as ad
+from ..sources import readers, writers
+from ..sources.configs import DataSettings, Named, NoiseSettings, SeriesSettings
+from ..streaming import incremental
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a query and, given, its SQL."""
+
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql is not None:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
+
+def r6(c, digits: int = 6):
+    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+
+
+def big(c):
+    return (F.col(c) if isinstance(c, str) else c).cast("long")
+
+
+# ============================================================ knowledge graph
+
+_KG = ad.cte("edges") + ", kg AS (SELECT influence, parameter, influence_type, sum(weight) / (SELECT count(*) FROM orders) AS weight, count(*) AS n_experiments, min(exp_id) AS first_exp FROM edges GROUP BY ALL)"
+_KG_OUT = "SELECT influence, parameter, influence_type, round(weight, 9) AS weight, n_experiments, first_exp FROM kg"
+
+
+def _kg(spark, sf):
+    n = ad.table(spark, sf, "orders").agg(F.count("*").alias("n"))
+    return graphs.aggregate(ad.insight_edges(spark, sf), n)
+
+
+def _kg_out(kg):
+    return kg.select("influence", "parameter", "influence_type", r6("weight", 9).alias("weight"), big(F.size("experiments")).alias("n_experiments"), F.element_at("experiments", 1).alias("first_exp"))
+
+
+@query(f"{_KG} {_KG_OUT}")
+def kg_aggregate(spark, sf):
+    return _kg_out(_kg(spark, sf))
+
+
+for _name, _sql in (("mean", "avg(weight)"), ("median", "quantile_cont(weight, 0.5)"), ("q1", "quantile_cont(weight, 0.25)")):
+    query(f"{_KG} {_KG_OUT} WHERE weight >= (SELECT {_sql} FROM kg)", f"kg_filter_{_name}")(lambda spark, sf, t=_name: _kg_out(graphs.filter_aggregated(_kg(spark, sf), t)))
+
+
+@query(f"{_KG}, t AS (SELECT avg(weight) AS t FROM kg) SELECT influence, parameter, weight < t AS filtered FROM kg, t")
+def graph_diff(spark, sf):
+    kg = _kg(spark, sf)
+    return graphs.difference(kg, graphs.filter_aggregated(kg, "mean")).select("influence", "parameter", "filtered")
+
+
+_FREQ = ad.cte("edges") + ", f AS (SELECT influence, parameter, count(*) AS n FROM edges GROUP BY ALL), freq AS (SELECT influence, parameter, n, n::DOUBLE / (SELECT count(*) FROM f) AS frequency FROM f)"
+
+
+@query(f"{_FREQ} SELECT influence, parameter, n, round(frequency, 6) AS frequency FROM freq")
+def edge_frequency(spark, sf):
+    return graphs.edge_frequency(ad.insight_edges(spark, sf)).withColumn("frequency", r6("frequency"))
+
+
+_GAIN = f"""{_FREQ}, {ad.SQL['quality']},
+gain AS (SELECT exp_id, sum(0.5 - value) AS improvement FROM quality WHERE key <> 'accepted' GROUP BY exp_id),
+w AS (SELECT e.exp_id, e.influence, e.parameter, e.weight AS c, frequency AS f, improvement AS i FROM edges e JOIN freq USING (influence, parameter) LEFT JOIN gain USING (exp_id))"""
+_COMBOS = {"confidence": "c", "frequency": "f", "improvement": "i", "confidence_frequency": "0.5 * f + c * f", "confidence_improvement": "0.5 * i + c * i", "confidence_improvement_frequency": "(0.5 * i + c * i) * f", "frequency_improvement": "f * i"}
+
+
+def _gain(spark, sf):
+    q = ad.qualities(spark, sf).where("key <> 'accepted'")
+    ep = q.select("exp_id", F.col("key").alias("influence"), F.lit(0.5).alias("influence_value"))
+    return graphs.improvement(ep, q)
+
+
+@query(f"{_GAIN} SELECT influence, parameter, " + ", ".join(f"round(sum({e}), 4) AS {k}" for k, e in _COMBOS.items()) + " FROM w GROUP BY influence, parameter")
+def edge_weight_combo(spark, sf):
+    e = ad.insight_edges(spark, sf).join(graphs.edge_frequency(ad.insight_edges(spark, sf)).select("influence", "parameter", "frequency"), ["influence", "parameter"]).join(_gain(spark, sf), "exp_id", "left")
+    return e.groupBy("influence", "parameter").agg(*(r6(F.sum(f(F.col("weight"), F.col("frequency"), F.col("improvement"))), 4).alias(k) for k, f in nm.WEIGHTS.items()))
+
+
+_METHODS = " UNION ALL ".join(f"SELECT '{m}#{t}' AS method, influence, parameter, round(x, 6) AS weight FROM (SELECT influence, parameter, sum({_COMBOS[m]}) / (SELECT count(*) FROM orders) AS x FROM w GROUP BY ALL) k WHERE x >= (SELECT {a} FROM (SELECT sum({_COMBOS[m]}) / (SELECT count(*) FROM orders) AS x FROM w GROUP BY influence, parameter))" for m in ("confidence", "confidence_frequency", "frequency_improvement") for t, a in (("mean", "avg(x)"), ("q1", "quantile_cont(x, 0.25)")))
+
+
+@query(f"{_GAIN} {_METHODS}")
+def kg_methods(spark, sf):
+    n = ad.table(spark, sf, "orders").agg(F.count("*").alias("n"))
+    m = graphs.methods(ad.insight_edges(spark, sf), n, ["confidence", "confidence_frequency", "frequency_improvement"], ["mean", "q1"], _gain(spark, sf))
+    return m.select("method", "influence", "parameter", r6("weight").alias("weight"))
+
+
+@query(f"{ad.cte('edges')}, t AS (SELECT avg(weight) AS t FROM edges) SELECT exp_id, influence, parameter, round(weight, 6) AS weight FROM edges, t WHERE weight >= t OR weight IS NULL")
+def insight_graph_filter(spark, sf):
+    return graphs.filter_insight_graphs(ad.insight_edges(spark, sf), "mean").select("exp_id", "influence", "parameter", r6("weight").alias("weight"))
+
+
+@query(f"{ad.cte('edges')} SELECT influence, parameter, round(avg(CASE WHEN exp_id % 3 - 1 >= 0 AND exp_id % 7 <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS weight FROM edges GROUP BY ALL")
+def cluster_weight(spark, sf):
+    labels = ad.experiments(spark, sf).where("exp_id % 7 <> 0").select("exp_id", (F.col("exp_id") % 3 - 1).alias("label"))
+    return graphs.cluster_weights(_kg(spark, sf), labels).withColumn("weight", r6("weight"))
+
+
+@query(f"{ad.cte('edges', 'params', 'quality')}, i AS (SELECT exp_id, sum(value) AS i FROM params WHERE key IN ('tax', 'discount') GROUP BY exp_id), q AS (SELECT exp_id, sum(value) AS q FROM quality WHERE key <> 'open_status' GROUP BY exp_id) SELECT influence, parameter, round(avg(coalesce(CASE WHEN q <> 0 THEN i / q END, 0)), 8) AS weight FROM edges LEFT JOIN i USING (exp_id) LEFT JOIN q USING (exp_id) GROUP BY ALL")
+def influence_validity(spark, sf):
+    i = ad.parameters(spark, sf).where("key in ('tax', 'discount')").groupBy("exp_id").agg(F.sum("value").alias("value"))
+    q = ad.qualities(spark, sf).where("key <> 'open_status'").groupBy("exp_id").agg(F.sum("value").alias("value"))
+    return graphs.influence_validity(_kg(spark, sf), i, q).withColumn("weight", r6("weight", 8))
+
+
+@query(f"{ad.cte('edges')} SELECT exp_id, count(*) AS n_edges, count(DISTINCT influence) AS n_influences, count(DISTINCT parameter) AS n_parameters, round(sum(weight), 6) AS weight FROM edges GROUP BY exp_id")
+def insight_graph(spark, sf):
+    return ad.insight_edges(spark, sf).groupBy("exp_id").agg(F.count("*").alias("n_edges"), F.countDistinct("influence").alias("n_influences"), F.countDistinct("parameter").alias("n_parameters"), r6(F.sum("weight")).alias("weight"))
+
+
+# ============================================================ series and frames
+
+
+@query(ad.cte("exps", "prev") + "SELECT series_id, exp_id, prev_id FROM prev")
+def prev_experiment(spark, sf):
+    return experiments.previous(ad.experiments(spark, sf))
+
+
+@query(ad.cte("exps", "prev", "quality") + "SELECT p.series_id, q.exp_id, q.key, round(-(q.value - o.value), 6) AS value FROM quality q JOIN prev p USING (exp_id) LEFT JOIN quality o ON o.exp_id = p.prev_id AND o.key = q.key")
+def relative_quality(spark, sf):
+    return experiments.relative(ad.qualities(spark, sf), experiments.previous(ad.experiments(spark, sf))).withColumn("value", r6("value"))
+
+
+@query(ad.cte("exps", "prev", "params") + "SELECT p.series_id, q.exp_id, q.key, round(q.value - o.value, 6) AS value FROM params q JOIN prev p USING (exp_id) LEFT JOIN params o ON o.exp_id = p.prev_id AND o.key = q.key")
+def relative_param(spark, sf):
+    return experiments.relative(ad.parameters(spark, sf), experiments.previous(ad.experiments(spark, sf)), 1).withColumn("value", r6("value"))
+
+
+@query(ad.cte("exps", "quality") + "SELECT series_id, exp_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY value, exp_id) AS r FROM exps JOIN (SELECT exp_id, value FROM quality WHERE key = 'returned') USING (exp_id)) WHERE r = 1")
+def series_best(spark, sf):
+    q = ad.qualities(spark, sf).where("key = 'returned'").select("exp_id", "value")
+    return experiments.series_best(ad.experiments(spark, sf), q).withColumn("value", r6("value"))
+
+
+@query(ad.cte("exps", "edges") + "SELECT series_id, array_to_string(list_sort(list(DISTINCT parameter)), ',') AS parameters, array_to_string(list_sort(list(DISTINCT influence)), ',') AS influences FROM edges JOIN exps USING (exp_id) GROUP BY series_id")
+def series_keyset(spark, sf):
+    k = experiments.series_keys(ad.insight_edges(spark, sf), ad.experiments(spark, sf))
+    return k.select("series_id", F.array_join("parameters", ",").alias("parameters"), F.array_join("influences", ",").alias("influences"))
+
+
+@query(ad.cte("exps", "quality") + "SELECT exp_id, round(sum(CASE key WHEN 'returned' THEN 2 * value WHEN 'accepted' THEN 3 * value ELSE value END), 6) AS value FROM quality GROUP BY exp_id")
+def weighted_rating(spark, sf):
+    names = {"returned": "blobs", "accepted": "gaps", "open_status": "warping"}
+    q = ad.qualities(spark, sf).withColumn("key", F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[F.col("key")])
+    return experiments.summed_rating(q, {"blobs": 2.0, "gaps": 3.0}).withColumn("value", r6("value"))
+
+
+@query(ad.cte("exps", "prev", "params", "quality") + """, ratings AS (SELECT * FROM quality), frames AS (
+SELECT 'quality' AS frame, series_id, exp_id, key, value FROM ratings JOIN exps USING (exp_id)
+UNION ALL SELECT 'quality_relative', p.series_id, q.exp_id, q.key, -(q.value - o.value) FROM ratings q JOIN prev p USING (exp_id) LEFT JOIN ratings o ON o.exp_id = p.prev_id AND o.key = q.key
+UNION ALL SELECT 'changed_parameters', series_id, exp_id, key, value FROM params JOIN exps USING (exp_id)
+UNION ALL SELECT 'changed_parameters_relative', series_id, exp_id, key, value + 1 FROM params JOIN exps USING (exp_id)
+UNION ALL SELECT 'influences', series_id, exp_id, key, value / 2 FROM quality JOIN exps USING (exp_id)
+UNION ALL SELECT 'influences_relative', series_id, exp_id, key, -(value - value / 2) FROM quality JOIN exps USING (exp_id))
+SELECT frame, series_id, count(*) AS n, round(sum(value), 6) AS total FROM frames GROUP BY ALL""")
+def metric_frames(spark, sf):
+    q = ad.qualities(spark, sf)
+    inf = q.select("exp_id", "key", F.lit("qual_influence").alias("type"), (F.col("value") / 2).alias("value"))
+    changes = ad.parameters(spark, sf).select("exp_id", "key", F.col("value").cast("string").alias("user_value"), F.lit("-1").alias("original_value"))
+    f = experiments.metric_frames(ad.experiments(spark, sf), q, changes, inf)
+    exps = ad.experiments(spark, sf).select("exp_id", F.col("series_id").alias("s2"))
+    f = f.join(exps, "exp_id").select("frame", F.coalesce("series_id", "s2").alias("series_id"), "exp_id", "key", "value")
+    return f.groupBy("frame", "series_id").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
+
+
+@query(ad.cte("exps") + ", k AS (SELECT * FROM exps WHERE exp_id % 4 <> 0) SELECT series_id, array_to_string(list_transform(list_sort(list(exp_id)), lambda x: x::VARCHAR), ',') AS exp_ids FROM k GROUP BY series_id")
+def restrict_series(spark, sf):
+    e = ad.experiments(spark, sf)
+    s = experiments.restrict_series(e, e.where("exp_id % 4 <> 0"))
+    return s.select("series_id", F.array_join(F.transform("exp_ids", lambda x: x.cast("string")), ",").alias("exp_ids"))
+
+
+@query(ad.cte("exps") + """, p AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY exp_id) - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n FROM exps),
+d AS (SELECT *, greatest(n - 5, 0) AS d FROM p), s AS (SELECT *, CASE WHEN d > 1 THEN floor((n - 1) / greatest(d - 1, 1)) ELSE 0 END AS step FROM d)
+SELECT exp_id, series_id, printer FROM s WHERE NOT (d > 0 AND CASE WHEN step > 0 THEN pos % step = 0 AND pos / step < d ELSE pos = 0 END)""")
+def thin_series(spark, sf):
+    return experiments.thin_out(ad.experiments(spark, sf), 5)
+
+
+@query(ad.cte("exps") + "SELECT * FROM (SELECT series_id, exp_id AS first, lead(exp_id) OVER (PARTITION BY series_id ORDER BY exp_id) AS second FROM exps) WHERE second IS NOT NULL")
+def adjacent_pairs(spark, sf):
+    return experiments.adjacent(ad.experiments(spark, sf), "exp_id", "exp_id", ["series_id"])
+
+
+@query(ad.cte("exps") + "SELECT series_id, exp_id, printer, floor((row_number() OVER (PARTITION BY series_id ORDER BY exp_id) - 1) / 4)::BIGINT AS chunk FROM exps")
+def series_chunks(spark, sf):
+    return experiments.chunks(ad.experiments(spark, sf), "exp_id", 4, ["series_id"]).withColumn("chunk", big("chunk"))
+
+
+@query(ad.cte("exps") + "SELECT count(*) AS n_experiments, count(DISTINCT series_id) AS n_series, round(count(*)::DOUBLE / count(DISTINCT series_id), 6) AS mean_length FROM exps")
+def experiment_counts(spark, sf):
+    return ad.experiments(spark, sf).agg(F.count("*").alias("n_experiments"), F.countDistinct("series_id").alias("n_series"), r6(F.count("*") / F.countDistinct("series_id")).alias("mean_length"))
+
+
+@query(ad.cte("exps", "params") + """, d AS (SELECT * FROM params WHERE exp_id % 3 <> 0), h AS (SELECT DISTINCT series_id, key FROM d JOIN exps USING (exp_id))
+SELECT e.exp_id, h.key, round(coalesce(d.value, l.value), 6) AS value FROM exps e JOIN h USING (series_id) LEFT JOIN d ON d.exp_id = e.exp_id AND d.key = h.key LEFT JOIN params l ON l.exp_id = e.exp_id AND l.key = h.key""")
+def fill_from_series(spark, sf):
+    p = ad.parameters(spark, sf)
+    return experiments.fill_from_series(p.where("exp_id % 3 <> 0"), p, ad.experiments(spark, sf)).withColumn("value", r6("value"))
+
+
+_EP = ad.cte("exps", "edges", "params", "quality") + """, pe AS (SELECT DISTINCT exp_id, 'returned' AS influence, 'tax' AS parameter FROM edges WHERE influence LIKE 'R%'),
+ep AS (SELECT pe.parameter, pe.influence, series_id, pe.exp_id, p.value AS param_value, p.value * 2 AS param_original, i.value AS influence_value, q.value AS quality_aggregated
+FROM pe JOIN params p ON p.exp_id = pe.exp_id AND p.key = pe.parameter JOIN quality i ON i.exp_id = pe.exp_id AND i.key = pe.influence JOIN (SELECT exp_id, sum(value) AS value FROM quality GROUP BY exp_id) q ON q.exp_id = pe.exp_id JOIN exps ON exps.exp_id = pe.exp_id)"""
+
+
+@query(f"{_EP} SELECT parameter, influence, series_id, exp_id, round(param_value, 6) AS param_value, round(param_original, 6) AS param_original, round(influence_value, 6) AS influence_value, round(quality_aggregated, 6) AS quality_aggregated FROM ep")
+def ep_values(spark, sf):
+    e = ad.insight_edges(spark, sf).where("influence like 'R%'").select("exp_id", F.lit("returned").alias("influence"), F.lit("tax").alias("parameter")).distinct()
+    p, q = ad.parameters(spark, sf), ad.qualities(spark, sf)
+    total = q.groupBy("exp_id").agg(F.sum("value").alias("value"))
+    ep = experiments.ep_values(e, p.withColumn("original", F.col("value") * 2), q, total, ad.experiments(spark, sf))
+    return ep.select("parameter", "influence", "series_id", "exp_id", *(r6(c).alias(c) for c in ("param_value", "param_original", "influence_value", "quality_aggregated")))
+
+
+# ============================================================ bins and rules
+
+_DOANE = """st AS (SELECT event_type AS influence, count(value)::DOUBLE AS n, avg(value) AS m, min(value) AS lo, max(value) AS hi FROM events GROUP BY ALL),
+mo AS (SELECT s.influence, s.n, s.lo, s.hi, avg(pow(value - m, 3)) / pow(avg(pow(value - m, 2)), 1.5) AS g1 FROM events JOIN st s ON event_type = influence GROUP BY ALL),
+b AS (SELECT influence, lo, hi, ceil(round(1 + log2(n) + log2(1 + abs(g1) / sqrt(6 * (n - 2) / ((n + 1) * (n + 3)))), 9))::BIGINT AS k FROM mo)"""
+
+
+@query(f"WITH {_DOANE}, grid AS (SELECT influence, lo, hi, k, unnest(range(1, k + 1)) AS bin FROM b), v AS (SELECT event_type AS influence, CASE WHEN value = hi THEN k ELSE len(list_filter(range(0, k + 1), lambda i: lo + (hi - lo) * i / k <= value)) END AS bin FROM events JOIN b ON event_type = influence), c AS (SELECT influence, bin, count(*) AS n FROM v GROUP BY ALL) SELECT influence, bin, round(lo + (hi - lo) * (bin - 1) / k, 6) AS lo, round(lo + (hi - lo) * bin / k, 6) AS hi, coalesce(n, 0) AS n FROM grid LEFT JOIN c USING (influence, bin)")
+def bin_histogram_doane(spark, sf):
+    v = ad.table(spark, sf, "events").select(F.col("event_type").alias("influence"), "value")
+    h = rules.histogram(v, rules.influence_bins(v))
+    return h.select("influence", big("bin").alias("bin"), r6("lo").alias("lo"), r6("hi").alias("hi"), big("n").alias("n"))
+
+
+def _pairs(spark, sf):
+    p, q = ad.parameters(spark, sf).where("key in ('tax', 'quantity')"), ad.qualities(spark, sf).where("key <> 'open_status'")
+    rel = experiments.relative(p, experiments.previous(ad.experiments(spark, sf)), 1).select("exp_id", F.col("key").alias("parameter"), F.col("value").alias("relative"))
+    both = p.select("exp_id", F.col("key").alias("parameter"), "value").join(rel, ["exp_id", "parameter"]).join(q.select("exp_id", F.col("key").alias("influence"), F.col("value").alias("influence_value")), "exp_id")
+    return both.withColumn("kind", F.lit("numeric"))
+
+
+def _bins(pairs, n=4):
+    return rules.influence_bins(pairs.select("influence", F.col("influence_value").alias("value")).distinct(), bins=n)
+
+
+_PAIRS = ad.cte("exps", "prev", "params", "quality") + """, rel AS (SELECT q.exp_id, q.key, q.value, q.value - o.value AS relative FROM params q JOIN prev p USING (exp_id) LEFT JOIN params o ON o.exp_id = p.prev_id AND o.key = q.key WHERE q.key IN ('tax', 'quantity')),
+pairs AS (SELECT r.exp_id, r.key AS parameter, r.value, r.relative, q.key AS influence, q.value AS iv FROM rel r JOIN quality q USING (exp_id) WHERE q.key <> 'open_status'),
+bins AS (SELECT influence, min(iv) AS lo, max(iv) AS hi FROM pairs GROUP BY ALL),
+binned AS (SELECT p.*, lo, hi, CASE WHEN iv = hi THEN 4 ELSE len(list_filter(range(0, 5), lambda i: lo + (hi - lo) * i / 4 <= iv)) END AS bin FROM pairs p JOIN bins USING (influence)),
+agg AS (SELECT influence AS condition, bin, parameter, min(lo + (hi - lo) * (bin - 1) / 4) AS cond_lo, min(lo + (hi - lo) * bin / 4) AS cond_hi, avg(value) AS m, stddev_pop(value) AS s, coalesce(avg(relative), 0) AS step, count(*) AS n_values FROM binned GROUP BY ALL)"""
+_ACTION = "CASE WHEN round(step, 9) > 0 THEN 'increase incrementally' WHEN round(step, 9) < 0 THEN 'decrease incrementally' WHEN round(s, 9) = 0 THEN 'set' ELSE 'adjust incrementally' END"
+
+
+def _rule_out(r):
+    return r.select("condition", "parameter", *(r6(c, 4).alias(c) for c in ("cond_lo", "cond_hi", "mean_value", "range_start", "range_end", "step_size")), "action", big("n_values").alias("n_values"))
+
+
+@query(f"{_PAIRS} SELECT condition, parameter, round(cond_lo, 4) AS cond_lo, round(cond_hi, 4) AS cond_hi, round(m, 4) AS mean_value, round(m - s, 4) AS range_start, round(m + s, 4) AS range_end, round(step, 4) AS step_size, {_ACTION} AS action, n_values FROM agg")
+def rule_binned(spark, sf):
+    p = _pairs(spark, sf)
+    return _rule_out(rules.binned_rules(p, _bins(p)))
+
+
+@query(f"""{_PAIRS}, e AS (SELECT influence AS condition, parameter, avg(iv) AS mi, avg(value) AS m, stddev_pop(value) AS s, coalesce(avg(relative), 0) AS step, count(*) AS n_values FROM pairs GROUP BY ALL),
+f AS (SELECT e.*, lo, hi, len(list_filter(range(0, 5), lambda i: lo + (hi - lo) * i / 4 <= mi)) AS bin FROM e JOIN bins ON influence = condition)
+SELECT condition, parameter, round(lo + (hi - lo) * (bin - 1) / 4, 4) AS cond_lo, round(lo + (hi - lo) * bin / 4, 4) AS cond_hi, round(m, 4) AS mean_value, round(m - s, 4) AS range_start, round(m + s, 4) AS range_end, round(step, 4) AS step_size, {_ACTION} AS action, n_values FROM f""")
+def rule_edges(spark, sf):
+    p = _pairs(spark, sf)
+    return _rule_out(rules.edge_rules(p, _bins(p)))
+
+
+@query(f"""{_PAIRS}, f AS (SELECT influence AS condition, parameter, regr_slope(value, iv) AS a, regr_intercept(value, iv) AS b, count(*) AS n_values FROM pairs GROUP BY ALL), g AS (SELECT f.*, lo, hi, unnest(range(1, 5)) AS k FROM f JOIN bins ON influence = condition)
+SELECT condition, parameter, round(lo + (hi - lo) * (k - 1) / 4, 4) AS cond_lo, round(lo + (hi - lo) * k / 4, 4) AS cond_hi, round(a * (lo + (hi - lo) * (k - 0.5) / 4) + b, 4) AS mean_value, n_values FROM g""")
+def rule_fitted(spark, sf):
+    p = _pairs(spark, sf)
+    return _rule_out(rules.fitted_rules(p, _bins(p))).select("condition", "parameter", "cond_lo", "cond_hi", "mean_value", "n_values")
+
+
+@query()
+def rule_merged(spark, sf):
+    p = _pairs(spark, sf)
+    return _rule_out(rules.merged_rules(p, _bins(p, 8)))
+
+
+def _two_rule_sets(spark, sf):
+    p = _pairs(spark, sf)
+    r = rules.binned_rules(p, _bins(p)).drop("n_values")
+    return r, r.withColumn("step_size", F.col("step_size") * 1.2).withColumn("mean_value", F.col("mean_value") + F.when(F.col("cond_lo") < 0.4, 0.0).otherwise(1e6)).withColumn("action", F.when(F.col("parameter") == "tax", F.col("action")).otherwise("set"))
+
+
+_RULES2 = f"""{_PAIRS}, a AS (SELECT condition, parameter, bin, cond_lo, cond_hi, m, s, step, {_ACTION} AS action FROM agg),
+b AS (SELECT condition, parameter, bin, cond_lo, cond_hi, m + CASE WHEN cond_lo < 0.4 THEN 0 ELSE 1e6 END AS m, m - s AS lo, m + s AS hi, step * 1.2 AS step, CASE WHEN parameter = 'tax' THEN action ELSE 'set' END AS action FROM a),
+j AS (SELECT a.condition, a.parameter, a.bin AS bin_a, b.bin AS bin_b, a.action = b.action AS mid,
+ a.action = b.action AND (least(a.cond_hi, b.cond_hi) - greatest(a.cond_lo, b.cond_lo)) / ((a.cond_hi - a.cond_lo) + (b.cond_hi - b.cond_lo) - (least(a.cond_hi, b.cond_hi) - greatest(a.cond_lo, b.cond_lo))) > 0.9
+ AND ((a.m <> 0 AND a.m BETWEEN b.lo AND b.hi) OR (b.m <> 0 AND b.m BETWEEN a.m - a.s AND a.m + a.s) OR (a.step <> 0 AND abs(a.step - b.step) <= 0.3 * greatest(abs(a.step), abs(b.step)))) AS low FROM a JOIN b USING (condition, parameter))"""
+
+
+@query(f"{_RULES2} SELECT condition, parameter, count(*) AS high, count(*) FILTER (mid) AS mid, count(*) FILTER (low) AS low FROM j GROUP BY ALL")
+def rule_equality(spark, sf):
+    a, b = _two_rule_sets(spark, sf)
+    out = None
+    for level in ("high", "mid", "low"):
+        n = rules.matching_pairs(a, b, level).groupBy(F.col("a.condition").alias("condition"), F.col("a.parameter").alias("parameter")).agg(F.count("*").alias(level))
+        out = n if out is None else out.join(n, ["condition", "parameter"], "left")
+    return out.na.fill(0, ["mid", "low"])
+
+
+@query()
+def rule_metrics(spark, sf):
+    a, b = _two_rule_sets(spark, sf)
+    return rules.evaluate(a, b, "low")
+
+
+@query("""WITH c AS (SELECT r, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn FROM (SELECT o_orderpriority AS r, o_totalprice > 150000 AS t, o_orderkey % 3 = 0 AS p FROM orders) GROUP BY r)
+SELECT r, round(tp::DOUBLE / (tp + fp + fn), 6) AS jaccard, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1, round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / (tp + fn), 6) AS recall,
+round((tp * (1.0 / (tp + fn) * ln(1.0 / (tp + fn) / ((1.0 / (tp + fn) + 1.0 / (tp + fp)) / 2)) + 1.0 / (tp + fp) * ln(1.0 / (tp + fp) / ((1.0 / (tp + fn) + 1.0 / (tp + fp)) / 2))) + (fn * 1.0 / (tp + fn) + fp * 1.0 / (tp + fp)) * ln(2)) / 2, 6) AS js_divergence FROM c""")
+def set_metrics(spark, sf):
+    o = ad.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("r"), (F.col("o_totalprice") > 150000).cast("int").alias("truth"), (F.col("o_orderkey") % 3 == 0).cast("int").alias("pred"))
+    c = o.groupBy("r").agg(*rules.counts()).withColumn("n_rules", F.lit(1))
+    return c.select("r", *metric_columns()).select("r", *(r6(x).alias(x) for x in ("jaccard", "f1", "precision", "recall", "js_divergence")))
+
+
+@query(f"{_PAIRS} SELECT 'If you encounter ' || condition || ' in [' || printf('%.2f', cond_lo) || ', ' || printf('%.2f', cond_hi) || '], try to ' || {_ACTION} || ' the parameter ' || parameter || ' by ' || printf('%.2f', abs(step)) AS rule FROM agg WHERE round(step, 9) <> 0 AND abs(step * 100 - floor(step * 100) - 0.5) > 1e-6")
+def rule_text(spark, sf):
+    p = _pairs(spark, sf)
+    r = rules.binned_rules(p, _bins(p)).where(F.round("step_size", 9) != 0).where(F.abs(F.col("step_size") * 100 - F.floor(F.col("step_size") * 100) - 0.5) > 1e-6)
+    return r.select(tx.rule_text().alias("rule"))
+
+
+@query("""SELECT o_orderkey AS id, o_orderpriority AS condition, round(o_totalprice % 100, 2) AS cond_lo, 'decrease incrementally' AS action, o_orderstatus AS parameter, -round(o_totalprice % 7, 2) AS step_size FROM orders WHERE round(o_totalprice % 7, 2) > 0""")
+def rule_parse(spark, sf):
+    o = ad.table(spark, sf, "orders").where(F.round(F.col("o_totalprice") % 7, 2) > 0)
+    text = F.format_string("If you encounter %s in [%.2f, 100.00], try to decrease incrementally the parameter %s by %.2f", "o_orderpriority", F.round(F.col("o_totalprice") % 100, 2), "o_orderstatus", F.round(F.col("o_totalprice") % 7, 2))
+    return o.select(F.col("o_orderkey").alias("id"), tx.parse_rule(text).alias("r")).select("id", "r.condition", "r.cond_lo", "r.action", "r.parameter", "r.step_size")
+
+
+@query("SELECT p_brand AS condition, p_type AS parameter, count(DISTINCT p_size % 5) AS n_experts, round(avg(p_retailprice), 4) AS step_size FROM part GROUP BY ALL HAVING count(DISTINCT p_size % 5) / 5.0 >= 0.6")
+def expert_consensus(spark, sf):
+    null = F.lit(None).cast("double")
+    r = ad.table(spark, sf, "part").select(F.col("p_brand").alias("condition"), F.col("p_type").alias("parameter"), (F.col("p_size") % 5).alias("expert"), F.col("p_partkey").alias("pos"), F.lit("set").alias("action"), F.lit("numeric").alias("param_type"), F.col("p_retailprice").alias("step_size"), *(null.alias(c) for c in ("cond_lo", "cond_hi", "mean_value", "range_start", "range_end", "quantifier")))
+    return rules.expert_consensus(r, 5).select("condition", "parameter", "n_experts", r6("step_size", 4).alias("step_size"))
+
+
+# ============================================================ representations
+
+_REL = ad.cte("relations") + """, r AS (SELECT *, round(mean, 6)::VARCHAR AS m, parameter || '-' || quality || '-relation' AS rel, CASE WHEN action IN ('increase incrementally', 'decrease incrementally') THEN action ELSE 'implies' END AS label FROM relations),
+x AS (SELECT r.*, bins[i].lo AS lo, bins[i].hi AS hi, bins[i].value AS v, (i - 1)::VARCHAR AS ix, parameter || '-' || quality || '-' || (i - 1)::VARCHAR AS tag FROM (SELECT *, unnest(range(1, len(bins) + 1)) AS i FROM r) r)"""
+
+
+def _u(rows):
+    return " UNION ALL ".join(f"SELECT {s} AS src, {r} AS rel, {d} AS dst, '{lit}' AS literal_included FROM {t}" for s, r, d, lit, t in rows)
+
+
+_SHORT = [("quality", "label", "parameter", "None", "r")]
+_QP = [("quality", "'implies'", "m", "To", "r"), ("parameter", "'quantified by'", "m", "To", "r")]
+_QC = [("'my-' || tag", "'implies'", "'value-' || tag", "To", "x"), ("parameter", "'quantified by'", "'value-' || tag", "To", "x"), ("'my-' || tag", "'starts at'", "'start-' || tag", "To", "x"), ("'my-' || tag", "'ends at'", "'end-' || tag", "To", "x"), ("quality", "'quantified by'", "'my-' || tag", "None", "x")]
+_W3 = [("quality", "'implies'", "rel", "None", "r"), ("rel", "'implied parameter'", "parameter", "None", "r")]
+_BOTH = "'my' || ix || '-ny' || ix || '-' || tag"
+_REPS = {
+    "basic": [("quality", "m", "parameter", "None", "r")], "unquantified": _SHORT,
+    "quantified_parameters_without_shortcut": _QP, "quantified_parameters_with_shortcut": _QP + _SHORT, "quantified_parameters_with_literal": _QP + _SHORT,
+    "quantified_parameters_w3": [*_W3, ("rel", "'quantified by'", "m", "To", "r")], "quantified_parameters_w3_with_literal": [*_W3, ("rel", "'quantified by'", "m", "To", "r")],
+    "quantified_conditions_without_shortcut": _QC, "quantified_conditions_with_shortcut": _QC + _SHORT, "quantified_conditions_with_literal": _QC + _SHORT,
+}
+for _n in ("quantified_conditions_w3", "quantified_conditions_w3_with_literal"):
+    _REPS[_n] = [*_W3, ("rel", "'quantified by'", _BOTH, "None", "x"), (_BOTH, "'starts at'", "'start-' || tag", "To", "x"), (_BOTH, "'ends at'", "'end-' || tag", "To", "x"), (_BOTH, "'quantified by'", "'value-' || tag", "To", "x")]
+for _n, _rows in _REPS.items():
+    query(f"{_REL} {_u(_rows)}", f"rep_{_n}")(lambda spark, sf, n=_n: representations.encode(ad.relations(spark, sf), n)[1])
+
+_QCV = f"{_REL}, e AS ({_u(_REPS['quantified_conditions_with_literal'])})"
+
+
+@query(f"{_QCV}, lit AS (SELECT 'value-' || tag AS name, round(v, 6) AS value FROM x UNION ALL SELECT 'start-' || tag, round(least(lo, hi), 6) FROM x UNION ALL SELECT 'end-' || tag, round(greatest(lo, hi), 6) FROM x) SELECT src AS h, rel AS r, NULL AS t, value FROM e JOIN lit ON dst = name WHERE literal_included = 'To' UNION ALL SELECT src, rel, dst, NULL FROM e WHERE literal_included = 'None'")
+def rep_triples(spark, sf):
+    v, e = representations.encode(ad.relations(spark, sf), "quantified_conditions_with_literal")
+    entity, literal = representations.triples(v, e, "To")
+    return literal.select("h", "r", F.lit(None).cast("string").alias("t"), r6("value").alias("value")).unionByName(entity.withColumn("value", F.lit(None).cast("double")))
+
+
+def _reach(spark, sf):
+    v, e = representations.encode(ad.relations(spark, sf), "quantified_conditions_without_shortcut")
+    starts = v.where("type = 'quality'").select(F.col("name").alias("q"))
+    return v, e, graphs.reach(v, e, starts, graphs.hops("quantified_conditions_without_shortcut"))
+
+
+@query(f"{_REL} SELECT q, v FROM (SELECT quality AS q, quality AS v FROM r UNION SELECT quality, 'my-' || tag FROM x UNION SELECT quality, unnest(['value-' || tag, 'start-' || tag, 'end-' || tag]) FROM x UNION SELECT quality, parameter FROM r)")
+def khop_subgraph(spark, sf):
+    return _reach(spark, sf)[2]
+
+
+@query(f"{_REL} SELECT quality AS q, count(*) * 5 AS n_edges, count(DISTINCT parameter) AS n_parameters FROM x GROUP BY quality")
+def induced_subgraph(spark, sf):
+    v, e, m = _reach(spark, sf)
+    n = graphs.induced(e, m).groupBy("q").agg(F.count("*").alias("n_edges"))
+    return n.join(graphs.parameters_hit(m, v).groupBy("q").agg(F.count("*").alias("n_parameters")), "q")
+
+
+@query(f"{_REL}, v AS (SELECT DISTINCT l_returnflag || l_linestatus AS quality, round(l_tax, 2) + 0.005 AS value FROM lineitem) SELECT x.quality, parameter, ix::BIGINT AS bin, round(value, 6) AS value FROM x JOIN v ON x.quality = v.quality AND least(lo, hi) < value AND value < greatest(lo, hi)")
+def range_subgraph(spark, sf):
+    ranges = ad.relations(spark, sf).select("parameter", "quality", F.posexplode("bins").alias("bin", "b")).select("parameter", "quality", "bin", F.col("b.hi").alias("start"), F.col("b.lo").alias("end"))
+    values = ad.table(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("quality"), (F.round("l_tax", 2) + 0.005).alias("value")).distinct()
+    return graphs.conditions_holding(ranges, values).select("quality", "parameter", big("bin").alias("bin"), r6("value").alias("value"))
+
+
+_G = ad.cte("edges") + ", e AS (SELECT influence AS src, parameter AS dst FROM edges), v AS (SELECT src AS name FROM e UNION SELECT dst FROM e), o AS (SELECT src AS name, count(*) AS out_degree FROM e GROUP BY 1), i AS (SELECT dst AS name, count(*) AS in_degree FROM e GROUP BY 1), d AS (SELECT name, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree, coalesce(in_degree, 0) + coalesce(out_degree, 0) AS degree FROM v LEFT JOIN i USING (name) LEFT JOIN o USING (name))"
+
+
+def _graph(spark, sf):
+    e = ad.insight_edges(spark, sf).select(F.col("influence").alias("src"), F.col("parameter").alias("dst"), F.lit("acts on").alias("rel"))
+    v = e.select(F.col("src").alias("name"), F.lit("influence").alias("type")).union(e.select("dst", F.lit("parameter"))).distinct()
+    return v, e
+
+
+@query(f"{_G} SELECT name, in_degree, out_degree, degree FROM d")
+def degree_stats(spark, sf):
+    return graphs.degrees(*_graph(spark, sf))
+
+
+@query(f"{_G}, n AS (SELECT src AS name, dst AS n FROM e UNION SELECT dst, src FROM e) SELECT n.name, round(avg(degree), 6) AS neighbour_degree FROM n JOIN d ON n.n = d.name GROUP BY n.name")
+def neighbour_degree(spark, sf):
+    return graphs.neighbour_degree(*_graph(spark, sf)).withColumn("neighbour_degree", r6("neighbour_degree"))
+
+
+@query(f"{_G}, c AS (SELECT dst AS name, count(DISTINCT src) AS r FROM e GROUP BY dst) SELECT v.name, round(coalesce(r * r / (r * ((SELECT count(*) FROM v) - 1)::DOUBLE), 0), 6) AS closeness FROM v LEFT JOIN c USING (name)")
+def closeness(spark, sf):
+    return graphs.closeness(*_graph(spark, sf)).withColumn("closeness", r6("closeness"))
+
+
+@query(f"{_G} SELECT (SELECT count(*) FROM e) AS edges, 1::BIGINT AS relations, (SELECT count(*) FROM v) AS nodes, 0::BIGINT AS literals, (SELECT round(avg(degree), 2) FROM d) AS degree_mean, (SELECT round(stddev_samp(degree), 2) FROM d) AS degree_std")
+def graph_statistics(spark, sf):
+    return graphs.statistics(*_graph(spark, sf))
+
+
+@query(f"{_G}, n AS (SELECT 'RF' AS v UNION SELECT dst FROM e WHERE src = 'RF' UNION SELECT src FROM e WHERE dst = 'RF') SELECT src, dst, count(*) AS n FROM e WHERE src IN (SELECT v FROM n) AND dst IN (SELECT v FROM n) GROUP BY ALL")
+def ego_graph(spark, sf):
+    return graphs.ego(_graph(spark, sf)[1].select("src", "dst"), "RF").groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+# ============================================================ embeddings and evaluation
+
+_EMB = ad.cte("edges") + """, kge AS (SELECT DISTINCT influence AS q, influence AS src, parameter AS dst FROM edges), names AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS vid FROM (SELECT DISTINCT src AS name FROM kge UNION SELECT dst FROM kge)),
+emb AS (SELECT name, list_transform(embedding[1:8], lambda x: abs(x::DOUBLE) + 0.1) AS vec FROM names JOIN embeddings ON vec_id = vid)"""
+_DIST = {"jaccard": "1 - list_sum(list_transform(list_zip({a}, {b}), lambda p: least(p[1], p[2]))) / list_sum(list_transform(list_zip({a}, {b}), lambda p: greatest(p[1], p[2])))", "euclidean": "sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"}
+
+
+def _embedded(spark, sf):
+    from pyspark.sql import Window
+
+    e = ad.insight_edges(spark, sf).select(F.col("influence").alias("q"), F.col("influence").alias("src"), F.col("parameter").alias("dst")).distinct()
+    names = e.select(F.col("src").alias("name")).union(e.select("dst")).distinct().withColumn("vid", F.row_number().over(Window.orderBy("name")) - 1)  # vertex names only
+    vec = ad.table(spark, sf, "embeddings").select(F.col("vec_id").alias("vid"), F.transform(F.slice("embedding", 1, 8), lambda x: F.abs(x.cast("double")) + 0.1).alias("vec"))
+    return e, names.join(vec, "vid").select("name", "vec")
+
+
+def _members(e):
+    return e.select("q", F.col("dst").alias("v")).union(e.select("q", F.col("q").alias("v"))).distinct()
+
+
+_SUB = f"""{_EMB}, part AS (SELECT q, h.vec AS hv, t.vec AS tv, {_DIST['jaccard'].format(a='h.vec', b='t.vec')} AS d FROM kge JOIN emb h ON src = h.name JOIN emb t ON dst = t.name),
+each AS (SELECT q, i, sum(d * tv[i]) AS x FROM part, range(1, 9) g(i) GROUP BY q, i), n AS (SELECT q, count(DISTINCT dst) AS n FROM kge GROUP BY q), sub AS (SELECT q, list(x / n ORDER BY i) AS vec FROM each JOIN n USING (q) GROUP BY q)"""
+
+
+@query(f"{_SUB} SELECT q, i::BIGINT AS i, round(vec[i], 6) AS x FROM sub, range(1, 9) g(i)")
+def subgraph_embedding(spark, sf):
+    e, emb = _embedded(spark, sf)
+    s = evaluation.subgraph_embedding(e, _members(e), emb)
+    return s.select("q", F.posexplode("vec").alias("i", "x")).select("q", big(F.col("i") + 1).alias("i"), r6("x").alias("x"))
+
+
+for _n in ("jaccard", "euclidean"):
+    query(f"{_SUB} SELECT l.q AS a, r.q AS b, round({_DIST[_n].format(a='l.vec', b='r.vec')}, 6) AS distance FROM sub l JOIN sub r ON l.q <> r.q", f"{_n}_pairs")(
+        lambda spark, sf, n=_n: evaluation.vector_distances(evaluation.subgraph_embedding(_embedded(spark, sf)[0], _members(_embedded(spark, sf)[0]), _embedded(spark, sf)[1]), n).withColumn("distance", r6("distance"))
+    )
+
+_HIT = "hit AS (SELECT DISTINCT influence AS q, parameter FROM edges WHERE weight > 0.08), np AS (SELECT count(DISTINCT parameter) AS n FROM edges), qs AS (SELECT DISTINCT influence AS q FROM edges), sh AS (SELECT l.q AS a, r.q AS b, (SELECT n FROM np) - (SELECT count(*) FROM hit WHERE q = l.q) - (SELECT count(*) FROM hit WHERE q = r.q) + 2 * (SELECT count(*) FROM hit x JOIN hit y USING (parameter) WHERE x.q = l.q AND y.q = r.q) AS shared FROM qs l JOIN qs r ON l.q <> r.q)"
+
+
+def _shared(spark, sf):
+    e = ad.insight_edges(spark, sf)
+    hit = e.where("weight > 0.08").select(F.col("influence").alias("q"), "parameter").distinct()
+    n = e.select("parameter").distinct().count()
+    return evaluation.equal_memberships(hit, e.select(F.col("influence").alias("q")).distinct(), n)
+
+
+@query(f"{ad.cte('edges')}, {_HIT} SELECT a, b, shared FROM sh")
+def equal_memberships(spark, sf):
+    return _shared(spark, sf).select("a", "b", big("shared").alias("shared"))
+
+
+@query(f"{ad.cte('edges')}, {_HIT}, rk AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS r FROM sh) SELECT a, string_agg(b, ',' ORDER BY r) AS neighbours FROM rk WHERE r <= 3 GROUP BY a")
+def topk_neighbours(spark, sf):
+    return evaluation.top_k(_shared(spark, sf), "shared", 3, True).select("a", F.array_join("neighbours", ",").alias("neighbours"))
+
+
+@query(f"{_SUB}, {_HIT}, ds AS (SELECT l.q AS a, r.q AS b, {_DIST['euclidean'].format(a='l.vec', b='r.vec')} AS distance FROM sub l JOIN sub r ON l.q <> r.q), ra AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS r FROM sh) WHERE r <= 2), rb AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS r FROM ds) WHERE r <= 2), m AS (SELECT qs.q, count(x.b) AS n FROM qs LEFT JOIN (SELECT ra.a, ra.b FROM ra JOIN rb USING (a, b)) x ON x.a = qs.q GROUP BY qs.q) SELECT 2::BIGINT AS k, round(avg(n), 6) AS matches_mean, round(stddev_samp(n), 6) AS matches_std FROM m")
+def matches_at_k(spark, sf):
+    e, emb = _embedded(spark, sf)
+    d = evaluation.vector_distances(evaluation.subgraph_embedding(e, _members(e), emb), "euclidean")
+    m = evaluation.matches_at_k(_shared(spark, sf), d, 2)
+    return m.select(big("k").alias("k"), r6("matches_mean").alias("matches_mean"), r6("matches_std").alias("matches_std"))
+
+
+_T = ad.cte("triples") + ", tr AS (SELECT h, r, t FROM triples WHERE split = 'train'), te AS (SELECT h, r, t FROM triples WHERE split = 'test')"
+
+
+def _split(spark, sf):
+    t = ad.triples(spark, sf)
+    return t.where("split = 'train'").drop("split"), t.where("split = 'test'").drop("split")
+
+
+@query(f"{_T} SELECT h, r, t, round((SELECT count(*) FROM tr x WHERE x.r = te.r AND x.h = te.h)::DOUBLE / nullif((SELECT count(*) FROM tr x WHERE x.r = te.r), 0), 6) AS head_bias, round((SELECT count(*) FROM tr x WHERE x.r = te.r AND x.t = te.t)::DOUBLE / nullif((SELECT count(*) FROM tr x WHERE x.r = te.r), 0), 6) AS tail_bias FROM te")
+def bias_type1(spark, sf):
+    return evaluation.bias_type1(*_split(spark, sf)).withColumn("head_bias", r6("head_bias")).withColumn("tail_bias", r6("tail_bias"))
+
+
+@query(f"""{_T}, al AS (SELECT * FROM tr UNION ALL SELECT * FROM te), mt AS (SELECT r, max(n) AS m_tail FROM (SELECT r, h, count(DISTINCT t) AS n FROM al GROUP BY ALL) GROUP BY r), mh AS (SELECT r, max(n) AS m_head FROM (SELECT r, t, count(DISTINCT h) AS n FROM al GROUP BY ALL) GROUP BY r),
+nr AS (SELECT r, count(DISTINCT t) AS nt, count(DISTINCT h) AS nh FROM tr GROUP BY r), a AS (SELECT r, h, count(DISTINCT t) AS a FROM tr GROUP BY ALL), b AS (SELECT r, t, count(DISTINCT h) AS b FROM tr GROUP BY ALL)
+SELECT te.h, te.r, te.t, round(CASE WHEN nt IS NULL THEN NULL WHEN m_tail > 1 THEN coalesce(a, 0)::DOUBLE / nt ELSE 0 END, 6) AS head_bias, round(CASE WHEN nh IS NULL THEN NULL WHEN m_head > 1 THEN coalesce(b, 0)::DOUBLE / nh ELSE 0 END, 6) AS tail_bias
+FROM te JOIN mt USING (r) JOIN mh USING (r) LEFT JOIN nr USING (r) LEFT JOIN a ON a.r = te.r AND a.h = te.h LEFT JOIN b ON b.r = te.r AND b.t = te.t""")
+def bias_type2(spark, sf):
+    return evaluation.bias_type2(*_split(spark, sf)).withColumn("head_bias", r6("head_bias")).withColumn("tail_bias", r6("tail_bias"))
+
+
+@query(f"""{_T}, c AS (SELECT x.r, y.r AS s, count(*) AS c FROM tr x JOIN tr y ON x.h = y.h AND x.t = y.t AND x.r <> y.r GROUP BY ALL), dom AS (SELECT c.r, s FROM c JOIN (SELECT r AS s, count(*) AS n FROM tr GROUP BY r) USING (s) WHERE c::DOUBLE / n > 0.5)
+SELECT h, r, t, CASE WHEN r IN (SELECT r FROM tr) THEN CASE WHEN EXISTS (SELECT 1 FROM dom JOIN tr x ON x.r = dom.s WHERE dom.r = te.r AND x.h = te.h AND x.t = te.t) THEN 1 ELSE 0 END END::INT AS bias FROM te""")
+def bias_type3(spark, sf):
+    return evaluation.bias_type3(*_split(spark, sf))
+
+
+@query(f"""{_T}, sc AS (SELECT t AS e, count(*) AS n FROM tr GROUP BY t), ents AS (SELECT DISTINCT t AS e FROM triples), q AS (SELECT DISTINCT h, r, t FROM te),
+cand AS (SELECT f.h, f.r, ents.e AS t, coalesce(n, 0) AS score FROM (SELECT DISTINCT h, r FROM q) f, ents LEFT JOIN sc USING (e)),
+o AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM triples x WHERE x.h = c.h AND x.r = c.r AND x.t = c.t)),
+rk AS (SELECT q.h, q.r, q.t, count(*) FILTER (o.score > c.score) + 1 + count(*) FILTER (o.score = c.score) / 2.0 AS rank, count(o.score) + 1 AS candidates FROM q JOIN cand c USING (h, r, t) LEFT JOIN o ON o.h = q.h AND o.r = q.r GROUP BY ALL)
+SELECT 'tail' AS side, round(1 - (avg(rank) - 1) / (avg((candidates + 1) / 2.0) - 1), 6) AS amri, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hits_at_1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hits_at_5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hits_at_10 FROM rk""")
+def link_rank(spark, sf):
+    tr, te = _split(spark, sf)
+    freq = tr.groupBy("t").agg(F.count("*").alias("n"))
+    score = lambda c: c.join(freq, "t", "left").select("h", "r", "t", F.coalesce("n", F.lit(0)).alias("score"))
+    ents = ad.triples(spark, sf).select(F.col("t").alias("e")).distinct()
+    m = evaluation.link_metrics(evaluation.link_ranks(te, tr, ents, score))
+    return m.select("side", *(r6(c).alias(c) for c in ("amri", "hits_at_1", "hits_at_5", "hits_at_10")))
+
+
+@query("SELECT o_orderpriority AS kg_type, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS std FROM orders GROUP BY ALL")
+def over_iterations(spark, sf):
+    m = ad.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("kg_type"), F.col("o_totalprice").alias("value"))
+    o = evaluation.over_iterations(m, ["kg_type"])
+    return o.select("kg_type", r6("mean", 4).alias("mean"), r6("std", 4).alias("std"))
+
+
+# ============================================================ features and texts
+
+
+@query("WITH s AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS s FROM customer) SELECT c_custkey, round((c_acctbal - m) / s, 6) AS c_acctbal FROM customer, s")
+def zscore(spark, sf):
+    return features.standardise(ad.table(spark, sf, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"]).withColumn("c_acctbal", r6("c_acctbal"))
+
+
+@query("WITH s AS (SELECT min(s_acctbal) AS lo, max(s_acctbal) AS hi FROM supplier) SELECT s_suppkey, round((s_acctbal - lo) / (hi - lo), 6) AS s_acctbal FROM supplier, s")
+def minmax(spark, sf):
+    return features.min_max(ad.table(spark, sf, "supplier").select("s_suppkey", "s_acctbal"), ["s_acctbal"]).withColumn("s_acctbal", r6("s_acctbal"))
+
+
+@query("SELECT c_custkey, " + ", ".join(f"CASE WHEN c_mktsegment = '{s}' THEN 1 ELSE 0 END::INT AS \"{s}\"" for s in ("AUTOMOBILE", "BUILDING")) + " FROM customer")
+def onehot(spark, sf):
+    return features.one_hot(ad.table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", ["AUTOMOBILE", "BUILDING"])
+
+
+@query("SELECT p_partkey, (dense_rank() OVER (ORDER BY p_brand) - 1)::BIGINT AS p_brand, (dense_rank() OVER (ORDER BY p_type) - 1)::BIGINT AS p_type FROM part")
+def label_encode(spark, sf):
+    p = ad.table(spark, sf, "part").select("p_partkey", "p_brand", "p_type")
+    e = features.LabelEncoder.fit(p, ["p_brand", "p_type"]).transform(p, ["p_brand", "p_type"])
+    return e.select("p_partkey", big("p_brand").alias("p_brand"), big("p_type").alias("p_type"))
+
+
+@query("WITH d AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size END AS p_size FROM part), m AS (SELECT p_size AS m FROM d WHERE p_size IS NOT NULL GROUP BY p_size ORDER BY count(*) DESC, p_size LIMIT 1) SELECT p_partkey, coalesce(p_size, m) AS p_size FROM d, m")
+def impute_mode(spark, sf):
+    p = ad.table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, F.col("p_size")).alias("p_size"))
+    return features.missing_policy(p, "impute", ["p_size"])
+
+
+_GRAM = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query("SELECT " + ", ".join(f"round(sum({a} * {b}), 2) AS g{i}{j}" for i, a in enumerate(_GRAM) for j, b in enumerate(_GRAM) if i <= j) + " FROM lineitem")
+def vif_gram(spark, sf):
+    g = features.gram(ad.table(spark, sf, "lineitem").select(*_GRAM), _GRAM)
+    return spark.createDataFrame([{f"g{i}{j}": round(float(g[i, j]), 2) for i in range(3) for j in range(3) if i <= j}])
+
+
+@query()
+def vif(spark, sf):
+    return spark.createDataFrame(features.vif(ad.table(spark, sf, "lineitem").select(*_GRAM), _GRAM), "column string, vif double")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount >= 0.05 THEN 1 ELSE 0 END::INT AS l_discount FROM lineitem WHERE l_tax IS NOT NULL")
+def binary_target(spark, sf):
+    d = features.remove_artifacts(ad.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax"))
+    return features.binary(d, ["l_discount"], 0.05).drop("l_tax")
+
+
+@query("SELECT event_id, lower(regexp_replace(regexp_replace(c, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS snake, event_type AS camel_again FROM (SELECT event_id, event_type, event_type || 'Extrusion' || 'RateX' AS c FROM events)")
+def camel_snake(spark, sf):
+    e = ad.table(spark, sf, "events")
+    return e.select("event_id", tx.camel_to_snake(F.concat("event_type", F.lit("ExtrusionRateX"))).alias("snake"), tx.snake_to_camel("event_type").alias("camel_again"))
+
+
+@query("SELECT p_partkey, p_type || ':' || p_brand || ':' || p_name AS material FROM part")
+def material_concat(spark, sf):
+    p = ad.table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("material_type"), F.col("p_brand").alias("material_producer"), F.col("p_name").alias("material_color"))
+    return features.concat_material(p).select("p_partkey", "material")
+
+
+_WORDS = "['yes', 'No', 'ON', '1', 'off', '0.5', 'maybe', 't', ' f ']"
+
+
+@query(f"SELECT event_id, w, try_cast(w AS DOUBLE) AS d, CASE WHEN try_cast(w AS DOUBLE) IS NOT NULL THEN NULL WHEN lower(trim(w)) IN ('y','yes','t','true','on','1') THEN true WHEN lower(trim(w)) IN ('n','no','f','false','off','0') THEN false END AS b FROM (SELECT event_id, {_WORDS}[event_id % 9 + 1] AS w FROM events)")
+def strtobool_parse(spark, sf):
+    words = F.array(*(F.lit(w) for w in ("yes", "No", "ON", "1", "off", "0.5", "maybe", "t", " f ")))
+    e = ad.table(spark, sf, "events").select("event_id", F.element_at(words, (F.col("event_id") % 9 + 1).cast("int")).alias("w"))
+    v = tx.typed_value("w")
+    return e.select("event_id", "w", v["d"].alias("d"), v["b"].alias("b"))
+
+
+@query("SELECT event_id, (props->>'k')::BIGINT AS k, '[\"' || event_type || '\",\"' || user_id || '\"]' AS edge FROM events")
+def json_key(spark, sf):
+    e = ad.table(spark, sf, "events")
+    return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), tx.edge_key("event_type", F.col("user_id").cast("string")).alias("edge"))
+
+
+@query("SELECT o_orderkey, round(greatest(0, least(10, 1 + 0.0001 * greatest(0, least(255000, o_totalprice)))), 6) AS lin, round(greatest(0, least(10, 2 - 1e-5 * greatest(0, least(255000, o_totalprice)) + 1e-10 * pow(greatest(0, least(255000, o_totalprice)), 2))), 6) AS quad, round(greatest(0, least(10, 0.5 * ln(greatest(0, least(255000, o_totalprice)) + 1) / ln(3) + 0.1)), 6) AS loga, round(greatest(0, least(255000, (greatest(0, least(10, o_totalprice / 50000)) - 1) / 0.0001)), 4) AS lin_inv FROM orders")
+def pq_functions(spark, sf):
+    p, q = nm.Range(0.0, 255000.0), nm.Range(0.0, 10.0)
+    lin, quad, loga = nm.Linear((1.0, 0.0001), p, q), nm.Quadratic((2.0, -1e-5, 1e-10), p, q), nm.Logarithmic((0.5, 3.0, -1.0, 0.1), p, q)
+    x = F.col("o_totalprice")
+    return ad.table(spark, sf, "orders").select("o_orderkey", r6(lin(x)).alias("lin"), r6(quad(x)).alias("quad"), r6(loga(x)).alias("loga"), r6(lin.inverse(x / 50000), 4).alias("lin_inv"))
+
+
+@query("SELECT o_orderkey, round((least(b, d) - greatest(a, c)) / nullif((b - a) + (d - c) - (least(b, d) - greatest(a, c)), 0), 6) AS iou, abs(a - c) <= 0.3 * greatest(abs(a), abs(c)) AS close FROM (SELECT o_orderkey, o_totalprice AS a, o_totalprice * 2 AS b, o_totalprice * 1.2 + 10 AS c, o_totalprice * 1.9 AS d FROM orders)")
+def interval_iou(spark, sf):
+    x = F.col("o_totalprice")
+    o = ad.table(spark, sf, "orders").select("o_orderkey", x.alias("a"), (x * 2).alias("b"), (x * 1.2 + 10).alias("c"), (x * 1.9).alias("d"))
+    return o.select("o_orderkey", r6(nm.interval_iou("a", "b", "c", "d")).alias("iou"), nm.close("a", "c").alias("close"))
+
+
+# ============================================================ sinks, streams, generation
+
+
+@query(f"{_T} SELECT DISTINCT '<http://purl.org/pdpk/resource/' || replace(replace(h, ' ', '%20'), '#', '%23') || '> <http://purl.org/pdpk/resource/' || replace(replace(r, ' ', '%20'), '#', '%23') || '> <http://purl.org/pdpk/resource/' || replace(replace(t, ' ', '%20'), '#', '%23') || '> .' AS value FROM triples")
+def nt_lines(spark, sf):
+    return writers.relation_lines(ad.triples(spark, sf))
+
+
+@query("SELECT event_type AS influence, (user_id % 7)::VARCHAR AS parameter, round(sum(value), 4) AS weight, count(*) AS n FROM events GROUP BY ALL")
+def stream_edge_totals(spark, sf):
+    import uuid
+
+    schema = ad.table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
+    edges = events.select(F.col("event_type").alias("influence"), (F.col("user_id") % 7).cast("string").alias("parameter"), F.col("value").alias("weight"))
+    name = f"totals_{uuid.uuid4().hex}"
+    incremental.start(incremental.edge_totals(edges), name).awaitTermination()
+    return spark.table(name).select("influence", "parameter", r6("weight", 4).alias("weight"), "n")
+
+
+@query("SELECT event_type AS influence, (user_id % 3)::VARCHAR AS parameter, date_trunc('day', ts) AS start, round(sum(value), 4) AS weight, count(*) AS n FROM events GROUP BY ALL")
+def windowed_edge_totals(spark, sf):
+    e = ad.table(spark, sf, "events").select(F.col("event_type").alias("influence"), (F.col("user_id") % 3).cast("string").alias("parameter"), F.col("value").alias("weight"), "ts")
+    return incremental.edge_totals(e, "ts", "1 hour", "1 day").withColumn("weight", r6("weight", 4))
+
+
+SMALL = DataSettings(n_experiments=60, parameters=tuple(Named(f"p{i}", 0.0, 255.0) for i in range(8)), qualities=tuple(Named(f"q{i}", 0.0, 10.0) for i in range(4)), correlating_share=0.4, series=(SeriesSettings(), SeriesSettings(kind="trial", share=0.5)), noise=NoiseSettings(0.2, 0.2))
+
+
+@query()
+def synth_dataset(spark, sf):
+    return synthesis.generate(spark, synthesis.make_world(SMALL)).select("series_id", "pos", F.to_json("parameters").alias("parameters"), F.to_json("qualities").alias("qualities"))
+
+
+@query()
+def synth_knowledge_graph(spark, sf):
+    docs = synthesis.to_documents(synthesis.generate(spark, synthesis.make_world(SMALL)))
+    edges = experiments.insight_edges(docs)
+    return graphs.aggregate(edges, docs.agg(F.count("*").alias("n"))).drop("experiments")
+
+
+@query()
+def optics(spark, sf):
+    o = ad.table(spark, sf, "part").groupBy("p_brand").agg(F.avg("p_size").alias("size"), F.avg("p_retailprice").alias("price"), F.min("p_partkey").alias("exp_id")).drop("p_brand")
+    return clustering.cluster(o, 3)
+
+
+@query()
+def train_transe(spark, sf):
+    v, e = representations.encode(ad.relations(spark, sf), "basic")
+    t = e.select(F.lit("basic").alias("kg_type"), F.col("src").alias("h"), F.lit("acts on").alias("r"), F.col("dst").alias("t"))
+    return embeddings.train(t, "TransE", 5, embeddings.TrainSettings(dim=8))
+
+
+@query()
+def executed_experiments(spark, sf):
+    return readers.executed_experiments(synthesis.to_documents(synthesis.generate(spark, synthesis.make_world(SMALL))))

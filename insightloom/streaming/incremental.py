@@ -17,6 +17,7 @@ def edge_totals(edges: DataFrame, time: str | None = None, late: str = "1 hour",
     return edges.groupBy(*keys).agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
 
 
-def start(totals: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
+def start(totals: DataFrame, name: str, checkpoint: str | None = None, mode: str = "complete") -> StreamingQuery:
     """Runs to the end of what is there, into an in-memory table ``name``."""
-    return totals.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    w = totals.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    return (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
