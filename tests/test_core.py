@@ -254,7 +254,7 @@ def test_sinks(spark, tmp_path):
     writers.write_embedding_tsv(emb, str(tmp_path / "emb"), names)
     back = {r["vid"]: (r["vec"], r["name"]) for r in readers.read_embedding_tsv(spark, str(tmp_path / "emb"), str(tmp_path / "emb-names")).collect()}
     assert back == {0: ([1.0, 2.0], "a b"), 1: ([3.0, 4.5], "c")}
-    (tmp_path / "rules.csv").write_text("cura_condition;action;parameter_cura;action_quantifier;categorical;range;step_size Cura\ngaps;set;flow;1;no;[1;2];0.5\n;;x;;;;\nwarp;increase incrementally;temp;;no;>3;\n")
+    (tmp_path / "rules.csv").write_text("cura_condition;action;parameter_cura;action_quantifier;categorical;range;step_size Cura\ngaps;set;flow;1;no;\"[1;2]\";0.5\n;;x;;;;\nwarp;increase incrementally;temp;;no;>3;\n")
     got = readers.read_rule_csv(spark, str(tmp_path / "rules.csv")).collect()
     assert [(r["condition"], r["range_start"], r["range_end"]) for r in got] == [("gaps", 1.0, 2.0), ("warp", 3.0, None)]
     t = spark.createDataFrame([("a b", "r", "c")], "h string, r string, t string")
