@@ -85,7 +85,8 @@ class Words:
 
     def __init__(self, texts: list, lower: bool = False):
         raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t for t in texts]
-        self.buf = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
+        self.raw = b"\n".join(raw) + b"\n"
+        self.buf = np.frombuffer(self.raw, dtype=np.uint8)
         if lower:
             self.buf = ASCII_LOWER[self.buf]
         inside = np.empty(len(self.buf) + 1, dtype=bool)

@@ -12,9 +12,8 @@ removed.
 2. *Shards.*  A shard sets up a compressed FM-index over its fragments: suffix
    order, Burrows-Wheeler transform, wavelet tree of packed bits with rank
    counts.  All windows of the streamed fragments run backward through it in
-   step; a window's matching statistic grows word by word while its interval
-   still holds an occurrence in a smaller document than some owner of the
-   fragment.  Windows that reach the threshold are reported with the smallest
+   step; a window's match grows word by word while its interval still holds an
+   occurrence in a smaller document than some owner of the fragment.  Windows that reach the threshold are reported with the smallest
    document of their interval.
 3. *Cutting.*  Reports meet their documents by id, covered words are removed.
 
@@ -32,14 +31,17 @@ Extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, by_bytes, materialise, partitions, shingle_hashes
+from .common import Words, by_bytes, partitions, shingle_hashes
 
 WINDOW, ANCHOR = 13, 5
 NOBODY = np.iinfo(np.int64).max
@@ -116,10 +118,10 @@ class FmIndex:
     """FM-index over fragments of symbol sequences, with the owner document of
     each suffix and range minima over them."""
 
-    def __init__(self, fragments: list[np.ndarray], owner: np.ndarray):
-        """Symbols are 0, 1, ...; fragment i belongs to document owner[i]."""
-        k = len(fragments)
-        size = np.array([len(f) for f in fragments], dtype=np.int64)
+    def __init__(self, symbols: np.ndarray, size: np.ndarray, owner: np.ndarray):
+        """Symbols 0, 1, ... of all fragments one after another; fragment i has
+        size[i] of them and belongs to document owner[i]."""
+        k = len(size)
         # separators come first in order and differ from each other, so no match crosses them
         end = np.cumsum(size + 1) - 1
         n = int(end[-1]) + 1
@@ -127,7 +129,7 @@ class FmIndex:
         is_end = np.zeros(n, dtype=bool)
         is_end[end] = True
         text[end] = np.arange(k)
-        text[~is_end] = np.concatenate(fragments).astype(np.int64) + k
+        text[~is_end] = symbols.astype(np.int64) + k
         order = suffix_order(text)
         # for the transform all separators are symbol 0; they are never searched for
         plain = np.where(is_end, 0, text - k + 1)
@@ -139,50 +141,45 @@ class FmIndex:
         fragment_of = np.repeat(np.arange(k), size + 1)
         self.size = n
         low = owner[fragment_of[order]]
-        self.low = [low]  # sparse table of range minima
-        step = 1
-        while 2 * step <= n:
-            low = np.minimum(low[:-step], low[step:])
-            self.low.append(low)
-            step *= 2
+        # sparse table of range minima: row k holds minima over 2**k suffixes
+        self.low = np.empty((max(1, n.bit_length()), n), dtype=np.int64)
+        self.low[0] = low
+        for k in range(1, len(self.low)):
+            half = 1 << (k - 1)
+            self.low[k] = self.low[k - 1]
+            np.minimum(self.low[k - 1][:-half], self.low[k - 1][half:], out=self.low[k][:-half])
 
     def smallest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Smallest owner in each suffix interval [lo, hi), none empty."""
-        out = np.empty(len(lo), dtype=np.int64)
-        level = np.log2((hi - lo).astype(np.float64)).astype(np.int64)
-        for k in np.unique(level).tolist():
-            m = level == k
-            out[m] = np.minimum(self.low[k][lo[m]], self.low[k][hi[m] - (1 << k)])
-        return out
-
-    def matching(self, symbols: np.ndarray, last: np.ndarray, below: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Matching statistics of positions in ``symbols``: for each entry of
-        ``last``, how far its match can be extended to the left, up to ``most``
-        symbols, while the interval holds an owner smaller than ``below``.
-        Returns the lengths and, where ``most`` is reached, the smallest owner.
-        """
+        k = np.frexp((hi - lo).astype(np.float64))[1].astype(np.int64) - 1
+        return np.minimum(self.low[k, lo], self.low[k, hi - (np.int64(1) << k)])
+
+    def matching(self, symbols: np.ndarray, last: np.ndarray, below: np.ndarray, most: int) -> np.ndarray:
+        """For each entry of ``last``, a position in ``symbols``: the match that
+        ends there is extended to the left, symbol by symbol, as long as the
+        index holds it in an owner smaller than ``below`` (looked at every few
+        symbols and at the end).  Where it reaches ``most`` symbols, the
+        smallest owner of its interval, else NOBODY."""
         lanes = np.arange(len(last))
-        lo, hi = np.zeros(len(last), dtype=np.int64), np.full(len(last), self.size, dtype=np.int64)
-        length = np.zeros(len(last), dtype=np.int64)
+        c = symbols[last] + 1
+        lo, hi = self.less[c], self.less[c + 1]
         found = np.full(len(last), NOBODY, dtype=np.int64)
-        for step in range(most):
-            c = symbols[last[lanes] - step] + 1
-            both = self.less[np.tile(c, 2)] + self.tree.rank(np.tile(c, 2), np.concatenate((lo, hi)))
-            lo, hi = both[: len(c)], both[len(c) :]
-            some = np.flatnonzero(lo < hi)
-            if len(some) < len(lanes):
+        for step in range(1, most + 1):
+            if step == most or step % 4 == 1:
+                some = np.flatnonzero(lo < hi)
                 lanes, lo, hi = lanes[some], lo[some], hi[some]
-            if not len(lanes):
+                low = self.smallest(lo, hi)
+                some = np.flatnonzero(low < below[lanes])
+                lanes, lo, hi, low = lanes[some], lo[some], hi[some], low[some]
+                if step == most:
+                    found[lanes] = low
+            if step == most or not len(lanes):
                 break
-            low = self.smallest(lo, hi)
-            some = np.flatnonzero(low < below[lanes])
-            lanes, lo, hi, low = lanes[some], lo[some], hi[some], low[some]
-            length[lanes] = step + 1
-            if not len(lanes):
-                break
-        done = length[lanes] == most
-        found[lanes[done]] = low[done] if len(lanes) else NOBODY
-        return length, found
+            c = symbols[last[lanes] - step] + 1
+            two = np.concatenate((c, c))
+            both = self.less[two] + self.tree.rank(two, np.concatenate((lo, hi)))
+            lo, hi = both[: len(c)], both[len(c) :]
+        return found
 
 
 # ---------------------------------------------------------------- fragments
@@ -302,98 +299,135 @@ def _repeated_anchors(batches):
         yield pa.RecordBatch.from_arrays([pa.array(d[part], pa.int64()), pa.array([h[x:y].tobytes() for x, y in zip(part, ends, strict=True)], pa.binary())], names=["doc_id", "blob"])
 
 
+def _runs_of(pairs: np.ndarray) -> bytes:
+    """(start, windows) rows as packed 32-bit integers."""
+    return pairs.astype("<i4").tobytes()
+
+
 def _emit_fragments(shards: int, window: int, anchor: int, local: int):
-    """(doc_id, text, blobs of its repeated anchors) -> (key, doc_id, start,
-    windows, text): fragments by shard; text null: already reported."""
+    """(doc_id, text, blobs of its repeated anchors) -> (key, doc_id, blob):
+    compressed fragments for the shard ``key``, or, with a doc_id, runs of
+    windows that are already known to repeat."""
 
     def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in by_bytes(batches, "text"):
             ids = b.column("doc_id").to_pylist()
             words = Words(b.column("text").to_pylist())
             h = words.hashes()
             seen: dict = defaultdict(list)
             for i, (d, blobs) in enumerate(zip(ids, b.column("blobs").to_pylist(), strict=True)):
+                if d is None or not blobs:
+                    continue
                 w0, w1 = words.first[i], words.first[i + 1]
                 start, count, a = anchors(h[w0:w1], window, anchor)
-                for x in np.flatnonzero(np.isin(a, np.frombuffer(b"".join(blobs), dtype=np.uint64))).tolist():
-                    s, e = w0 + start[x], w0 + start[x] + count[x] + window - 2
-                    raw = words.buf[words.start[s] : words.end[e]].tobytes()
-                    seen[b" ".join(raw.split()), int(a[x])].append((d, int(start[x]), int(count[x])))
-            rows = []
+                hit = np.flatnonzero(np.isin(a, np.frombuffer(b"".join(blobs), dtype=np.uint64)))
+                start, count, a = start[hit], count[hit], a[hit]
+                at, to = words.start[w0 + start].tolist(), words.end[w0 + start + count + window - 2].tolist()
+                for x, y, s, c, key in zip(at, to, start.tolist(), count.tolist(), a.tolist(), strict=True):
+                    seen[b" ".join(words.raw[x:y].split()), key].append((d, s, c))
+            told, shard = defaultdict(list), defaultdict(list)
             for (text, a), owners in seen.items():
-                key = (a >> 20) % shards
-                owners.sort()
-                if len({o[0] for o in owners}) > local:
+                if len(owners) > local and len({o[0] for o in owners}) > local:
+                    owners.sort()
                     least = owners[0][0]
-                    rows += [(o[0] % (1 << 40), None, np.array(o, dtype=np.int64).tobytes()) for o in owners if o[0] > least]
+                    for o in owners:
+                        if o[0] > least:
+                            told[o[0]].append(o[1:])
                     owners = [o for o in owners if o[0] == least]
-                rows.append((key, text, np.array(owners, dtype=np.int64).tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["key", "fragment", "owners"])
+                shard[(a >> 20) % shards].append((text, owners))
+            keys, docs, blobs = [], [], []
+            for d, runs in told.items():
+                keys.append(d % (1 << 40))
+                docs.append(d)
+                blobs.append(_runs_of(np.array(runs)))
+            for key, items in shard.items():
+                keys.append(key)
+                docs.append(None)
+                flat = np.array([o for _, owners in items for o in owners], dtype=np.int64)
+                packed = (b"\n".join(t for t, _ in items), np.array([len(o) for _, o in items], dtype=np.int32), flat[:, 0].copy(), flat[:, 1:].astype(np.int32))
+                blobs.append(squeeze(pickle.dumps(packed, protocol=5)))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(blobs, pa.binary())], names=["key", "doc_id", "blob"])
 
     return run
 
 
-def _search_shard(part: dict, window: int) -> list[tuple]:
-    """part: fragment -> owner rows (doc, start, windows).  Returns reports
-    (doc, first window, windows)."""
+def _search_shard(blobs: list, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The fragments of a shard, searched in an index of themselves.  Returns
+    the reports: documents and their (start, windows)."""
+    place: dict = {}
+    of, docs, spots = [], [], []
+    for texts, n_owners, doc, spot in blobs:
+        at = np.array([place.setdefault(t, len(place)) for t in texts.split(b"\n")])
+        of.append(np.repeat(at, n_owners))
+        docs.append(doc)
+        spots.append(spot)
+    of, docs, spots = np.concatenate(of), np.concatenate(docs), np.concatenate(spots)
     ids: dict = {}
-    texts = list(part)
-    fragments = [np.fromiter((ids.setdefault(w, len(ids)) for w in t.split()), dtype=np.int64) for t in texts]
-    owners = [sorted({tuple(o) for rows in part[t] for o in rows.tolist()}) for t in texts]
-    index = FmIndex(fragments, np.array([o[0][0] for o in owners], dtype=np.int64))
-    symbols = np.concatenate(fragments)
-    size = np.array([len(f) for f in fragments], dtype=np.int64)
-    windows = size - window + 1
+    words = b" ".join(place).split()
+    symbols = np.array([ids.setdefault(w, len(ids)) for w in words], dtype=np.int64)
+    size = np.array([t.count(b" ") + 1 for t in place], dtype=np.int64)
     begin = np.cumsum(size) - size
-    lane_of = np.repeat(np.arange(len(texts)), windows)
-    inside = np.arange(len(lane_of)) - np.repeat(np.cumsum(windows) - windows, windows)
-    largest = np.array([o[-1][0] for o in owners], dtype=np.int64)
-    length, low = index.matching(symbols, begin[lane_of] + inside + window - 1, largest[lane_of], window)
-    low[length < window] = NOBODY
-    out = []
-    at = np.cumsum(windows) - windows
-    for i in np.unique(lane_of[low < NOBODY]).tolist():
-        mine = low[at[i] : at[i] + windows[i]]
-        for d, s, _ in owners[i]:
-            hit = np.flatnonzero(mine < d)
-            if len(hit):
-                cut = np.flatnonzero(np.diff(hit) > 1)
-                for x, y in zip(hit[np.concatenate(([0], cut + 1))].tolist(), hit[np.concatenate((cut, [len(hit) - 1]))].tolist(), strict=True):
-                    out.append((d, s + x, y - x + 1))
-    return out
+    least, largest = np.full(len(size), NOBODY, dtype=np.int64), np.full(len(size), -NOBODY, dtype=np.int64)
+    np.minimum.at(least, of, docs)
+    np.maximum.at(largest, of, docs)
+    index = FmIndex(symbols, size, least)
+    windows = size - window + 1
+    first = np.cumsum(windows) - windows
+    lane_of = np.repeat(np.arange(len(size)), windows)
+    inside = np.arange(len(lane_of)) - first[lane_of]
+    low = index.matching(symbols, begin[lane_of] + inside + window - 1, largest[lane_of], window)
+    # an owner larger than all its windows' smallest owners loses them all, one not
+    # larger than any of them nothing; the rest is cut window by window
+    all_below, any_below = np.maximum.reduceat(low, first)[of] < docs, np.minimum.reduceat(low, first)[of] < docs
+    out_d, out_s = [docs[all_below]], [spots[all_below]]
+    for i in np.flatnonzero(any_below & ~all_below).tolist():
+        f, (s, _) = of[i], spots[i].tolist()
+        hit = np.flatnonzero(low[first[f] : first[f] + windows[f]] < docs[i])
+        cut = np.flatnonzero(np.diff(hit) > 1)
+        x, y = hit[np.concatenate(([0], cut + 1))], hit[np.concatenate((cut, [len(hit) - 1]))]
+        out_d.append(np.full(len(x), docs[i]))
+        out_s.append(np.column_stack((s + x, y - x + 1)).astype(np.int32))
+    return np.concatenate(out_d), np.concatenate(out_s)
+
+
+def _by_document(docs: np.ndarray, runs: np.ndarray):
+    order = np.argsort(docs, kind="stable")
+    docs, runs = docs[order], runs[order]
+    cut = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))[: len(docs)]
+    ends = np.append(cut[1:], len(docs))
+    for i in range(0, len(cut), 4096):
+        some = list(zip(cut[i : i + 4096].tolist(), ends[i : i + 4096].tolist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(docs[cut[i : i + 4096]], pa.int64()), pa.array([_runs_of(runs[x:y]) for x, y in some], pa.binary())], names=["doc_id", "runs"])
 
 
 def _report(window: int, shard_words: int):
-    """Exchange partition -> (doc_id, start, windows), one FM-index per shard of
-    about ``shard_words`` words; fragments of one anchor stay together."""
-
-    def out(rows):
-        a = np.array(rows, dtype=np.int64).reshape(-1, 3)
-        for i in range(0, len(a), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000, k]) for k in range(3)], names=["doc_id", "start", "windows"])
+    """Exchange partition -> (doc_id, runs), one FM-index for about
+    ``shard_words`` words; fragments of one anchor stay together."""
 
     def run(batches):
-        shards: dict = defaultdict(lambda: defaultdict(list))
+        open_ = zstandard.ZstdDecompressor().decompress
+        shards: dict = defaultdict(list)
         for b in batches:
-            told = []
-            for key, text, own in zip(b.column("key").to_pylist(), b.column("fragment").to_pylist(), b.column("owners").to_pylist(), strict=True):
-                rows = np.frombuffer(own, dtype=np.int64).reshape(-1, 3)
-                if text is None:
-                    told.append(rows)
-                else:
-                    shards[key][text].append(rows)
-            if told:
-                yield from out(np.concatenate(told))
-        part, size = {}, 0
+            told = b.filter(pc.is_valid(b.column("doc_id")))
+            if told.num_rows:
+                yield pa.RecordBatch.from_arrays([told.column("doc_id"), told.column("blob")], names=["doc_id", "runs"])
+            rest = b.filter(pc.is_null(b.column("doc_id")))
+            for key, blob in zip(rest.column("key").to_pylist(), rest.column("blob").to_pylist(), strict=True):
+                shards[key].append(blob)
+        docs, runs, part, size = [], [], [], 0
         for key in sorted(shards):
-            size += sum(t.count(b" ") + 1 for t in shards[key])
-            part |= shards.pop(key)
-            if size >= shard_words:
-                yield from out(_search_shard(part, window))
-                part, size = {}, 0
-        if part:
-            yield from out(_search_shard(part, window))
+            new = [pickle.loads(open_(x)) for x in shards.pop(key)]
+            part += new
+            size += sum(x[0].count(b" ") + x[0].count(b"\n") for x in new)
+            if size >= shard_words or not shards:
+                d, r = _search_shard(part, window)
+                docs.append(d)
+                runs.append(r)
+                part, size = [], 0
+        if docs:
+            yield from _by_document(np.concatenate(docs), np.concatenate(runs))
 
     return run
 
@@ -401,29 +435,42 @@ def _report(window: int, shard_words: int):
 # ---------------------------------------------------------------- operator
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, local_copies: int = 4, shard_words: int = 150_000) -> DataFrame:
-    """(doc_id, start, windows): runs of windows, by word position, whose word
-    sequences also start in a document with a smaller id."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    n = partitions(docs, 8)
-    keys = n * 16  # several shards a partition, so that one index stays small
-    sent = d.mapInArrow(_emit_anchors(keys, window, anchor, local_copies), "key long, doc_id long, blob binary")
-    again = sent.repartition(n, F.pmod("key", F.lit(keys))).mapInArrow(_repeated_anchors, "doc_id long, blob binary")
+def repeated_windows(d: DataFrame, parts: int, window: int = WINDOW, anchor: int = ANCHOR, local_copies: int = 4, shard_words: int = 150_000) -> DataFrame:
+    """(doc_id, runs): for documents (doc_id, text), packed (start, windows)
+    pairs: runs of windows, by word position, whose word sequences also start
+    in a document with a smaller id.  A document can have several rows."""
+    keys = parts * 16  # several shards a partition, so that one index stays small
+    sent = d.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(_emit_anchors(keys, window, anchor, local_copies), "key long, doc_id long, blob binary")
+    again = sent.repartition(parts, F.pmod("key", F.lit(keys))).mapInArrow(_repeated_anchors, "doc_id long, blob binary")
     per_doc = again.groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))  # bounded by the document itself
-    fragments = d.join(per_doc, "doc_id").mapInArrow(_emit_fragments(keys, window, anchor, local_copies), "key long, fragment binary, owners binary")
-    return fragments.repartition(n, F.pmod("key", F.lit(keys))).mapInArrow(_report(window, shard_words), "doc_id long, start long, windows long")
+    # a left join, so that its shuffle of the texts serves the last join as well
+    held = d.join(per_doc, "doc_id", "left").select("doc_id", F.when(F.col("blobs").isNotNull(), F.col("text")).alias("text"), "blobs")
+    fragments = held.mapInArrow(_emit_fragments(keys, window, anchor, local_copies), "key long, doc_id long, blob binary")
+    return fragments.repartition(parts, F.pmod("key", F.lit(keys))).mapInArrow(_report(window, shard_words), "doc_id long, runs binary")
+
 
+def _with_runs(docs: DataFrame, id_col: str, text_col: str, window: int, settings: dict) -> DataFrame:
+    """docs as (doc_id, text, rest) with the repeated runs of each."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"c{i}_") for i, c in enumerate(docs.columns) if c not in (id_col, text_col)))
+    runs = repeated_windows(d, partitions(docs, 8), window, **settings).groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
+    return d.join(runs, "doc_id", "left")
 
-def cut_text(text: str | None, runs: list, window: int = WINDOW) -> tuple[list, np.ndarray, str | None]:
-    """Words, removal flags and the text without the removed words."""
+
+def cut_text(text: str | None, runs: list | None, window: int = WINDOW, with_text: bool = True) -> tuple[list, np.ndarray, str | None]:
+    """Words, removal flags and, asked for, the text without the removed words.
+    runs: packed (start, windows) pairs."""
     if text is None:
         return [], np.zeros(0, dtype=bool), None
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     gone = np.zeros(len(words), dtype=bool)
-    for s, c in runs:
-        gone[s : s + c + window - 1] = True
-    if not gone.any():
+    if runs:
+        pairs = np.frombuffer(b"".join(runs), dtype="<i4").reshape(-1, 2)
+        edge = np.zeros(len(words) + 1, dtype=np.int64)
+        np.add.at(edge, pairs[:, 0], 1)
+        np.add.at(edge, pairs[:, 0] + pairs[:, 1] + window - 1, -1)
+        gone = np.cumsum(edge[:-1]) > 0
+    if not with_text or not gone.any():
         return words, gone, text
     w = Words([raw])
     left, at, buf = [], 0, w.buf.tobytes()
@@ -439,44 +486,41 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words joined by one space) and, asked for, kept_text: the text without the
     removed words, its other characters unchanged."""
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    # written once: a lost executor never repeats the search
-    found = materialise(repeated_windows(docs, id_col, text_col, window, **settings), "repeats")
-    runs = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
-    d = docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_"))
-    joined = d.join(runs, F.col("id_").cast("long") == F.col("doc_id"), "left").select("id_", "text_", F.coalesce("runs", F.array().cast("array<struct<start:long,windows:long>>")).alias("runs"))
+    joined = _with_runs(docs.select(id_col, text_col), id_col, text_col, window, settings)
 
     def run(batches):
-        for b in by_bytes(batches, "text_"):
+        for b in by_bytes(batches, "text"):
             out = []
-            for text, rs in zip(b.column("text_").to_pylist(), b.column("runs").to_pylist(), strict=True):
-                words, gone, left = cut_text(text, [(r["start"], r["windows"]) for r in rs], window)
+            for text, rs in zip(b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
+                words, gone, left = cut_text(text, rs, window, with_text)
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
                 out.append((len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), left))
             cols = list(zip(*out, strict=True))
-            arrays = [b.column("id_"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())]
+            arrays = [b.column("doc_id").cast(id_type), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())]
             yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(cols[3], pa.string())] * with_text], names=[id_col, "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text])
 
+    id_type = pa.int32() if kind == "int" else pa.int64()
     return joined.mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
 def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", window: int = WINDOW, **settings) -> DataFrame:
     """The rows of ``docs`` with the repeated words cut from their text and the
     text's length in ``size_col``; other columns unchanged."""
-    found = materialise(repeated_windows(docs, id_col, text_col, window, **settings), "repeats")
-    runs = found.groupBy(F.col("doc_id").alias("of_")).agg(F.collect_list(F.struct("start", "windows")).alias("runs_"))
-    joined = docs.join(runs, docs[id_col].cast("long") == F.col("of_"), "left").select(*docs.columns, "runs_")
-    at, size_at = docs.columns.index(text_col), docs.columns.index(size_col)
+    names = docs.columns
+    joined = _with_runs(docs, id_col, text_col, window, settings)
+    source = ["doc_id" if c == id_col else "text" if c == text_col else f"c{i}_" for i, c in enumerate(names)]
+    at, size_at = names.index(text_col), names.index(size_col)
 
     def run(batches):
-        for b in by_bytes(batches, text_col):
-            text, size = b.column(at).to_pylist(), b.column(size_at).to_pylist()
-            for i, rs in enumerate(b.column("runs_").to_pylist()):
+        for b in by_bytes(batches, "text"):
+            cols = [b.column(c) for c in source]
+            text, size = cols[at].to_pylist(), cols[size_at].to_pylist()
+            for i, rs in enumerate(b.column("runs").to_pylist()):
                 if rs and text[i] is not None:
-                    text[i] = cut_text(text[i], [(r["start"], r["windows"]) for r in rs], window)[2]
+                    text[i] = cut_text(text[i], rs, window)[2]
                     size[i] = len(text[i])
-            cols = [b.column(c) for c in docs_columns]
             cols[at], cols[size_at] = pa.array(text, pa.string()), pa.array(size, cols[size_at].type)
-            yield pa.RecordBatch.from_arrays(cols, names=docs_columns)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    docs_columns = docs.columns
-    return joined.mapInArrow(run, docs.schema)
+    schema = docs.withColumns({id_col: F.col(id_col).cast("long"), text_col: F.col(text_col).cast("string")}).schema
+    return joined.mapInArrow(run, schema)
