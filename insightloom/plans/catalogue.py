@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as nm
 from ..functions import text as tx
 from ..functions.metrics import metric_columns
-from ..operators import clustering, embeddings, evaluation, experiments, features, graphs, representations, rules, synthesis
+from ..operators import clustering, embeddings, evaluation, experiments, features, graphs, lookups, representations, rules, synthesis
 from ..sources import adapters as ad
 from ..sources import readers, writers
 from ..sources.configs import DataSettings, Named, NoiseSettings, SeriesSettings
@@ -717,3 +717,52 @@ def train_transe(spark, sf):
 @query()
 def executed_experiments(spark, sf):
     return readers.executed_experiments(synthesis.to_documents(synthesis.generate(spark, synthesis.make_world(SMALL))))
+
+
+# ============================================================ lookups
+
+
+@query(ad.cte("quality") + "SELECT key, count(DISTINCT exp_id) AS n FROM quality WHERE value > 0 GROUP BY key")
+def rating_occurrence(spark, sf):
+    return lookups.key_occurrence(ad.qualities(spark, sf))
+
+
+@query(ad.cte("quality") + "SELECT keys, count(*) AS n FROM (SELECT exp_id, string_agg(key, ',' ORDER BY key) AS keys FROM quality WHERE value > 0 GROUP BY exp_id) GROUP BY keys")
+def rating_combinations(spark, sf):
+    return lookups.combination_occurrence(ad.qualities(spark, sf))
+
+
+@query("WITH e AS (SELECT DISTINCT l_orderkey AS exp_id, l_returnflag AS influence FROM lineitem), p AS (SELECT l_orderkey AS exp_id, sum(l_quantity) AS value FROM lineitem GROUP BY ALL) SELECT influence, 'quantity' AS parameter, round(avg(value), 6) AS mean, round(median(value), 6) AS median FROM e JOIN p USING (exp_id) GROUP BY influence")
+def edge_parameter_stats(spark, sf):
+    li = ad.table(spark, sf, "lineitem")
+    e = li.select(F.col("l_orderkey").alias("exp_id"), F.col("l_returnflag").alias("influence"), F.lit("quantity").alias("parameter")).distinct()
+    p = li.groupBy(F.col("l_orderkey").alias("exp_id")).agg(F.sum("l_quantity").alias("value")).withColumn("key", F.lit("quantity"))
+    return lookups.edge_parameter_stats(e, p).withColumn("mean", r6("mean")).withColumn("median", r6("median"))
+
+
+@query(f"{_T} SELECT h, r, t FROM tr WHERE r = 'STANDARD' AND t = 'Brand#12'")
+def triple_lookup(spark, sf):
+    return lookups.matching_triples(_split(spark, sf)[0], r="STANDARD", tail="Brand#12")
+
+
+@query(ad.cte("edges") + ", hit AS (SELECT DISTINCT influence AS q, parameter FROM edges WHERE weight > 0.08) SELECT q, parameter, CASE WHEN EXISTS (SELECT 1 FROM hit WHERE hit.q = a.q AND hit.parameter = b.parameter) THEN 1 ELSE 0 END::INT AS member FROM (SELECT DISTINCT influence AS q FROM edges) a, (SELECT DISTINCT parameter FROM edges) b")
+def membership_matrix(spark, sf):
+    e = ad.insight_edges(spark, sf)
+    hit = e.where("weight > 0.08").select(F.col("influence").alias("q"), "parameter").distinct()
+    return evaluation.membership(e.select(F.col("influence").alias("q")).distinct(), e.select("parameter").distinct(), hit)
+
+
+@query(f"{_T}, m AS (SELECT r, max(n) AS m_tail FROM (SELECT r, h, count(DISTINCT t) AS n FROM tr GROUP BY ALL) GROUP BY r), k AS (SELECT r, max(n) AS m_head FROM (SELECT r, t, count(DISTINCT h) AS n FROM tr GROUP BY ALL) GROUP BY r) SELECT r, m_tail, m_head FROM m JOIN k USING (r)")
+def relation_multiplicities(spark, sf):
+    return evaluation.multiplicities(_split(spark, sf)[0])
+
+
+@query(ad.cte("quality") + "SELECT exp_id, round(greatest(0, least(10, avg(value) * 10)), 6) AS mean, round(greatest(0, least(10, median(value) * 10)), 6) AS median, round(max(value) * 10, 6) AS best, round(min(value) * 10, 6) AS worst, round(avg(value), 6) AS score FROM quality GROUP BY exp_id")
+def quality_rating(spark, sf):
+    q = ad.qualities(spark, sf).groupBy("exp_id").agg(F.avg("value").alias("m"), F.median("value").alias("d"), F.max("value").alias("hi"), F.min("value").alias("lo"))
+    return q.select("exp_id", r6(nm.clip(F.col("m") * 10, 0.0, 10.0)).alias("mean"), r6(nm.clip(F.col("d") * 10, 0.0, 10.0)).alias("median"), r6(F.col("hi") * 10).alias("best"), r6(F.col("lo") * 10).alias("worst"), r6("m").alias("score"))
+
+
+@query(ad.cte("quality") + "SELECT exp_id, key, value FROM quality WHERE exp_id = 7")
+def experiment_lookup(spark, sf):
+    return lookups.by_experiment(ad.qualities(spark, sf), 7)
