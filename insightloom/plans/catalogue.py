@@ -351,11 +351,11 @@ def rule_parse(spark, sf):
     return o.select(F.col("o_orderkey").alias("id"), tx.parse_rule(text).alias("r")).select("id", "r.condition", "r.cond_lo", "r.action", "r.parameter", "r.step_size")
 
 
-@query("SELECT p_brand AS condition, p_type AS parameter, count(DISTINCT p_size % 5) AS n_experts, round(avg(p_retailprice), 4) AS step_size FROM part GROUP BY ALL HAVING count(DISTINCT p_size % 5) / 5.0 >= 0.6")
+@query("SELECT p_brand AS condition, p_type AS parameter, count(DISTINCT p_size % 5) AS n_experts, round(avg(p_retailprice), 8) AS step_size FROM part GROUP BY ALL HAVING count(DISTINCT p_size % 5) / 5.0 >= 0.6")
 def expert_consensus(spark, sf):
     null = F.lit(None).cast("double")
     r = ad.table(spark, sf, "part").select(F.col("p_brand").alias("condition"), F.col("p_type").alias("parameter"), (F.col("p_size") % 5).alias("expert"), F.col("p_partkey").alias("pos"), F.lit("set").alias("action"), F.lit("numeric").alias("param_type"), F.col("p_retailprice").alias("step_size"), *(null.alias(c) for c in ("cond_lo", "cond_hi", "mean_value", "range_start", "range_end", "quantifier")))
-    return rules.expert_consensus(r, 5).select("condition", "parameter", "n_experts", r6("step_size", 4).alias("step_size"))
+    return rules.expert_consensus(r, 5).select("condition", "parameter", "n_experts", r6("step_size", 8).alias("step_size"))
 
 
 # ============================================================ representations
@@ -558,11 +558,11 @@ def link_rank(spark, sf):
     return m.select("side", *(r6(c).alias(c) for c in ("amri", "hits_at_1", "hits_at_5", "hits_at_10")))
 
 
-@query("SELECT o_orderpriority AS kg_type, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS std FROM orders GROUP BY ALL")
+@query("SELECT o_orderpriority AS kg_type, round(avg(o_totalprice), 3) AS mean, round(stddev_samp(o_totalprice), 3) AS std FROM orders GROUP BY ALL")
 def over_iterations(spark, sf):
     m = ad.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("kg_type"), F.col("o_totalprice").alias("value"))
     o = evaluation.over_iterations(m, ["kg_type"])
-    return o.select("kg_type", r6("mean", 4).alias("mean"), r6("std", 4).alias("std"))
+    return o.select("kg_type", r6("mean", 3).alias("mean"), r6("std", 3).alias("std"))
 
 
 # ============================================================ features and texts
