@@ -21,6 +21,8 @@ one; a null doc_id is carried.  Extra columns are not read.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -31,34 +33,68 @@ from pyspark.sql import DataFrame
 from .common import by_bytes
 
 
-class WordCache(dict):
-    """Packed ids of blank-separated chunks.  The tokenizer never looks across
-    ASCII white space, so a text's ids are those of its chunks in order."""
+def _class(test) -> str:
+    """Characters below U+0250 for which ``test`` holds, for a regular expression."""
+    return "".join(re.escape(chr(i)) for i in range(0x250) if test(unicodedata.category(chr(i))))
 
-    MOST = 400_000  # entries; then it starts anew
+
+_LETTERS = _class(lambda k: k[0] == "L")
+_NUMBERS = _class(lambda k: k[0] == "N")
+#: Pieces that the word tokenizer handles one by one, in lower-cased Latin text.
+PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+#: Anything whose case, spacing or form might be read in another way.
+UNSURE = re.compile("[^\t\n\r\x20-\x7e\xa0-\u012f\u0131-\u024f]|<\\|")
+
+
+class WordCache:
+    """Packed ids of texts, from ids of their parts.
+
+    Plain Latin text is cut into the pieces that the tokenizer itself keeps
+    apart; other text at ASCII white space, which it never looks across.  Parts
+    are encoded once and kept.  A tokenizer that joins parts (found out by a
+    probe) gets whole texts.
+    """
+
+    MOST = 1_200_000  # parts; then it starts anew
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parts: dict = {}
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        probe = "The Cat's don't,, (we'll) \u00e9t\u00e9 12a.b  x\ny '' 's! \u00bd%%%"
+        whole = self._ids([probe])[0]
+        self.by_piece = whole == b"".join(self._ids(PIECE.findall(probe.lower())))
         # an added token that holds white space would reach across chunks
-        self.local = not any(len(s.split()) != 1 or s != s.strip() for s in self.special)
+        self.by_chunk = whole == b"".join(self._ids(probe.split())) and not any(len(s.split()) != 1 or s != s.strip() for s in special)
+
+    def _ids(self, texts: list) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cut(self, text: str | None) -> list:
+        if not text:
+            return []
+        if self.by_piece and not UNSURE.search(text):
+            return PIECE.findall(text.lower())
+        return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
 
     def ids_of_texts(self, texts: list) -> list[np.ndarray]:
-        if not self.local:
-            return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        if len(self) > self.MOST:
-            self.clear()
-        new = list({w for words in split for w in words if w not in self})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), dtype="<u4") for words in split]
+        if not self.by_chunk:
+            return [np.frombuffer(i, dtype="<u4") for i in self._ids([t or "" for t in texts])]
+        cut = [self._cut(t) for t in texts]
+        if len(self.parts) > self.MOST:
+            self.parts = {}
+        new: set = set()
+        for parts in cut:
+            new.update(parts)
+        new.difference_update(self.parts)
+        missing = list(new)
+        for i in range(0, len(missing), 20_000):
+            self.parts.update(zip(missing[i : i + 20_000], self._ids(missing[i : i + 20_000]), strict=True))
+        get = self.parts.__getitem__
+        return [np.frombuffer(b"".join(map(get, parts)), dtype="<u4") for parts in cut]
 
 
 def class_sizes(capacity: int, max_waste: float) -> list[tuple[int, int]]:
