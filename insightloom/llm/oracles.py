@@ -15,7 +15,7 @@ hit AS (SELECT r, s FROM key JOIN low USING (g) WHERE first_doc < doc_id),
 gone AS (SELECT DISTINCT r, s + k AS p FROM hit, (SELECT unnest(range(13)) AS k)),
 lists AS (SELECT r, list(p) AS ps FROM gone GROUP BY r)
 SELECT doc_id, coalesce(len(ws), 0)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
-  sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), x -> NOT list_contains(ps, x[2])), x -> x[1]) END, ' '), '')) AS kept_sha256
+  sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda x: NOT list_contains(ps, x[2])), lambda x: x[1]) END, ' '), '')) AS kept_sha256
 FROM w LEFT JOIN lists USING (r)
 """
 
@@ -93,7 +93,7 @@ n AS (SELECT q, count(*) AS n FROM ig GROUP BY q),
 dg AS (SELECT DISTINCT r, ws[s : s + k - 1] AS g FROM (SELECT r, ws, k, unnest(range(1, greatest(len(ws) - k + 2, 1))) AS s FROM d, (SELECT DISTINCT k FROM ig))),
 m AS (SELECT r, q, item_id, count(*) AS c FROM dg JOIN ig USING (g) GROUP BY r, q, item_id),
 f AS (SELECT r, list(item_id ORDER BY item_id) AS item_ids, max(c::DOUBLE / n) AS max_containment FROM m JOIN n USING (q) WHERE c >= 0.75 * n GROUP BY r)
-SELECT doc_id, coalesce(item_ids, []) AS item_ids, item_ids IS NOT NULL AS contaminated, max_containment FROM d LEFT JOIN f USING (r)
+SELECT doc_id, coalesce(array_to_string(list_transform(item_ids, lambda x: x::VARCHAR), ','), '') AS item_ids, item_ids IS NOT NULL AS contaminated, max_containment FROM d LEFT JOIN f USING (r)
 """
 
 ORACLES = {

@@ -56,7 +56,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark", "item_id", "text")
     found = decontaminate.find_contamination(docs, items)
-    return found.select("doc_id", "item_ids", (F.size("item_ids") > 0).alias("contaminated"), "max_containment")
+    return found.select("doc_id", F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ",").alias("item_ids"), (F.size("item_ids") > 0).alias("contaminated"), "max_containment")
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_substring_dedup, op4_chat_snapshots, op5_license_scan, op6_quality_rules, op7_url_rules, op8_packing, op9_token_counts, op10_decontaminate)}
