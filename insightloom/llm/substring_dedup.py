@@ -36,12 +36,11 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, by_bytes, partitions, shingle_hashes
+from .common import Words, by_bytes, mix, partitions, shingle_hashes
 
 WINDOW, ANCHOR = 13, 5
 NOBODY = np.iinfo(np.int64).max
@@ -392,31 +391,49 @@ def _search_shard(blobs: list, window: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_d), np.concatenate(out_s)
 
 
-def _by_document(docs: np.ndarray, runs: np.ndarray):
+def _to_buckets(docs: np.ndarray, runs: np.ndarray, buckets: int):
+    """(key, blob): reports packed by a hash of their document."""
+    with np.errstate(over="ignore"):
+        key = (mix(docs.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    key, docs, runs = key[order], docs[order], runs[order]
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[: len(key)]
+    ends = np.append(cut[1:], len(key))
+    blobs = [pickle.dumps((docs[x:y], runs[x:y].astype(np.int32)), protocol=5) for x, y in zip(cut.tolist(), ends.tolist(), strict=False)]
+    yield pa.RecordBatch.from_arrays([pa.array(key[cut], pa.int64()), pa.array(blobs, pa.binary())], names=["key", "blob"])
+
+
+def _by_document(batches):
+    """Bucket partition -> (doc_id, runs): all runs of a document in one row."""
+    parts = [pickle.loads(x) for b in batches for x in b.column("blob").to_pylist()]
+    if not parts:
+        return
+    docs, runs = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.argsort(docs, kind="stable")
     docs, runs = docs[order], runs[order]
-    cut = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))[: len(docs)]
+    cut = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
     ends = np.append(cut[1:], len(docs))
     for i in range(0, len(cut), 4096):
         some = list(zip(cut[i : i + 4096].tolist(), ends[i : i + 4096].tolist(), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(docs[cut[i : i + 4096]], pa.int64()), pa.array([_runs_of(runs[x:y]) for x, y in some], pa.binary())], names=["doc_id", "runs"])
 
 
-def _report(window: int, shard_words: int):
-    """Exchange partition -> (doc_id, runs), one FM-index for about
+def _report(window: int, shard_words: int, buckets: int):
+    """Exchange partition -> (key, blob) of reports, one FM-index for about
     ``shard_words`` words; fragments of one anchor stay together."""
 
     def run(batches):
         open_ = zstandard.ZstdDecompressor().decompress
         shards: dict = defaultdict(list)
-        for b in batches:
-            told = b.filter(pc.is_valid(b.column("doc_id")))
-            if told.num_rows:
-                yield pa.RecordBatch.from_arrays([told.column("doc_id"), told.column("blob")], names=["doc_id", "runs"])
-            rest = b.filter(pc.is_null(b.column("doc_id")))
-            for key, blob in zip(rest.column("key").to_pylist(), rest.column("blob").to_pylist(), strict=True):
-                shards[key].append(blob)
         docs, runs, part, size = [], [], [], 0
+        for b in batches:
+            for key, doc, blob in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "blob")), strict=True):
+                if doc is None:
+                    shards[key].append(blob)
+                else:
+                    told = np.frombuffer(blob, dtype="<i4").reshape(-1, 2)
+                    docs.append(np.full(len(told), doc, dtype=np.int64))
+                    runs.append(told)
         for key in sorted(shards):
             new = [pickle.loads(open_(x)) for x in shards.pop(key)]
             part += new
@@ -427,7 +444,7 @@ def _report(window: int, shard_words: int):
                 runs.append(r)
                 part, size = [], 0
         if docs:
-            yield from _by_document(np.concatenate(docs), np.concatenate(runs))
+            yield from _to_buckets(np.concatenate(docs), np.concatenate(runs), buckets)
 
     return run
 
@@ -438,7 +455,7 @@ def _report(window: int, shard_words: int):
 def repeated_windows(d: DataFrame, parts: int, window: int = WINDOW, anchor: int = ANCHOR, local_copies: int = 4, shard_words: int = 150_000) -> DataFrame:
     """(doc_id, runs): for documents (doc_id, text), packed (start, windows)
     pairs: runs of windows, by word position, whose word sequences also start
-    in a document with a smaller id.  A document can have several rows."""
+    in a document with a smaller id.  One row a document that has any."""
     keys = parts * 16  # several shards a partition, so that one index stays small
     sent = d.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(_emit_anchors(keys, window, anchor, local_copies), "key long, doc_id long, blob binary")
     again = sent.repartition(parts, F.pmod("key", F.lit(keys))).mapInArrow(_repeated_anchors, "doc_id long, blob binary")
@@ -446,17 +463,18 @@ def repeated_windows(d: DataFrame, parts: int, window: int = WINDOW, anchor: int
     # a left join, so that its shuffle of the texts serves the last join as well
     held = d.join(per_doc, "doc_id", "left").select("doc_id", F.when(F.col("blobs").isNotNull(), F.col("text")).alias("text"), "blobs")
     fragments = held.mapInArrow(_emit_fragments(keys, window, anchor, local_copies), "key long, doc_id long, blob binary")
-    return fragments.repartition(parts, F.pmod("key", F.lit(keys))).mapInArrow(_report(window, shard_words), "doc_id long, runs binary")
+    found = fragments.repartition(parts, F.pmod("key", F.lit(keys))).mapInArrow(_report(window, shard_words, parts), "key long, blob binary")
+    return found.repartition(parts, "key").mapInArrow(_by_document, "doc_id long, runs binary")
 
 
 def _with_runs(docs: DataFrame, id_col: str, text_col: str, window: int, settings: dict) -> DataFrame:
     """docs as (doc_id, text, rest) with the repeated runs of each."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"c{i}_") for i, c in enumerate(docs.columns) if c not in (id_col, text_col)))
-    runs = repeated_windows(d, partitions(docs, 8), window, **settings).groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
+    runs = repeated_windows(d, partitions(docs, 8), window, **settings)
     return d.join(runs, "doc_id", "left")
 
 
-def cut_text(text: str | None, runs: list | None, window: int = WINDOW, with_text: bool = True) -> tuple[list, np.ndarray, str | None]:
+def cut_text(text: str | None, runs: bytes | None, window: int = WINDOW, with_text: bool = True) -> tuple[list, np.ndarray, str | None]:
     """Words, removal flags and, asked for, the text without the removed words.
     runs: packed (start, windows) pairs."""
     if text is None:
@@ -465,7 +483,7 @@ def cut_text(text: str | None, runs: list | None, window: int = WINDOW, with_tex
     words = raw.split()
     gone = np.zeros(len(words), dtype=bool)
     if runs:
-        pairs = np.frombuffer(b"".join(runs), dtype="<i4").reshape(-1, 2)
+        pairs = np.frombuffer(runs, dtype="<i4").reshape(-1, 2)
         edge = np.zeros(len(words) + 1, dtype=np.int64)
         np.add.at(edge, pairs[:, 0], 1)
         np.add.at(edge, pairs[:, 0] + pairs[:, 1] + window - 1, -1)
