@@ -130,9 +130,8 @@ def test_packing_pads_little(spark):
 
 def greedy(word: bytes, vocab: set) -> int:
     n = i = 0
-    longest = max(map(len, vocab))
     while i < len(word):
-        j = next((j for j in range(min(len(word), i + longest), i, -1) if word[i:j] in vocab), None)
+        j = next((j for j in range(len(word), i, -1) if word[i:j] in vocab), None)
         if j is None:
             return -1
         i, n = j, n + 1
