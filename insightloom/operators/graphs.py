@@ -142,15 +142,15 @@ def reach(vertices: DataFrame, edges: DataFrame, starts: DataFrame, n_hops: int,
     """
     kinds = vertices.select("name", "type")
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    front = starts.select("q", F.col("q").alias("v"), F.lit("start").alias("type"))
+    front = starts.select("q", F.col("q").alias("v"), F.lit("start").alias("type")).distinct()
     seen = front.select("q", "v")
     for _ in range(n_hops):
+        # a vertex met again only repeats what it led to before; one distinct at the end drops it
         front = front.where("type <> 'parameter'").select("q", F.col("v").alias("src")).join(both, "src").select("q", F.col("dst").alias("v")).distinct().join(kinds, F.col("v") == F.col("name")).select("q", "v", "type")
         if skip_values:
             front = front.where("type <> 'value'")
-        front = front.join(seen, ["q", "v"], "left_anti")
         seen = seen.union(front.select("q", "v"))
-    return seen
+    return seen.distinct()
 
 
 def induced(edges: DataFrame, members: DataFrame) -> DataFrame:

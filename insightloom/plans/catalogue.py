@@ -301,7 +301,7 @@ def rule_merged(spark, sf):
 
 def _two_rule_sets(spark, sf):
     p = _pairs(spark, sf)
-    r = rules.binned_rules(p, _bins(p)).drop("n_values")
+    r = rules.binned_rules(p, _bins(p)).drop("n_values").cache()  # both sets derive from it
     return r, r.withColumn("step_size", F.col("step_size") * 1.2).withColumn("mean_value", F.col("mean_value") + F.when(F.col("cond_lo") < 0.4, 0.0).otherwise(1e6)).withColumn("action", F.when(F.col("parameter") == "tax", F.col("action")).otherwise("set"))
 
 
