@@ -2,8 +2,9 @@
 
 Two layers judge a URL.  Site rules (host suffix + path prefix, longest wins)
 decide first.  URLs without a site rule go to the pattern rules: each pattern
-declares literal tokens that any matching URL must contain; it is filed under
-the one that is rarest in the URL table.  A URL's own tokens fetch the filed
+declares literal tokens, or choices of tokens, that any matching URL must
+contain; it is filed under the one that is rarest in the URL table, a choice
+under each of its tokens.  A URL's own tokens fetch the filed
 patterns and only those run their regular expression.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, no
@@ -41,13 +42,18 @@ class SiteRule:
 @dataclass(frozen=True)
 class PatternRule:
     """``pattern`` is searched in the lower-cased URL; ``tokens`` are whole
-    [a-z0-9]+ tokens that every matching URL has.  Exceptions allow."""
+    [a-z0-9]+ tokens that every matching URL has, a tuple among them a choice
+    of which it has one at least.  Exceptions allow."""
 
     name: str
     pattern: str
     tokens: tuple
     verdict: str = "block"
 
+    @property
+    def choices(self) -> list[tuple]:
+        return [(t,) if isinstance(t, str) else tuple(t) for t in self.tokens]
+
 
 SITE_RULES = (
     SiteRule("allow", "com"), SiteRule("block", "example.com", "/en/"), SiteRule("allow", "www.example.com", "/en/"),
@@ -55,17 +61,17 @@ SITE_RULES = (
 )
 
 PATTERN_RULES = (
-    PatternRule("ad-host", r"^[a-z]+://([^/?#]*\.)?ads?-[^/?#]*", ("ads",)),
+    PatternRule("ad-host", r"^[a-z]+://([^/?#]*\.)?ads?-[^/?#]*", (("ads", "ad"),)),
     PatternRule("ad-host-single", r"^[a-z]+://([^/?#]*\.)?ad-[^/?#]*", ("ad",)),
-    PatternRule("ad-path", r"/ads?/", ("ads",)),
+    PatternRule("ad-path", r"/ads?/", (("ads", "ad"),)),
     PatternRule("adult-host", r"^[a-z]+://([^/?#]*\.)?adult-[^/?#]*", ("adult",)),
     PatternRule("casino-host", r"^[a-z]+://([^/?#]*\.)?casino[^a-z0-9][^/?#]*", ("casino",)),
     PatternRule("tracker-host", r"^[a-z]+://([^/?#]*[^a-z0-9])?tracker\.", ("tracker",)),
     PatternRule("track-pixel", r"/track/pixel\.(gif|png)", ("track", "pixel")),
-    PatternRule("login-page", r"/(login|signin)(\.html?)?/?([?#]|$)", ("login",)),
-    PatternRule("cart-page", r"/cart/checkout", ("cart", "checkout")),
+    PatternRule("login-page", r"/(login|signin)(\.html?)?/?([?#]|$)", (("login", "signin"),)),
+    PatternRule("cart-page", r"/cart/checkout", ("cart",)),  # also /cart/checkout2
     PatternRule("session-id", r"[?&;]phpsessid=", ("phpsessid",)),
-    PatternRule("print-view", r"[?&]print=1", ("print", "1")),
+    PatternRule("print-view", r"[?&]print=1", ("print",)),  # also print=10
     PatternRule("org-docs", r"^[a-z]+://docs\.[^/?#]*\.org/", ("docs", "org"), "allow"),
 )
 
@@ -99,26 +105,27 @@ class SiteIndex:
 
 
 class PatternIndex:
-    """Pattern rules filed under their rarest literal token."""
+    """Pattern rules filed under their rarest literal token or choice of tokens."""
 
     def __init__(self, rules=PATTERN_RULES, frequency: dict | None = None):
         frequency = frequency or {}
         self.filed: dict = defaultdict(list)
         for i, r in enumerate(rules):
-            rarest = min(r.tokens, key=lambda t: (frequency.get(t, 0), -len(t), t))
-            self.filed[rarest].append((r.verdict != "allow", i, r.name, re.compile(r.pattern), r.verdict))
+            rarest = min(r.choices, key=lambda c: (sum(frequency.get(t, 0) for t in c), -min(map(len, c)), c))
+            for t in rarest:
+                self.filed[t].append((r.verdict != "allow", i, r.name, re.compile(r.pattern), r.verdict))
 
     def find(self, url: str) -> tuple[str, str] | None:
         """(name, verdict): exceptions before blocks, then list order."""
         low = url.lower()
-        hits = [c for t in set(TOKEN.findall(low)) & self.filed.keys() for c in self.filed[t]]
+        hits = {c for t in set(TOKEN.findall(low)) & self.filed.keys() for c in self.filed[t]}
         return next(((name, verdict) for _, _, name, p, verdict in sorted(hits, key=lambda c: c[:2]) if p.search(low)), None)
 
 
 def token_frequency(pages: DataFrame, url_col: str, rules) -> dict:
     """How many URLs hold each token of the rules: counted over all rows with a
     partial aggregate; the result has one row per rule token at most."""
-    wanted = sorted({t for r in rules for t in r.tokens})
+    wanted = sorted({t for r in rules for c in r.choices for t in c})
     if not wanted:
         return {}
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col(url_col)), F.lit(TOKEN_SQL), F.lit(0)))

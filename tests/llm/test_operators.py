@@ -271,6 +271,24 @@ def test_url_rules(spark):
         assert index.find(u) == want
 
 
+def test_url_pattern_alternatives(spark):
+    heads = ("ads-x.b.org", "ad-x.b.org", "ads-1.org", "adult-x.org", "casino.org", "casino-1.b.org", "tracker.a.org", "x-tracker.org", "docs.a.org", "a.org", "docs.ad-x.org")
+    tails = ("", "/", "/ads/", "/ad/1", "/x/ad/", "/track/pixel.gif", "/track/pixel.png?x", "/login", "/signin", "/signin.html", "/signin.htm?x", "/login/#y", "/cart/checkout", "/cart/checkout2", "/x?print=1", "/x?a&print=10", "/x?print=1x", "/x;phpsessid=1", "/SignIn")
+    urls = [f"http://{h}{t}" for h in heads for t in tails]
+    ordered = sorted(url_rules.PATTERN_RULES, key=lambda r: r.verdict != "allow")
+    want = {u: next(((r.name, r.verdict) for r in ordered if re.search(r.pattern, u.lower())), None) for u in urls}
+    assert {w[0] for w in want.values() if w} == {r.name for r in ordered} - {"ad-host-single"}  # ad-host comes first wherever that matches
+    tokens = sorted({t for r in ordered for c in r.tokens for t in ([c] if isinstance(c, str) else c)})
+    for rare in [None, *tokens]:  # whichever token is rarest
+        index = url_rules.PatternIndex(frequency=rare and {t: 9 * (t != rare) for t in tokens})
+        for u in urls:
+            assert index.find(u) == want[u], (rare, u)
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in url_rules.url_filter(rows).collect():
+        hit = want[urls[r["page_id"]]]
+        assert r["rule"] is None and (r["pattern"], r["verdict"]) == (hit or (None, "allow"))
+
+
 def test_license_scan(spark):
     rows = [(1, "Hello. Released under the  MIT License.\nBye."), (2, "Licensed under the Apache License, Version 2.0."), (3, "All rights reserved! This work is licensed under the GNU General Public License, version 3."), (4, None), (5, "")]
     rows += [(6, "Redistributions of source code must retain the above copyright notice. X y. Redistributions in binary form must reproduce the above copyright notice."), (7, "Released under the MIT License?"), (8, "not licensed under the apache license version 2 0.")]
