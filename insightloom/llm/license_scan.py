@@ -1,9 +1,11 @@
 """License scans (operator 5): sentence-rule recognition, all in Catalyst.
 
-A text is cut into sentences, each is normalised (lower case, words joined by
-one space, punctuation dropped) and looked up in a table of known licence
-sentences.  The resulting identifier sequence is matched against ordered
-rules; the first rule that fits names the licence.
+A text is normalised (lower case, words joined by one space, punctuation
+dropped, sentence ends and line ends marked) and searched for known licence
+sentences.  A sentence begins after a mark and stops before one; line ends
+within it are wrapping and are skipped.  Where several fit, the longest is
+taken.  The resulting identifier sequence is matched against ordered rules; the
+first rule that fits names the licence.
 
 Defined cases: null and empty texts give an empty sequence and a null licence.
 Repeated sentences stay in the sequence.  Repeated rows are scanned one by one;
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Normalised sentence -> identifier.
+#: Normalised sentence -> identifier: short notices, one to a line.
 SENTENCES = {
     "released under the mit license": "MIT_GRANT",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "MIT_PERMISSION",
@@ -33,6 +35,72 @@ SENTENCES = {
     "all rights reserved": "RESERVED",
 }
 
+_MIT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+_MIT_NOTICE = "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_SOURCE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_GPL = "you can redistribute it and or modify it under the terms of the gnu general public license"
+_GPL_BY = _GPL + " as published by the free software foundation"
+_LATER = "of the license or at your option any later version"
+_PROMOTE = "be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_BINARY = "# redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_APACHE_URL = "http www apache org licenses license 2 0"
+_AT_GNU = "along with this program if not see http www gnu org licenses"
+
+#: The same for the whole sentences of licence texts and headers.  A ``*`` stands
+#: for 1 to 16 words (names of holders), a leading ``#`` for an item mark or none,
+#: a ``;`` for a sentence's end or none.
+NOTICES = {
+    _MIT: "MIT_PERMISSION",
+    _MIT + " " + _MIT_NOTICE: "MIT_PERMISSION",
+    _MIT_NOTICE: "MIT_NOTICE",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "MIT_NOTICE",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "NO_WARRANTY",
+    "in no event shall * be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "MIT_LIABILITY",
+    _BSD: "BSD_GRANT",
+    _BSD + " 1": "BSD_GRANT",
+    "use of this source code is governed by a bsd style license that can be found in the license file": "BSD_STYLE",
+    "# " + _BSD_SOURCE: "BSD_SOURCE",
+    _BSD + " " + _BSD_SOURCE: "BSD_SOURCE",
+    _BSD_BINARY: "BSD_BINARY",
+    _BSD_BINARY.replace(" this list of conditions", "").replace("notice and", "notice this list of conditions and"): "BSD_BINARY",
+    _BSD_BINARY + " and": "BSD_BINARY",
+    "# all advertising materials mentioning features or use of this software must display the following acknowledgement": "BSD_ADVERT",
+    "# all advertising materials mentioning features or use of this software must display the following acknowledgement this product includes software developed by *": "BSD_ADVERT",
+    "# neither the name of * nor the names of its contributors may " + _PROMOTE: "BSD_NAME",
+    "# neither the names of * nor the names of its contributors may " + _PROMOTE: "BSD_NAME",
+    "# neither the name of * may " + _PROMOTE: "BSD_NAME",
+    "nor the names of its contributors may " + _PROMOTE: "BSD_NAME",
+    "# the name of * may not " + _PROMOTE: "BSD_NAME",
+    "# the names of * may not " + _PROMOTE: "BSD_NAME",
+    "this software is provided by * as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BSD_WARRANTY",
+    "in no event shall * be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services": "BSD_LIABILITY",
+    "licensed under the apache license version 2 0 the license": "APACHE2_GRANT",
+    "* licenses this file to you under the apache license version 2 0 the license": "APACHE2_GRANT",
+    "apache license version 2 0 january 2004": "APACHE2_TITLE",
+    "apache license version 2 0 january 2004 http www apache org licenses": "APACHE2_TITLE",
+    "you may not use this file except in compliance with the license": "APACHE2_COMPLY",
+    "you may obtain a copy of the license at": "APACHE2_COPY",
+    "you may obtain a copy of the license at " + _APACHE_URL: "APACHE2_COPY",
+    "you may obtain a copy of the license at " + _APACHE_URL.replace("http", "https"): "APACHE2_COPY",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "APACHE2_AS_IS",
+    "see the license for the specific language governing permissions and limitations under the license": "APACHE2_LIMITS",
+    _GPL_BY: "GPL_TERMS",
+    "* is free software " + _GPL_BY: "GPL_TERMS",
+    "gnu general public license version 3 29 june 2007": "GPL3_TITLE",
+    "gnu general public license version 2 june 1991": "GPL2_TITLE",
+    "this program is distributed in the hope that it will be useful but without any warranty": "GPL_HOPE",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "GPL_IMPLIED",
+    "see the gnu general public license for more details": "GPL_DETAILS",
+    "you should have received a copy of the gnu general public license along with this program": "GPL_COPY",
+    "you should have received a copy of the gnu general public license " + _AT_GNU: "GPL_COPY",
+    "you should have received a copy of the gnu general public license " + _AT_GNU.replace("http", "https"): "GPL_COPY",
+}
+for _v in "23":
+    for _end in (f"version {_v} {_LATER}", f"version {_v} or at your option any later version", f"version {_v} of the license", f"version {_v}"):
+        NOTICES |= {f"{a}{_GPL_BY} ; {b}{_end}": f"GPL{_v}_GRANT" for a in ("", "* is free software ") for b in ("", "either ")}
+    NOTICES |= {f"{a}{_GPL} version {_v} as published by the free software foundation": f"GPL{_v}_GRANT" for a in ("", "* is free software ")}
+
 #: (licence, pattern over the identifiers joined and framed by one space); order decides.
 RULES = (
     ("BSD-3-Clause", " BSD_SOURCE (.* )?BSD_BINARY (.* )?BSD_NAME "),
@@ -46,22 +114,69 @@ RULES = (
     ("Proprietary", " RESERVED "),
 )
 
-#: A sentence ends at closing punctuation before white space or the end, or at a line end.
+#: RULES with those of whole notices.
+NOTICE_RULES = (
+    ("BSD-4-Clause", " BSD_SOURCE (.* )?BSD_BINARY (.* )?BSD_ADVERT (.* )?BSD_NAME "),
+    *RULES[:2],
+    ("GPL-3.0", " GPL3_TITLE "),
+    ("GPL-2.0", " GPL2_TITLE "),
+    ("Apache-2.0", " APACHE2_TITLE "),
+    *RULES[2:-1],
+    ("BSD", " (BSD_GRANT|BSD_STYLE) "),
+    RULES[-1],
+)
+
+#: The cut and noise of the SQL counterpart, which knows the short notices only.
 BREAK = r"[.!?;]+([ \t\r\n]+|\z)|\n"
 NOISE = r"[^a-z0-9]+"
+#: A whole sentence ends at such punctuation or at a line without a word.
+SENTENCE_END = r"[.!?;]+([ \t\r\n]+|\z)|\n[^a-z0-9\n]*\n"
+#: Marks in the lower-cased text: B a sentence's end, L a line's.
+MARKED_NOISE = r"[^a-z0-9BL]+"
+
+
+def _words(sentence: str, line: str, end: str) -> str:
+    """The sentence as a regular expression; ``line`` may follow each word, ``end`` stands
+    for a ``;`` and may follow the words of a ``*`` ("Inc."), unless that leads."""
+    gap, (lead, *rest) = " " + line, sentence.split()
+    some = "(?:[a-z0-9]+ %s){0,15}?[a-z0-9]+"
+    words = [some % "" if lead == "*" else lead, *(some % end if w == "*" else w for w in rest)]
+    return gap.join(words).replace("#" + gap, f"(?:[a-z0-9]{{1,3}}{gap})?").replace(";" + gap, end)
+
+
+def anchors(sentences) -> list[str]:
+    """A few strings, one of which each sentence holds within a word; picked greedily."""
+    left, out = [set(s.split()) - {"*", "#", ";"} for s in sentences], []
+    while left:
+        words = sorted(w for w in set().union(*left) if len(w) > 4) or sorted(set().union(*left))
+        held = {w: sum(any(w in v for v in s) for s in left) for w in words}
+        out.append(max(words, key=lambda w: (held[w], len(w), w)))
+        left = [s for s in left if not any(out[-1] in v for v in s)]
+    return out
+
+
+def sentence_ids(text: Column, sentences: dict = SENTENCES | NOTICES) -> Column:
+    plain = {s.replace("; ", ""): i for s, i in sentences.items() if not set("*#") & set(s)}
+    table = F.create_map(*(F.lit(x) for kv in plain.items() for x in kv))
+    ordered = sorted(sentences, key=lambda s: (-len(s.split()), s))
+    known = "[BL] (?:" + "|".join(_words(s, "(?:L )?", "(?:[BL] ){0,2}") for s in ordered) + ")(?= [BL])"
+    low = F.lower(F.coalesce(text, F.lit("")))
+    marked = F.regexp_replace(F.regexp_replace(low, SENTENCE_END, " B "), "\n", " L ")
+    framed = F.concat(F.lit("B "), F.trim(F.regexp_replace(marked, MARKED_NOISE, " ")), F.lit(" B"))
+    found = F.transform(F.regexp_extract_all(framed, F.lit(known), F.lit(0)), lambda s: F.regexp_replace(s, "[BL] ", ""))
 
+    def identifier(s: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for t in reversed([t for t in ordered if set("*#") & set(t)]):
+            out = F.when(F.rlike(s, F.lit(f"^{_words(t, '', '')}$")), F.lit(sentences[t])).otherwise(out)
+        return F.coalesce(F.try_element_at(table, s), out)
 
-def sentence_ids(text: Column, sentences: dict = SENTENCES) -> Column:
-    table = F.create_map(*(F.lit(x) for kv in sentences.items() for x in kv))
-    cut = F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK)
-    # Normalising never breaks or joins letters, so a known sentence holds its longest word as it is.
-    anchors = sorted({max(s.split(), key=len) for s in sentences})
-    known = F.filter(cut, lambda s: F.rlike(s, F.lit("|".join(anchors))))
-    normal = F.transform(known, lambda s: F.trim(F.regexp_replace(s, NOISE, " ")))
-    return F.filter(F.transform(normal, lambda s: F.try_element_at(table, s)), lambda i: i.isNotNull())
+    # Normalising never breaks or joins letters, so a known sentence holds its anchor as it is.
+    held = F.rlike(low, F.lit("|".join(anchors(sentences))))
+    return F.when(held, F.transform(found, identifier)).otherwise(F.array().cast("array<string>"))
 
 
-def license_rule(ids: Column, rules=RULES) -> Column:
+def license_rule(ids: Column, rules=NOTICE_RULES) -> Column:
     framed = F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" "))
     out = F.lit(None).cast("string")
     for name, pattern in reversed(rules):
@@ -69,7 +184,7 @@ def license_rule(ids: Column, rules=RULES) -> Column:
     return out
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict = SENTENCES, rules=RULES) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict = SENTENCES | NOTICES, rules=NOTICE_RULES) -> DataFrame:
     """One row per input row: id, identifier sequence, count, licence.  No shuffle."""
     found = docs.select(F.col(id_col), sentence_ids(F.col(text_col), sentences).alias("sentence_ids"))
     return found.select(id_col, F.array_join("sentence_ids", " ").alias("sentence_ids"), F.size("sentence_ids").cast("long").alias("n_sentences"), license_rule(F.col("sentence_ids"), rules).alias("license"))

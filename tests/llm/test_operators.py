@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -297,6 +298,65 @@ def test_license_scan(spark):
     assert got[3]["sentence_ids"] == "RESERVED GPL3_GRANT" and got[4]["n_sentences"] == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+%sTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+BSD_NAME = "%s Neither the name of %s nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL = """%s is free software%s you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation%s either version %s of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+APACHE_IDS = "APACHE2_GRANT APACHE2_COMPLY APACHE2_COPY APACHE2_AS_IS APACHE2_LIMITS"
+GPL_IDS = "GPL_HOPE GPL_IMPLIED GPL_DETAILS"
+BSD_IDS = "RESERVED BSD_GRANT BSD_SOURCE BSD_BINARY %sBSD_WARRANTY"
+
+
+def test_license_whole_notices(spark):
+    own = "Copyright (c) 2020 A Holder\nAll rights reserved.\n\n"
+    cases = [
+        (MIT, "MIT", "MIT_PERMISSION MIT_NOTICE NO_WARRANTY MIT_LIABILITY"),
+        (own + BSD % "", "BSD-2-Clause", BSD_IDS % ""),
+        (own + BSD % (BSD_NAME % ("3.", "the copyright holder")), "BSD-3-Clause", BSD_IDS % "BSD_NAME "),
+        (own + BSD % (BSD_NAME % ("(3)", "Any Inc. and others")), "BSD-3-Clause", BSD_IDS % "BSD_NAME "),
+        (own + BSD % ("3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the Holder.\n\n" + BSD_NAME % ("4.", "the Holder")), "BSD-4-Clause", BSD_IDS % "BSD_ADVERT BSD_NAME "),
+        ("Copyright 2020 A Holder\n\n" + APACHE, "Apache-2.0", APACHE_IDS),
+        (own + APACHE, "Apache-2.0", "RESERVED " + APACHE_IDS),
+        (GPL % ("This program", ":", ",", 3), "GPL-3.0", "GPL3_GRANT " + GPL_IDS),
+        (GPL % ("Some Tool", ";", ";", 2), "GPL-2.0", "GPL2_GRANT " + GPL_IDS),
+        (GPL % ("This program", ";", ";", 2), "GPL-2.0", "FREE_SOFTWARE GPL2_GRANT " + GPL_IDS),
+        (own + "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "BSD", "RESERVED BSD_STYLE"),
+        (own + "A heading\nReleased under the MIT License", "MIT", "RESERVED MIT_GRANT"),
+        (own, "Proprietary", "RESERVED"),
+        (MIT.partition(", to deal")[0].replace("of this software", "of this hardware"), None, ""),
+        (APACHE.replace("Version 2.0", "Version 9.0").partition(";")[0], None, ""),
+    ]
+    forms = []
+    for width, prefix in ((10**6, ""), (72, ""), (79, " * "), (50, "# "), (33, "   // ")):
+        for end in ("\n", "\r\n"):
+            for text, *_ in cases:
+                lines = [w for x in text.split("\n") for w in textwrap.wrap(x, width, break_long_words=False) or [""]]
+                forms.append(end.join((prefix + x).rstrip() for x in lines))
+    forms += [" ".join(text.split()) for text, *_ in cases[:1]]  # all in one line
+    got = {r["doc_id"]: r for r in license_scan.license_scan(docs(spark, list(enumerate(forms)))).collect()}
+    for i, form in enumerate(forms[:-1]):
+        assert (got[i]["license"], got[i]["sentence_ids"]) == cases[i % len(cases)][1:], form
+        assert got[i]["n_sentences"] == len(got[i]["sentence_ids"].split())
+    assert got[len(forms) - 1]["license"] == "MIT"
+
+
 def test_chat_snapshots(spark):
     rows = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"), (4, 0, "user", "a"), (4, 1, "assistant", "b"), (4, 2, "user", "c"), (5, 0, "user", "a"), (5, 1, "assistant", "x"), (6, 0, None, "a"), (7, 0, "user", None), (8, 0, "user", ""), (None, 0, "user", "z"), (9, 1, "user", "q"), (9, 1, "user", "q"), (10, 5, "user", "q")]
     d = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn int, role string, text string, n long")
