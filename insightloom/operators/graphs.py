@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -191,18 +192,23 @@ def neighbour_degree(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select("name").join(mean, "name", "left").na.fill(0.0, ["neighbour_degree"])
 
 
-def closeness(vertices: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+def closeness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, closeness): over incoming distances, scaled by the share of
-    vertices that reach it.  ``most`` bounds the path length, as a guard."""
-    spark = edges.sparkSession
-    step = edges.select("src", "dst").distinct()
+    vertices that reach it.  Paths of any length are followed."""
+    shared = edges.sparkSession.sparkContext.getCheckpointDir()
+
+    def keep(df: DataFrame) -> DataFrame:
+        return df.checkpoint() if shared else df.localCheckpoint()
+
+    step = keep(edges.select(F.col("src").alias("mid"), "dst").distinct())
     seen = front = vertices.select(F.col("name").alias("src"), F.col("name").alias("dst"), F.lit(0).alias("d"))
-    for k in range(1, most + 1):
-        front = front.select("src", F.col("dst").alias("mid")).join(step.toDF("mid", "dst"), "mid").select("src", "dst").distinct().join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("d", F.lit(k))
-        front = front.checkpoint() if spark.sparkContext.getCheckpointDir() else front
+    for k in itertools.count(1):
+        reached = front.select("src", F.col("dst").alias("mid")).join(step, "mid").select("src", "dst").distinct()
+        front = keep(reached.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("d", F.lit(k)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        seen = keep(seen) if k % 16 == 0 else seen  # a short plan on long paths
     n = vertices.agg(F.count("*").alias("n"))
     far = seen.where("d > 0").groupBy(F.col("dst").alias("name")).agg(F.sum("d").alias("total"), F.count("*").alias("r"))
     c = F.coalesce(F.try_divide(F.col("r") * F.col("r"), F.col("total") * (F.col("n") - 1)), F.lit(0.0))

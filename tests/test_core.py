@@ -107,6 +107,16 @@ def test_series(spark):
     assert {(r["first"], r["second"]) for r in experiments.adjacent(exps, "exp_id", "exp_id", ["series_id"]).collect()} == {(1, 2), (2, 5)}
 
 
+def test_closeness_of_long_paths(spark):
+    n = 68  # vertex i is reached from all before it, the last over 67 edges
+    v = spark.createDataFrame([(f"v{i}",) for i in range(n)] + [("alone",)], "name string").coalesce(1)
+    e = spark.createDataFrame([(f"v{i}", f"v{i + 1}") for i in range(n - 1)] + [("v1", "v0")], "src string, dst string").coalesce(1)
+    got = {r["name"]: r["closeness"] for r in graphs.closeness(v, e).collect()}
+    assert got["alone"] == 0 and got["v0"] == pytest.approx(1 * 1 / (1 * n))
+    for i in range(1, n):
+        assert got[f"v{i}"] == pytest.approx(i * i / (i * (i + 1) / 2 * n))
+
+
 def test_documents_to_graph(spark, tmp_path):
     w = synthesis.make_world(SMALL)
     docs = synthesis.to_documents(synthesis.generate(spark, w)).cache()
