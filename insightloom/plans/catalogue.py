@@ -687,16 +687,18 @@ def windowed_edge_totals(spark, sf):
 
 
 SMALL = DataSettings(n_experiments=60, parameters=tuple(Named(f"p{i}", 0.0, 255.0) for i in range(8)), qualities=tuple(Named(f"q{i}", 0.0, 10.0) for i in range(4)), correlating_share=0.4, series=(SeriesSettings(), SeriesSettings(kind="trial", share=0.5)), noise=NoiseSettings(0.2, 0.2))
+#: The sizes of the default settings, with SMALL's series and noise.
+WHOLE = DataSettings(series=SMALL.series, noise=SMALL.noise)
 
 
 @query()
 def synth_dataset(spark, sf):
-    return synthesis.generate(spark, synthesis.make_world(SMALL)).select("series_id", "pos", F.to_json("parameters").alias("parameters"), F.to_json("qualities").alias("qualities"))
+    return synthesis.generate(spark, synthesis.make_world(WHOLE)).select("series_id", "pos", F.to_json("parameters").alias("parameters"), F.to_json("qualities").alias("qualities"))
 
 
 @query()
 def synth_knowledge_graph(spark, sf):
-    docs = synthesis.to_documents(synthesis.generate(spark, synthesis.make_world(SMALL)))
+    docs = synthesis.to_documents(synthesis.generate(spark, synthesis.make_world(WHOLE)))
     edges = experiments.insight_edges(docs)
     return graphs.aggregate(edges, docs.agg(F.count("*").alias("n"))).drop("experiments")
 
@@ -711,12 +713,12 @@ def optics(spark, sf):
 def train_transe(spark, sf):
     v, e = representations.encode(ad.relations(spark, sf), "basic")
     t = e.select(F.lit("basic").alias("kg_type"), F.col("src").alias("h"), F.lit("acts on").alias("r"), F.col("dst").alias("t"))
-    return embeddings.train(t, "TransE", 5, embeddings.TrainSettings(dim=8))
+    return embeddings.train(t, "TransE")
 
 
 @query()
 def executed_experiments(spark, sf):
-    return readers.executed_experiments(synthesis.to_documents(synthesis.generate(spark, synthesis.make_world(SMALL))))
+    return readers.executed_experiments(synthesis.to_documents(synthesis.generate(spark, synthesis.make_world(WHOLE))))
 
 
 # ============================================================ lookups

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -11,9 +12,13 @@ from pyspark.sql import functions as F
 from insightloom.functions import numeric as nm
 from insightloom.functions import text as tx
 from insightloom.operators import clustering, embeddings, evaluation, experiments, features, graphs, representations, rules, synthesis
+from insightloom.plans import catalogue
 from insightloom.plans.catalogue import SMALL
+from insightloom.sources import adapters as ad
 from insightloom.sources import configs, readers, writers
 
+SF = "/root/testdata/sf0.001"
+
 
 def one(spark, *cols):
     return spark.range(1).select(*(c.alias(f"c{i}") for i, c in enumerate(cols))).first()
@@ -107,6 +112,17 @@ def test_series(spark):
     assert {(r["first"], r["second"]) for r in experiments.adjacent(exps, "exp_id", "exp_id", ["series_id"]).collect()} == {(1, 2), (2, 5)}
 
 
+def test_registered_settings_are_the_standard_ones(spark):
+    data, standard = catalogue.WHOLE, configs.DataSettings()
+    assert (data.n_experiments, data.parameters, data.qualities, data.correlating_share) == (500, standard.parameters, standard.qualities, standard.correlating_share)
+    rows = catalogue.synth_dataset(spark, "").collect()
+    assert len(rows) >= 500 and {(len(json.loads(r["parameters"])), len(json.loads(r["qualities"]))) for r in rows} == {(46, 14)}
+    e = representations.encode(ad.relations(spark, SF), "basic")[1]
+    t = e.select(F.lit("basic").alias("kg_type"), F.col("src").alias("h"), F.lit("acts on").alias("r"), F.col("dst").alias("t"))
+    want = {(r["role"], r["name"]): r["vec"] for r in embeddings.train(t, "TransE", 400, embeddings.TrainSettings(dim=46)).collect()}
+    assert {(r["role"], r["name"]): r["vec"] for r in catalogue.train_transe(spark, SF).collect()} == want
+
+
 def test_closeness_of_long_paths(spark):
     n = 68  # vertex i is reached from all before it, the last over 67 edges
     v = spark.createDataFrame([(f"v{i}",) for i in range(n)] + [("alone",)], "name string").coalesce(1)
