@@ -250,7 +250,12 @@ def bin_histogram_doane(spark, sf):
 
 
 def _pairs(spark, sf):
-    p, q = ad.parameters(spark, sf).where("key in ('tax', 'quantity')"), ad.qualities(spark, sf).where("key <> 'open_status'")
+    """The relations that the SQL of the rule queries has."""
+    return _all_pairs(spark, sf).where("parameter in ('tax', 'quantity') and influence <> 'open_status'")
+
+
+def _all_pairs(spark, sf):
+    p, q = ad.parameters(spark, sf), ad.qualities(spark, sf)
     rel = experiments.relative(p, experiments.previous(ad.experiments(spark, sf)), 1).select("exp_id", F.col("key").alias("parameter"), F.col("value").alias("relative"))
     both = p.select("exp_id", F.col("key").alias("parameter"), "value").join(rel, ["exp_id", "parameter"]).join(q.select("exp_id", F.col("key").alias("influence"), F.col("value").alias("influence_value")), "exp_id")
     return both.withColumn("kind", F.lit("numeric"))
@@ -295,12 +300,11 @@ def rule_fitted(spark, sf):
 
 @query()
 def rule_merged(spark, sf):
-    p = _pairs(spark, sf)
+    p = _all_pairs(spark, sf)
     return _rule_out(rules.merged_rules(p, _bins(p, 8)))
 
 
-def _two_rule_sets(spark, sf):
-    p = _pairs(spark, sf)
+def _two_rule_sets(p):
     r = rules.binned_rules(p, _bins(p)).drop("n_values").cache()  # both sets derive from it
     return r, r.withColumn("step_size", F.col("step_size") * 1.2).withColumn("mean_value", F.col("mean_value") + F.when(F.col("cond_lo") < 0.4, 0.0).otherwise(1e6)).withColumn("action", F.when(F.col("parameter") == "tax", F.col("action")).otherwise("set"))
 
@@ -314,7 +318,7 @@ j AS (SELECT a.condition, a.parameter, a.bin AS bin_a, b.bin AS bin_b, a.action
 
 @query(f"{_RULES2} SELECT condition, parameter, count(*) AS high, count(*) FILTER (mid) AS mid, count(*) FILTER (low) AS low FROM j GROUP BY ALL")
 def rule_equality(spark, sf):
-    a, b = _two_rule_sets(spark, sf)
+    a, b = _two_rule_sets(_pairs(spark, sf))
     out = None
     for level in ("high", "mid", "low"):
         n = rules.matching_pairs(a, b, level).groupBy(F.col("a.condition").alias("condition"), F.col("a.parameter").alias("parameter")).agg(F.count("*").alias(level))
@@ -324,7 +328,7 @@ def rule_equality(spark, sf):
 
 @query()
 def rule_metrics(spark, sf):
-    a, b = _two_rule_sets(spark, sf)
+    a, b = _two_rule_sets(_all_pairs(spark, sf))
     return rules.evaluate(a, b, "low")
 
 

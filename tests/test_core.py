@@ -123,6 +123,12 @@ def test_registered_settings_are_the_standard_ones(spark):
     assert {(r["role"], r["name"]): r["vec"] for r in catalogue.train_transe(spark, SF).collect()} == want
 
 
+def test_merged_rules_have_all_relations(spark):
+    keys = [{r["key"] for r in f(spark, SF).select("key").distinct().collect()} for f in (ad.qualities, ad.parameters)]
+    got = {(r["condition"], r["parameter"]) for r in catalogue.rule_merged(spark, SF).select("condition", "parameter").distinct().collect()}
+    assert (len(keys[0]), len(keys[1])) == (3, 4) and got == {(q, p) for q in keys[0] for p in keys[1]}
+
+
 def test_closeness_of_long_paths(spark):
     n = 68  # vertex i is reached from all before it, the last over 67 edges
     v = spark.createDataFrame([(f"v{i}",) for i in range(n)] + [("alone",)], "name string").coalesce(1)
