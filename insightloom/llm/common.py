@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes \x20 and \x09-\x0D separate words; everything else is part of one.
@@ -39,7 +40,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder_ = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes materialised tables whose readers have all been written."""
+    for t in tables:
+        if path := getattr(t, "folder_", None):
+            jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def partitions(df: DataFrame, mb: float) -> int:
@@ -132,15 +144,44 @@ def shingle_hashes(word: np.ndarray, k: int) -> np.ndarray:
         return mix(h)
 
 
-def by_bytes(batches, column: str, most: int = 8_000_000):
-    """Re-cut Arrow batches so that each piece holds about ``most`` characters."""
+def by_bytes(batches, column: str, most: int = 8_000_000, rows: int = 1 << 20):
+    """Re-cut Arrow batches so that each piece holds about ``most`` bytes of
+    ``column``, and no more than ``rows`` rows."""
     for b in batches:
-        size = [len(x) if x is not None else 0 for x in b.column(column).to_pylist()]
-        i = total = 0
-        for j, n in enumerate(size):
-            if j > i and total + n > most:
-                yield b.slice(i, j - i)
-                i, total = j, 0
-            total += n
-        if i < len(size):
-            yield b.slice(i)
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto = np.concatenate(([0], np.cumsum(size)))
+        i = 0
+        while i < len(size):
+            j = int(np.searchsorted(upto, upto[i] + most, side="right")) - 1
+            j = min(max(i + 1, j), i + rows, len(size))
+            yield b.slice(i, j - i)
+            i = j
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays one after another behind their sizes in bytes: no more than four
+    bytes each beside their content, however few items they hold."""
+    raw = [np.ascontiguousarray(a).tobytes() for a in arrays]
+    return np.array([len(r) for r in raw], dtype="<u4").tobytes() + b"".join(raw)
+
+
+def unpack(blob: bytes, *types) -> list[np.ndarray]:
+    """The arrays of a ``pack``, by their item types."""
+    size = np.frombuffer(blob, dtype="<u4", count=len(types))
+    at, out = 4 * len(types), []
+    for n, t in zip(size.tolist(), types, strict=True):
+        out.append(np.frombuffer(blob, dtype=t, count=n // np.dtype(t).itemsize, offset=at))
+        at += n
+    return out
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that ``df`` doesn't have."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
