@@ -9,28 +9,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import THRESHOLDS, WEIGHTS
+from .storage import materialise
 
 # ------------------------------------------------------------ aggregation
 
 
 def aggregate(edges: DataFrame, n_graphs: DataFrame | int) -> DataFrame:
     """Insight edges -> (influence, parameter, influence_type, weight,
-    experiments): weights summed over experiments, divided by the number of
-    graphs, those without edges included.
+    n_experiments, first_exp): weights summed over experiments, divided by the
+    number of graphs, those without edges included.  Which experiments an edge
+    has stays in the edge table; no row grows with their number.
 
     ``n_graphs``: a number, or a one-row table with column n.
     """
-    g = edges.groupBy("influence", "parameter").agg(F.first("influence_type").alias("influence_type"), F.sum("weight").alias("w"), F.array_sort(F.collect_list("exp_id")).alias("experiments"))
+    g = edges.groupBy("influence", "parameter").agg(F.min("influence_type").alias("influence_type"), F.sum("weight").alias("w"), F.count("exp_id").alias("n_experiments"), F.min("exp_id").alias("first_exp"))
     if isinstance(n_graphs, int):
         g = g.withColumn("n", F.lit(n_graphs))
     else:
         g = g.crossJoin(F.broadcast(n_graphs.select("n")))  # one row
-    return g.select("influence", "parameter", "influence_type", (F.col("w") / F.col("n")).alias("weight"), "experiments")
+    return g.select("influence", "parameter", "influence_type", (F.col("w") / F.col("n")).alias("weight"), "n_experiments", "first_exp")
+
+
+def complete_edges(influences: DataFrame, parameters: DataFrame) -> DataFrame:
+    """All influences x all parameters, without weights: the graph in which
+    everything may act on everything.  Both tables hold names, not data."""
+    i, p = influences.groupBy("influence").agg(F.min("influence_type").alias("influence_type")), parameters.select("parameter").distinct()
+    return i.crossJoin(p).select("influence", "parameter", "influence_type", F.lit(None).cast("double").alias("weight"))
 
 
 def vertex_values(values: DataFrame) -> DataFrame:
-    """(exp_id, key, type, value) -> (key, type, values MAP<exp_id, value>)."""
-    return values.groupBy("key").agg(F.first("type").alias("type"), F.map_from_entries(F.array_sort(F.collect_set(F.struct("exp_id", "value")))).alias("values"))
+    """(exp_id, key, type, value) -> (key, type, exp_id, value): one value for
+    each vertex and experiment, the largest of several."""
+    return values.groupBy("key", "exp_id").agg(F.min("type").alias("type"), F.max("value").alias("value")).select("key", "type", "exp_id", "value")
 
 
 def edge_frequency(edges: DataFrame) -> DataFrame:
@@ -57,17 +67,34 @@ def weight_edges(edges: DataFrame, how: str | Callable[[Column, Column, Column],
     return out.select(*edges.columns, combine(F.col("weight"), F.col("frequency"), F.col("improvement")).alias("combined")).drop("weight").withColumnRenamed("combined", "weight")
 
 
-def cluster_weights(kg: DataFrame, labels: DataFrame) -> DataFrame:
-    """Edge weight = share of its experiments with a cluster (label >= 0);
-    unknown experiments count in the denominator only."""
-    each = kg.select("influence", "parameter", F.explode("experiments").alias("exp_id")).join(labels.select("exp_id", "label"), "exp_id", "left")
+def weight_totals(edges: DataFrame, gain: DataFrame) -> DataFrame:
+    """(influence, parameter, a column for each weighting): weights summed over
+    an edge's experiments.  The edge table is read once: every combiner is
+    linear in confidence c and improvement i, with the edge's frequency f the
+    same for all its rows, so sums of c, i and c * i are enough."""
+    g = edges.join(gain.select("exp_id", "improvement"), "exp_id", "left").groupBy("influence", "parameter")
+    c, i = F.col("weight"), F.col("improvement")
+    per = g.agg(F.count("*").alias("n"), F.count(c).alias("nc"), F.sum(c).alias("c"), F.sum(i).alias("i"), F.sum(F.when(c.isNotNull(), i)).alias("i_of_c"), F.sum(c * i).alias("ci"))
+    per = per.crossJoin(F.broadcast(per.agg(F.count("*").alias("edges")))).withColumn("f", F.col("n") / F.col("edges"))  # one row
+    f, half = F.col("f"), 0.5 * F.col("i_of_c") + F.col("ci")
+    totals = {
+        "confidence": F.col("c"), "frequency": f * F.col("n"), "improvement": F.col("i"), "confidence_frequency": 0.5 * f * F.col("nc") + F.col("c") * f,
+        "confidence_improvement": half, "confidence_improvement_frequency": half * f, "frequency_improvement": f * F.col("i"),
+    }
+    return per.select("influence", "parameter", *(v.alias(k) for k, v in totals.items()))
+
+
+def cluster_weights(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edge weight = share of its experiments (rows of the insight edges) with a
+    cluster (label >= 0); unknown experiments count in the denominator only."""
+    each = edges.select("influence", "parameter", "exp_id").join(labels.select("exp_id", "label"), "exp_id", "left")
     return each.groupBy("influence", "parameter").agg(F.avg(F.coalesce((F.col("label") >= 0).cast("double"), F.lit(0.0))).alias("weight"))
 
 
-def influence_validity(kg: DataFrame, influence_sum: DataFrame, quality_sum: DataFrame) -> DataFrame:
-    """Edge weight = mean over experiments of influence sum / quality sum;
+def influence_validity(edges: DataFrame, influence_sum: DataFrame, quality_sum: DataFrame) -> DataFrame:
+    """Edge weight = mean over its experiments of influence sum / quality sum;
     undefined ratios count as 0."""
-    each = kg.select("influence", "parameter", F.explode("experiments").alias("exp_id"))
+    each = edges.select("influence", "parameter", "exp_id")
     each = each.join(influence_sum.select("exp_id", F.col("value").alias("i")), "exp_id", "left").join(quality_sum.select("exp_id", F.col("value").alias("q")), "exp_id", "left")
     return each.groupBy("influence", "parameter").agg(F.avg(F.coalesce(F.try_divide("i", F.nullif("q", F.lit(0.0))), F.lit(0.0))).alias("weight"))
 
@@ -195,20 +222,15 @@ def neighbour_degree(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def closeness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, closeness): over incoming distances, scaled by the share of
     vertices that reach it.  Paths of any length are followed."""
-    shared = edges.sparkSession.sparkContext.getCheckpointDir()
-
-    def keep(df: DataFrame) -> DataFrame:
-        return df.checkpoint() if shared else df.localCheckpoint()
-
-    step = keep(edges.select(F.col("src").alias("mid"), "dst").distinct())
+    step = materialise(edges.select(F.col("src").alias("mid"), "dst").distinct(), "steps")
     seen = front = vertices.select(F.col("name").alias("src"), F.col("name").alias("dst"), F.lit(0).alias("d"))
     for k in itertools.count(1):
         reached = front.select("src", F.col("dst").alias("mid")).join(step, "mid").select("src", "dst").distinct()
-        front = keep(reached.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("d", F.lit(k)))
+        front = materialise(reached.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("d", F.lit(k)), "front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-        seen = keep(seen) if k % 16 == 0 else seen  # a short plan on long paths
+        seen = materialise(seen, "seen") if k % 16 == 0 else seen  # a short plan on long paths
     n = vertices.agg(F.count("*").alias("n"))
     far = seen.where("d > 0").groupBy(F.col("dst").alias("name")).agg(F.sum("d").alias("total"), F.count("*").alias("r"))
     c = F.coalesce(F.try_divide(F.col("r") * F.col("r"), F.col("total") * (F.col("n") - 1)), F.lit(0.0))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 
 # Display colours by vertex type.
-COLOURS = {"parameter": "lightblue", "quality": "orange", "qual_influence": "orange", "env_influence": "lightgreen", "value": "lightgrey"}
+COLOURS = {"parameter": "lightblue", "qual_influence": "orange", "env_influence": "lightgreen", "value": "lightgrey"}
 
 
 def by_experiment(frame: DataFrame, exp_id: int) -> DataFrame:

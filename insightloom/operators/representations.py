@@ -12,8 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Edge labels and encoding names.
+from ..functions.numeric import PqFunction
+from .storage import sample_of
+
+# Edge labels, vertex kinds and encoding names.
 IMPLIES, QUANTIFIED_BY, IMPLIED_PARAMETER, STARTS_AT, ENDS_AT = "implies", "quantified by", "implied parameter", "starts at", "ends at"
+QUALITY, PARAMETER, VALUE, CONDITION, CONCLUSION, RELATION, PART = "qual_influence", "parameter", "value", "quantified_condition", "quantified_conclusion", "pq-relation", "my-ny-relation"
 ENCODINGS = (
     "basic", "unquantified", "quantified_parameters_without_shortcut", "quantified_parameters_with_shortcut", "quantified_parameters_with_literal", "quantified_parameters_w3", "quantified_parameters_w3_with_literal",
     "quantified_conditions_without_shortcut", "quantified_conditions_with_shortcut", "quantified_conditions_with_literal", "quantified_conditions_w3", "quantified_conditions_w3_with_literal",
@@ -65,23 +69,23 @@ def _parts(e: Encoding) -> tuple[list[Column], list[Column], list[Column], list[
     (column b, position i)."""
     q, p, m = F.col("quality"), F.col("parameter"), _number(F.col("mean"))
     rel = F.concat_ws("-", p, q, F.lit("relation"))
-    vertices = [_vertex(q, "quality"), _vertex(p, "parameter")]
+    vertices = [_vertex(q, QUALITY), _vertex(p, PARAMETER)]
     if e.name in ("basic", "unquantified"):
         return [_edge(q, m if e.name == "basic" else action_label("action"), p)], vertices, [], []
     if not e.conditions:
-        vertices.append(_vertex(m, "value", m, p))
+        vertices.append(_vertex(m, VALUE, m, None if e.ternary else p))
         if e.ternary:
-            return [_edge(q, IMPLIES, rel), _edge(rel, IMPLIED_PARAMETER, p), _edge(rel, QUANTIFIED_BY, m, "To")], [*vertices, _vertex(rel, "relation")], [], []
+            return [_edge(q, IMPLIES, rel), _edge(rel, IMPLIED_PARAMETER, p), _edge(rel, QUANTIFIED_BY, m, "To")], [*vertices, _vertex(rel, RELATION)], [], []
         edges = [_edge(q, IMPLIES, m, "To"), _edge(p, QUANTIFIED_BY, m, "To")]
         return edges + [_edge(q, action_label("action"), p)] * e.shortcut, vertices, [], []
     lo, hi = F.least("b.lo", "b.hi"), F.greatest("b.lo", "b.hi")
     tag = F.concat_ws("-", p, q, F.col("i").cast("string"))
     mu, value, start, end = (F.concat(F.lit(f"{x}-"), tag) for x in ("my", "value", "start", "end"))
-    each_v = [_vertex(mu, "interval"), _vertex(value, "value", _number(F.col("b.value")), p), _vertex(start, "value", _number(lo)), _vertex(end, "value", _number(hi))]
+    each_v = [_vertex(mu, CONDITION), _vertex(value, CONCLUSION, _number(F.col("b.value")), p if e.ternary else None), _vertex(start, VALUE, _number(lo)), _vertex(end, VALUE, _number(hi))]
     if e.ternary:
         both = F.concat(F.lit("my"), F.col("i").cast("string"), F.lit("-ny"), F.col("i").cast("string"), F.lit("-"), tag)
         each = [_edge(rel, QUANTIFIED_BY, both), _edge(both, STARTS_AT, start, "To"), _edge(both, ENDS_AT, end, "To"), _edge(both, QUANTIFIED_BY, value, "To")]
-        return [_edge(q, IMPLIES, rel), _edge(rel, IMPLIED_PARAMETER, p)], [*vertices, _vertex(rel, "relation")], each, [*each_v, _vertex(both, "interval")]
+        return [_edge(q, IMPLIES, rel), _edge(rel, IMPLIED_PARAMETER, p)], [*vertices, _vertex(rel, RELATION)], each, [*each_v, _vertex(both, PART)]
     each = [_edge(mu, IMPLIES, value, "To"), _edge(p, QUANTIFIED_BY, value, "To"), _edge(mu, STARTS_AT, start, "To"), _edge(mu, ENDS_AT, end, "To"), _edge(q, QUANTIFIED_BY, mu)]
     return [_edge(q, action_label("action"), p)] * e.shortcut, vertices, each, each_v
 
@@ -107,11 +111,8 @@ def encode(relations: DataFrame, name: str, share: float = 1.0, seed: int = 0) -
 
 
 def sample_relations(relations: DataFrame, share: float, seed: int = 0) -> DataFrame:
-    """int(n * share) relations in seeded hash order, without a global sort of
-    the rows kept: the hash bound is found first."""
-    key = F.xxhash64(F.lit(seed), "parameter", "quality")
-    n = int(relations.count() * share)
-    return relations.orderBy(key, "parameter", "quality").limit(n)
+    """int(n * share) relations, those that come first in seeded hash order."""
+    return sample_of(relations, int(relations.count() * share), ["parameter", "quality"], seed)
 
 
 def triples(vertices: DataFrame, edges: DataFrame, literals: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -144,23 +145,37 @@ def split_triples(t: DataFrame, test_share: float = 0.2, seed: int = 0) -> DataF
 
 
 def relations_from_rules(rules: DataFrame) -> DataFrame:
-    """Rules of one parameter and quality -> one relation with its bins."""
-    value = F.coalesce("quantifier", "step_size", "mean_value")
-    g = rules.groupBy("parameter", F.col("condition").alias("quality")).agg(F.avg(value).alias("mean"), F.array_sort(F.collect_list(F.struct(F.col("cond_lo").alias("lo"), F.col("cond_hi").alias("hi"), value.alias("value")))).alias("bins"), F.min("action").alias("action"))
-    return g.select("parameter", "quality", "mean", "bins", "action")
+    """Every rule is a relation with one bin, its condition's range; mean and
+    bin hold the rule's mean value."""
+    one = F.struct(F.col("cond_lo").alias("lo"), F.col("cond_hi").alias("hi"), F.col("mean_value").alias("value"))
+    return rules.select("parameter", F.col("condition").alias("quality"), F.col("mean_value").alias("mean"), F.array(one).alias("bins"), "action")
+
+
+def _mean(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
+
+
+def mean_change(f: PqFunction) -> Column:
+    """Mean change of the parameter on the way from the highest rating down to
+    the lowest, in unit steps; each step starts from the parameter before it."""
+    top, n = f.rating.hi, int(f.rating.hi - f.rating.lo)
+    start = f.inverse(F.lit(float(top)))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, lambda last, i: f.inverse(F.lit(float(top)) - i, last))
+    return (end - start) / n
 
 
-def sampled_bins(inverse, rating_lo: float, rating_hi: float, n: int = 3) -> tuple[Column, Column]:
-    """(mean change, bins) of a function: the mean step of the inverse per unit
-    of rating, and its mean value in n equal rating ranges."""
-    unit = F.transform(F.sequence(F.lit(0), F.lit(int(rating_hi - rating_lo))), lambda i: inverse(i + F.lit(rating_lo)))
-    step = F.zip_with(F.slice(unit, F.lit(2), F.size(unit) - 1), F.slice(unit, F.lit(1), F.size(unit) - 1), lambda b, a: b - a)
-    mean = F.aggregate(step, F.lit(0.0), lambda a, x: a + x) / F.size(step)
-    width = (rating_hi - rating_lo) / n
+def sampled_bins(f: PqFunction, n: int = 3) -> Column:
+    """Bins of a function: the parameters that its ratings lead to, cut into n
+    equal ranges; ``lo`` and ``hi`` are the ratings at a range's ends, ``value``
+    the mean parameter of the ratings from one to the other in unit steps."""
+    at = F.transform(F.sequence(F.lit(0), F.lit(int(f.rating.hi - f.rating.lo))), lambda i: f.inverse(i + F.lit(float(f.rating.lo))))
+    low, high = F.array_min(at), F.array_max(at)
+    half = F.when(low == high, 0.5).otherwise(0.0)
+    edge = lambda i: low - half + i * ((high - low + 2 * half) / n)
 
     def bin_(i):
-        lo = F.lit(rating_lo) + i * width
-        at = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: inverse(lo + k * (width / 4)))
-        return F.struct(lo.alias("lo"), (lo + width).alias("hi"), (F.aggregate(at, F.lit(0.0), lambda a, x: a + x) / 5).alias("value"))
+        a, b = f(edge(i)), f(edge(i + 1))
+        steps = F.sequence(F.lit(0), F.floor(F.abs(b - a)).cast("int"))
+        return F.struct(a.alias("lo"), b.alias("hi"), _mean(F.transform(steps, lambda k: f.inverse(a + k * F.signum(b - a)))).alias("value"))
 
-    return mean, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), bin_)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), bin_)

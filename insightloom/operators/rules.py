@@ -54,10 +54,11 @@ def rule_fields(value: str = "value", relative: str = "relative", kind: str = "k
 
 
 def action() -> Column:
-    """From the fields: set for quantified or collapsed ranges, else by the step's sign."""
+    """From the fields: by the step's sign; without a step, set for quantified
+    and for collapsed ranges (ends alike to nine digits)."""
     return (
-        F.when(F.col("quantifier").isNotNull(), "set").when(F.col("step_size") > 0, "increase incrementally").when(F.col("step_size") < 0, "decrease incrementally")
-        .when(F.col("range_start") == F.col("range_end"), "set").otherwise("adjust incrementally")
+        F.when(F.col("step_size") > 0, "increase incrementally").when(F.col("step_size") < 0, "decrease incrementally")
+        .when(nm.close(F.col("range_start"), F.col("range_end"), 1e-9) | F.col("quantifier").isNotNull(), "set").otherwise("adjust incrementally")
     )
 
 
@@ -171,6 +172,13 @@ def matching_pairs(base: DataFrame, pred: DataFrame, level: str | Callable = "hi
     return left.join(right, ["p", "c"]).where(equal("a", "b")).select("a", "b")
 
 
+def level_flags(base: DataFrame, pred: DataFrame) -> DataFrame:
+    """All pairs that are equal at the high level, with a flag for each level:
+    one join for the three of them."""
+    pairs = matching_pairs(base, pred, "high")
+    return pairs.select("a", "b", *(F.coalesce(equal("a", "b"), F.lit(False)).alias(name) for name, equal in LEVELS.items()))
+
+
 def evaluation_sets(base: DataFrame, pred: DataFrame, level: str | Callable = "high") -> DataFrame:
     """(key, truth, pred): the union of both rule sets, a predicted rule that
     equals a baseline rule standing for it.  Each baseline rule takes its least

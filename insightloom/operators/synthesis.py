@@ -7,11 +7,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import FUNCTIONS, TINY, Range, random_coefficients
-from ..sources.configs import DataSettings, NoiseSettings, SeriesSettings
+from ..sources.configs import DataSettings, Named, NoiseSettings, SeriesSettings
+from .storage import first_until, sample_of
 
 
 @dataclass(frozen=True)
@@ -50,9 +51,36 @@ class ScalarFunction:
             x = b ** min((y - d) / a, 300.0) + c
         return float(min(max(x, self.p[0]), self.p[1]))
 
-    def slope(self, y: float, last: float | None = None, h: float = 1e-4) -> float:
-        """Change of the inverse per unit of rating."""
-        return (self.inverse(y + h, last) - self.inverse(y - h, last)) / (2 * h)
+    def slope(self, y: float, last: float | None = None) -> float:
+        """Change of the inverse per unit of rating, not clipped."""
+        y = min(max(y, self.q[0]), self.q[1])
+        if self.kind == "linear":
+            return 1.0 / self.coeffs[1]
+        if self.kind == "quadratic":
+            a, b, c = self.coeffs
+            root = float(np.sqrt(max(0.0, b * b - 4 * c * (a - y))))
+            side = 1.0 if (self.inverse(y, last) + b / (2 * c)) * c >= 0 else -1.0
+            return side / root if root else 0.0
+        a, b, c, d = self.coeffs
+        return float(b ** min((y - d) / a, 300.0) * np.log(b) / a)
+
+    def mean_change(self) -> float:
+        """As ``representations.mean_change``."""
+        ratings = np.arange(self.q[1], self.q[0] - 1, -1)
+        walk = [self.inverse(ratings[0])]
+        for y in ratings[1:]:
+            walk.append(self.inverse(y, walk[-1]))
+        return float(np.mean(np.diff(walk)))
+
+    def bins(self, n: int = 3) -> list[tuple]:
+        """As ``representations.sampled_bins``."""
+        edges = np.histogram_bin_edges([self.inverse(y) for y in np.arange(self.q[0], self.q[1] + 1)], n)
+        ends = [self(x) for x in edges]
+        out = []
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            steps = a + np.sign(b - a) * np.arange(int(abs(b - a)) + 1)
+            out.append((a, b, float(np.mean([self.inverse(y) for y in steps]))))
+        return out
 
     def columns(self):
         return FUNCTIONS[self.kind](self.coeffs, Range(*self.p), Range(*self.q))
@@ -85,13 +113,7 @@ class World:
 
     def relations(self, spark: SparkSession, bins: int = 3) -> DataFrame:
         """Relations of the expert pairs, ready for the encodings."""
-        rows = []
-        for p, q in sorted(self.expert):
-            f = self.functions[p, q]
-            lo, hi = f.q
-            unit = [f.inverse(y) for y in np.arange(lo, hi + 1)]
-            edge = np.linspace(lo, hi, bins + 1)
-            rows.append((p, q, float(np.mean(np.diff(unit))), [(float(a), float(b), float(np.mean([f.inverse(y) for y in np.linspace(a, b, 5)]))) for a, b in zip(edge[:-1], edge[1:], strict=True)], "set"))
+        rows = [(p, q, self.functions[p, q].mean_change(), self.functions[p, q].bins(bins), "set") for p, q in sorted(self.expert)]
         return spark.createDataFrame(rows, "parameter string, quality string, mean double, bins array<struct<lo:double,hi:double,value:double>>, action string")
 
 
@@ -145,63 +167,85 @@ def first_experiment(w: World, s: SeriesSettings, rng) -> dict:
 
 def expert_series(w: World, group: tuple, s: SeriesSettings, rng) -> list[tuple[dict, dict]]:
     """Steps along the inverse slopes of the group's expert pairs until the
-    score is good enough or no longer improves."""
+    score is good enough or no longer improves; the first step is always made.
+    A series of more than ``max_steps`` raises."""
     P = {p.name: p for p in w.settings.parameters}
     params = first_experiment(w, s, rng)
     out = [(params, ratings(w, params, s.rating_from))]
-    while True:
-        rated = out[-1][1]
-        now = score(w, rated, group)
-        if now <= s.score_threshold:
-            break
+    moved = sorted({p for q in group for p in w.affecting(q, True)})
+    while len(out) <= s.max_steps:
+        params, rated = out[-1]
         nxt = dict(params)
-        for p in sorted({p for q in group for p in w.affecting(q, True)}):
+        for p in moved:
             qs = [q for q in w.affected(p) if q in group and (p, q) in w.expert]
-            bad = [q for q in qs if score(w, rated, (q,)) > s.score_threshold]
-            delta = sum(w.functions[p, q].slope(rated[q], params[p]) for q in bad) / max(1, len(qs))
-            nxt[p] = float(min(max(params[p] - delta, P[p].lo), P[p].hi))
+            delta = sum(w.functions[p, q].slope(rated[q], params[p]) for q in qs if score(w, rated, (q,)) > s.score_threshold)
+            nxt[p] = float(min(max(params[p] - delta / len(qs), P[p].lo), P[p].hi))
         got = ratings(w, nxt, s.rating_from)
-        if len(out) > 1 and score(w, got, group) >= now or len(out) > 10 * s.max_size:
-            break
-        params = nxt
-        out.append((params, got))
-    return trim(out, s.max_size)
-
-
-def trial_series(w: World, group: tuple, s: SeriesSettings, rng) -> list[tuple[dict, dict]]:
-    """Parameters in random order, both directions in random order, as long as
-    the score improves."""
-    params = first_experiment(w, s, rng)
-    out = [(params, ratings(w, params, s.rating_from))]
+        reached = score(w, got, group)
+        if len(out) > 1 and reached >= score(w, rated, group):
+            return trim(out, s.max_size)
+        out.append((nxt, got))
+        if reached <= s.score_threshold:
+            return trim(out, s.max_size)
+    raise RuntimeError(f"the series for {group} still improves after {s.max_steps} steps")
+
+
+def _stepped(p: Named, x: float, sign: int, s: SeriesSettings) -> float:
+    """The parameter's next value in a direction."""
+    far = x + (p.hi - p.lo) * s.step_share * sign
+    by_range = s.step_of == "definition_range" or (s.step_of != "current_value" and p.lo <= far <= p.hi)
+    return float(min(max(far if by_range else x * (1 + s.step_share * sign), p.lo), p.hi))
+
+
+def trial_series(w: World, group: tuple, s: SeriesSettings, rng, learned: set | None = None) -> list[tuple[dict, dict]]:
+    """Parameters in random order, each from the best experiment so far: one
+    direction after the other in random order, as long as the score improves.
+    A direction that improved, or changed nothing, ends the parameter.  Pairs
+    (parameter, quality) whose rating changed are added to ``learned``."""
+    start = first_experiment(w, s, rng)
+    out = [(start, ratings(w, start, s.rating_from))]
+    best, best_score = out[0], score(w, out[0][1], group)
     for i in rng.permutation(len(w.settings.parameters)):
-        p = w.settings.parameters[i]
+        p, base = w.settings.parameters[i], best
         for sign in rng.permutation([1, -1]):
-            while len(out) < s.max_trial_length:
-                span = (p.hi - p.lo) if s.step_of == "definition_range" else abs(params[p.name]) or ((p.hi - p.lo) if s.step_of.endswith("then_current_value") else 0.0)
-                nxt = params | {p.name: float(min(max(params[p.name] + sign * s.step_share * span, p.lo), p.hi))}
-                got = ratings(w, nxt, s.rating_from)
-                better = score(w, got, group) < score(w, ratings(w, params, s.rating_from), group)
-                if nxt[p.name] != params[p.name]:
-                    out.append((nxt, got))
-                if not better:
+            last, last_score = base, score(w, base[1], group)
+            now, made = last_score, 0
+            while (x := _stepped(p, last[0][p.name], int(sign), s)) != last[0][p.name]:
+                params = last[0] | {p.name: x}
+                new = (params, ratings(w, params, s.rating_from))
+                out.append(new)
+                made += 1
+                if learned is not None:
+                    learned |= {(p.name, q) for q, y in new[1].items() if y != last[1][q]}
+                now = score(w, new[1], group)
+                if now >= last_score:
+                    break
+                if now < best_score:
+                    best, best_score = new, now
+                if now <= s.score_threshold:
                     break
-                params = nxt
-            if len(out) >= s.max_trial_length:
-                return trim(out, s.max_size)
-    return trim(out, s.max_size)
+                last, last_score = new, now
+            if (made > 1 and s.one_direction) or (made <= 1 and now == last_score):
+                break
+        if len(out) >= s.max_trial_length:
+            break
+    return out
 
 
 def trim(series: list, most: int) -> list:
-    """Long series lose experiments at even places, never the ends."""
-    if len(series) <= most:
+    """Long series lose experiments at even places, the first included; places
+    that fall together are lost once."""
+    extra = len(series) - most
+    if extra <= 0:
         return series
-    keep = np.unique(np.linspace(0, len(series) - 1, most).round().astype(int))
-    return [series[i] for i in keep]
+    step = 0 if extra == 1 else (len(series) - 2) // (extra - 1)
+    gone = {i * step for i in range(extra)}
+    return [x for i, x in enumerate(series) if i not in gone]
 
 
-def quality_groups(w: World, rng, overlapping: bool = False, size: int = 2) -> list[tuple]:
+def quality_groups(w: World, rng, overlapping: bool = False, size: int = 1, expert_only: bool = True) -> list[tuple]:
     """Groups of qualities to improve together: random, or sharing a parameter."""
-    qs = w.qualities_with_expert_knowledge()
+    qs = w.qualities_with_expert_knowledge() if expert_only else sorted(q.name for q in w.settings.qualities)
     if overlapping:
         pairs = sorted({tuple(sorted((a, b))) for p in w.parameters_with_expert_knowledge() for a in w.affected(p) for b in w.affected(p) if a < b and a in qs and b in qs})
         return pairs or [(q,) for q in qs]
@@ -226,7 +270,7 @@ def generate(spark: SparkSession, w: World, n_series: int | None = None) -> Data
             for sid in pdf["id"]:
                 rng = np.random.default_rng((s.seed, int(sid)))
                 kind = s.series[int(np.searchsorted(weights, rng.random()))]
-                groups = quality_groups(w, rng)
+                groups = quality_groups(w, rng, kind.overlapping, kind.group_size, kind.kind == "expert")
                 group = groups[int(rng.integers(len(groups)))]
                 made = (expert_series if kind.kind == "expert" else trial_series)(w, group, kind, rng)
                 rows += [(f"s{sid}", i, p, q, list(group)) for i, (p, q) in enumerate(made)]
@@ -236,37 +280,40 @@ def generate(spark: SparkSession, w: World, n_series: int | None = None) -> Data
     return df if n_series else fit_to_size(df, s.n_experiments, s.oversize)
 
 
-def fit_to_size(df: DataFrame, n: int, oversize: str = "ignore") -> DataFrame:
-    """Whole series, in order, until ``n`` experiments are reached; the last may
-    exceed it (ignore) or lose its first, last or random experiments."""
-    from pyspark.sql import Window
-
-    size = df.groupBy("series_id").agg(F.count("*").alias("size")).withColumn("k", F.expr("cast(substr(series_id, 2) as long)"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = size.withColumn("before", before).where(F.col("before") < n)
-    out = df.join(kept.select("series_id", "size", "before"), "series_id")
-    room = F.lit(n) - F.col("before")
+def fit_to_size(df: DataFrame, n: int, oversize: str = "ignore", seed: int = 0) -> DataFrame:
+    """Whole series, in seeded random order, until ``n`` experiments are reached.
+    What exceeds ``n`` stays (ignore), or the longest series lose first, last or
+    random experiments, one at a time, until it is gone."""
+    size = first_until(df.groupBy("series_id").agg(F.count("*").alias("size")), "size", n, ["series_id"], seed)
+    out = df.join(size, "series_id")
+    if oversize == "ignore":
+        return out.drop("size")
+    lengths = {r["size"]: r["c"] for r in size.groupBy("size").agg(F.count("*").alias("c")).collect()}  # as many rows as lengths
+    level = max(lengths, default=0)
+    left = lambda k: sum(min(x, k) * c for x, c in lengths.items())
+    while level > 0 and left(level - 1) >= n:
+        level -= 1
+    more = sample_of(size.where(F.col("size") >= level), max(0, left(level) - n), ["series_id"], seed + 1).select("series_id", F.lit(1).alias("more"))
+    out = out.join(more, "series_id", "left").withColumn("cut", F.greatest(F.col("size") - level, F.lit(0)) + F.coalesce("more", F.lit(0)))
     if oversize == "cut_last":
-        out = out.where(F.col("pos") < room)
+        out = out.where(F.col("pos") < F.col("size") - F.col("cut"))
     elif oversize == "cut_first":
-        out = out.where(F.col("pos") >= F.col("size") - room)
-    elif oversize == "cut_random":
-        w = Window.partitionBy("series_id").orderBy(F.xxhash64("series_id", "pos"))
-        out = out.withColumn("r", F.row_number().over(w)).where(F.col("r") <= room).drop("r")
-    return out.drop("size", "before")
+        out = out.where(F.col("pos") >= F.col("cut"))
+    else:
+        w = Window.partitionBy("series_id").orderBy(F.xxhash64(F.lit(seed), "series_id", "pos"))
+        out = out.withColumn("r", F.row_number().over(w)).where(F.col("r") > F.col("cut")).drop("r")
+    return out.drop("size", "more", "cut")
 
 
 def add_noise(df: DataFrame, noise: NoiseSettings, spans: dict, seed: int = 0) -> DataFrame:
-    """Gaussian noise on a share of the parameters and qualities of each
-    experiment, deviation = span * std_share, not clipped."""
+    """Gaussian noise on all parameters and qualities of int(n * share)
+    experiments, deviation = span * std_share, not clipped."""
     span = F.create_map(*(F.lit(x) for kv in spans.items() for x in (kv[0], float(kv[1]))))
-
-    def noisy(column: str, share: float):
-        unit = lambda k, n: (F.pmod(F.xxhash64(F.lit(seed + n), "series_id", "pos", k), F.lit(1 << 30)).cast("double") + 1) / ((1 << 30) + 1)
-        normal = lambda k: F.sqrt(-2 * F.ln(unit(k, 1))) * F.cos(2 * float(np.pi) * unit(k, 2))
-        return F.transform_values(column, lambda k, v: F.when(unit(k, 3) < share, v + noise.mean + normal(k) * span[k] * noise.std_share).otherwise(v))
-
-    return df.withColumn("parameters", noisy("parameters", noise.parameter_share)).withColumn("qualities", noisy("qualities", noise.quality_share))
+    unit = lambda k, n: (F.pmod(F.xxhash64(F.lit(seed + n), "series_id", "pos", k), F.lit(1 << 30)).cast("double") + 1) / ((1 << 30) + 1)
+    normal = lambda k: F.sqrt(-2 * F.ln(unit(k, 1))) * F.cos(2 * float(np.pi) * unit(k, 2))
+    hit = sample_of(df.select("series_id", "pos"), int(df.count() * noise.share), ["series_id", "pos"], seed).withColumn("hit", F.lit(True))
+    noisy = lambda c: F.when(F.col("hit"), F.transform_values(c, lambda k, v: v + noise.mean + normal(k) * span[k] * noise.std_share)).otherwise(F.col(c))
+    return df.join(hit, ["series_id", "pos"], "left").select(*(noisy(c).alias(c) if c in ("parameters", "qualities") else c for c in df.columns))
 
 
 def with_noisy_copy(df: DataFrame, noise: NoiseSettings, spans: dict, seed: int = 0) -> DataFrame:
@@ -277,8 +324,6 @@ def to_documents(df: DataFrame, temperature: float = 42.0, humidity: float = 42.
     """Experiment documents: material and surroundings fixed, all parameters
     changed from "-1"; the previous experiment's ratings of the optimised
     qualities are the influential influences; the first of a series has none."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("series_id").orderBy("pos")
     sid = F.expr("cast(regexp_extract(series_id, '([0-9]+)', 1) as long)")
     d = df.withColumn("exp_id", sid * 1000 + F.col("pos") + F.when(F.col("series_id").contains("noisy"), 1 << 40).otherwise(0))

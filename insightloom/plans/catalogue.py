@@ -53,7 +53,7 @@ def _kg(spark, sf):
 
 
 def _kg_out(kg):
-    return kg.select("influence", "parameter", "influence_type", r6("weight", 9).alias("weight"), big(F.size("experiments")).alias("n_experiments"), F.element_at("experiments", 1).alias("first_exp"))
+    return kg.select("influence", "parameter", "influence_type", r6("weight", 9).alias("weight"), big("n_experiments").alias("n_experiments"), "first_exp")
 
 
 @query(f"{_KG} {_KG_OUT}")
@@ -91,10 +91,9 @@ def _gain(spark, sf):
     return graphs.improvement(ep, q)
 
 
-@query(f"{_GAIN} SELECT influence, parameter, " + ", ".join(f"round(sum({e}), 4) AS {k}" for k, e in _COMBOS.items()) + " FROM w GROUP BY influence, parameter")
+@query(f"{_GAIN} SELECT influence, parameter, " + ", ".join(f"round(sum({e}), 9) AS {k}" for k, e in _COMBOS.items()) + " FROM w GROUP BY influence, parameter")
 def edge_weight_combo(spark, sf):
-    e = ad.insight_edges(spark, sf).join(graphs.edge_frequency(ad.insight_edges(spark, sf)).select("influence", "parameter", "frequency"), ["influence", "parameter"]).join(_gain(spark, sf), "exp_id", "left")
-    return e.groupBy("influence", "parameter").agg(*(r6(F.sum(f(F.col("weight"), F.col("frequency"), F.col("improvement"))), 4).alias(k) for k, f in nm.WEIGHTS.items()))
+    return graphs.weight_totals(ad.insight_edges(spark, sf), _gain(spark, sf)).select("influence", "parameter", *(r6(k, 9).alias(k) for k in nm.WEIGHTS))
 
 
 _METHODS = " UNION ALL ".join(f"SELECT '{m}#{t}' AS method, influence, parameter, round(x, 6) AS weight FROM (SELECT influence, parameter, sum({_COMBOS[m]}) / (SELECT count(*) FROM orders) AS x FROM w GROUP BY ALL) k WHERE x >= (SELECT {a} FROM (SELECT sum({_COMBOS[m]}) / (SELECT count(*) FROM orders) AS x FROM w GROUP BY influence, parameter))" for m in ("confidence", "confidence_frequency", "frequency_improvement") for t, a in (("mean", "avg(x)"), ("q1", "quantile_cont(x, 0.25)")))
@@ -112,17 +111,18 @@ def insight_graph_filter(spark, sf):
     return graphs.filter_insight_graphs(ad.insight_edges(spark, sf), "mean").select("exp_id", "influence", "parameter", r6("weight").alias("weight"))
 
 
-@query(f"{ad.cte('edges')} SELECT influence, parameter, round(avg(CASE WHEN exp_id % 3 - 1 >= 0 AND exp_id % 7 <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS weight FROM edges GROUP BY ALL")
+@query(f"{ad.cte('edges')} SELECT influence, parameter, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS weight FROM edges JOIN orders ON o_orderkey = exp_id GROUP BY ALL")
 def cluster_weight(spark, sf):
-    labels = ad.experiments(spark, sf).where("exp_id % 7 <> 0").select("exp_id", (F.col("exp_id") % 3 - 1).alias("label"))
-    return graphs.cluster_weights(_kg(spark, sf), labels).withColumn("weight", r6("weight"))
+    """Orders of status F are a cluster, those of status O in none, the others unknown."""
+    labels = ad.table(spark, sf, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("exp_id"), F.when(F.col("o_orderstatus") == "F", 0).otherwise(-1).alias("label"))
+    return graphs.cluster_weights(ad.insight_edges(spark, sf), labels).withColumn("weight", r6("weight"))
 
 
 @query(f"{ad.cte('edges', 'params', 'quality')}, i AS (SELECT exp_id, sum(value) AS i FROM params WHERE key IN ('tax', 'discount') GROUP BY exp_id), q AS (SELECT exp_id, sum(value) AS q FROM quality WHERE key <> 'open_status' GROUP BY exp_id) SELECT influence, parameter, round(avg(coalesce(CASE WHEN q <> 0 THEN i / q END, 0)), 8) AS weight FROM edges LEFT JOIN i USING (exp_id) LEFT JOIN q USING (exp_id) GROUP BY ALL")
 def influence_validity(spark, sf):
     i = ad.parameters(spark, sf).where("key in ('tax', 'discount')").groupBy("exp_id").agg(F.sum("value").alias("value"))
     q = ad.qualities(spark, sf).where("key <> 'open_status'").groupBy("exp_id").agg(F.sum("value").alias("value"))
-    return graphs.influence_validity(_kg(spark, sf), i, q).withColumn("weight", r6("weight", 8))
+    return graphs.influence_validity(ad.insight_edges(spark, sf), i, q).withColumn("weight", r6("weight", 8))
 
 
 @query(f"{ad.cte('edges')} SELECT exp_id, count(*) AS n_edges, count(DISTINCT influence) AS n_influences, count(DISTINCT parameter) AS n_parameters, round(sum(weight), 6) AS weight FROM edges GROUP BY exp_id")
@@ -185,10 +185,10 @@ def metric_frames(spark, sf):
     return f.groupBy("frame", "series_id").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
 
 
-@query(ad.cte("exps") + ", k AS (SELECT * FROM exps WHERE exp_id % 4 <> 0) SELECT series_id, array_to_string(list_transform(list_sort(list(exp_id)), lambda x: x::VARCHAR), ',') AS exp_ids FROM k GROUP BY series_id")
+@query(ad.cte("exps") + ", k AS (SELECT * FROM exps WHERE exp_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')) SELECT series_id, array_to_string(list_transform(list_sort(list(exp_id)), lambda x: x::VARCHAR), ',') AS exp_ids FROM k GROUP BY series_id")
 def restrict_series(spark, sf):
     e = ad.experiments(spark, sf)
-    s = experiments.restrict_series(e, e.where("exp_id % 4 <> 0"))
+    s = experiments.restrict_series(e, ad.table(spark, sf, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("exp_id")))
     return s.select("series_id", F.array_join(F.transform("exp_ids", lambda x: x.cast("string")), ",").alias("exp_ids"))
 
 
@@ -214,11 +214,12 @@ def experiment_counts(spark, sf):
     return ad.experiments(spark, sf).agg(F.count("*").alias("n_experiments"), F.countDistinct("series_id").alias("n_series"), r6(F.count("*") / F.countDistinct("series_id")).alias("mean_length"))
 
 
-@query(ad.cte("exps", "params") + """, d AS (SELECT * FROM params WHERE exp_id % 3 <> 0), h AS (SELECT DISTINCT series_id, key FROM d JOIN exps USING (exp_id))
+@query(ad.cte("exps", "params") + """, d AS (SELECT * FROM params WHERE exp_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O')), h AS (SELECT DISTINCT series_id, key FROM d JOIN exps USING (exp_id))
 SELECT e.exp_id, h.key, round(coalesce(d.value, l.value), 6) AS value FROM exps e JOIN h USING (series_id) LEFT JOIN d ON d.exp_id = e.exp_id AND d.key = h.key LEFT JOIN params l ON l.exp_id = e.exp_id AND l.key = h.key""")
 def fill_from_series(spark, sf):
     p = ad.parameters(spark, sf)
-    return experiments.fill_from_series(p.where("exp_id % 3 <> 0"), p, ad.experiments(spark, sf)).withColumn("value", r6("value"))
+    own = p.join(ad.table(spark, sf, "orders").where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("exp_id")), "exp_id", "left_semi")
+    return experiments.fill_from_series(own, p, ad.experiments(spark, sf)).withColumn("value", r6("value"))
 
 
 _EP = ad.cte("exps", "edges", "params", "quality") + """, pe AS (SELECT DISTINCT exp_id, 'returned' AS influence, 'tax' AS parameter FROM edges WHERE influence LIKE 'R%'),
@@ -250,11 +251,6 @@ def bin_histogram_doane(spark, sf):
 
 
 def _pairs(spark, sf):
-    """The relations that the SQL of the rule queries has."""
-    return _all_pairs(spark, sf).where("parameter in ('tax', 'quantity') and influence <> 'open_status'")
-
-
-def _all_pairs(spark, sf):
     p, q = ad.parameters(spark, sf), ad.qualities(spark, sf)
     rel = experiments.relative(p, experiments.previous(ad.experiments(spark, sf)), 1).select("exp_id", F.col("key").alias("parameter"), F.col("value").alias("relative"))
     both = p.select("exp_id", F.col("key").alias("parameter"), "value").join(rel, ["exp_id", "parameter"]).join(q.select("exp_id", F.col("key").alias("influence"), F.col("value").alias("influence_value")), "exp_id")
@@ -265,8 +261,8 @@ def _bins(pairs, n=4):
     return rules.influence_bins(pairs.select("influence", F.col("influence_value").alias("value")).distinct(), bins=n)
 
 
-_PAIRS = ad.cte("exps", "prev", "params", "quality") + """, rel AS (SELECT q.exp_id, q.key, q.value, q.value - o.value AS relative FROM params q JOIN prev p USING (exp_id) LEFT JOIN params o ON o.exp_id = p.prev_id AND o.key = q.key WHERE q.key IN ('tax', 'quantity')),
-pairs AS (SELECT r.exp_id, r.key AS parameter, r.value, r.relative, q.key AS influence, q.value AS iv FROM rel r JOIN quality q USING (exp_id) WHERE q.key <> 'open_status'),
+_PAIRS = ad.cte("exps", "prev", "params", "quality") + """, rel AS (SELECT q.exp_id, q.key, q.value, q.value - o.value AS relative FROM params q JOIN prev p USING (exp_id) LEFT JOIN params o ON o.exp_id = p.prev_id AND o.key = q.key),
+pairs AS (SELECT r.exp_id, r.key AS parameter, r.value, r.relative, q.key AS influence, q.value AS iv FROM rel r JOIN quality q USING (exp_id)),
 bins AS (SELECT influence, min(iv) AS lo, max(iv) AS hi FROM pairs GROUP BY ALL),
 binned AS (SELECT p.*, lo, hi, CASE WHEN iv = hi THEN 4 ELSE len(list_filter(range(0, 5), lambda i: lo + (hi - lo) * i / 4 <= iv)) END AS bin FROM pairs p JOIN bins USING (influence)),
 agg AS (SELECT influence AS condition, bin, parameter, min(lo + (hi - lo) * (bin - 1) / 4) AS cond_lo, min(lo + (hi - lo) * bin / 4) AS cond_hi, avg(value) AS m, stddev_pop(value) AS s, coalesce(avg(relative), 0) AS step, count(*) AS n_values FROM binned GROUP BY ALL)"""
@@ -300,12 +296,12 @@ def rule_fitted(spark, sf):
 
 @query()
 def rule_merged(spark, sf):
-    p = _all_pairs(spark, sf)
+    p = _pairs(spark, sf)
     return _rule_out(rules.merged_rules(p, _bins(p, 8)))
 
 
 def _two_rule_sets(p):
-    r = rules.binned_rules(p, _bins(p)).drop("n_values").cache()  # both sets derive from it
+    r = rules.binned_rules(p, _bins(p)).drop("n_values")
     return r, r.withColumn("step_size", F.col("step_size") * 1.2).withColumn("mean_value", F.col("mean_value") + F.when(F.col("cond_lo") < 0.4, 0.0).otherwise(1e6)).withColumn("action", F.when(F.col("parameter") == "tax", F.col("action")).otherwise("set"))
 
 
@@ -319,16 +315,12 @@ j AS (SELECT a.condition, a.parameter, a.bin AS bin_a, b.bin AS bin_b, a.action
 @query(f"{_RULES2} SELECT condition, parameter, count(*) AS high, count(*) FILTER (mid) AS mid, count(*) FILTER (low) AS low FROM j GROUP BY ALL")
 def rule_equality(spark, sf):
     a, b = _two_rule_sets(_pairs(spark, sf))
-    out = None
-    for level in ("high", "mid", "low"):
-        n = rules.matching_pairs(a, b, level).groupBy(F.col("a.condition").alias("condition"), F.col("a.parameter").alias("parameter")).agg(F.count("*").alias(level))
-        out = n if out is None else out.join(n, ["condition", "parameter"], "left")
-    return out.na.fill(0, ["mid", "low"])
+    return rules.level_flags(a, b).groupBy("a.condition", "a.parameter").agg(*(F.count_if(level).alias(level) for level in ("high", "mid", "low")))
 
 
 @query()
 def rule_metrics(spark, sf):
-    a, b = _two_rule_sets(_all_pairs(spark, sf))
+    a, b = _two_rule_sets(_pairs(spark, sf))
     return rules.evaluate(a, b, "low")
 
 
@@ -341,11 +333,25 @@ def set_metrics(spark, sf):
     return c.select("r", *metric_columns()).select("r", *(r6(x).alias(x) for x in ("jaccard", "f1", "precision", "recall", "js_divergence")))
 
 
-@query(f"{_PAIRS} SELECT 'If you encounter ' || condition || ' in [' || printf('%.2f', cond_lo) || ', ' || printf('%.2f', cond_hi) || '], try to ' || {_ACTION} || ' the parameter ' || parameter || ' by ' || printf('%.2f', abs(step)) AS rule FROM agg WHERE round(step, 9) <> 0 AND abs(step * 100 - floor(step * 100) - 0.5) > 1e-6")
+#: Six places and a little more: no tie at the second place, so both engines print alike.
+_FREE = "CASE WHEN round({x}, 9) = 0 THEN 0 ELSE round({x}, 6) + 1e-7 END"
+
+
+@query(f"""{_PAIRS}, t AS (SELECT condition, parameter, cond_lo, cond_hi, {_ACTION} AS action, {_FREE.format(x='step')} AS step, {_FREE.format(x='m')} AS m, {_FREE.format(x='(m - s)')} AS lo, {_FREE.format(x='(m + s)')} AS hi FROM agg)
+SELECT 'If you encounter ' || condition || ' in [' || printf('%.2f', cond_lo) || ', ' || printf('%.2f', cond_hi) || '], try to ' || action || ' the parameter ' || parameter
+ || CASE WHEN action = 'set' THEN ' to ' || printf('%.2f', m) WHEN step <> 0 THEN ' by ' || printf('%.2f', abs(step)) ELSE ' in range ' || printf('%.2f', lo) || ' to ' || printf('%.2f', hi) END AS rule FROM t""")
 def rule_text(spark, sf):
     p = _pairs(spark, sf)
-    r = rules.binned_rules(p, _bins(p)).where(F.round("step_size", 9) != 0).where(F.abs(F.col("step_size") * 100 - F.floor(F.col("step_size") * 100) - 0.5) > 1e-6)
-    return r.select(tx.rule_text().alias("rule"))
+    r = rules.binned_rules(p, _bins(p))
+    free = {c: F.when(F.round(c, 9) == 0, 0.0).otherwise(F.round(c, 6) + 1e-7) for c in ("step_size", "range_start", "range_end", "quantifier")}
+    return r.withColumns(free).select(tx.rule_text().alias("rule"))
+
+
+@query(f"{_PAIRS} SELECT parameter, condition AS quality, round(m, 4) AS mean, round(cond_lo, 4) AS lo, round(cond_hi, 4) AS hi, round(m, 4) AS value FROM agg")
+def rule_relations(spark, sf):
+    p = _pairs(spark, sf)
+    r = representations.relations_from_rules(rules.binned_rules(p, _bins(p)))
+    return r.select("parameter", "quality", "mean", F.explode("bins").alias("b")).select("parameter", "quality", r6("mean", 4).alias("mean"), *(r6(f"b.{c}", 4).alias(c) for c in ("lo", "hi", "value")))
 
 
 @query("""SELECT o_orderkey AS id, o_orderpriority AS condition, round(o_totalprice % 100, 2) AS cond_lo, 'decrease incrementally' AS action, o_orderstatus AS parameter, -round(o_totalprice % 7, 2) AS step_size FROM orders WHERE round(o_totalprice % 7, 2) > 0""")
@@ -388,6 +394,26 @@ for _n in ("quantified_conditions_w3", "quantified_conditions_w3_with_literal"):
 for _n, _rows in _REPS.items():
     query(f"{_REL} {_u(_rows)}", f"rep_{_n}")(lambda spark, sf, n=_n: representations.encode(ad.relations(spark, sf), n)[1])
 
+_BASE_V = [("quality", "qual_influence", "NULL", "NULL", "r"), ("parameter", "parameter", "NULL", "NULL", "r")]
+_REL_V = [("rel", "pq-relation", "NULL", "NULL", "r")]
+
+
+def _qc_v(parameter):
+    return [("'my-' || tag", "quantified_condition", "NULL", "NULL", "x"), ("'value-' || tag", "quantified_conclusion", "round(v, 6)::VARCHAR", parameter, "x"), ("'start-' || tag", "value", "round(least(lo, hi), 6)::VARCHAR", "NULL", "x"), ("'end-' || tag", "value", "round(greatest(lo, hi), 6)::VARCHAR", "NULL", "x")]
+
+
+def _vertex_rows(name):
+    if name in ("basic", "unquantified"):
+        return _BASE_V
+    if "parameters" in name:
+        return [*_BASE_V, ("m", "value", "m", "NULL" if "w3" in name else "parameter", "r"), *(_REL_V if "w3" in name else [])]
+    return [*_BASE_V, *_REL_V, *_qc_v("parameter"), (_BOTH, "my-ny-relation", "NULL", "NULL", "x")] if "w3" in name else [*_BASE_V, *_qc_v("NULL")]
+
+
+for _n in _REPS:
+    _sql = " UNION ".join(f"SELECT {a} AS name, '{k}' AS type, {lit} AS literal_value, {p} AS corresponding_parameter FROM {t}" for a, k, lit, p, t in _vertex_rows(_n))
+    query(f"{_REL} {_sql}", f"vertices_{_n}")(lambda spark, sf, n=_n: representations.encode(ad.relations(spark, sf), n)[0])
+
 _QCV = f"{_REL}, e AS ({_u(_REPS['quantified_conditions_with_literal'])})"
 
 
@@ -400,7 +426,7 @@ def rep_triples(spark, sf):
 
 def _reach(spark, sf):
     v, e = representations.encode(ad.relations(spark, sf), "quantified_conditions_without_shortcut")
-    starts = v.where("type = 'quality'").select(F.col("name").alias("q"))
+    starts = v.where(F.col("type") == representations.QUALITY).select(F.col("name").alias("q"))
     return v, e, graphs.reach(v, e, starts, graphs.hops("quantified_conditions_without_shortcut"))
 
 
@@ -460,7 +486,7 @@ def ego_graph(spark, sf):
 # ============================================================ embeddings and evaluation
 
 _EMB = ad.cte("edges") + """, kge AS (SELECT DISTINCT influence AS q, influence AS src, parameter AS dst FROM edges), names AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS vid FROM (SELECT DISTINCT src AS name FROM kge UNION SELECT dst FROM kge)),
-emb AS (SELECT name, list_transform(embedding[1:8], lambda x: abs(x::DOUBLE) + 0.1) AS vec FROM names JOIN embeddings ON vec_id = vid)"""
+emb AS (SELECT name, list_transform(embedding, lambda x: abs(x::DOUBLE) + 0.1) AS vec FROM names JOIN embeddings ON vec_id = vid)"""
 _DIST = {"jaccard": "1 - list_sum(list_transform(list_zip({a}, {b}), lambda p: least(p[1], p[2]))) / list_sum(list_transform(list_zip({a}, {b}), lambda p: greatest(p[1], p[2])))", "euclidean": "sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"}
 
 
@@ -469,7 +495,7 @@ def _embedded(spark, sf):
 
     e = ad.insight_edges(spark, sf).select(F.col("influence").alias("q"), F.col("influence").alias("src"), F.col("parameter").alias("dst")).distinct()
     names = e.select(F.col("src").alias("name")).union(e.select("dst")).distinct().withColumn("vid", F.row_number().over(Window.orderBy("name")) - 1)  # vertex names only
-    vec = ad.table(spark, sf, "embeddings").select(F.col("vec_id").alias("vid"), F.transform(F.slice("embedding", 1, 8), lambda x: F.abs(x.cast("double")) + 0.1).alias("vec"))
+    vec = ad.table(spark, sf, "embeddings").select(F.col("vec_id").alias("vid"), F.transform("embedding", lambda x: F.abs(x.cast("double")) + 0.1).alias("vec"))
     return e, names.join(vec, "vid").select("name", "vec")
 
 
@@ -477,20 +503,23 @@ def _members(e):
     return e.select("q", F.col("dst").alias("v")).union(e.select("q", F.col("q").alias("v"))).distinct()
 
 
+def _subgraphs(spark, sf):
+    e, emb = _embedded(spark, sf)
+    return evaluation.subgraph_embedding(e, _members(e), emb)
+
+
 _SUB = f"""{_EMB}, part AS (SELECT q, h.vec AS hv, t.vec AS tv, {_DIST['jaccard'].format(a='h.vec', b='t.vec')} AS d FROM kge JOIN emb h ON src = h.name JOIN emb t ON dst = t.name),
-each AS (SELECT q, i, sum(d * tv[i]) AS x FROM part, range(1, 9) g(i) GROUP BY q, i), n AS (SELECT q, count(DISTINCT dst) AS n FROM kge GROUP BY q), sub AS (SELECT q, list(x / n ORDER BY i) AS vec FROM each JOIN n USING (q) GROUP BY q)"""
+each AS (SELECT q, i, sum(d * tv[i]) AS x FROM part, range(1, 65) g(i) GROUP BY q, i), n AS (SELECT q, count(DISTINCT dst) AS n FROM kge GROUP BY q), sub AS (SELECT q, list(x / n ORDER BY i) AS vec FROM each JOIN n USING (q) GROUP BY q)"""
 
 
-@query(f"{_SUB} SELECT q, i::BIGINT AS i, round(vec[i], 6) AS x FROM sub, range(1, 9) g(i)")
+@query(f"{_SUB} SELECT q, i::BIGINT AS i, round(vec[i], 6) AS x FROM sub, range(1, 65) g(i)")
 def subgraph_embedding(spark, sf):
-    e, emb = _embedded(spark, sf)
-    s = evaluation.subgraph_embedding(e, _members(e), emb)
-    return s.select("q", F.posexplode("vec").alias("i", "x")).select("q", big(F.col("i") + 1).alias("i"), r6("x").alias("x"))
+    return _subgraphs(spark, sf).select("q", F.posexplode("vec").alias("i", "x")).select("q", big(F.col("i") + 1).alias("i"), r6("x").alias("x"))
 
 
 for _n in ("jaccard", "euclidean"):
     query(f"{_SUB} SELECT l.q AS a, r.q AS b, round({_DIST[_n].format(a='l.vec', b='r.vec')}, 6) AS distance FROM sub l JOIN sub r ON l.q <> r.q", f"{_n}_pairs")(
-        lambda spark, sf, n=_n: evaluation.vector_distances(evaluation.subgraph_embedding(_embedded(spark, sf)[0], _members(_embedded(spark, sf)[0]), _embedded(spark, sf)[1]), n).withColumn("distance", r6("distance"))
+        lambda spark, sf, n=_n: evaluation.vector_distances(_subgraphs(spark, sf), n).withColumn("distance", r6("distance"))
     )
 
 _HIT = "hit AS (SELECT DISTINCT influence AS q, parameter FROM edges WHERE weight > 0.08), np AS (SELECT count(DISTINCT parameter) AS n FROM edges), qs AS (SELECT DISTINCT influence AS q FROM edges), sh AS (SELECT l.q AS a, r.q AS b, (SELECT n FROM np) - (SELECT count(*) FROM hit WHERE q = l.q) - (SELECT count(*) FROM hit WHERE q = r.q) + 2 * (SELECT count(*) FROM hit x JOIN hit y USING (parameter) WHERE x.q = l.q AND y.q = r.q) AS shared FROM qs l JOIN qs r ON l.q <> r.q)"
@@ -515,8 +544,7 @@ def topk_neighbours(spark, sf):
 
 @query(f"{_SUB}, {_HIT}, ds AS (SELECT l.q AS a, r.q AS b, {_DIST['euclidean'].format(a='l.vec', b='r.vec')} AS distance FROM sub l JOIN sub r ON l.q <> r.q), ra AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS r FROM sh) WHERE r <= 2), rb AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS r FROM ds) WHERE r <= 2), m AS (SELECT qs.q, count(x.b) AS n FROM qs LEFT JOIN (SELECT ra.a, ra.b FROM ra JOIN rb USING (a, b)) x ON x.a = qs.q GROUP BY qs.q) SELECT 2::BIGINT AS k, round(avg(n), 6) AS matches_mean, round(stddev_samp(n), 6) AS matches_std FROM m")
 def matches_at_k(spark, sf):
-    e, emb = _embedded(spark, sf)
-    d = evaluation.vector_distances(evaluation.subgraph_embedding(e, _members(e), emb), "euclidean")
+    d = evaluation.vector_distances(_subgraphs(spark, sf), "euclidean")
     m = evaluation.matches_at_k(_shared(spark, sf), d, 2)
     return m.select(big("k").alias("k"), r6("matches_mean").alias("matches_mean"), r6("matches_std").alias("matches_std"))
 
@@ -690,7 +718,7 @@ def windowed_edge_totals(spark, sf):
     return incremental.edge_totals(e, "ts", "1 hour", "1 day").withColumn("weight", r6("weight", 4))
 
 
-SMALL = DataSettings(n_experiments=60, parameters=tuple(Named(f"p{i}", 0.0, 255.0) for i in range(8)), qualities=tuple(Named(f"q{i}", 0.0, 10.0) for i in range(4)), correlating_share=0.4, series=(SeriesSettings(), SeriesSettings(kind="trial", share=0.5)), noise=NoiseSettings(0.2, 0.2))
+SMALL = DataSettings(n_experiments=60, parameters=tuple(Named(f"p{i}", 0.0, 255.0) for i in range(8)), qualities=tuple(Named(f"q{i}", 0.0, 10.0) for i in range(4)), correlating_share=0.4, series=(SeriesSettings(), SeriesSettings(kind="trial", share=0.5)), noise=NoiseSettings(0.2))
 #: The sizes of the default settings, with SMALL's series and noise.
 WHOLE = DataSettings(series=SMALL.series, noise=SMALL.noise)
 
@@ -704,7 +732,7 @@ def synth_dataset(spark, sf):
 def synth_knowledge_graph(spark, sf):
     docs = synthesis.to_documents(synthesis.generate(spark, synthesis.make_world(WHOLE)))
     edges = experiments.insight_edges(docs)
-    return graphs.aggregate(edges, docs.agg(F.count("*").alias("n"))).drop("experiments")
+    return graphs.aggregate(edges, docs.agg(F.count("*").alias("n"))).drop("n_experiments", "first_exp")
 
 
 @query()
@@ -772,3 +800,92 @@ def quality_rating(spark, sf):
 @query(ad.cte("quality") + "SELECT exp_id, key, value FROM quality WHERE exp_id = 7")
 def experiment_lookup(spark, sf):
     return lookups.by_experiment(ad.qualities(spark, sf), 7)
+
+
+# ============================================================ documents
+
+_DOC = """WITH li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_suppkey) AS k FROM lineitem),
+d AS (SELECT o.*, li.* FROM orders o LEFT JOIN li ON l_orderkey = o_orderkey),
+rated AS (SELECT o_orderkey AS exp_id, l_quantity / 10 AS blobs, CASE WHEN l_returnflag = 'N' THEN 5.0::DOUBLE ELSE l_tax * 10 END AS warping, CASE WHEN l_returnflag = 'N' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS not_labelable FROM d WHERE l_orderkey IS NOT NULL),
+ratings AS (SELECT exp_id, 'blobs' AS key, avg(blobs) AS value FROM rated GROUP BY ALL UNION ALL SELECT exp_id, 'warping', avg(warping) FROM rated GROUP BY ALL UNION ALL SELECT exp_id, 'not_labelable', avg(not_labelable) FROM rated GROUP BY ALL),
+ins AS (SELECT * FROM d WHERE o_orderstatus <> 'P'),
+inf AS (SELECT o_orderkey AS exp_id, 'env_' || l_returnflag AS key, 'env_influence' AS type, l_quantity AS value, l_linestatus = 'O' AS influential FROM ins WHERE l_orderkey IS NOT NULL
+ UNION ALL SELECT o_orderkey, 'overall_ok', 'qual_influence', o_totalprice, true FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice <> 0
+ UNION ALL SELECT o_orderkey, 'layer_separation', 'qual_influence', l_tax, true FROM ins WHERE k = 1 AND l_tax <> 0),
+ui AS (SELECT o_orderkey AS exp_id, 'ui_' || l_linenumber AS key, l_quantity::INT::VARCHAR AS user_value, round(l_discount * 100)::INT::VARCHAR AS original_value FROM ins WHERE l_orderkey IS NOT NULL AND l_quantity::INT <> round(l_discount * 100)::INT),
+graph AS (SELECT i.exp_id, i.key AS influence, i.type AS influence_type, ui.key AS parameter, CASE WHEN o_orderstatus = 'F' THEN 0.25 ELSE 0.5 END::DOUBLE AS weight FROM inf i JOIN ui USING (exp_id) JOIN orders ON o_orderkey = exp_id WHERE influential),
+params AS (SELECT o_orderkey AS exp_id, 'speed' AS key, CASE WHEN o_orderstatus = 'F' THEN o_totalprice / 2 ELSE o_totalprice END AS value FROM orders UNION ALL SELECT o_orderkey, 'fan', CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END FROM orders)
+"""
+
+
+def _docs(spark, sf):
+    return experiments.fix_not_labelable(ad.documents(spark, sf))
+
+
+@query(f"{_DOC} SELECT exp_id, key, round(value, 6) AS value FROM ratings")
+def doc_ratings(spark, sf):
+    return experiments.ratings_long(_docs(spark, sf)).withColumn("value", r6("value"))
+
+
+@query(f"{_DOC} SELECT o_orderkey AS exp_id, 'humidity' AS key, round(median(l_discount * 100), 6) AS value FROM d WHERE l_orderkey IS NOT NULL GROUP BY 1 UNION ALL SELECT o_orderkey, 'temperature', round(median(l_tax * 100), 6) FROM d WHERE l_orderkey IS NOT NULL GROUP BY 1")
+def doc_measurements(spark, sf):
+    return experiments.measurements_long(_docs(spark, sf)).withColumn("value", r6("value"))
+
+
+@query(f"{_DOC} SELECT exp_id, key, round(value, 6) AS value FROM params")
+def doc_parameters(spark, sf):
+    return experiments.parameters_long(_docs(spark, sf)).select("exp_id", "key", r6(tx.as_number(F.col("value"))).alias("value"))
+
+
+@query(f"{_DOC} SELECT exp_id, key, type, round(value, 6) AS value, influential FROM inf")
+def doc_influences(spark, sf):
+    return experiments.influences_long(_docs(spark, sf), influential_only=False).select("exp_id", "key", "type", r6("value").alias("value"), "influential")
+
+
+@query(f"{_DOC} SELECT exp_id, key, user_value, original_value FROM ui")
+def doc_changed_settings(spark, sf):
+    return experiments.changed_ui(_docs(spark, sf))
+
+
+@query(f"{_DOC} SELECT exp_id, influence, influence_type, parameter, weight FROM graph")
+def doc_insight_edges(spark, sf):
+    return experiments.insight_edges(_docs(spark, sf))
+
+
+@query(f"{_DOC} SELECT influence, parameter, influence_type, round(sum(weight) / (SELECT count(*) FROM orders), 9) AS weight, count(*) AS n_experiments, min(exp_id)::BIGINT AS first_exp FROM graph GROUP BY ALL")
+def doc_knowledge_graph(spark, sf):
+    docs = _docs(spark, sf)
+    return _kg_out(graphs.aggregate(experiments.insight_edges(docs), docs.agg(F.count("*").alias("n"))))
+
+
+@query(f"{_DOC}, i AS (SELECT DISTINCT key AS influence, type AS influence_type FROM inf), p AS (SELECT DISTINCT key AS parameter FROM params) SELECT influence, parameter, influence_type, NULL::DOUBLE AS weight FROM i, p")
+def doc_complete_graph(spark, sf):
+    docs = _docs(spark, sf)
+    i = experiments.influences_long(docs, influential_only=False).select(F.col("key").alias("influence"), F.col("type").alias("influence_type"))
+    return graphs.complete_edges(i, experiments.parameters_long(docs).select(F.col("key").alias("parameter")))
+
+
+@query(f"{_DOC}, l AS (SELECT o_orderkey - 1 AS prev_id, o_orderkey AS exp_id FROM orders WHERE o_orderstatus <> 'P') SELECT prev_id, exp_id FROM l WHERE prev_id IN (SELECT exp_id FROM ratings) AND exp_id IN (SELECT exp_id FROM params)")
+def doc_linked_pairs(spark, sf):
+    docs = _docs(spark, sf)
+    return experiments.complete_pairs(experiments.linked_pairs(docs), experiments.parameters_long(docs), experiments.ratings_long(docs)).select("prev_id", "exp_id")
+
+
+@query(f"{_DOC} SELECT exp_id, key, round((user_value::DOUBLE - original_value::DOUBLE), 6) AS value FROM ui")
+def doc_relative_to_default(spark, sf):
+    return experiments.relative_to_default(experiments.changed_ui(_docs(spark, sf))).withColumn("value", r6("value"))
+
+
+@query("SELECT o_orderkey AS exp_id, o_orderpriority AS printer FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '5-LOW')")
+def doc_filtered(spark, sf):
+    d = experiments.filter_experiments(ad.documents(spark, sf), completed_only=True, with_insights_only=True, include_oneoffs=False, printers=["1-URGENT", "5-LOW"])
+    return d.select("exp_id", "printer")
+
+
+@query(f"""{_DOC}, r AS (SELECT exp_id, max(value) FILTER (key = 'blobs') AS blobs, max(value) FILTER (key = 'warping') AS warping FROM ratings GROUP BY exp_id), m AS (SELECT o_orderkey AS exp_id, median(l_discount * 100) AS humidity, median(l_tax * 100) AS temperature FROM d WHERE l_orderkey IS NOT NULL GROUP BY 1),
+p AS (SELECT exp_id, max(value) FILTER (key = 'speed') AS speed, max(value) FILTER (key = 'fan') AS fan FROM params GROUP BY exp_id)
+SELECT o_orderkey AS exp_id, o_custkey::VARCHAR AS series_id, lower(o_orderstatus) AS material_type, 'lightblue' AS material_color, round(blobs, 6) AS blobs, round(warping, 6) AS warping, round(humidity, 6) AS humidity, round(temperature, 6) AS temperature, round(speed, 6) AS speed, round(fan, 6) AS fan
+FROM orders LEFT JOIN r ON r.exp_id = o_orderkey LEFT JOIN m ON m.exp_id = o_orderkey LEFT JOIN p ON p.exp_id = o_orderkey""")
+def doc_executed_experiments(spark, sf):
+    w = readers.executed_experiments(_docs(spark, sf))
+    return w.select("exp_id", "series_id", "material_type", "material_color", *(r6(c).alias(c) for c in ("blobs", "warping", "humidity", "temperature", "speed", "fan")))

@@ -28,7 +28,8 @@ SQL = {
 
 
 def cte(*names: str) -> str:
-    return "WITH " + ",\n".join(SQL[n] for n in names) + "\n"
+    """Each view is evaluated once, however often it is named."""
+    return "WITH " + ",\n".join(SQL[n].replace(" AS (", " AS MATERIALIZED (", 1) for n in names) + "\n"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,31 @@ def qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(spark, sf_dir, {k: f"case when {e} then 1.0D else 0.0D end" for k, e in QUALITIES.items()})
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as nested experiment documents: line items are its raters,
+    measurements, influences and changed settings (a few per order)."""
+    fields = ("l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("lines"))
+    o = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("lines", F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)))
+    none = lambda t: F.lit(None).cast(t)
+    value = lambda d=None, b=None, t=None: F.struct((none("double") if d is None else d).alias("d"), (none("boolean") if b is None else b).alias("b"), (none("string") if t is None else t).alias("s"))
+    status = F.col("o_orderstatus")
+    whole = lambda c: c.cast("int").cast("string")
+    infl = F.transform("lines", lambda x: F.create_map(F.concat(F.lit("env_"), x["l_returnflag"]), F.struct(value(x["l_quantity"]).alias("value"), (x["l_linestatus"] == "O").alias("influential"))))
+    ui = F.transform("lines", lambda x: F.struct(none("string").alias("label"), whole(x["l_quantity"]).alias("user_value"), F.concat(F.lit("ui_"), x["l_linenumber"].cast("string")).alias("key"), whole(F.round(x["l_discount"] * 100)).alias("original_value"), none("string").alias("extruder"), none("string").alias("category")))
+    rated = lambda v: F.struct(v.alias("value"), F.lit(True).alias("influential"))
+    last = F.array(F.struct((F.col("o_orderkey") - 1).cast("long").alias("experiment_id"), F.create_map(F.lit("overall"), rated(F.col("o_totalprice")), F.lit("layerSeparation"), rated(F.coalesce(F.get("lines", F.lit(0))["l_tax"], F.lit(0.0)))).alias("items")))
+    insights = F.struct(none("string").alias("comment"), none("string").alias("user_id"), F.when(status == "F", 0.25).alias("uncertainty"), infl.alias("influences"), ui.alias("changed_ui_parameters"), last.alias("last_rating_influences"))
+    return o.select(
+        F.col("o_orderkey").cast("long").alias("exp_id"), F.col("o_custkey").cast("string").alias("series_id"), F.col("o_orderpriority").alias("printer"), none("string").alias("stl_file_id"), (status == "P").alias("oneoff"),
+        F.when(status == "O", 0.5).otherwise(1.0).alias("completion"), F.struct(F.lit("light blue").alias("color"), status.alias("type"), F.lit("Some Maker").alias("producer")).alias("material"),
+        F.create_map(F.lit("speed"), value(F.col("o_totalprice")), F.lit("fan"), value(b=status == "O")).alias("all_parameters"), F.when(status == "F", F.create_map(F.lit("speed"), value(F.col("o_totalprice") / 2))).alias("changed_parameters"),
+        F.transform("lines", lambda x: F.struct((x["l_discount"] * 100).alias("humidity"), (x["l_tax"] * 100).alias("temperature"), none("timestamp").alias("time"))).alias("measurements"),
+        F.transform("lines", lambda x: F.create_map(F.lit("blobs"), x["l_quantity"] / 10, F.lit("warping"), x["l_tax"] * 10, F.lit("not_labelable"), (x["l_returnflag"] == "N").cast("double"), F.lit("user_id"), x["l_suppkey"].cast("double"))).alias("ratings"),
+        F.when(status != "P", insights).alias("insights"),
+    )
+
+
 def _line_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
 

@@ -30,13 +30,12 @@ class Named:
 
 @dataclass(frozen=True)
 class NoiseSettings:
-    parameter_share: float = 0.0
-    quality_share: float = 0.0
+    share: float = 0.0  # of the experiments
     mean: float = 0.0
     std_share: float = 0.05
 
     def __post_init__(self):
-        _check(0 <= self.parameter_share <= 1 and 0 <= self.quality_share <= 1 and self.std_share >= 0, "noise shares lie in 0..1")
+        _check(0 <= self.share <= 1 and self.std_share >= 0, "noise shares lie in 0..1")
 
 
 @dataclass(frozen=True)
@@ -45,7 +44,11 @@ class SeriesSettings:
     share: float = 1.0
     max_size: int = 15
     score_threshold: float = 0.05
-    max_trial_length: int = 50
+    max_trial_length: int = 25  # no further parameter is tried from there on
+    one_direction: bool = True  # an improving direction is enough
+    group_size: int = 1  # qualities improved together
+    overlapping: bool = False  # only groups that share a parameter
+    max_steps: int = 100_000  # an expert series that is longer raises
     rating_from: str = "mean"
     initial: str = "worst"
     step_of: str = "definition_range"

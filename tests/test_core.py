@@ -86,14 +86,14 @@ def kg(spark):
 
 def test_graph_aggregation(spark):
     e, g = kg(spark)
-    got = {(r["influence"], r["parameter"]): (r["weight"], r["experiments"]) for r in g.collect()}
-    assert got[("a", "p")] == (pytest.approx(0.3), [1, 2]) and got[("b", "q")] == (pytest.approx(0.05), [2]) and got[("b", "p")][0] is None
+    got = {(r["influence"], r["parameter"]): (r["weight"], r["n_experiments"], r["first_exp"]) for r in g.collect()}
+    assert got[("a", "p")] == (pytest.approx(0.3), 2, 1) and got[("b", "q")] == (pytest.approx(0.05), 1, 2) and got[("b", "p")][0] is None
     assert {(r["influence"], r["parameter"]) for r in graphs.filter_aggregated(g, "mean").collect()} == {("a", "p")}
     kept = graphs.filter_insight_graphs(e, "median")
     assert {(r["exp_id"], r["influence"]) for r in kept.collect()} == {(1, "a"), (2, "a"), (3, "b")}
     assert sorted(r["filtered"] for r in graphs.difference(g, graphs.filter_aggregated(g, "mean")).collect()) == [False, True, True]
     labels = spark.createDataFrame([(1, 0), (2, -1)], "exp_id long, label int")
-    w = {(r["influence"], r["parameter"]): r["weight"] for r in graphs.cluster_weights(g, labels).collect()}
+    w = {(r["influence"], r["parameter"]): r["weight"] for r in graphs.cluster_weights(e, labels).collect()}
     assert w == {("a", "p"): 0.5, ("b", "q"): 0.0, ("b", "p"): 0.0}
     freq = {(r["influence"], r["parameter"]): r["frequency"] for r in graphs.edge_frequency(e).collect()}
     assert freq[("a", "p")] == pytest.approx(2 / 3)
@@ -164,12 +164,64 @@ def test_synthesis_improves(spark):
     rng = np.random.default_rng(0)
     for make in (synthesis.expert_series, synthesis.trial_series):
         s = make(w, (w.qualities_with_expert_knowledge()[0],), configs.SeriesSettings(kind="trial"), rng)
-        assert 1 <= len(s) <= 15
+        assert len(s) >= 2 and (make is synthesis.trial_series or len(s) <= 15)
     a = synthesis.generate(spark, w).collect()
     assert a == synthesis.generate(spark, w).collect()
-    n = synthesis.add_noise(synthesis.generate(spark, w), configs.NoiseSettings(1.0, 0.0), {p.name: 255.0 for p in SMALL.parameters}).collect()
-    assert all(r["qualities"] == s["qualities"] for r, s in zip(sorted(n), sorted(a)))
-    assert any(r["parameters"] != s["parameters"] for r, s in zip(sorted(n), sorted(a)))
+    spans = {p.name: 255.0 for p in SMALL.parameters} | {q.name: 10.0 for q in SMALL.qualities}
+    n = synthesis.add_noise(synthesis.generate(spark, w), configs.NoiseSettings(0.3), spans).collect()
+    moved = [(r, s) for r, s in zip(sorted(n), sorted(a)) if r != s]
+    assert len(n) == len(a) and len(moved) == int(0.3 * len(a))
+    assert all(r["parameters"][k] != s["parameters"][k] for r, s in moved for k in s["parameters"]) and all(r["qualities"][k] != s["qualities"][k] for r, s in moved for k in s["qualities"])
+
+
+def test_slow_series_raise_and_long_ones_lose_even_places():
+    w = synthesis.make_world(SMALL)
+    group = (w.qualities_with_expert_knowledge()[0],)
+    long = [len(synthesis.expert_series(w, group, configs.SeriesSettings(max_size=10_000, score_threshold=0.0), np.random.default_rng(i))) for i in range(5)]
+    assert max(long) > 2
+    with pytest.raises(RuntimeError):
+        for i in range(5):
+            synthesis.expert_series(w, group, configs.SeriesSettings(max_steps=1, score_threshold=0.0), np.random.default_rng(i))
+    assert synthesis.trim(list(range(10)), 7) == [1, 2, 3, 5, 6, 7, 9]  # places 0, 4 and 8
+    assert synthesis.trim(list(range(5)), 4) == [1, 2, 3, 4] and synthesis.trim([1, 2], 5) == [1, 2]
+    learned = set()
+    synthesis.trial_series(w, group, configs.SeriesSettings(kind="trial"), np.random.default_rng(1), learned)
+    assert learned and learned <= set(w.pairs)
+
+
+def test_fit_to_size(spark):
+    sizes = [9, 7, 7, 3, 2, 2, 1]
+    df = spark.createDataFrame([(f"s{i}", k) for i, n in enumerate(sizes) for k in range(n)], "series_id string, pos int")
+    assert synthesis.fit_to_size(df, 31).count() == 31 and synthesis.fit_to_size(df, 100).count() == 31
+    for how in ("cut_first", "cut_last", "cut_random"):
+        got = {}
+        for r in synthesis.fit_to_size(df, 20, how, seed=3).collect():
+            got.setdefault(r["series_id"], []).append(r["pos"])
+        assert sum(map(len, got.values())) == 20
+        whole = {k: sizes[int(k[1:])] for k in got}
+        cut = {k: len(got[k]) for k in got if len(got[k]) < whole[k]}
+        assert not cut or max(map(len, got.values())) - min(cut.values()) <= 1  # only the longest lose
+        for k in cut:
+            assert how == "cut_random" or sorted(got[k]) == (list(range(whole[k] - cut[k], whole[k])) if how == "cut_first" else list(range(cut[k])))
+    whole = synthesis.fit_to_size(df, 15, seed=5).groupBy("series_id").count().collect()
+    assert all(r["count"] == sizes[int(r["series_id"][1:])] for r in whole) and sum(r["count"] for r in whole) >= 15
+
+
+@pytest.mark.parametrize("kind,coeffs", [("linear", (1.0, 0.03)), ("linear", (9.0, -0.03)), ("quadratic", (9.0, -0.06, 1.5e-4)), ("logarithmic", (1.5, 3.0, -1.0, 0.5))])
+def test_relations_of_functions(spark, kind, coeffs):
+    g = synthesis.ScalarFunction(kind, coeffs, (0.0, 255.0), (0.0, 10.0))
+    mean, bins = one(spark, representations.mean_change(g.columns()), representations.sampled_bins(g.columns()))
+    assert mean == pytest.approx(g.mean_change(), abs=1e-6)
+    assert [tuple(b) for b in bins] == [pytest.approx(b, abs=1e-6) for b in g.bins()]
+
+
+def test_relation_of_a_line_by_hand():
+    """q = 0.1 p on 0..100: from rating 10 down to 0 the parameter falls by 10 a
+    step; the three bins end at ratings 10/3 and 20/3 and are sampled at 0, 1, 2,
+    3, at 10/3 ... 19/3 and at 20/3 ... 29/3."""
+    f = synthesis.ScalarFunction("linear", (0.0, 0.1), (0.0, 100.0), (0.0, 10.0))
+    assert f.mean_change() == pytest.approx(-10.0)
+    assert f.bins() == [pytest.approx((0.0, 10 / 3, 15.0)), pytest.approx((10 / 3, 20 / 3, 10 * (10 / 3 + 1.5))), pytest.approx((20 / 3, 10.0, 10 * (20 / 3 + 1.5)))]
 
 
 def test_rules(spark):
@@ -273,7 +325,7 @@ def test_features(spark):
 
 
 def test_settings():
-    s = configs.load('{"data": {"n_experiments": 10, "noise": {"parameter_share": 0.5}, "series": [{"kind": "trial"}]}}')
+    s = configs.load('{"data": {"n_experiments": 10, "noise": {"share": 0.5}, "series": [{"kind": "trial"}]}}')
     assert s.data.n_experiments == 10 and s.data.series[0].kind == "trial"
     for bad in ('{"data": {}, "stored": "x"}', "{}", '{"data": {"oversize": "never"}}', '{"data": {"unknown": 1}}'):
         with pytest.raises(ValueError):
