@@ -126,6 +126,53 @@ def product_score(triples: DataFrame, entities: DataFrame, relations: DataFrame)
     return j.select("h", "r", "t", F.aggregate(d, F.lit(0.0), lambda a, x: a + x).alias("score"))
 
 
+def _with_vectors(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    return triples.join(entities.toDF("h", "hv"), "h").join(relations.toDF("r", "rv"), "r").join(entities.toDF("t", "tv"), "t")
+
+
+def _sum_over(n: Column, term: Callable[[Column], Column]) -> Column:
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda a, i: a + term(i))
+
+
+def complex_score(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """Real part of sum h * r * conj(t); vectors hold real, then imaginary parts."""
+    k = (F.size("hv") / 2).cast("int")
+
+    def term(i):
+        a, b, c, d, e, f = (F.get(v, j) for v in ("hv", "rv", "tv") for j in (i, i + k))
+        return a * c * e + b * c * f + a * d * f - b * d * e
+
+    return _with_vectors(triples, entities, relations).select("h", "r", "t", _sum_over(k, term).alias("score"))
+
+
+def rotation_score(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """-|h turned by r - t|; relations hold angles."""
+    k = F.size("rv")
+
+    def term(i):
+        a, b, e, f = (F.get(v, j) for v in ("hv", "tv") for j in (i, i + k))
+        c, s = F.cos(F.get("rv", i)), F.sin(F.get("rv", i))
+        return F.pow(a * c - b * s - e, 2) + F.pow(a * s + b * c - f, 2)
+
+    return _with_vectors(triples, entities, relations).select("h", "r", "t", (-F.sqrt(_sum_over(k, term))).alias("score"))
+
+
+SCORES = {"TransE": translation_score, "DistMult": product_score, "ComplEx": complex_score, "RotatE": rotation_score}
+
+
+def link_prediction(trained: DataFrame, method: str, train: DataFrame, test: DataFrame) -> DataFrame:
+    """(side, amri, hits_at_k ...) of test triples by the vectors of ``trained``
+    (role, name, vec), for open tails and open heads."""
+    vectors = {role: trained.where(F.col("role") == role).select("name", "vec") for role in ("entity", "relation")}
+    known = train.select("h", "r", "t").union(test.select("h", "r", "t")).distinct()
+    ents = vectors["entity"].select(F.col("name").alias("e"))
+    ranks = None
+    for side in ("tail", "head"):
+        one = link_ranks(test, known, ents, lambda c: SCORES[method](c, vectors["entity"], vectors["relation"]), side)
+        ranks = one if ranks is None else ranks.unionByName(one)
+    return link_metrics(ranks)
+
+
 # ------------------------------------------------------------ bias of a split
 
 

@@ -272,19 +272,29 @@ def test_training_learns():
     h = np.repeat(np.arange(6), 2)
     t = (h + 6) % 12
     r = np.tile([0, 1], 6)
-    for method in ("TransE", "DistMult", "ComplEx", "RotatE"):
+    numbers = np.linspace(0, 1, 12)[:, None]
+    for method in embeddings.METHODS[:-1]:
         s = embeddings.TrainSettings(dim=8, lr=0.02)
-        m0, m = embeddings.Model(method, 12, 2, s), embeddings.train_model(h, r, t, 12, 2, method, 150, s)
+        m0, m = embeddings.Model(method, 12, 2, s, numbers), embeddings.train_model(h, r, t, 12, 2, method, 150, s, numbers)
         wrong = (t + 3) % 12
         gap = lambda k: float((k.score(h, r, t)[0] - k.score(h, r, wrong)[0]).mean())
         assert gap(m) > gap(m0)
 
 
-@pytest.mark.parametrize("method", ["TransE", "DistMult", "ComplEx", "RotatE"])
+@pytest.mark.parametrize("method", embeddings.METHODS[:-1])
 def test_gradients(method):
-    m = embeddings.Model(method, 5, 2, embeddings.TrainSettings(dim=4))
+    m = embeddings.Model(method, 5, 2, embeddings.TrainSettings(dim=4), np.arange(10.0).reshape(5, 2) / 10)
     h, r, t = np.array([1]), np.array([0]), np.array([3])
-    _, gh, gr, gt = m.score(h, r, t)
+    _, gh, gr, gt, extra = m.score_all(h, r, t)
+    for name, g in extra.items():
+        at, g = (m.extra[name][:1], g) if name == "normal" else (m.extra[name], g)
+        for k in np.ndindex(*at.shape):
+            at[k] += 1e-6
+            up = m.score(h, r, t)[0][0]
+            at[k] -= 2e-6
+            down = m.score(h, r, t)[0][0]
+            at[k] += 1e-6
+            assert (up - down) / 2e-6 == pytest.approx(g[k], abs=1e-4), name
     for matrix, row, g in ((m.ent, 1, gh), (m.rel, 0, gr), (m.ent, 3, gt)):
         for k in range(matrix.shape[1]):
             matrix[row, k] += 1e-6
@@ -295,6 +305,26 @@ def test_gradients(method):
             assert (up - down) / 2e-6 == pytest.approx(g[0, k], abs=1e-4)
 
 
+def test_link_prediction_by_trained_vectors(spark):
+    rows = [("g", f"a{i}", r, f"b{(i + k) % 6}") for i in range(6) for k, r in enumerate(("p", "q"))]
+    t = spark.createDataFrame(rows, "kg_type string, h string, r string, t string")
+    for method, score in evaluation.SCORES.items():
+        trained = embeddings.train(t, method, 20, embeddings.TrainSettings(dim=6, lr=0.02)).cache()
+        m = {(r["role"], r["name"]): np.array(r["vec"]) for r in trained.collect()}
+        model = embeddings.Model(method, 2, 1, embeddings.TrainSettings(dim=6))
+        entity, relation = (trained.where(F.col("role") == k).select("name", "vec") for k in ("entity", "relation"))
+        for r in score(t.limit(3), entity, relation).collect():
+            model.ent, model.rel = np.stack((m["entity", r["h"]], m["entity", r["t"]])), m["relation", r["r"]][None]
+            assert r["score"] == pytest.approx(float(model.score(np.array([0]), np.array([0]), np.array([1]))[0][0]))
+    got = {r["side"]: r for r in evaluation.link_prediction(trained, method, t.where("h <> 'a0'"), t.where("h = 'a0'")).collect()}
+    assert set(got) == {"tail", "head"} and all(-1 <= r["amri"] <= 1 and 0 <= r["hits_at_10"] <= 1 for r in got.values())
+    numbers = spark.createDataFrame([("g", "a1", "x", 1.0), ("g", "a2", "x", 3.0), ("g", "zz", "x", 9.0)], "kg_type string, h string, r string, value double")
+    for method in embeddings.LITERAL:
+        assert embeddings.train(t, method, 2, embeddings.TrainSettings(dim=4), literals=numbers).count() == 14
+    words = embeddings.rdf2vec(t.withColumnsRenamed({"h": "src", "r": "rel", "t": "dst"}), dim=5, epochs=2)
+    assert {len(r["vec"]) for r in words.collect()} == {5} and words.count() == 14
+
+
 def test_clustering(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate((rng.normal(0, 0.1, (20, 2)), rng.normal(5, 0.1, (20, 2)), rng.uniform(-40, 40, (4, 2))))
