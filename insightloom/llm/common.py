@@ -25,10 +25,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder in the cluster's shared checkpoint directory.
 
     ``spark.checkpoint.dir`` is read from the session.  Only where it is unset
-    (local tests) a folder of our own is configured.
+    and the master is local (tests) a folder of our own is configured.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: the executors need a shared folder")
         root = "file://" + tempfile.mkdtemp(prefix="loom-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
