@@ -6,15 +6,19 @@ compared to each profile by the out-of-place distance: the sum of rank
 differences, with a fixed penalty for n-grams that the profile lacks.
 
 Training reads a bounded sample: at most ``max_docs`` labelled documents a
-language, those with the smallest hash of their id.  n-gram counts of the
-sample are summed in the cluster; only ``profile_size`` n-grams a language come
-to the driver.  Predictions read every whole text.
+language, those with the smallest hash of their id.  A first count by language
+tells below which hash they lie, so that no more than a few times the sample is
+ever moved, however large a language is.  n-gram counts of the sample are summed
+in the cluster; only ``profile_size`` n-grams a language come to the driver.
+Predictions read every whole text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0,
 as is every text if nothing was learned.  Ties in distance go to the
 alphabetically first language, ties in frequency to the smaller n-gram.  Rows
-with a null label, id or text are not learned from.  Repeated rows are judged
-one by one; only the named columns are read.
+with a null label, id or text are not learned from.  Texts of any length are
+read whole, in batches of bounded size.  Repeated rows are judged one by one;
+only the named columns are read, whatever others are called.  Empty tables give
+empty results and, as training tables, no language.
 """
 
 from __future__ import annotations
@@ -106,13 +110,32 @@ class Profiles:
         return self.langs[best], float(1 - away[best] / (penalty * len(mine)))
 
 
+def _lowest(named: DataFrame, most: int) -> DataFrame:
+    """Rows among which are the ``most`` of least hash ``h`` of each language.
+    Hashes are spread evenly, so about four times as many are asked for; where
+    repeated ids leave too few, more are."""
+    have = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = {lang: 4 * most / n for lang, n in have.items()}
+    while True:
+        wide = sorted(lang for lang in have if share[lang] < 1)
+        if not wide:
+            return named
+        bound = F.create_map(*(F.lit(x) for lang in wide for x in (lang, int(share[lang] * 2**64) - 2**63)))
+        low = named.where(F.coalesce(F.col("h") < F.try_element_at(bound, F.col("lang")), F.lit(True)))
+        got = {r["lang"]: r["n"] for r in low.where(F.col("lang").isin(wide)).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        few = [lang for lang in wide if got.get(lang, 0) < most]
+        if not few:
+            return low
+        share |= {lang: 8 * share[lang] for lang in few}
+
+
 def train(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: ProfileSettings = ProfileSettings()) -> Profiles:
     """Profiles from the rows where ``learn_from`` holds."""
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), learn_from.alias("ok"))
     named = named.where(F.col("ok") & F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy("h", "id", F.xxhash64("text"))
     # the rank filter is applied before the shuffle as well (window group limit)
-    sample = named.withColumn("r", F.row_number().over(order)).where(F.col("r") <= settings.max_docs).select("lang", "text")
+    sample = _lowest(named.withColumn("h", F.xxhash64("id")), settings.max_docs).withColumn("r", F.row_number().over(order)).where(F.col("r") <= settings.max_docs).select("lang", "text")
 
     def count(batches):
         for b in by_bytes(batches, "text"):

@@ -8,7 +8,8 @@ taken.  The resulting identifier sequence is matched against ordered rules; the
 first rule that fits names the licence.
 
 Defined cases: null and empty texts give an empty sequence and a null licence.
-Repeated sentences stay in the sequence.  Repeated rows are scanned one by one;
+Texts of any length are scanned whole.  Where several rules fit, the first one
+names the licence.  Repeated sentences stay in the sequence.  Repeated rows are scanned one by one;
 further columns are not read.  Empty tables give empty results.
 """
 
@@ -40,7 +41,6 @@ _MIT_NOTICE = "the above copyright notice and this permission notice shall be in
 _BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
 _BSD_SOURCE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
 _GPL = "you can redistribute it and or modify it under the terms of the gnu general public license"
-_GPL_BY = _GPL + " as published by the free software foundation"
 _LATER = "of the license or at your option any later version"
 _PROMOTE = "be used to endorse or promote products derived from this software without specific prior written permission"
 _BSD_BINARY = "# redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
@@ -85,21 +85,48 @@ NOTICES = {
     "you may obtain a copy of the license at " + _APACHE_URL.replace("http", "https"): "APACHE2_COPY",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "APACHE2_AS_IS",
     "see the license for the specific language governing permissions and limitations under the license": "APACHE2_LIMITS",
-    _GPL_BY: "GPL_TERMS",
-    "* is free software " + _GPL_BY: "GPL_TERMS",
-    "gnu general public license version 3 29 june 2007": "GPL3_TITLE",
-    "gnu general public license version 2 june 1991": "GPL2_TITLE",
     "this program is distributed in the hope that it will be useful but without any warranty": "GPL_HOPE",
     "without even the implied warranty of merchantability or fitness for a particular purpose": "GPL_IMPLIED",
-    "see the gnu general public license for more details": "GPL_DETAILS",
     "you should have received a copy of the gnu general public license along with this program": "GPL_COPY",
     "you should have received a copy of the gnu general public license " + _AT_GNU: "GPL_COPY",
     "you should have received a copy of the gnu general public license " + _AT_GNU.replace("http", "https"): "GPL_COPY",
 }
-for _v in "23":
-    for _end in (f"version {_v} {_LATER}", f"version {_v} or at your option any later version", f"version {_v} of the license", f"version {_v}"):
-        NOTICES |= {f"{a}{_GPL_BY} ; {b}{_end}": f"GPL{_v}_GRANT" for a in ("", "* is free software ") for b in ("", "either ")}
-    NOTICES |= {f"{a}{_GPL} version {_v} as published by the free software foundation": f"GPL{_v}_GRANT" for a in ("", "* is free software ")}
+_ISC = "permission to use copy modify and %s this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+NOTICES |= {
+    _ISC % "or distribute": "ISC_PERMISSION",
+    _ISC % "distribute": "ISC_PERMISSION",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "ISC_WARRANTY",
+    "the software is provided as is and * disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "ISC_WARRANTY",
+    "mozilla public license version 2 0": "MPL2_TITLE",
+    "this source code form is subject to the terms of the mozilla public license v ; 2 0": "MPL2_GRANT",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "MPL2_COPY",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "MPL2_COPY",
+    "this is free and unencumbered software released into the public domain": "UNLICENSE_GRANT",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "UNLICENSE_ANYONE",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZLIB_PERMISSION",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "BSL1_PERMISSION",
+    "boost software license version 1 0 august 17th 2003": "BSL1_TITLE",
+    "distributed under the boost software license version 1 0": "BSL1_GRANT",
+}
+for _kind, _name in (("attribution", "CC_BY4"), ("attribution sharealike", "CC_BY_SA4"), ("attribution noncommercial", "CC_BY_NC4"), ("attribution noncommercial sharealike", "CC_BY_NC_SA4"), ("attribution noderivatives", "CC_BY_ND4")):
+    NOTICES |= {f"{_lead} creative commons {_kind} 4 0 international license": f"{_name}_GRANT" for _lead in ("this work is licensed under a", "this work is licensed under the", "licensed under a", "licensed under the")}
+
+#: Identifier of each general public licence -> its name, versions and titles' dates.
+GNU = {
+    "GPL": ("gnu general public license", {"2": "june 1991", "3": "29 june 2007"}),
+    "LGPL": ("gnu lesser general public license", {"2 1": "february 1999", "3": "29 june 2007"}),
+    "AGPL": ("gnu affero general public license", {"3": "19 november 2007"}),
+}
+for _id, (_name, _versions) in GNU.items():
+    _terms = _GPL.replace("gnu general public license", _name)
+    _by = _terms + " as published by the free software foundation"
+    NOTICES |= {_by: f"{_id}_TERMS", "* is free software " + _by: f"{_id}_TERMS", f"see the {_name} for more details": f"{_id}_DETAILS"}
+    for _v, _date in _versions.items():
+        _tag = _id + _v.replace(" ", "")
+        NOTICES[f"{_name} version {_v} {_date}"] = f"{_tag}_TITLE"
+        for _end in (f"version {_v} {_LATER}", f"version {_v} or at your option any later version", f"version {_v} of the license", f"version {_v}"):
+            NOTICES |= {f"{x}{_by} ; {y}{_end}": f"{_tag}_GRANT" for x in ("", "* is free software ") for y in ("", "either ")}
+        NOTICES |= {f"{x}{_terms} version {_v} as published by the free software foundation": f"{_tag}_GRANT" for x in ("", "* is free software ")}
 
 #: (licence, pattern over the identifiers joined and framed by one space); order decides.
 RULES = (
@@ -118,10 +145,21 @@ RULES = (
 NOTICE_RULES = (
     ("BSD-4-Clause", " BSD_SOURCE (.* )?BSD_BINARY (.* )?BSD_ADVERT (.* )?BSD_NAME "),
     *RULES[:2],
+    ("AGPL-3.0", " AGPL3_(TITLE|GRANT) "),
+    ("LGPL-3.0", " LGPL3_(TITLE|GRANT) "),
+    ("LGPL-2.1", " LGPL21_(TITLE|GRANT) "),
     ("GPL-3.0", " GPL3_TITLE "),
     ("GPL-2.0", " GPL2_TITLE "),
     ("Apache-2.0", " APACHE2_TITLE "),
+    ("MPL-2.0", " MPL2_(TITLE|GRANT) "),
     *RULES[2:-1],
+    ("CC-BY-SA-4.0", " CC_BY_SA4_GRANT "),
+    ("CC-BY-NC-SA-4.0", " CC_BY_NC_SA4_GRANT "),
+    ("CC-BY-ND-4.0", " CC_BY_ND4_GRANT "),
+    ("ISC", " ISC_PERMISSION "),
+    ("BSL-1.0", " BSL1_(TITLE|GRANT|PERMISSION) "),
+    ("Zlib", " ZLIB_PERMISSION "),
+    ("Unlicense", " UNLICENSE_GRANT "),
     ("BSD", " (BSD_GRANT|BSD_STYLE) "),
     RULES[-1],
 )

@@ -6,6 +6,20 @@ from . import license_scan, quality_rules, url_rules
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
+_LOW = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+OP2 = rf"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {_LOW} AS ws FROM documents),
+g AS (SELECT DISTINCT r, array_to_string(ws[s : s + k - 1], ' ') AS g FROM (SELECT r, ws, least(5, len(ws)) AS k, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS s FROM w WHERE len(ws) > 0)),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+reach AS (SELECT r AS x, r AS y FROM w UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+c AS (SELECT x AS r, min(doc_id) AS component_id, count(*) AS component_size FROM reach JOIN w ON w.r = y GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, component_size::BIGINT AS component_size FROM w JOIN c USING (r) LEFT JOIN n USING (r)
+"""
+
 OP3 = rf"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
 win AS (SELECT r, doc_id, unnest(range(1, greatest(len(ws) - 11, 1))) AS s, ws FROM w WHERE doc_id IS NOT NULL),
@@ -97,6 +111,6 @@ SELECT doc_id, coalesce(array_to_string(list_transform(item_ids, lambda x: x::VA
 """
 
 ORACLES = {
-    "op3_substring_dedup": OP3, "op4_chat_snapshots": OP4, "op5_license_scan": _op5(),
+    "op2_ngram_join": OP2, "op3_substring_dedup": OP3, "op4_chat_snapshots": OP4, "op5_license_scan": _op5(),
     "op6_quality_rules": _op6(), "op7_url_rules": _op7(), "op10_decontaminate": OP10,
 }

@@ -152,7 +152,7 @@ def test_longest_match_counts():
 def test_token_counts_table(spark):
     vocab = set(token_counts.byte_level_pieces(public_tokenizers.path("byte_bpe_50k.json")))
     memo: dict = {}
-    for r in queries.op9_token_counts(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), "doc_id").limit(60).collect():
+    for r in queries.op9_token_counts(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), "doc_id").collect():
         n = [memo.setdefault(w, greedy(b" " + w.encode(), vocab)) for w in WORD.findall(r["text"] or "")]
         assert (r["n_words"], r["n_tokens"], r["max_word_tokens"]) == (len(n), sum(n), max(n, default=0))
 
@@ -188,13 +188,89 @@ def test_decontaminate_edges(spark):
     rows = edge_rows()
     items = [(1, rows[4][1]), (2, rows[4][1]), (3, None), (4, ""), (5, "w1 w2"), (6, "W3"), (None, "w4"), (7, rows[7][1][:4000]), (8, "never seen words at all here")]
     bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
-    for mb in (8.0, 0.0005):
-        got = Counter((r["doc_id"], tuple(r["item_ids"])) for r in decontaminate.find_contamination(docs(spark, rows), bench, block_mb=mb).collect())
+    for bits in (1 << 26, 64):  # 64: every key passes the filter
+        got = Counter((r["doc_id"], tuple(r["item_ids"])) for r in decontaminate.find_contamination(docs(spark, rows), bench, filter_bits=bits).collect())
         assert got == brute_contamination(rows, items)
+    named = docs(spark, rows).withColumn("fp", F.lit("mine")).withColumn("item", F.lit(3))
+    assert {tuple(r) for r in decontaminate.keep_clean(named, bench).select("fp", "item").collect()} == {("mine", 3)}
+    assert decontaminate.keep_clean(named, bench.limit(0)).count() == len(rows) and decontaminate.keep_clean(named.limit(0), bench).count() == 0
     clean = decontaminate.keep_clean(docs(spark, rows).drop("extra"), bench)
     assert Counter(r["doc_id"] for r in clean.collect()) == Counter(d for (d, hits), n in got.items() for _ in range(n) if not hits)
 
 
+def test_decontaminate_recall_of_scattered_items(spark):
+    """Items of which three quarters or a little more are spread over long documents."""
+    rng = np.random.default_rng(11)
+    vocab = [f"v{i}" for i in range(5000)]
+    items, rows = [], []
+    for i in range(60):
+        n = int(rng.integers(8, 120))
+        words = list(rng.choice(vocab, n))
+        items.append((i, " ".join(words)))
+        grams = [words[j : j + 5] for j in range(n - 4)]
+        take = rng.permutation(len(grams))[: -(-3 * len(grams) // 4)]
+        out: list = []
+        for j in take.tolist():
+            out += [*rng.choice(vocab, int(rng.integers(20, 60))), *grams[j]]
+        rows.append((i, " ".join(out)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_contamination(rows, items)
+    assert sum(len(hits) for _, hits in want) >= 60
+    got = Counter((r["doc_id"], tuple(r["item_ids"])) for r in decontaminate.find_contamination(docs(spark, rows), bench).collect())
+    assert got == want  # recall 1 here; at least 0.9 is asked for
+
+
+def plain_language(rows, learn, top=400, most=1000):
+    """Out-of-place distance in plain Python.  rows: (id, text, lang)."""
+
+    def counts(text):
+        flat = "".join(c if c.isalpha() else " " for c in text.lower())
+        flat = " " + " ".join(flat.split(" ")).strip() + " " if flat.strip() else ""
+        flat = re.sub(" +", " ", flat)
+        return Counter(flat.replace(" ", "")) + Counter(flat[i : i + n] for n in (2, 3) for i in range(len(flat) - n + 1))
+
+    def ranked(c):
+        return sorted(c, key=lambda g: (-c[g], [len(g), *map(ord, g)]))[:top]
+
+    return counts, ranked
+
+
+def test_language_id_against_plain_python(spark):
+    """Every prediction and score of the table from profiles of all its training
+    rows (fewer than the bound of the sample)."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    counts, ranked = plain_language(rows, held)
+    total = defaultdict(Counter)
+    for i, text, lang in rows:
+        if lang is not None and text and not held(i):
+            total[lang].update(counts(text))
+    profiles = {lang: {g: r for r, g in enumerate(ranked(c))} for lang, c in total.items()}
+    got = {r["doc_id"]: r for r in queries.op1_language_id(spark, SF).collect()}
+    assert len(got) == len({r[0] for r in rows})
+    for i, text, _ in rows:
+        c = counts(text or "")
+        assert got[i]["held_out"] == held(i)
+        if not c:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        mine = ranked(c)
+        away = {lang: sum(abs(p[g] - r) if g in p else 400 for r, g in enumerate(mine)) for lang, p in profiles.items()}
+        best = min(sorted(away), key=away.get)
+        assert (got[i]["lang_pred"], got[i]["score"]) == (best, pytest.approx(1 - away[best] / (400 * len(mine)))), (i, away)
+
+
+def test_language_sample_is_the_least_by_hash(spark):
+    n = 3000
+    d = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") < 2900, "hot").otherwise("rare").alias("lang"))
+    low = language_id._lowest(d.select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h")), 50)
+    want = {r["doc_id"] for r in d.where("lang = 'hot'").orderBy(F.xxhash64("doc_id")).limit(50).collect()}
+    got = low.where("lang = 'hot'").collect()
+    assert want <= {r["doc_id"] for r in got} and len(got) < 400 and low.where("lang = 'rare'").count() >= 50
+    same = d.withColumn("doc_id", F.lit(7)).select("doc_id", "text", "lang", F.xxhash64(F.lit(7)).alias("h"))
+    assert language_id._lowest(same, 50).where("lang = 'hot'").count() >= 50
+
+
 def test_language_id(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", F.length("text").alias("n"))
     got = queries.op1_language_id(spark, "/root/testdata/sf0.01").join(table, "doc_id").where("held_out").collect()
@@ -319,6 +395,10 @@ Unless required by applicable law or agreed to in writing, software distributed
 GPL = """%s is free software%s you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation%s either version %s of the License, or (at your option) any later version.
 
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 APACHE_IDS = "APACHE2_GRANT APACHE2_COMPLY APACHE2_COPY APACHE2_AS_IS APACHE2_LIMITS"
 GPL_IDS = "GPL_HOPE GPL_IMPLIED GPL_DETAILS"
 BSD_IDS = "RESERVED BSD_GRANT BSD_SOURCE BSD_BINARY %sBSD_WARRANTY"
@@ -337,6 +417,12 @@ def test_license_whole_notices(spark):
         (GPL % ("This program", ":", ",", 3), "GPL-3.0", "GPL3_GRANT " + GPL_IDS),
         (GPL % ("Some Tool", ";", ";", 2), "GPL-2.0", "GPL2_GRANT " + GPL_IDS),
         (GPL % ("This program", ";", ";", 2), "GPL-2.0", "FREE_SOFTWARE GPL2_GRANT " + GPL_IDS),
+        (GPL.replace("General", "Lesser General") % ("This library", ";", ";", "2.1"), "LGPL-2.1", "LGPL21_GRANT " + GPL_IDS.replace("GPL_D", "LGPL_D")),
+        (GPL.replace("General", "Affero General") % ("This program", ":", ",", 3), "AGPL-3.0", "AGPL3_GRANT " + GPL_IDS.replace("GPL_D", "AGPL_D")),
+        (ISC, "ISC", "ISC_PERMISSION ISC_WARRANTY"),
+        (MPL, "MPL-2.0", "MPL2_GRANT MPL2_COPY"),
+        ("This is free and unencumbered software released into the public domain.\n\nMore text.", "Unlicense", "UNLICENSE_GRANT"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0", "CC_BY_SA4_GRANT"),
         (own + "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "BSD", "RESERVED BSD_STYLE"),
         (own + "A heading\nReleased under the MIT License", "MIT", "RESERVED MIT_GRANT"),
         (own, "Proprietary", "RESERVED"),
