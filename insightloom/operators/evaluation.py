@@ -91,19 +91,26 @@ def link_ranks(test: DataFrame, known: DataFrame, entities: DataFrame, score: Ca
     among all entities in the open place, known triples left out.
 
     ``score`` adds a column ``score`` to a table of triples.  Test triples are
-    the stated queries; each meets every entity once.
+    the stated queries; each meets every entity once.  The product of queries
+    and entities is counted as it is; what the known triples among it add to
+    the counts is taken off again, so it is never joined with them.
     """
     fixed, open_ = (["h", "r"], "t") if side == "tail" else (["r", "t"], "h")
-    queries = test.select("h", "r", "t").distinct()
-    cand = queries.select(*fixed).distinct().crossJoin(entities.select(F.col("e").alias(open_)))
-    scored = score(cand)
-    truth = queries.join(scored, ["h", "r", "t"]).select("h", "r", "t", F.col("score").alias("truth"))
-    others = scored.join(known.select("h", "r", "t").distinct(), ["h", "r", "t"], "left_anti").join(queries, ["h", "r", "t"], "left_anti")
-    rival = others.select(*fixed, "score").withColumnRenamed("score", "other")
-    j = truth.join(rival, fixed, "left")
-    n = F.count("other")
-    better, equal = F.count_if(F.col("other") > F.col("truth")), F.count_if(F.col("other") == F.col("truth"))
-    return j.groupBy("h", "r", "t").agg((better + 1 + equal / 2).alias("rank"), (n + 1).alias("candidates")).withColumn("side", F.lit(side))
+    ents = entities.select(F.col("e").alias(open_)).distinct()
+    queries = test.select("h", "r", "t").distinct().join(ents, open_, "left_semi").select("h", "r", "t")
+    truth = score(queries).select("h", "r", "t", F.col("score").alias("truth"))
+
+    def counts(rivals: DataFrame, tag: str) -> DataFrame:
+        other = score(rivals).select(*fixed, F.col(open_).alias("rival"), F.col("score").alias("other"))
+        j = truth.join(other, fixed).where(F.col("rival") != F.col(open_))
+        return j.groupBy("h", "r", "t").agg(F.count_if(F.col("other") > F.col("truth")).alias(f"better{tag}"), F.count_if(F.col("other") == F.col("truth")).alias(f"equal{tag}"), F.count("other").alias(f"n{tag}"))
+
+    places = queries.select(*fixed).distinct()
+    every = counts(places.crossJoin(ents).select("h", "r", "t"), "")
+    held = known.select("h", "r", "t").union(queries).distinct().join(places, fixed, "left_semi").join(ents, open_, "left_semi").select("h", "r", "t")
+    out = truth.join(every, ["h", "r", "t"], "left").join(counts(held, "_k"), ["h", "r", "t"], "left").na.fill(0, ["better", "equal", "n", "better_k", "equal_k", "n_k"])
+    rank = F.col("better") - F.col("better_k") + 1 + (F.col("equal") - F.col("equal_k")) / 2
+    return out.select("h", "r", "t", rank.alias("rank"), (F.col("n") - F.col("n_k") + 1).alias("candidates"), F.lit(side).alias("side"))
 
 
 def link_metrics(ranks: DataFrame, ks: tuple = (1, 5, 10)) -> DataFrame:

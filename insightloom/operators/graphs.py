@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import THRESHOLDS, WEIGHTS
-from .storage import materialise
+from .storage import materialise, quantile
 
 # ------------------------------------------------------------ aggregation
 
@@ -102,6 +102,9 @@ def influence_validity(edges: DataFrame, influence_sum: DataFrame, quality_sum:
 # ------------------------------------------------------------ filters
 
 
+QUANTILES = {"median": 0.5, "q1": 0.25}
+
+
 def threshold(weights: DataFrame, how: str | Callable[[Column], Column]) -> DataFrame:
     """One row with column t; NULL and NaN weights are left out."""
     agg = THRESHOLDS[how] if isinstance(how, str) else how
@@ -114,7 +117,11 @@ def filter_aggregated(kg: DataFrame, how: str | Callable[[Column], Column]) -> D
 
 
 def filter_insight_graphs(edges: DataFrame, how: str | Callable[[Column], Column]) -> DataFrame:
-    """Edges of the insight graphs below the threshold go; NULL weights stay."""
+    """Edges of the insight graphs below the threshold go; NULL weights stay.
+    There are as many weights as rows, so quantiles are found by counting."""
+    if how in QUANTILES:
+        t = quantile(edges.where(~F.isnan("weight")), "weight", QUANTILES[how])
+        return edges.where(F.col("weight").isNull() | (F.col("weight") >= F.lit(t)))
     return edges.crossJoin(F.broadcast(threshold(edges, how))).where(F.col("weight").isNull() | (F.col("weight") >= F.col("t"))).drop("t")
 
 

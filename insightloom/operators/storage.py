@@ -51,6 +51,32 @@ def first_until(df: DataFrame, amount: str, total: float, keys: list, seed: int
     return rows.where(F.col("bucket_") < cut).unionByName(last).drop("hash_", "bucket_")
 
 
+def quantile(df: DataFrame, column: str, share: float, buckets: int = 4096) -> float | None:
+    """The exact, interpolated quantile.  Each pass counts a fixed number of
+    buckets and goes on with the one that holds the place looked for, so no task
+    ever holds all values."""
+    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    n = x.count()
+    if not n:
+        return None
+
+    def at(place: int) -> float:
+        low, high, below = *x.agg(F.min("x"), F.max("x")).first(), 0
+        while low < high:
+            b = F.least(F.floor((F.col("x") - low) / (high - low) * buckets), F.lit(buckets - 1))
+            inside = x.where(F.col("x").between(low, high))
+            for r in sorted(inside.groupBy(b.alias("b")).agg(F.count("*").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()):
+                if below + r["c"] > place:
+                    low, high = r["lo"], r["hi"]
+                    break
+                below += r["c"]
+        return low
+
+    first = int(share * (n - 1))
+    part = share * (n - 1) - first
+    return at(first) if not part else at(first) * (1 - part) + at(first + 1) * part
+
+
 def sample_of(df: DataFrame, n: int, keys: list, seed: int = 0) -> DataFrame:
     """``n`` rows, those that come first in seeded hash order (all, if fewer)."""
     if n <= 0:

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from insightloom.functions import numeric as nm
 from insightloom.functions import text as tx
-from insightloom.operators import clustering, embeddings, evaluation, experiments, features, graphs, representations, rules, synthesis
+from insightloom.operators import clustering, embeddings, evaluation, experiments, features, graphs, representations, rules, storage, synthesis
 from insightloom.plans import catalogue
 from insightloom.plans.catalogue import SMALL
 from insightloom.sources import adapters as ad
 from insightloom.sources import configs, readers, writers
+from insightloom.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
 
@@ -325,6 +326,26 @@ def test_link_prediction_by_trained_vectors(spark):
     assert {len(r["vec"]) for r in words.collect()} == {5} and words.count() == 14
 
 
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=501), np.round(rng.normal(size=400), 1), np.array([3.0]), np.array([1.0, 1.0, 1e9, 2.0])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "w double")
+        for share in (0.25, 0.5, 0.9):
+            assert storage.quantile(df, "w", share, 8) == pytest.approx(float(np.quantile(x, share)))
+    assert storage.quantile(df.limit(0), "w", 0.5) is None
+    n = storage.sample_of(spark.range(1000), 137, ["id"], 5)
+    assert n.count() == 137 and sorted(n.collect()) == sorted(storage.sample_of(spark.range(1000).repartition(7), 137, ["id"], 5).collect())
+
+
+def test_stream_to_a_folder(spark, tmp_path):
+    e = spark.createDataFrame(EDGES, "exp_id long, influence string, influence_type string, parameter string, weight double")
+    e.write.parquet(str(tmp_path / "in"))
+    q = incremental.start(incremental.edge_totals(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))), "to_folder", folder=str(tmp_path / "out"))
+    q.awaitTermination()
+    got = {(r["influence"], r["parameter"]): (r["weight"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("a", "p"): (pytest.approx(1.2), 2), ("b", "q"): (0.2, 1), ("b", "p"): (None, 1)}
+
+
 def test_clustering(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate((rng.normal(0, 0.1, (20, 2)), rng.normal(5, 0.1, (20, 2)), rng.uniform(-40, 40, (4, 2))))
