@@ -13,7 +13,11 @@ which need no padding.
 in the lower 40.  Workers see a scan's rows in file order, so a repeated task
 packs alike.
 
-Defined cases: a null or empty text is its closing id alone.  Very long texts
+Documents are cut to class sizes rather than padded: a piece of its own for every
+rest costs a few rows more, and saves the padding of classes that are not full.
+
+Defined cases: empty tables give empty results; of equally long rests the one
+that came last is placed first.  A null or empty text is its closing id alone.  Very long texts
 are cut over as many sequences as they need.  Repeated rows are packed one by
 one; a null doc_id is carried.  Extra columns are not read.
 """

@@ -8,7 +8,8 @@ are computed over the whole text beside it.
 
 Defined cases: a null or empty text has no words, so ``base_failed`` is true
 and ``kept`` false, ``clean_text`` is empty.  Texts of any length are read
-whole.  Repeated rows are judged one by one.  Only the id and text columns are
+whole, whatever the length of their lines.  A line that breaks several rules
+counts once; of equal lines the first is not a repeat.  Repeated rows are judged one by one.  Only the id and text columns are
 read; further columns never matter.  Empty tables give empty results.
 """
 

@@ -22,7 +22,13 @@ fragment, and beyond ``local_copies`` of them only the smallest document's goes
 to the shard while the others, which repeat it, are reported on the spot.
 Symbols are exact: a shard numbers the words themselves, never their hashes.
 
-Defined cases: null and empty texts have no words.  A null doc_id is neither
+Known limit: all fragments of one anchor, copies within a batch counted once,
+meet in one shard, so an anchor with very many different surroundings makes that
+shard large.
+
+Defined cases: ids are integers (others fail in the cast).  Null and empty texts
+have no words; very long texts are read whole, in batches of their own.  Empty
+tables give empty results.  A null doc_id is neither
 smaller nor larger than another: such rows stay as they are.  Rows with equal
 doc_id never remove each other's words.  Documents shorter than a window stay.
 Extra columns are not read.

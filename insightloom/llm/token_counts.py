@@ -10,7 +10,8 @@ A word that no sequence of pieces covers counts as one unknown token.
 
 Defined cases: null and empty texts have no words and no tokens.  Texts of any
 length are read whole; repeated rows are counted one by one; only the id and
-text columns are read.
+text columns are read, whatever others are called.  Counts have no ties.  Empty
+tables give empty results.
 """
 
 from __future__ import annotations

@@ -462,3 +462,58 @@ def test_empty_tables(spark):
         assert df.count() == 0
     rows = edge_rows()
     assert decontaminate.keep_clean(docs(spark, rows), bench).count() == len(rows)
+
+
+CLASHING = ("id_", "text_", "runs", "blobs", "c0_", "c2_", "key", "batch", "blob", "found_", "item", "fp", "h", "lang_pred", "n_words", "sequence_id", "start", "hits", "number", "place_d", "sentence_ids")
+
+
+def test_clashing_columns_change_nothing(spark):
+    """Extra columns with the names that operators use inside, and repeated rows."""
+    rows = edge_rows() + edge_rows()[:6]
+    plain = docs(spark, rows)
+    wide = plain.select("*", *(F.lit(7).alias(c) for c in CLASHING)).withColumn("Runs_", F.lit("x"))
+    bench = spark.createDataFrame([(1, rows[4][1], 5)], "item_id long, text string, fp int")
+    words, pieces = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+    profiles = language_id.train(wide, F.lit(True))
+    for f in (
+        lambda d: language_id.identify(d, profiles), substring_dedup.remove_repeats, license_scan.license_scan, quality_rules.quality_rules,
+        lambda d: token_counts.token_counts(d, pieces), lambda d: decontaminate.find_contamination(d, bench), lambda d: packing.pack(d.coalesce(1), words),
+        lambda d: url_rules.url_filter(d.withColumnRenamed("text", "url"), id_col="doc_id"),
+    ):
+        a, b = f(plain), f(wide)
+        assert a.columns == b.columns
+        assert Counter(map(str, a.collect())) == Counter(map(str, b.collect()))
+    cut = substring_dedup.cut_documents(wide)
+    assert cut.columns == wide.columns and {tuple(r) for r in cut.select(*CLASHING).distinct().collect()} == {(7,) * len(CLASHING)}
+    for f in (quality_rules.keep_documents, lambda d: decontaminate.keep_clean(d, bench)):
+        kept = f(wide)
+        assert kept.columns == wide.columns and 0 < kept.count() < len(rows)
+
+
+def test_long_lines_urls_and_conversations(spark):
+    line = "word, " * 40_000 + "end."
+    r = quality_rules.quality_rules(docs(spark, [(1, line)])).first()
+    assert (r["n_words"], r["n_dup_lines"], r["n_failed_lines"]) == (40_001, 0, 0)
+    url = "http://a.org/" + "x/" * 50_000 + "login"
+    got = url_rules.url_filter(spark.createDataFrame([(1, url), (1, url)], "page_id long, url string")).collect()
+    assert [(r["verdict"], len(r["path"])) for r in got] == [("block", len(url) - 12)] * 2
+    turns = [(1, i, "user", f"t{i}") for i in range(3000)] + [(2, i, "user", f"t{i}") for i in range(2999)] + [(3, None, "user", "a")]
+    d = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    assert {r["conv_id"]: r["n_turns"] for r in chat_snapshots.collapse_and_render(d).collect()} == {1: 3000, 3: 1}
+    license_text = "Some words here. " * 20_000 + "\nAll rights reserved.\nReleased under the MIT License."
+    assert license_scan.license_scan(docs(spark, [(1, license_text), (1, license_text)])).collect()[1]["license"] == "MIT"
+
+
+def test_token_counts_edges(spark):
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "word " * 30_000), (4, "word " * 30_000), (None, "one two")]
+    got = {r["doc_id"]: r for r in token_counts.token_counts(docs(spark, rows), public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    assert [got[i]["n_tokens"] for i in (1, 2, 3)] == [0, 0, 0] and got[4]["n_words"] == 30_000 and got[None]["n_words"] == 2
+
+
+def test_language_id_odd_rows(spark):
+    rows = edge_rows() + [(None, "some plain words"), (None, None)]
+    d = docs(spark, rows)
+    p = language_id.train(d.unionByName(docs(spark, [(None, "not learned from")])), F.lit(True))
+    got = language_id.identify(d, p).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == 3
+    assert language_id.identify(d.limit(0), p).count() == 0

@@ -72,5 +72,21 @@ def test_stages_on_odd_rows(spark, stage):
 
 
 def test_run(spark):
-    out = corpus_pipeline.run(spark, SF)
-    assert out.columns[0] == "doc_id" and out.count() > 0
+    """run() is its stages one after another; sequences hold their tokens without gaps."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+    out = corpus_pipeline.run(spark, SF).collect()
+    total = {r["doc_id"]: r["doc_tokens"] for r in out}
+    assert set(total) == {r["doc_id"] for r in docs.select("doc_id").collect()}
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in out:
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts, ends in ((pieces, total), (sequences, None)):
+        for key, spans in parts.items():
+            at = 0
+            for start, length in sorted(spans):
+                assert start == at
+                at += length
+            assert at == ends[key] if ends else at <= 2048
