@@ -5,7 +5,11 @@ decide first.  URLs without a site rule go to the pattern rules: each pattern
 declares literal tokens, or choices of tokens, that any matching URL must
 contain; it is filed under the one that is rarest in the URL table, a choice
 under each of its tokens.  A URL's own tokens fetch the filed
-patterns and only those run their regular expression.
+patterns and only those run their regular expression.  A pattern without any
+token runs on every URL.
+
+``read_filter_list`` makes pattern rules of the filter lists that ad blockers
+share: ``||`` (host), ``|`` (end), ``*``, ``^`` (separator), ``@@`` (exception).
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, no
 rule, and verdict allow.  Ties between site rules of equal length go to the
@@ -76,6 +80,44 @@ PATTERN_RULES = (
 )
 
 
+SEPARATOR = "(?:[^a-z0-9_.%-]|$)"
+OPTIONS = re.compile(r"\$[~a-z0-9_-]+(?:[,=|][^/]*)?$")
+
+
+def filter_rule(line: str) -> PatternRule | None:
+    """The pattern rule of a filter list's line, None for comments and for rules
+    on page elements, referring pages (``domain=``) or by regular expression.
+    Other options name kinds of requests, which URLs don't tell, and are dropped."""
+    text = line.strip().lower()
+    if not text or text[0] in "![" or re.search("#[@?$]?#", text):
+        return None
+    verdict, body = ("allow", text[2:]) if text.startswith("@@") else ("block", text)
+    if options := OPTIONS.search(body):
+        if "domain=" in options[0]:
+            return None
+        body = body[: options.start()]
+    if len(body) > 1 and body[0] == body[-1] == "/":
+        return None
+    lead, tail = "", ""
+    if body.startswith("||"):
+        lead, body = r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*\.)?", body[2:]
+    elif body.startswith("|"):
+        lead, body = "^", body[1:]
+    if body.endswith("|"):
+        tail, body = "$", body[:-1]
+    if not body.strip("*^"):
+        return None
+    # a token is whole in every match if neither side of it may be a letter, a digit or anything
+    framed = ("|" if lead else "*") + body + ("|" if tail else "*")
+    tokens = tuple(m[0] for m in TOKEN.finditer(framed) if framed[m.start() - 1] != "*" and framed[m.end()] != "*")
+    pattern = "".join(".*" if c == "*" else SEPARATOR if c == "^" else re.escape(c) for c in body)
+    return PatternRule(line.strip(), lead + pattern + tail, tokens, verdict)
+
+
+def read_filter_list(lines) -> tuple[PatternRule, ...]:
+    return tuple(r for r in map(filter_rule, lines) if r)
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     if url is None or "://" not in url:
         return "", ""
@@ -110,15 +152,20 @@ class PatternIndex:
     def __init__(self, rules=PATTERN_RULES, frequency: dict | None = None):
         frequency = frequency or {}
         self.filed: dict = defaultdict(list)
+        self.always = []
         for i, r in enumerate(rules):
+            entry = (r.verdict != "allow", i, r.name, re.compile(r.pattern), r.verdict)
+            if not r.tokens:
+                self.always.append(entry)
+                continue
             rarest = min(r.choices, key=lambda c: (sum(frequency.get(t, 0) for t in c), -min(map(len, c)), c))
             for t in rarest:
-                self.filed[t].append((r.verdict != "allow", i, r.name, re.compile(r.pattern), r.verdict))
+                self.filed[t].append(entry)
 
     def find(self, url: str) -> tuple[str, str] | None:
         """(name, verdict): exceptions before blocks, then list order."""
         low = url.lower()
-        hits = {c for t in set(TOKEN.findall(low)) & self.filed.keys() for c in self.filed[t]}
+        hits = {c for t in set(TOKEN.findall(low)) & self.filed.keys() for c in self.filed[t]}.union(self.always)
         return next(((name, verdict) for _, _, name, p, verdict in sorted(hits, key=lambda c: c[:2]) if p.search(low)), None)
 
 

@@ -366,6 +366,31 @@ def test_url_pattern_alternatives(spark):
         assert r["rule"] is None and (r["pattern"], r["verdict"]) == (hit or (None, "allow"))
 
 
+def test_url_filter_list(spark):
+    lines = [
+        "! a comment", "[Adblock Plus 2.0]", "example.org##.banner", "||ads.example.org^", "||tracker.net^$third-party,script", "@@||ads.example.org/allowed/", "/banner/*/ad_", "|http://start.org/x|",
+        "-popup.", "/regex[0-9]+/", "||only.org^$domain=a.org", "track*pixel", "&utm_source=", "*^*", "||shop.de/cart^", "swf|",
+    ]
+    rules = url_rules.read_filter_list(lines)
+    assert [r.name for r in rules] == [lines[i] for i in (3, 4, 5, 6, 7, 8, 11, 12, 14, 15)]
+    assert {r.name: r.tokens for r in rules}["||ads.example.org^"] == ("ads", "example", "org") and {r.name: r.tokens for r in rules}["track*pixel"] == ()
+    cases = {
+        "https://x.ads.example.org/a": "||ads.example.org^", "http://ads.example.org": "||ads.example.org^", "http://badads.example.org/": None, "http://ads.example.org/allowed/1": "@@||ads.example.org/allowed/",
+        "http://ads.example.orgs/": None, "http://a.org/banner/12/ad_x": "/banner/*/ad_", "http://start.org/x": "|http://start.org/x|", "http://start.org/xy": None, "http://a.org/my-popup.js": "-popup.",
+        "http://a.org/tracking/1pixel": "track*pixel", "http://a.org/?a=1&UTM_source=b": "&utm_source=", "https://shop.de/cart?x": "||shop.de/cart^", "https://shop.de/carts": None, "http://a.org/m.swf": "swf|", "http://tracker.net:80/": "||tracker.net^$third-party,script",
+    }
+    urls = [r["url"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect() if r["url"]] + list(cases)
+    tokens = sorted({t for r in rules for t in r.tokens})
+    for rare in [None, *tokens]:
+        index = url_rules.PatternIndex(rules, rare and {t: 9 * (t != rare) for t in tokens})
+        for u in urls:
+            want = next((r.name for r in sorted(rules, key=lambda r: r.verdict != "allow") if re.search(r.pattern, u.lower())), None)
+            hit = index.find(u)
+            assert (hit and hit[0]) == want == cases.get(u, want), u
+    got = url_rules.url_filter(spark.createDataFrame(list(enumerate(cases)), "page_id long, url string"), sites=(), patterns=rules).orderBy("page_id").collect()
+    assert [r["pattern"] for r in got] == list(cases.values())
+
+
 def test_license_scan(spark):
     rows = [(1, "Hello. Released under the  MIT License.\nBye."), (2, "Licensed under the Apache License, Version 2.0."), (3, "All rights reserved! This work is licensed under the GNU General Public License, version 3."), (4, None), (5, "")]
     rows += [(6, "Redistributions of source code must retain the above copyright notice. X y. Redistributions in binary form must reproduce the above copyright notice."), (7, "Released under the MIT License?"), (8, "not licensed under the apache license version 2 0.")]
