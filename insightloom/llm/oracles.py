@@ -110,7 +110,57 @@ f AS (SELECT r, list(item_id ORDER BY item_id) AS item_ids, max(c::DOUBLE / n) A
 SELECT doc_id, coalesce(array_to_string(list_transform(item_ids, lambda x: x::VARCHAR), ','), '') AS item_ids, item_ids IS NOT NULL AS contaminated, max_containment FROM d LEFT JOIN f USING (r)
 """
 
+
+OP11 = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10
+"""
+
+_TIME = r"([T ]([0-9]{2}):([0-9]{2})(:([0-9]{2}))?( ?([AP])M)?( ?(Z|[+-][0-9]{2}:?[0-9]{2}))?)?"
+
+OP12 = rf"""
+WITH s AS (SELECT row_number() OVER () AS r, stamp_id, source, zone, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS t FROM stamps),
+k AS (SELECT *, CASE WHEN regexp_full_match(t, '[0-9]{{10}}|[0-9]{{13}}') THEN 0
+  WHEN regexp_full_match(t, '(20[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}[.][0-9]{{2}}[.]20[0-9]{{2}}|[0-9]{{2}}/[0-9]{{2}}/20[0-9]{{2}}){_TIME}') THEN 10
+  WHEN regexp_full_match(t, '20[0-9]{{6}}{_TIME}') THEN 8
+  WHEN regexp_full_match(t, '[0-9]{{2}} (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) 20[0-9]{{2}}{_TIME}') THEN 11 END AS size FROM s),
+f AS (SELECT *, left(t, size) AS d, substr(t, size + 1) AS rest, size = 10 AND substr(t, 3, 1) = '/' AS slashed FROM k),
+g AS (SELECT r, stamp_id, source, zone, t, size, slashed,
+  CASE WHEN size = 8 THEN try_cast(left(d, 4) || '-' || substr(d, 5, 2) || '-' || substr(d, 7, 2) AS DATE) WHEN size = 11 THEN try_strptime(d, '%d %b %Y')::DATE WHEN size = 10 AND substr(d, 5, 1) = '-' THEN try_cast(d AS DATE)
+    WHEN size = 10 THEN try_cast(substr(d, 7, 4) || '-' || substr(d, 4, 2) || '-' || left(d, 2) AS DATE) END AS d1,
+  CASE WHEN slashed THEN try_cast(substr(d, 7, 4) || '-' || left(d, 2) || '-' || substr(d, 4, 2) AS DATE) END AS d2,
+  CASE WHEN rest = '' THEN 0 ELSE substr(rest, 2, 2)::INT END AS h, CASE WHEN rest = '' THEN 0 ELSE substr(rest, 5, 2)::INT END AS mi,
+  coalesce(try_cast(regexp_extract(rest, '{_TIME}', 5) AS INT), 0) AS se, regexp_extract(rest, '{_TIME}', 7) AS half, replace(regexp_extract(rest, '{_TIME}', 9), ':', '') AS o FROM f),
+c AS (SELECT *, CASE WHEN half = '' THEN h ELSE h % 12 + CASE half WHEN 'P' THEN 12 ELSE 0 END END * 3600 + mi * 60 + se AS sec,
+  CASE WHEN o IN ('', 'Z') THEN 0 ELSE (substr(o, 2, 2)::INT * 3600 + substr(o, 4, 2)::INT * 60) * CASE left(o, 1) WHEN '-' THEN -1 ELSE 1 END END AS shift, o <> '' AS given,
+  size IS NULL OR size > 0 AND ((d1 IS NULL AND d2 IS NULL) OR mi > 59 OR se > 59 OR h > 23 OR (half <> '' AND NOT h BETWEEN 1 AND 12) OR (length(o) = 5 AND (substr(o, 2, 2) > '14' OR substr(o, 4, 2) > '59')) OR (o = '' AND zone IS NULL)) AS bad FROM g),
+v AS (SELECT source, count(*) FILTER (d2 IS NULL) AS dm, count(*) FILTER (d1 IS NULL) AS md FROM c WHERE slashed AND NOT bad AND (d1 IS NULL) <> (d2 IS NULL) GROUP BY source),
+j AS (SELECT c.*, CASE WHEN bad THEN 'bad' WHEN size = 0 THEN 'epoch' WHEN d1 IS NOT NULL AND d2 IS NOT NULL AND d1 <> d2 THEN CASE WHEN dm <> md THEN 'votes' ELSE 'default' END ELSE 'plain' END AS rule, coalesce(dm > md, false) AS day_first
+  FROM c LEFT JOIN v ON c.source IS NOT DISTINCT FROM v.source),
+w AS (SELECT *, CASE WHEN rule NOT IN ('bad', 'epoch') THEN CASE WHEN rule IN ('votes', 'default') AND NOT day_first THEN d2 ELSE coalesce(d1, d2) END::TIMESTAMP + to_seconds(sec) END AS wall FROM j),
+z AS (SELECT *, epoch(timezone(zone, timezone('UTC', wall - INTERVAL 1 DAY))) - epoch(wall - INTERVAL 1 DAY) AS o1, epoch(timezone(zone, timezone('UTC', wall + INTERVAL 1 DAY))) - epoch(wall + INTERVAL 1 DAY) AS o2 FROM w),
+y AS (SELECT *, epoch(timezone(zone, timezone('UTC', wall - to_seconds(o1::BIGINT)))) = epoch(wall) AS old_fits, epoch(timezone(zone, timezone('UTC', wall - to_seconds(o2::BIGINT)))) = epoch(wall) AS new_fits FROM z),
+x AS (SELECT *, coalesce(NOT given AND wall IS NOT NULL AND o1 <> o2 AND old_fits = new_fits, false) AS odd FROM y)
+SELECT stamp_id, CASE rule WHEN 'bad' THEN NULL WHEN 'epoch' THEN t::BIGINT * CASE length(t) WHEN 10 THEN 1000000 ELSE 1000 END
+  ELSE epoch_us(wall) - 1000000 * CASE WHEN given THEN shift WHEN o1 = o2 OR odd OR old_fits THEN o1::BIGINT ELSE o2::BIGINT END END AS utc_us,
+  rule, rule IN ('votes', 'default') OR odd AS ambiguous FROM x
+"""
+
+OP13 = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, a.label = c.label AS same, c.r AS other, c.vec_id, list_dot_product(a.e, c.e)::BIGINT AS score FROM v a JOIN v c ON a.r <> c.r WHERE a.vec_id % 50 = 0),
+p AS (SELECT r, anchor_id, other AS p_row, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.r, p_row ORDER BY s.score DESC, s.vec_id NULLS LAST)::INT AS rank
+  FROM p JOIN s ON s.r = p.r AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 ORACLES = {
     "op2_ngram_join": OP2, "op3_substring_dedup": OP3, "op4_chat_snapshots": OP4, "op5_license_scan": _op5(),
     "op6_quality_rules": _op6(), "op7_url_rules": _op7(), "op10_decontaminate": OP10,
+    "op12_timestamps": OP12,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_snapshots, decontaminate, language_id, license_scan, ngram_join, packing, quality_rules, substring_dedup, token_counts, url_rules
+from . import chat_snapshots, decontaminate, language_id, license_scan, ngram_join, packing, quality_rules, substring_dedup, timestamps, token_counts, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
@@ -59,4 +59,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ",").alias("item_ids"), (F.size("item_ids") > 0).alias("contaminated"), "max_containment")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_substring_dedup, op4_chat_snapshots, op5_license_scan, op6_quality_rules, op7_url_rules, op8_packing, op9_token_counts, op10_decontaminate)}
+def op12_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timestamps.normalise(_read(spark, sf_dir, "stamps", "stamp_id", "source", "zone", "raw"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_substring_dedup, op4_chat_snapshots, op5_license_scan, op6_quality_rules, op7_url_rules, op8_packing, op9_token_counts, op10_decontaminate, op12_timestamps)}
