@@ -4,10 +4,10 @@ A hand-written recursive-descent scanner reads each stamp inside mapPartitions
 and emits a tuple of what it found.  Slashed dates that are possible in one
 order only vote for that order in their source; ``reduceByKey`` counts the
 votes, adding up inside each partition first, so that a source with a third of
-all rows sends one pair from each task.  A second pass scans every stamp again
-(scanning costs less than writing the tuples and reading them back; the first
-pass reads only rows with a slash) and finishes each row with the verdict on
-its source and a bisection over the transitions of its zone.
+all rows sends one pair from each task.  A second pass, in Arrow batches, scans
+every stamp (scanning again costs less than writing the tuples and reading them
+back; the first pass reads only rows with a slash) and finishes each row with
+the verdict on its source and a bisection over the transitions of its zone.
 
 What reaches the driver and the broadcast is the map of verdicts while there
 are at most ``MOST_SOURCES`` sources with one; beyond that it stays a table and
@@ -35,6 +35,7 @@ from datetime import UTC, date, datetime, timedelta
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -275,20 +276,19 @@ def normalise(stamps: DataFrame, id_col: str = "stamp_id", source_col: str = "so
     few = verdicts.take(most_sources + 1)
     if len(few) <= most_sources:
         known = spark.sparkContext.broadcast(dict(few))
-
-        def run(part):
-            table = known.value
-            for key, source, zone, raw in part:
-                yield (key, *finish(scan(raw, zone), zone, table.get(source)))
-
         given = rows
     else:
-        table = spark.createDataFrame(verdicts.map(lambda x: (x[0], x[1])), "of_ string, day_first_ boolean")
+        known = None
+        table = spark.createDataFrame(verdicts, "of_ string, day_first_ boolean")
         given = rows.join(table, F.col("source_").eqNullSafe(F.col("of_")), "left").select(*rows.columns, "day_first_")
 
-        def run(part):
-            for key, _, zone, raw, day_first in part:
-                yield (key, *finish(scan(raw, zone), zone, day_first))
+    def run(batches):
+        for b in batches:
+            source, zone, raw = (b.column(c).to_pylist() for c in ("source_", "zone_", "raw_"))
+            first = map(known.value.get, source) if known else b.column("day_first_").to_pylist()
+            done = [finish(scan(t, z), z, f) for t, z, f in zip(raw, zone, first, strict=True)]
+            utc, rule, odd = zip(*done, strict=True) if done else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(utc, pa.int64()), pa.array(rule, pa.string()), pa.array(odd, pa.bool_())], names=[id_col, "utc_us", "rule", "ambiguous"])
 
     schema = T.StructType([rows.schema[0], T.StructField("utc_us", T.LongType()), T.StructField("rule", T.StringType()), T.StructField("ambiguous", T.BooleanType())])
-    return spark.createDataFrame(given.rdd.mapPartitions(run), schema, verifySchema=False)
+    return given.mapInArrow(run, schema)
