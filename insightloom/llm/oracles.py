@@ -162,5 +162,5 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 ORACLES = {
     "op2_ngram_join": OP2, "op3_substring_dedup": OP3, "op4_chat_snapshots": OP4, "op5_license_scan": _op5(),
     "op6_quality_rules": _op6(), "op7_url_rules": _op7(), "op10_decontaminate": OP10,
-    "op12_timestamps": OP12,
+    "op11_pivot_search": OP11, "op12_timestamps": OP12, "op13_hard_negatives": OP13,
 }

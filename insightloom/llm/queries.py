@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_snapshots, decontaminate, language_id, license_scan, ngram_join, packing, quality_rules, substring_dedup, timestamps, token_counts, url_rules
+from . import chat_snapshots, decontaminate, hard_negatives, language_id, license_scan, ngram_join, packing, pivot_search, quality_rules, substring_dedup, timestamps, token_counts, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
@@ -59,8 +59,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ",").alias("item_ids"), (F.size("item_ids") > 0).alias("contaminated"), "max_containment")
 
 
+def op11_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op12_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timestamps.normalise(_read(spark, sf_dir, "stamps", "stamp_id", "source", "zone", "raw"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_substring_dedup, op4_chat_snapshots, op5_license_scan, op6_quality_rules, op7_url_rules, op8_packing, op9_token_counts, op10_decontaminate, op12_timestamps)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table, F.col("vec_id") % 50 == 0, label)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_substring_dedup, op4_chat_snapshots, op5_license_scan, op6_quality_rules, op7_url_rules, op8_packing, op9_token_counts, op10_decontaminate, op11_pivot_search, op12_timestamps, op13_hard_negatives)}
