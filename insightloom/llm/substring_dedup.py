@@ -30,7 +30,8 @@ Defined cases: ids are integers (others fail in the cast).  Null and empty texts
 have no words; very long texts are read whole, in batches of their own.  Empty
 tables give empty results.  A null doc_id is neither
 smaller nor larger than another: such rows stay as they are.  Rows with equal
-doc_id never remove each other's words.  Documents shorter than a window stay.
+doc_id never remove each other's words; each loses the words of its own text
+that documents with a smaller id hold.  Documents shorter than a window stay.
 Extra columns are not read.
 """
 
@@ -38,10 +39,12 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import struct
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -237,12 +240,12 @@ def _emit_anchors(shards: int, window: int, anchor: int, local: int):
             if not hs:
                 continue
             a, d = np.concatenate(hs), np.concatenate(docs)
+            if not len(a):  # no text of the batch has a window
+                continue
             order = np.lexsort((d, a))
             a, d = a[order], d[order]
             again = np.concatenate(([False], (a[1:] == a[:-1]) & (d[1:] == d[:-1])))  # repeated rows
             a, d = a[~again], d[~again]
-            if not len(a):
-                continue
             head = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
             size = np.diff(np.append(head, len(a)))
             hot = np.repeat(size > local, size)
@@ -304,9 +307,20 @@ def _repeated_anchors(batches):
         yield pa.RecordBatch.from_arrays([pa.array(d[part], pa.int64()), pa.array([h[x:y].tobytes() for x, y in zip(part, ends, strict=True)], pa.binary())], names=["doc_id", "blob"])
 
 
-def _runs_of(pairs: np.ndarray) -> bytes:
-    """(start, windows) rows as packed 32-bit integers."""
-    return pairs.astype("<i4").tobytes()
+def _runs_of(runs: np.ndarray) -> bytes:
+    """(start, windows, mark) rows as packed 32-bit integers."""
+    return runs.astype("<i4").tobytes()
+
+
+def _runs(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, dtype="<i4").reshape(-1, 4)
+
+
+def _mark(text: str | bytes) -> tuple[int, int]:
+    """64 bits of the text that a run belongs to, so that rows of one id keep
+    to their own runs."""
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
+    return struct.unpack("<ii", xxhash.xxh3_64_digest(raw))
 
 
 def _emit_fragments(shards: int, window: int, anchor: int, local: int):
@@ -318,7 +332,8 @@ def _emit_fragments(shards: int, window: int, anchor: int, local: int):
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in by_bytes(batches, "text"):
             ids = b.column("doc_id").to_pylist()
-            words = Words(b.column("text").to_pylist())
+            text = b.column("text").to_pylist()
+            words = Words(text)
             h = words.hashes()
             seen: dict = defaultdict(list)
             for i, (d, blobs) in enumerate(zip(ids, b.column("blobs").to_pylist(), strict=True)):
@@ -327,12 +342,15 @@ def _emit_fragments(shards: int, window: int, anchor: int, local: int):
                 w0, w1 = words.first[i], words.first[i + 1]
                 start, count, a = anchors(h[w0:w1], window, anchor)
                 hit = np.flatnonzero(np.isin(a, np.frombuffer(b"".join(blobs), dtype=np.uint64)))
+                if not len(hit):
+                    continue
                 start, count, a = start[hit], count[hit], a[hit]
+                mark = _mark(text[i])
                 at, to = words.start[w0 + start].tolist(), words.end[w0 + start + count + window - 2].tolist()
                 for x, y, s, c, key in zip(at, to, start.tolist(), count.tolist(), a.tolist(), strict=True):
-                    seen[b" ".join(words.raw[x:y].split()), key].append((d, s, c))
+                    seen[b" ".join(words.raw[x:y].split()), key].append((d, s, c, *mark))
             told, shard = defaultdict(list), defaultdict(list)
-            for (text, a), owners in seen.items():
+            for (part, a), owners in seen.items():
                 if len(owners) > local and len({o[0] for o in owners}) > local:
                     owners.sort()
                     least = owners[0][0]
@@ -340,7 +358,7 @@ def _emit_fragments(shards: int, window: int, anchor: int, local: int):
                         if o[0] > least:
                             told[o[0]].append(o[1:])
                     owners = [o for o in owners if o[0] == least]
-                shard[(a >> 20) % shards].append((text, owners))
+                shard[(a >> 20) % shards].append((part, owners))
             keys, docs, blobs = [], [], []
             for d, runs in told.items():
                 keys.append(d % (1 << 40))
@@ -360,7 +378,7 @@ def _emit_fragments(shards: int, window: int, anchor: int, local: int):
 
 def _search_shard(blobs: list, window: int) -> tuple[np.ndarray, np.ndarray]:
     """The fragments of a shard, searched in an index of themselves.  Returns
-    the reports: documents and their (start, windows)."""
+    the reports: documents and their (start, windows, mark)."""
     place: dict = {}
     of, docs, spots = [], [], []
     for texts, n_owners, doc, spot in blobs:
@@ -388,12 +406,12 @@ def _search_shard(blobs: list, window: int) -> tuple[np.ndarray, np.ndarray]:
     all_below, any_below = np.maximum.reduceat(low, first)[of] < docs, np.minimum.reduceat(low, first)[of] < docs
     out_d, out_s = [docs[all_below]], [spots[all_below]]
     for i in np.flatnonzero(any_below & ~all_below).tolist():
-        f, (s, _) = of[i], spots[i].tolist()
+        f, (s, _, *mark) = of[i], spots[i].tolist()
         hit = np.flatnonzero(low[first[f] : first[f] + windows[f]] < docs[i])
         cut = np.flatnonzero(np.diff(hit) > 1)
         x, y = hit[np.concatenate(([0], cut + 1))], hit[np.concatenate((cut, [len(hit) - 1]))]
         out_d.append(np.full(len(x), docs[i]))
-        out_s.append(np.column_stack((s + x, y - x + 1)).astype(np.int32))
+        out_s.append(np.column_stack((s + x, y - x + 1, *(np.full(len(x), m) for m in mark))).astype(np.int32))
     return np.concatenate(out_d), np.concatenate(out_s)
 
 
@@ -437,7 +455,7 @@ def _report(window: int, shard_words: int, buckets: int):
                 if doc is None:
                     shards[key].append(blob)
                 else:
-                    told = np.frombuffer(blob, dtype="<i4").reshape(-1, 2)
+                    told = _runs(blob)
                     docs.append(np.full(len(told), doc, dtype=np.int64))
                     runs.append(told)
         for key in sorted(shards):
@@ -459,9 +477,9 @@ def _report(window: int, shard_words: int, buckets: int):
 
 
 def repeated_windows(d: DataFrame, parts: int, window: int = WINDOW, anchor: int = ANCHOR, local_copies: int = 4, shard_words: int = 150_000) -> DataFrame:
-    """(doc_id, runs): for documents (doc_id, text), packed (start, windows)
-    pairs: runs of windows, by word position, whose word sequences also start
-    in a document with a smaller id.  One row a document that has any."""
+    """(doc_id, runs): for documents (doc_id, text), packed (start, windows,
+    mark of the text): runs of windows, by word position, whose word sequences
+    also start in a document with a smaller id.  One row an id that has any."""
     keys = parts * 16  # several shards a partition, so that one index stays small
     sent = d.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(_emit_anchors(keys, window, anchor, local_copies), "key long, doc_id long, blob binary")
     again = sent.repartition(parts, F.pmod("key", F.lit(keys))).mapInArrow(_repeated_anchors, "doc_id long, blob binary")
@@ -482,14 +500,15 @@ def _with_runs(docs: DataFrame, id_col: str, text_col: str, window: int, setting
 
 def cut_text(text: str | None, runs: bytes | None, window: int = WINDOW, with_text: bool = True) -> tuple[list, np.ndarray, str | None]:
     """Words, removal flags and, asked for, the text without the removed words.
-    runs: packed (start, windows) pairs."""
+    runs: packed (start, windows, mark); those of other texts don't count."""
     if text is None:
         return [], np.zeros(0, dtype=bool), None
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     gone = np.zeros(len(words), dtype=bool)
     if runs:
-        pairs = np.frombuffer(runs, dtype="<i4").reshape(-1, 2)
+        pairs = _runs(runs)
+        pairs = pairs[(pairs[:, 2:] == _mark(raw)).all(axis=1)]
         edge = np.zeros(len(words) + 1, dtype=np.int64)
         np.add.at(edge, pairs[:, 0], 1)
         np.add.at(edge, pairs[:, 0] + pairs[:, 1] + window - 1, -1)
