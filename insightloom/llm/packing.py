@@ -81,7 +81,9 @@ class WordCache:
         if not text:
             return []
         if self.by_piece and not UNSURE.search(text):
-            return PIECE.findall(text.lower())
+            low = text.lower()
+            if not UNSURE.search(low):  # 23 capitals have small letters beyond U+024F
+                return PIECE.findall(low)
         return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
 
     def ids_of_texts(self, texts: list) -> list[np.ndarray]:
