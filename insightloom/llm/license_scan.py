@@ -167,8 +167,9 @@ NOTICE_RULES = (
 #: The cut and noise of the SQL counterpart, which knows the short notices only.
 BREAK = r"[.!?;]+([ \t\r\n]+|\z)|\n"
 NOISE = r"[^a-z0-9]+"
-#: A whole sentence ends at such punctuation or at a line without a word.
-SENTENCE_END = r"[.!?;]+([ \t\r\n]+|\z)|\n[^a-z0-9\n]*\n"
+#: A whole sentence ends at such punctuation or at a line without a word.  A
+#: run of punctuation is read once, from its start and as a whole.
+SENTENCE_END = r"(?<![.!?;])[.!?;]++([ \t\r\n]++|\z)|\n[^a-z0-9\n]*+\n"
 #: Marks in the lower-cased text: B a sentence's end, L a line's.
 MARKED_NOISE = r"[^a-z0-9BL]+"
 
