@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes \x20 and \x09-\x0D separate words; everything else is part of one.
@@ -18,7 +19,6 @@ ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
-_POW: dict[str, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -76,19 +76,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i < n."""
-    if len(_POW.get("p", ())) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        inv = np.uint64(pow(int(_B), -1, 1 << 64))
-        with np.errstate(over="ignore"):
-            for key, base in (("p", _B), ("i", inv)):
-                a = np.full(size, base, dtype=np.uint64)
-                a[0] = 1
-                _POW[key] = np.multiply.accumulate(a)
-    return _POW["p"][:n], _POW["i"][:n]
-
-
 class Words:
     """Word table of a batch of texts, found with vector operations only.
 
@@ -116,20 +103,27 @@ class Words:
         return len(self.start)
 
     def hashes(self) -> np.ndarray:
-        """64-bit hash of each word's bytes."""
+        """64-bit hash of each word's bytes: words of up to eight bytes as the
+        number that they spell, mixed, longer ones by xxh3."""
         out = np.empty(len(self.start), dtype=np.uint64)
-        step, i, n = 1 << 20, 0, len(self.start)
-        with np.errstate(over="ignore"):
-            while i < n:
-                a = self.start[i]
-                j = max(i + 1, int(np.searchsorted(self.end, a + step, side="right")))
-                b = self.end[j - 1]
-                p, inv = _powers(int(b - a))
-                c = np.zeros(b - a + 1, dtype=np.uint64)
-                np.cumsum((self.buf[a:b].astype(np.uint64) + np.uint64(1)) * p, out=c[1:])
-                s, e = self.start[i:j] - a, self.end[i:j] - a
-                out[i:j] = mix((c[e] - c[s]) * inv[s] + (e - s).astype(np.uint64))
-                i = j
+        padded = np.append(self.buf, np.zeros(8, dtype=np.uint8))
+        step = 1 << 20
+        for i in range(0, len(out), step):
+            start, size = self.start[i : i + step], self.end[i : i + step] - self.start[i : i + step]
+            spelt = np.zeros(len(start), dtype=np.uint64)
+            for k in range(min(8, int(size.max()))):
+                spelt |= np.where(size > k, padded[start + k], np.uint8(0)).astype(np.uint64) << np.uint64(8 * k)
+            with np.errstate(over="ignore"):
+                out[i : i + step] = mix(mix(spelt) + size.astype(np.uint64) * _B)
+        long = np.flatnonzero(self.end - self.start > 8)
+        if len(long):
+            raw, known = self.buf.tobytes(), {}
+            for i, a, b in zip(long.tolist(), self.start[long].tolist(), self.end[long].tolist(), strict=True):
+                word = raw[a:b]
+                h = known.get(word)
+                if h is None:
+                    h = known[word] = xxhash.xxh3_64_intdigest(word)
+                out[i] = h
         return out
 
 
