@@ -20,9 +20,9 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents that the line-first rules reject go; the others
-    stay as they are.  Null and empty texts are rejected."""
-    return quality_rules.keep_documents(_columns(docs))
+    """Operator 6: lines that fail a rule are removed, documents that lose too
+    much text go; n_chars follows the text.  Null and empty texts are rejected."""
+    return quality_rules.clean_documents(_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,11 +148,24 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.selectExpr(f"`{id_col}` as id_", f"cast(`{text_col}` as string) as text_").mapInArrow(run, f"`{id_col}` {kind}, {', '.join(figures)}")
 
 
-def keep_documents(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns unchanged."""
+def clean_documents(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars", rules: LineRules = LineRules()) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, without their failed lines; the
+    text's length in ``size_col`` where lines went, other columns unchanged."""
+    names = docs.columns
+    at, size_at = names.index(text_col), names.index(size_col)
 
     def run(batches):
         for b in by_bytes(batches, text_col):
-            yield b.filter(pa.array([assess(t, rules)["kept"] for t in b.column(text_col).to_pylist()], pa.bool_()))
+            found = [assess(t, rules) for t in b.column(text_col).to_pylist()]
+            kept = [f for f in found if f["kept"]]
+            b = b.filter(pa.array([f["kept"] for f in found], pa.bool_()))
+            cols = list(b.columns)
+            size = cols[size_at].to_pylist()
+            for i, f in enumerate(kept):
+                if f["n_failed_lines"]:
+                    size[i] = len(f["clean_text"])
+            cols[at] = pa.array([f["clean_text"] for f in kept], cols[at].type)
+            cols[size_at] = pa.array(size, cols[size_at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return docs.mapInArrow(run, docs.schema)
