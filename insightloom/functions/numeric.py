@@ -110,6 +110,11 @@ THRESHOLDS = {
 }
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it's named."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # ---- parameter-quality functions
 
 
@@ -186,11 +191,15 @@ class Quadratic(PqFunction):
 
     def _inv(self, y, last):
         _, b, c = self.coeffs
-        roots = [(-b + s * self._root(y)) / (2 * c) for s in (1, -1)]
         near = lambda r: F.abs(r - col(last)) if last is not None else -r
-        best = lambda p, q: F.when(near(p) <= near(q), p).otherwise(q)
-        inside = [r.between(self.parameter.lo, self.parameter.hi) for r in roots]
-        return F.when(inside[0] & ~inside[1], roots[0]).when(inside[1] & ~inside[0], roots[1]).otherwise(best(*roots))
+
+        def choose(both):
+            roots = both["one"], both["two"]
+            inside = [r.between(self.parameter.lo, self.parameter.hi) for r in roots]
+            nearer = F.when(near(roots[0]) <= near(roots[1]), roots[0]).otherwise(roots[1])
+            return F.when(inside[0] & ~inside[1], roots[0]).when(inside[1] & ~inside[0], roots[1]).otherwise(nearer)
+
+        return let(let(self._root(y), lambda r: F.struct(((-b + r) / (2 * c)).alias("one"), ((-b - r) / (2 * c)).alias("two"))), choose)
 
     def _dinv(self, y, last):
         _, b, c = self.coeffs

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import PqFunction
+from ..functions.numeric import PqFunction, let
 from .storage import sample_of
 
 # Edge labels, vertex kinds and encoding names.
@@ -159,9 +159,12 @@ def mean_change(f: PqFunction) -> Column:
     """Mean change of the parameter on the way from the highest rating down to
     the lowest, in unit steps; each step starts from the parameter before it."""
     top, n = f.rating.hi, int(f.rating.hi - f.rating.lo)
-    start = f.inverse(F.lit(float(top)))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, lambda last, i: f.inverse(F.lit(float(top)) - i, last))
-    return (end - start) / n
+
+    def way(start: Column) -> Column:
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, lambda last, i: f.inverse(F.lit(float(top)) - i, last))
+        return (end - start) / n
+
+    return let(f.inverse(F.lit(float(top))), way)
 
 
 def sampled_bins(f: PqFunction, n: int = 3) -> Column:
@@ -169,13 +172,19 @@ def sampled_bins(f: PqFunction, n: int = 3) -> Column:
     equal ranges; ``lo`` and ``hi`` are the ratings at a range's ends, ``value``
     the mean parameter of the ratings from one to the other in unit steps."""
     at = F.transform(F.sequence(F.lit(0), F.lit(int(f.rating.hi - f.rating.lo))), lambda i: f.inverse(i + F.lit(float(f.rating.lo))))
-    low, high = F.array_min(at), F.array_max(at)
-    half = F.when(low == high, 0.5).otherwise(0.0)
-    edge = lambda i: low - half + i * ((high - low + 2 * half) / n)
 
-    def bin_(i):
-        a, b = f(edge(i)), f(edge(i + 1))
+    def padded(ends: Column) -> Column:
+        half = F.when(ends["low"] == ends["high"], 0.5).otherwise(0.0)
+        return F.struct((ends["low"] - half).alias("low"), ((ends["high"] - ends["low"] + 2 * half) / n).alias("width"))
+
+    def mean_between(a: Column, b: Column) -> Column:
         steps = F.sequence(F.lit(0), F.floor(F.abs(b - a)).cast("int"))
-        return F.struct(a.alias("lo"), b.alias("hi"), _mean(F.transform(steps, lambda k: f.inverse(a + k * F.signum(b - a)))).alias("value"))
+        return let(F.transform(steps, lambda k: f.inverse(a + k * F.signum(b - a))), _mean)
+
+    def bins(edge: Column) -> Column:
+        ratings = lambda i: F.struct(f(edge["low"] + i * edge["width"]).alias("lo"), f(edge["low"] + (i + 1) * edge["width"]).alias("hi"))
+        ends = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), ratings)
+        return F.transform(ends, lambda e: F.struct(e["lo"].alias("lo"), e["hi"].alias("hi"), mean_between(e["lo"], e["hi"]).alias("value")))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), bin_)
+    ends = let(at, lambda xs: F.struct(F.array_min(xs).alias("low"), F.array_max(xs).alias("high")))
+    return let(let(ends, padded), bins)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import textwrap
 import zlib
 from collections import Counter, defaultdict
@@ -68,6 +69,23 @@ def test_substring_dedup_edges(spark, settings):
         assert hashlib.sha256(kept.encode()).hexdigest() == r["kept_sha256"]
 
 
+@pytest.mark.parametrize("rows", [[(1, "two words"), (2, "two words")], [(1, "")], [(1, None)], [(1, "a " * 12), (2, "a " * 13), (3, "a " * 13)]])
+def test_substring_dedup_of_short_texts_only(spark, rows):
+    got = substring_dedup.remove_repeats(docs(spark, rows).coalesce(1))
+    assert as_counter(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_windows(rows)
+
+
+@pytest.mark.parametrize("settings", [{}, {"local_copies": 1, "shard_words": 30}])
+def test_substring_dedup_of_repeated_ids(spark, settings):
+    """Rows of one id and different texts each lose what smaller ids hold."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(1, a), (2, a + " tail"), (2, b + " " + c), (2, "short"), (2, ""), (2, None), (2, "x " + a), (3, b + " end"), (3, "other " + c), (3, c), (3, c)]
+    got = substring_dedup.remove_repeats(docs(spark, rows), **settings)
+    assert as_counter(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_windows(rows)
+    cut = substring_dedup.cut_documents(docs(spark, rows).withColumn("n_chars", F.length("text")))
+    assert Counter((r["doc_id"], len(WORD.findall(r["text"] or ""))) for r in cut.collect()) == Counter((i, n - k) for (i, n, k, _), m in brute_windows(rows).items() for _ in range(m))
+
+
 def test_substring_dedup_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = queries.op3_substring_dedup(spark, SF)
@@ -122,6 +140,21 @@ def test_packing_round_trip(spark):
         assert at <= 2048
 
 
+def test_word_cache_over_every_letter():
+    """The cache of parts gives the tokenizer's ids for every character below
+    U+0250, some beyond, alone, inside words and beside digits."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, cache = Tokenizer.from_file(path), packing.WordCache(path)
+    chars = [chr(i) for i in range(0x260)] + list("ΩΣςẞﬁ中\u212a\u212b\u0307\u200d😀")
+    rng = np.random.default_rng(2)
+    texts = [f for c in chars for f in (c, f"x{c}y", f"{c}Y{c}", f"B{c} {c}b", f"1{c}2", f"'{c}s")] + ["".join(rng.choice(chars, 9)) for _ in range(20_000)]
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    got = cache.ids_of_texts(texts)
+    assert [t for t, w, g in zip(texts, want, got, strict=True) if w != g.tolist()] == []
+
+
 def test_packing_pads_little(spark):
     seq = queries.op8_packing(spark, SF).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     used = sum(r["n"] for r in seq)
@@ -311,6 +344,24 @@ def test_quality_rules(spark):
         assert not (r["kept"] and r["base_failed"])
 
 
+def test_clean_documents(spark):
+    """Failed lines go, documents that lose too much go, others stay as they are."""
+    plain = "A plain sentence with some words that ends as it should."
+    rows = [(1, "\n".join([plain] * 2 + ["Home | About | Contact"] + [f"{plain} {i} more words follow here, and then it ends." for i in range(6)] + ["Menu", ""])), (2, "\n".join(f"{plain} {i} and no line is bad." for i in range(9)))]
+    rows += [(3, "Menu\n" * 60), (4, None), (5, "")] + [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = Counter()
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        good = [x for x in lines if quality_rules.line_fault(x) is None]
+        n, rep = brute_quality(t)[0], brute_quality(t)[-1]
+        lost = n - len(WORD.findall("\n".join(good)))
+        if n >= 50 and 100 * rep <= 50 * n and lost <= 0.5 * n:
+            want[i, "\n".join(good), -7 if len(good) == len(lines) else len("\n".join(good))] += 1
+    got = quality_rules.clean_documents(docs(spark, rows).withColumn("n_chars", F.lit(-7)))
+    assert as_counter(got, "doc_id", "text", "n_chars") == want
+    assert any(k[0] == 1 and "Menu" not in k[1] and "Home" not in k[1] for k in want)
+
+
 def test_quality_line_faults():
     f = quality_rules.line_fault
     assert f("Home | About | Contact | Help") == "navigation"
@@ -429,6 +480,13 @@ GPL_IDS = "GPL_HOPE GPL_IMPLIED GPL_DETAILS"
 BSD_IDS = "RESERVED BSD_GRANT BSD_SOURCE BSD_BINARY %sBSD_WARRANTY"
 
 
+def test_license_scan_of_long_punctuation(spark):
+    rows = [(1, "." * 1_000_000 + " word\nReleased under the MIT License."), (2, "!?" * 500_000), (3, "\n." * 400_000 + "x"), (4, ". " * 500_000)]
+    began = time.time()
+    assert {r["doc_id"]: r["license"] for r in license_scan.license_scan(docs(spark, rows)).collect()}[1] == "MIT"
+    assert time.time() - began < 60
+
+
 def test_license_whole_notices(spark):
     own = "Copyright (c) 2020 A Holder\nAll rights reserved.\n\n"
     cases = [
@@ -510,7 +568,7 @@ def test_clashing_columns_change_nothing(spark):
         assert Counter(map(str, a.collect())) == Counter(map(str, b.collect()))
     cut = substring_dedup.cut_documents(wide)
     assert cut.columns == wide.columns and {tuple(r) for r in cut.select(*CLASHING).distinct().collect()} == {(7,) * len(CLASHING)}
-    for f in (quality_rules.keep_documents, lambda d: decontaminate.keep_clean(d, bench)):
+    for f in (quality_rules.clean_documents, lambda d: decontaminate.keep_clean(d, bench)):
         kept = f(wide)
         assert kept.columns == wide.columns and 0 < kept.count() < len(rows)
 
