@@ -35,9 +35,10 @@ def doane_bins(values) -> Column:
 
 
 def bin_edges(lo, hi, n) -> Column:
-    """n + 1 equally spaced edges."""
+    """n + 1 equally spaced edges; the last is ``hi`` itself, not what rounding
+    makes of it."""
     lo, hi, n = col(lo), col(hi), col(n)
-    return F.transform(F.sequence(F.lit(0), n), lambda i: lo + (hi - lo) * i / n)
+    return F.transform(F.sequence(F.lit(0), n), lambda i: F.when(i == n, hi).otherwise(lo + (hi - lo) * i / n))
 
 
 def digitize(x, edges) -> Column:
@@ -110,6 +111,24 @@ THRESHOLDS = {
 }
 
 
+def rule_bins(rule: str) -> Column:
+    """Number of equal-width bins by a named rule, from columns n, lo, hi, dev
+    (population) and iqr; 1 where all values are equal or a width is zero."""
+    n, span = F.col("n"), F.col("hi") - F.col("lo")
+    widths = {
+        "sturges": lambda: span / (F.log2(n) + 1), "rice": lambda: span / (2 * F.pow(n, F.lit(1 / 3))), "sqrt": lambda: span / F.sqrt(n),
+        "scott": lambda: F.pow(24 * np.sqrt(np.pi) / n, F.lit(1 / 3)) * F.col("dev"), "fd": lambda: 2 * F.col("iqr") / F.pow(n, F.lit(1 / 3)),
+    }
+    if rule == "auto":
+        fd, sturges = widths["fd"](), widths["sturges"]()
+        width = F.when(fd > 0, F.least(fd, sturges)).otherwise(sturges)
+    elif rule in widths:
+        width = widths[rule]()
+    else:
+        raise ValueError(f"unknown bin rule {rule}")
+    return F.when((span > 0) & (width > 0), F.ceil(F.round(span / F.when(width > 0, width), 9)).cast("int")).otherwise(1)
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often it's named."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +115,146 @@ def link_ranks(test: DataFrame, known: DataFrame, entities: DataFrame, score: Ca
     return out.select("h", "r", "t", rank.alias("rank"), (F.col("n") - F.col("n_k") + 1).alias("candidates"), F.lit(side).alias("side"))
 
 
+def _sides(method: str, side: str):
+    """How a method scores candidates in the open place: from the vectors of
+    the fixed place and the relation a vector q, and whether the score is q . e
+    or -|q - e|."""
+
+    def halves(x):
+        k = x.shape[1] // 2
+        return x[:, :k], x[:, k:]
+
+    def translated(fixed, rel):
+        return fixed + rel if side == "tail" else fixed - rel
+
+    def complex_(fixed, rel):
+        (a, b), (c, d) = halves(fixed), halves(rel)
+        if side == "tail":
+            return np.hstack([a * c - b * d, b * c + a * d])
+        return np.hstack([a * c + b * d, b * c - a * d])
+
+    def turned(fixed, rel):
+        a, b = halves(fixed)
+        c, s = np.cos(rel), np.sin(rel) * (1 if side == "tail" else -1)
+        return np.hstack([a * c - b * s, a * s + b * c])
+
+    return {"TransE": (translated, False), "DistMult": (lambda f, r: f * r, True), "ComplEx": (complex_, True), "RotatE": (turned, False)}[method]
+
+
+def _scores_of(q: np.ndarray, e: np.ndarray, product: bool) -> np.ndarray:
+    """Scores of every q (lines) with every e: added up dimension by dimension,
+    so that equal vectors have equal scores in blocks of any size."""
+    out = np.zeros((len(q), len(e)))
+    for k in range(q.shape[1]):
+        out += q[:, k, None] * e[None, :, k] if product else -np.square(q[:, k, None] - e[None, :, k])
+    return out
+
+
+def _vector_blocks(df: DataFrame, key: str, size: int, parts: int) -> DataFrame:
+    """(part, names, blob): vectors of df (key, vec) in blocks of at most ``size``."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, size):
+                c = b.slice(i, size)
+                yield pa.RecordBatch.from_arrays([pa.array([c.column(key).to_pylist()], pa.list_(pa.string())), pa.array([np.array(c.column("vec").to_pylist(), dtype=np.float64).tobytes()], pa.binary())], names=["names", "blob"])
+
+    blocks = df.select(F.col(key).cast("string").alias(key), F.col("vec").cast("array<double>").alias("vec")).repartition(parts).mapInArrow(run, "names array<string>, blob binary")
+    return blocks.withColumn("part", F.pmod(F.hash("blob"), F.lit(parts)))
+
+
+def link_ranks_by_vectors(test: DataFrame, known: DataFrame, entities: DataFrame, relations: DataFrame, method: str = "TransE", sides: tuple = ("tail", "head"), block: int = 512) -> DataFrame:
+    """(h, r, t, side, rank, candidates): realistic rank of each test triple
+    among all entities in the open place, known triples left out.
+
+    Test triples, the stated queries, travel in packs to blocks of entity
+    vectors; a pair of pack and block leaves three counts a query behind (better,
+    equal, all), never a row a candidate.  What known triples add to the counts
+    is scored by itself and taken off.  entities(e, vec), relations(r, vec);
+    triples whose entity or relation has no vector are no queries.  Null vectors
+    and nulls in triples count as missing."""
+    ents = entities.where("e is not null and vec is not null").dropDuplicates(["e"])
+    rels = relations.where("r is not null and vec is not null").dropDuplicates(["r"])
+    parts = int(test.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _vector_blocks(ents, "e", block, parts)
+    out = None
+    for side in sides:
+        fixed, open_ = ("h", "t") if side == "tail" else ("t", "h")
+        q = test.select("h", "r", "t").distinct().join(ents.select(F.col("e").alias("h"), F.col("vec").alias("hv")), "h").join(ents.select(F.col("e").alias("t"), F.col("vec").alias("tv")), "t").join(rels.withColumnRenamed("vec", "rv"), "r")
+        packed = q.select("h", "r", "t", *(F.col(c).cast("array<double>").alias(c) for c in ("hv", "rv", "tv"))).mapInArrow(_pack_queries(method, side, block), "names array<struct<h:string,r:string,t:string>>, truth binary, q binary")
+        sent = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        each = sent.join(blocks.select("part", F.col("names").alias("e_names"), "blob"), "part").mapInArrow(_count_ranks(method, side, open_), "h string, r string, t string, truth double, better long, equal long, n long")
+        every = each.groupBy("h", "r", "t").agg(F.max("truth").alias("truth"), *(F.sum(c).alias(c) for c in ("better", "equal", "n")))
+        others = known.select("h", "r", "t").union(test.select("h", "r", "t")).distinct()
+        rival = others.select(F.col(fixed).cast("string").alias(fixed), F.col("r").cast("string").alias("r"), F.col(open_).cast("string").alias("rival"))
+        pairs = every.select("h", "r", "t", "truth").join(rival, [fixed, "r"]).where(F.col("rival") != F.col(open_))
+        lookup = lambda name, col: ents.select(F.col("e").cast("string").alias(name), F.col("vec").cast("array<double>").alias(col))
+        scored = pairs.join(lookup(fixed, "fv"), fixed).join(lookup("rival", "ov"), "rival").join(rels.select(F.col("r").cast("string").alias("r"), F.col("vec").cast("array<double>").alias("rv")), "r").mapInArrow(_score_pairs(method, side), "h string, r string, t string, truth double, score double")
+        held = scored.groupBy("h", "r", "t").agg(F.count_if(F.col("score") > F.col("truth")).alias("better_k"), F.count_if(F.col("score") == F.col("truth")).alias("equal_k"), F.count("*").alias("n_k"))
+        one = every.join(held, ["h", "r", "t"], "left").na.fill(0, ["better_k", "equal_k", "n_k"])
+        rank = F.col("better") - F.col("better_k") + 1 + (F.col("equal") - F.col("equal_k")) / 2
+        one = one.select("h", "r", "t", F.lit(side).alias("side"), rank.alias("rank"), (F.col("n") - F.col("n_k") + 1).alias("candidates"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _rows_of(column) -> np.ndarray:
+    return np.array(column.to_pylist(), dtype=np.float64)
+
+
+def _pack_queries(method: str, side: str, size: int):
+    make, product = _sides(method, side)
+
+    def run(batches):
+        for whole in batches:
+            for i in range(0, whole.num_rows, size):
+                b = whole.slice(i, size)
+                h, r, t = (_rows_of(b.column(c)) for c in ("hv", "rv", "tv"))
+                q = make(h if side == "tail" else t, r)
+                answer = t if side == "tail" else h
+                truth = np.array([_scores_of(q[j : j + 1], answer[j : j + 1], product)[0, 0] for j in range(len(q))])
+                names = [dict(zip(("h", "r", "t"), map(str, x), strict=True)) for x in zip(*(b.column(c).to_pylist() for c in ("h", "r", "t")), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([names], pa.list_(pa.struct([("h", pa.string()), ("r", pa.string()), ("t", pa.string())]))), pa.array([truth.tobytes()], pa.binary()), pa.array([q.tobytes()], pa.binary())], names=["names", "truth", "q"])
+
+    return run
+
+
+def _count_ranks(method: str, side: str, open_: str):
+    _, product = _sides(method, side)
+
+    def run(batches):
+        for b in batches:
+            for names, truth, q, e_names, blob in zip(*(b.column(c).to_pylist() for c in ("names", "truth", "q", "e_names", "blob")), strict=True):
+                truth = np.frombuffer(truth)
+                s = _scores_of(np.frombuffer(q).reshape(len(names), -1), np.frombuffer(blob).reshape(len(e_names), -1), product)
+                place = {e: i for i, e in enumerate(e_names)}
+                own = np.array([place.get(x[open_], -1) for x in names])
+                better, equal, n = (s > truth[:, None]).sum(axis=1), (s == truth[:, None]).sum(axis=1), np.full(len(names), len(e_names))
+                here = own >= 0  # the answer itself is no rival
+                equal[here] -= 1
+                n[here] -= 1
+                cols = [[x[c] for x in names] for c in ("h", "r", "t")]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(truth), *(pa.array(x.astype(np.int64)) for x in (better, equal, n))], names=["h", "r", "t", "truth", "better", "equal", "n"])
+
+    return run
+
+
+def _score_pairs(method: str, side: str):
+    make, product = _sides(method, side)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            q, o = make(_rows_of(b.column("fv")), _rows_of(b.column("rv"))), _rows_of(b.column("ov"))
+            s = np.zeros(len(q))
+            for k in range(q.shape[1]):
+                s += q[:, k] * o[:, k] if product else -np.square(q[:, k] - o[:, k])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("h", "r", "t", "truth")] + [pa.array(s)], names=["h", "r", "t", "truth", "score"])
+
+    return run
+
+
 def link_metrics(ranks: DataFrame, ks: tuple = (1, 5, 10)) -> DataFrame:
     """(side, amri, hits_at_k ...): adjusted mean rank index and hits."""
     mr, expected = F.avg("rank"), F.avg((F.col("candidates") + 1) / 2)
@@ -172,12 +314,7 @@ def link_prediction(trained: DataFrame, method: str, train: DataFrame, test: Dat
     (role, name, vec), for open tails and open heads."""
     vectors = {role: trained.where(F.col("role") == role).select("name", "vec") for role in ("entity", "relation")}
     known = train.select("h", "r", "t").union(test.select("h", "r", "t")).distinct()
-    ents = vectors["entity"].select(F.col("name").alias("e"))
-    ranks = None
-    for side in ("tail", "head"):
-        one = link_ranks(test, known, ents, lambda c: SCORES[method](c, vectors["entity"], vectors["relation"]), side)
-        ranks = one if ranks is None else ranks.unionByName(one)
-    return link_metrics(ranks)
+    return link_metrics(link_ranks_by_vectors(test, known, vectors["entity"].toDF("e", "vec"), vectors["relation"].toDF("r", "vec"), method))
 
 
 # ------------------------------------------------------------ bias of a split

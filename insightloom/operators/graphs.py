@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import THRESHOLDS, WEIGHTS
+from .representations import ENDS_AT, IMPLIED_PARAMETER, IMPLIES, QUANTIFIED_BY, STARTS_AT
 from .storage import materialise, quantile
 
 # ------------------------------------------------------------ aggregation
@@ -200,11 +201,68 @@ def parameters_hit(members: DataFrame, vertices: DataFrame) -> DataFrame:
     return members.join(p, "v", "left_semi").select("q", F.col("v").alias("parameter")).distinct()
 
 
+def interval_join(ranges: DataFrame, values: DataFrame, by: list[str], start: str = "start", end: str = "end", value: str = "value") -> DataFrame:
+    """Pairs of a range and a value with equal ``by`` where the value lies
+    strictly inside, whichever end comes first.
+
+    A range of length up to 2**k lies in two or three cells of width 2**k; it is
+    kept there, whatever its length.  A value is looked up in its cell of each
+    width that its key's ranges have.  Both are equal-key joins, and what meets
+    in a cell is of the order of what's found, so neither long nor many ranges
+    make a product.  Ranges and values with nulls match nothing, infinite ends
+    are ends like others."""
+    lo, hi = F.least(F.col(start), F.col(end)).cast("double"), F.greatest(F.col(start), F.col(end)).cast("double")
+    given = ranges.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumns({"lo_": lo, "hi_": hi}).where("lo_ < hi_")
+    length = F.col("hi_") - F.col("lo_")
+    level = F.when(length < float("inf"), F.ceil(F.log2(length)).cast("int")).otherwise(1100)
+    cell = lambda x, k: F.when(k >= 1024, F.lit(0).cast("long")).otherwise(F.floor(x / F.pow(F.lit(2.0), k)))
+    given = given.withColumn("level_", level)
+    placed = given.withColumn("cell_", F.explode(F.sequence(cell(F.col("lo_"), F.col("level_")), cell(F.col("hi_"), F.col("level_")))))
+    levels = given.select(*by, "level_").distinct()  # a few widths a key, at most as many as doubles have exponents
+    looked = values.join(levels, by).withColumn("cell_", cell(F.col(value).cast("double"), F.col("level_")))
+    found = placed.join(looked, [*by, "level_", "cell_"])
+    return found.where((F.col("lo_") < F.col(value)) & (F.col(value) < F.col("hi_"))).drop("lo_", "hi_", "level_", "cell_")
+
+
 def conditions_holding(ranges: DataFrame, values: DataFrame) -> DataFrame:
-    """Range join: (range columns, value) where the value lies strictly inside,
-    whichever end comes first.  ranges(quality, start, end, ...), values(quality, value)."""
-    lo, hi = F.least("start", "end"), F.greatest("start", "end")
-    return ranges.join(values, "quality").where((lo < F.col("value")) & (F.col("value") < hi))
+    """(range columns, value) where the value lies strictly inside.
+    ranges(quality, start, end, ...), values(quality, value)."""
+    return interval_join(ranges, values, ["quality"])
+
+
+def quantified_subgraph(vertices: DataFrame, edges: DataFrame, asked: DataFrame, ternary: bool, skip_values: bool = False) -> DataFrame:
+    """(q, value, edge columns): for each quality and value asked, the edges of
+    an encoding of quantified conditions that hold there; ``skip_values`` leaves
+    out edges to literals.
+
+    Plain encodings: the quality's direct edges, and of each condition whose
+    range holds the value its edges and those of its conclusion.  Ternary ones:
+    the quality's relations with their parameters, and the edges of each part
+    whose range holds the value.  asked(q, value)."""
+    touching = edges.select(F.col("src").alias("node"), *edges.columns).union(edges.where("src <> dst").select(F.col("dst").alias("node"), *edges.columns))
+    number = vertices.select(F.col("name").alias("dst"), F.col("literal_value").try_cast("double").alias("n")).dropDuplicates(["dst"])
+    ends = edges.where(F.col("rel").isin(STARTS_AT, ENDS_AT)).join(number, "dst").groupBy(F.col("src").alias("node"))
+    ends = ends.agg(F.min(F.when(F.col("rel") == STARTS_AT, F.col("n"))).alias("start"), F.min(F.when(F.col("rel") == ENDS_AT, F.col("n"))).alias("end"))
+    cols = edges.columns
+    start = asked.select("q", "value").distinct()
+    first = touching.join(start.select(F.col("q").alias("node")).distinct(), "node").withColumnRenamed("node", "q")
+    if ternary:
+        always = first.join(edges.where(F.col("rel") == IMPLIED_PARAMETER).select(*(F.col(c).alias(f"{c}_2") for c in cols)), F.col("dst") == F.col("src_2")).select("q", *(F.col(f"{c}_2").alias(c) for c in cols)).unionByName(first.select("q", *cols)).distinct()
+        parts = first.select("q", F.col("dst").alias("src")).join(edges.where(F.col("rel") == QUANTIFIED_BY).select("src", F.col("dst").alias("node")), "src").select("q", "node").distinct()
+    else:
+        always = first.where(F.col("rel") == IMPLIES).select("q", *cols).distinct()
+        parts = first.where(F.col("rel") == QUANTIFIED_BY).select("q", F.col("dst").alias("node")).distinct()
+    holding = interval_join(parts.join(ends, "node"), start, ["q"]).select("q", "value", "node")
+    own = holding.join(touching, "node")
+    if ternary:
+        chosen = own.where(F.col("literal_included") == "None") if skip_values else own
+        chosen = chosen.select("q", "value", *cols)
+    elif skip_values:
+        chosen = own.where(F.col("rel") == QUANTIFIED_BY).select("q", "value", *cols)
+    else:
+        conclusion = own.where(F.col("rel") == IMPLIES).select("q", "value", F.col("dst").alias("node"))
+        chosen = own.select("q", "value", *cols).unionByName(conclusion.join(touching.where(F.col("rel") == QUANTIFIED_BY), "node").select("q", "value", *cols))
+    return start.join(always, "q").select("q", "value", *cols).unionByName(chosen).distinct()
 
 
 # ------------------------------------------------------------ statistics

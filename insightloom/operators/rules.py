@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as nm
 from ..functions import text as tx
 from ..functions.metrics import counts, metric_columns
+from .storage import materialise, quantiles_by
 
 # When two rules count as equal, and when experts agree.
 IOU_EQUAL, STEP_EQUAL, AGREEMENT = 0.9, 0.30, 0.6
@@ -18,13 +18,29 @@ IOU_EQUAL, STEP_EQUAL, AGREEMENT = 0.9, 0.30, 0.6
 # ------------------------------------------------------------ bins
 
 
-def influence_bins(values: DataFrame, by: str = "influence", value: str = "value", bins: int | None = None) -> DataFrame:
-    """(by, n_bins, edges): equal-width bins by Doane's rule or a fixed number."""
-    n = F.lit(bins) if bins else nm.doane_bins(value)
-    b = values.where(F.col(value).isNotNull()).groupBy(by).agg(n.cast("int").alias("n_bins"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    lo = F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo"))
-    hi = F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi"))
-    return b.select(by, "n_bins", nm.bin_edges(lo, hi, F.col("n_bins")).alias("edges"))
+def influence_bins(values: DataFrame, by: str | list = "influence", value: str = "value", bins: int | str | list | None = None) -> DataFrame:
+    """(by, n_bins, edges): equal-width bins by a named rule (doane, unless
+    given), a fixed number of them, or the given edges for every group."""
+    by = [by] if isinstance(by, str) else list(by)
+    d = values.where(F.col(value).isNotNull())
+    if isinstance(bins, (list, tuple)):
+        if len(bins) < 2 or list(bins) != sorted(bins):
+            raise ValueError("two edges or more, in order")
+        return d.select(*by).distinct().select(*by, F.lit(len(bins) - 1).alias("n_bins"), F.array(*(F.lit(float(e)) for e in bins)).alias("edges"))
+    lo, hi, n = F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).cast("double").alias("n")
+    if isinstance(bins, int):
+        b = d.groupBy(*by).agg(lo, hi).withColumn("n_bins", F.lit(bins))
+    elif bins in (None, "doane"):
+        b = d.groupBy(*by).agg(lo, hi, nm.doane_bins(value).cast("int").alias("n_bins"))
+    else:
+        b = d.groupBy(*by).agg(lo, hi, n, F.stddev_pop(value).alias("dev"))
+        if bins in ("fd", "auto"):
+            q = quantiles_by(d, by, value, (0.25, 0.75)).groupBy(*by).agg((F.max("quantile") - F.min("quantile")).alias("iqr"))
+            b = b.join(q, by)
+        b = b.withColumn("n_bins", nm.rule_bins(bins))
+    low = F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo"))
+    high = F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi"))
+    return b.select(*by, "n_bins", nm.bin_edges(low, high, F.col("n_bins")).alias("edges"))
 
 
 def histogram(values: DataFrame, bins: DataFrame, by: str = "influence", value: str = "value") -> DataFrame:
@@ -65,7 +81,7 @@ def action() -> Column:
 RULE_COLUMNS = ["condition", "cond_lo", "cond_hi", "action", "parameter", "param_type", "mean_value", "range_start", "range_end", "step_size", "quantifier"]
 
 
-def _finish(df: DataFrame) -> DataFrame:
+def finish(df: DataFrame) -> DataFrame:
     return df.withColumn("action", action()).withColumn("quantifier", F.when((F.col("action") == "set") & F.col("quantifier").isNull(), F.col("mean_value")).otherwise(F.col("quantifier"))).select(*RULE_COLUMNS, "n_values")
 
 
@@ -74,7 +90,7 @@ def binned_rules(pairs: DataFrame, bins: DataFrame) -> DataFrame:
     influence_value, parameter, value, relative, kind)."""
     d = pairs.where("influence_value is not null and value is not null").join(bins, "influence").withColumn("bin", nm.digitize("influence_value", "edges"))
     g = d.groupBy(F.col("influence").alias("condition"), "bin", "parameter").agg(F.first(F.element_at("edges", F.col("bin"))).alias("cond_lo"), F.first(F.element_at("edges", F.col("bin") + 1)).alias("cond_hi"), *rule_fields())
-    return _finish(g)
+    return finish(g)
 
 
 def edge_rules(pairs: DataFrame, bins: DataFrame) -> DataFrame:
@@ -85,7 +101,7 @@ def edge_rules(pairs: DataFrame, bins: DataFrame) -> DataFrame:
     g = g.join(bins.withColumnRenamed("influence", "condition"), "condition").withColumn("bin", nm.digitize("m", "edges"))
     inside = F.col("bin").between(1, F.col("n_bins"))
     g = g.withColumn("cond_lo", F.when(inside, F.try_element_at("edges", F.col("bin"))).otherwise(F.col("m") - F.col("s"))).withColumn("cond_hi", F.when(inside, F.try_element_at("edges", F.col("bin") + 1)).otherwise(F.col("m") + F.col("s")))
-    return _finish(g)
+    return finish(g)
 
 
 def fitted_rules(pairs: DataFrame, bins: DataFrame) -> DataFrame:
@@ -97,42 +113,38 @@ def fitted_rules(pairs: DataFrame, bins: DataFrame) -> DataFrame:
     at = fit.join(bins, "influence").select("*", F.posexplode(F.slice("edges", F.lit(1), F.col("n_bins"))).alias("i", "cond_lo")).withColumn("cond_hi", F.element_at("edges", F.col("i") + 2))
     y = F.coalesce(F.col("slope") * centre + F.col("icept"), F.col("mean"))
     out = at.select(F.col("influence").alias("condition"), "cond_lo", "cond_hi", "parameter", "param_type", y.alias("mean_value"), y.alias("range_start"), y.alias("range_end"), "step_size", F.when(F.col("param_type") == "boolean", (y >= 0.5).cast("double")).when(F.col("param_type") == "string", F.bround(y, 0)).alias("quantifier"), "n_values")
-    return _finish(out)
-
-
-def _merge_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One (condition, parameter): the first rule joins the first later one with
-    its action and step bin (or quantifier); repeated until none does."""
-    rows = pdf.sort_values(["cond_lo", "cond_hi"]).to_dict("records")
-    out = []
-    while rows:
-        first = rows.pop(0)
-        numeric = first["param_type"] == "numeric"
-        same = next((i for i, r in enumerate(rows) if r["action"] == first["action"] and (r["step_bin"] == first["step_bin"] if numeric else r["quantifier"] == first["quantifier"])), None)
-        if same is None:
-            out.append(first)
-            continue
-        other = rows.pop(same)
-        values, rel = [*first["values"], *other["values"]], [*first["relatives"], *other["relatives"]]
-        v = pd.Series(values, dtype="float64")
-        merged = first | {"cond_hi": other["cond_hi"], "values": values, "relatives": rel, "n_values": len(values)}
-        if numeric:
-            merged |= {"mean_value": v.mean(), "range_start": v.mean() - v.std(ddof=0), "range_end": v.mean() + v.std(ddof=0), "step_size": pd.Series(rel, dtype="float64").mean() if rel else 0.0}
-        rows.insert(0, merged)
-    return pd.DataFrame(out, columns=pdf.columns)
-
-
-def merged_rules(pairs: DataFrame, bins: DataFrame) -> DataFrame:
-    """Binned rules, similar neighbours merged.  Groups are the bins of one
-    influence and parameter."""
+    return finish(out)
+
+
+def merged_rules(pairs: DataFrame, bins: DataFrame, step_bins: int | str | list | None = None) -> DataFrame:
+    """Binned rules of one influence and parameter, those with one action and
+    one bin of the step size (or one quantifier) merged into one.
+
+    The first such rule takes in every later one, neighbours or not: a merged
+    step lies between the steps that it's made of, so it stays in their bin, and
+    all rules of a bin end up in one.  The condition reaches from the first
+    rule's start to the last one's end.  Values are merged as counts, means and
+    second moments, so no row grows with the data.  A merged rule keeps its
+    rules' action, also where it was set for a range that was one value."""
     d = pairs.where("influence_value is not null and value is not null").join(bins, "influence").withColumn("bin", nm.digitize("influence_value", "edges"))
-    g = d.groupBy(F.col("influence").alias("condition"), "bin", "parameter").agg(F.first(F.element_at("edges", F.col("bin"))).alias("cond_lo"), F.first(F.element_at("edges", F.col("bin") + 1)).alias("cond_hi"), F.array_sort(F.collect_list("value")).alias("values"), F.array_sort(F.collect_list("relative")).alias("relatives"), *rule_fields())
-    g = g.withColumn("action", action())
-    steps = influence_bins(g.where("step_size is not null"), "parameter", "step_size")
-    g = g.join(steps.withColumnRenamed("edges", "step_edges"), "parameter", "left").withColumn("step_bin", F.coalesce(nm.digitize("step_size", "step_edges"), F.lit(0)))
-    cols = [*RULE_COLUMNS, "n_values", "step_bin", "values", "relatives"]
-    g = g.select(*cols)
-    return g.groupBy("condition", "parameter").applyInPandas(_merge_group, g.schema).drop("step_bin", "values", "relatives")
+    g = d.groupBy(F.col("influence").alias("condition"), "bin", "parameter").agg(
+        F.first(F.element_at("edges", F.col("bin"))).alias("cond_lo"), F.first(F.element_at("edges", F.col("bin") + 1)).alias("cond_hi"), *rule_fields(),
+        F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.count("relative").alias("rel_n"), F.sum("relative").alias("rel_sum"),
+    ).withColumn("action", action())
+    steps = influence_bins(g.where("step_size is not null"), ["condition", "parameter"], "step_size", step_bins).withColumnRenamed("edges", "step_edges").drop("n_bins")
+    group = ["condition", "parameter", "action", "param_type", "like"]
+    like = F.when(F.col("param_type") == "numeric", F.coalesce(nm.digitize("step_size", "step_edges"), F.lit(0)).cast("double")).otherwise(F.col("quantifier"))
+    g = g.join(steps, ["condition", "parameter"], "left").withColumn("like", like)
+    mean = F.sum(F.col("n_values") * F.col("m")).over(Window.partitionBy(*group)) / F.sum("n_values").over(Window.partitionBy(*group))
+    g = g.withColumn("mean_", mean)
+    place = F.struct("cond_lo", "cond_hi")
+    out = g.groupBy(*group).agg(
+        F.min_by("cond_lo", place).alias("cond_lo"), F.max_by("cond_hi", place).alias("cond_hi"), F.first("mean_").alias("mean_value"),
+        F.sqrt(F.sum(F.col("n_values") * (F.col("v") + F.pow(F.col("m") - F.col("mean_"), F.lit(2)))) / F.sum("n_values")).alias("dev"),
+        F.coalesce(F.sum("rel_sum") / F.sum("rel_n"), F.lit(0.0)).alias("step_size"), F.min_by("quantifier", place).alias("quantifier"), F.sum("n_values").alias("n_values"),
+    )
+    numeric = F.col("param_type") == "numeric"
+    return out.select("condition", "cond_lo", "cond_hi", "action", "parameter", "param_type", F.when(numeric, F.col("mean_value")).alias("mean_value"), F.when(numeric, F.col("mean_value") - F.col("dev")).alias("range_start"), F.when(numeric, F.col("mean_value") + F.col("dev")).alias("range_end"), F.when(numeric, F.col("step_size")).alias("step_size"), "quantifier", "n_values")
 
 
 # ------------------------------------------------------------ comparison
@@ -179,16 +191,39 @@ def level_flags(base: DataFrame, pred: DataFrame) -> DataFrame:
     return pairs.select("a", "b", *(F.coalesce(equal("a", "b"), F.lit(False)).alias(name) for name, equal in LEVELS.items()))
 
 
+def _keyed(rules: DataFrame, key: Column | None = None) -> DataFrame:
+    return rules.withColumn("key", tx.rule_key() if key is None else key).dropDuplicates(["key"])
+
+
 def evaluation_sets(base: DataFrame, pred: DataFrame, level: str | Callable = "high") -> DataFrame:
-    """(key, truth, pred): the union of both rule sets, a predicted rule that
-    equals a baseline rule standing for it.  Each baseline rule takes its least
-    match, each predicted rule its least, by text."""
-    b, p = base.withColumn("key", tx.rule_key()), pred.withColumn("key", tx.rule_key())
-    b, p = b.dropDuplicates(["key"]), p.dropDuplicates(["key"])
+    """(key, truth, pred): all rules that either set holds, by text.  A
+    predicted rule that equals a baseline rule counts once, as found, however
+    many it equals; every baseline rule that equals a predicted one is taken for
+    found with it and drops out."""
+    b, p = _keyed(base), _keyed(pred)
     hit = matching_pairs(b, p, level).select(F.col("a.key").alias("bk"), F.col("b.key").alias("pk"))
-    hit = hit.groupBy("pk").agg(F.min("bk").alias("bk"))
-    predicted = p.select("key").join(hit.withColumnRenamed("pk", "key"), "key", "left").select(F.coalesce("bk", "key").alias("key")).distinct()
-    return b.select("key", F.lit(1).alias("truth")).join(predicted.withColumn("pred", F.lit(1)), "key", "full").select("key", F.coalesce("truth", F.lit(0)).alias("truth"), F.coalesce("pred", F.lit(0)).alias("pred"))
+    shared, missed = hit.select(F.col("pk").alias("key")).distinct(), hit.select(F.col("bk").alias("key")).distinct()
+    predicted = p.select("key").join(shared.withColumn("truth", F.lit(1)), "key", "left").select("key", F.coalesce("truth", F.lit(0)).alias("truth"), F.lit(1).alias("pred"))
+    return predicted.unionByName(b.select("key").join(missed, "key", "left_anti").select("key", F.lit(1).alias("truth"), F.lit(0).alias("pred")))
+
+
+def one_to_one(base: DataFrame, pred: DataFrame, level: str | Callable = "high", key: Column | None = None) -> DataFrame:
+    """(base_key, pred_key): baseline rules in the order of their keys (texts,
+    unless given), each with the first equal predicted rule that no earlier one
+    has taken.
+
+    Of all pairs still free, those that come first for both their rules are
+    taken at once; that is what the loop over one rule after the other would
+    take.  Rounds go on until no pair is free."""
+    free = materialise(matching_pairs(_keyed(base, key), _keyed(pred, key), level).select(F.col("a.key").alias("base_key"), F.col("b.key").alias("pred_key")), "pairs")
+    taken = None
+    while not free.isEmpty():
+        first = free.groupBy("base_key").agg(F.min("pred_key").alias("pred_key"))
+        mine = free.groupBy("pred_key").agg(F.min("base_key").alias("base_key"))
+        new = materialise(first.join(mine, ["base_key", "pred_key"]).select("base_key", "pred_key"), "taken")
+        taken = new if taken is None else taken.unionByName(new)
+        free = materialise(free.join(new.select("base_key"), "base_key", "left_anti").join(new.select("pred_key"), "pred_key", "left_anti"), "pairs")
+    return taken if taken is not None else free
 
 
 def evaluate(base: DataFrame, pred: DataFrame, level: str | Callable = "high") -> DataFrame:

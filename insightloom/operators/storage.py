@@ -82,3 +82,34 @@ def sample_of(df: DataFrame, n: int, keys: list, seed: int = 0) -> DataFrame:
     if n <= 0:
         return df.limit(0)
     return first_until(df.withColumn("one_", F.lit(1)), "one_", n, keys, seed).drop("one_")
+
+
+def quantiles_by(df: DataFrame, by: list[str], column: str, shares: tuple[float, ...], buckets: int = 1024) -> DataFrame:
+    """(by, share, quantile): exact, interpolated quantiles of every group.
+
+    Each pass counts, for all groups at once, a fixed number of buckets between
+    the values that enclose a place looked for, and goes on with the bucket that
+    holds it, until both ends are one value.  The places are a table, like the
+    groups; no task holds a group's values, and a pass counts only values inside
+    the enclosing ranges.  Null keys are no group, and only finite values count."""
+    x = df.select(*by, F.col(column).cast("double").alias("x_")).where(" and ".join(f"`{c}` is not null" for c in by)).where(F.abs("x_") < float("inf"))
+    ends = x.groupBy(*by).agg(F.count("*").alias("n_"), F.min("x_").alias("low_"), F.max("x_").alias("high_"))
+    wanted = F.array(*(F.struct(F.lit(float(s)).alias("share"), F.lit(k).alias("end")) for s in shares for k in (0, 1)))
+    at = F.col("w_.share") * (F.col("n_") - 1)
+    places = ends.select(*by, "n_", "low_", "high_", F.explode(wanted).alias("w_"))
+    places = places.select(*by, F.col("w_.share").alias("share"), F.col("w_.end").alias("end_"), (at - F.floor(at)).alias("part_"), F.least(F.floor(at) + F.col("w_.end"), F.col("n_") - 1).alias("place_"), "low_", "high_", F.lit(0).cast("long").alias("below_"))
+    places = materialise(places, "places")
+    while not places.where("low_ < high_").isEmpty():
+        open_ = places.where("low_ < high_").select(*by, "place_", "low_", "high_", "below_").distinct()
+        inside = x.join(open_, by).where(F.col("x_").between(F.col("low_"), F.col("high_")))
+        # halves keep the difference of any two doubles finite
+        width = F.col("high_") / 2 - F.col("low_") / 2
+        even = F.least(F.floor((F.col("x_") / 2 - F.col("low_") / 2) / F.when(width > 0, width) * buckets), F.lit(buckets - 1))
+        bucket = F.coalesce(even, F.when(F.col("x_") > F.col("low_"), F.lit(buckets - 1)).otherwise(0))
+        count = inside.groupBy(*by, "place_", bucket.alias("b_")).agg(F.count("*").alias("c_"), F.min("x_").alias("lo_"), F.max("x_").alias("hi_"), F.first("below_").alias("below_"))
+        upto = F.sum("c_").over(Window.partitionBy(*by, "place_").orderBy("b_")) + F.col("below_")
+        found = count.withColumn("upto_", upto).where((F.col("upto_") > F.col("place_")) & (F.col("upto_") - F.col("c_") <= F.col("place_"))).select(*by, "place_", "lo_", "hi_", (F.col("upto_") - F.col("c_")).alias("new_"))
+        joined = places.join(found, [*by, "place_"], "left")
+        places = materialise(joined.select(*by, "share", "end_", "part_", "place_", F.coalesce("lo_", "low_").alias("low_"), F.coalesce("hi_", "high_").alias("high_"), F.coalesce("new_", "below_").alias("below_")), "places")
+    low, high = F.max(F.when(F.col("end_") == 0, F.col("low_"))), F.max(F.when(F.col("end_") == 1, F.col("low_")))
+    return places.groupBy(*by, "share").agg((low + (high - low) * F.first("part_")).alias("quantile"))

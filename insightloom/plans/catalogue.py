@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as nm
 from ..functions import text as tx
 from ..functions.metrics import metric_columns
-from ..operators import clustering, embeddings, evaluation, experiments, features, graphs, lookups, representations, rules, synthesis
+from ..operators import clustering, embeddings, evaluation, experiments, features, fitting, graphs, lookups, representations, rules, synthesis
 from ..sources import adapters as ad
 from ..sources import readers, writers
 from ..sources.configs import DataSettings, Named, NoiseSettings, SeriesSettings
@@ -250,6 +250,34 @@ def bin_histogram_doane(spark, sf):
     return h.select("influence", big("bin").alias("bin"), r6("lo").alias("lo"), r6("hi").alias("hi"), big("n").alias("n"))
 
 
+_QUART = """q AS (SELECT event_type AS influence, count(value)::DOUBLE AS n, min(value) AS lo, max(value) AS hi, stddev_pop(value) AS dev, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM events GROUP BY ALL)"""
+_WIDTHS = {"fd": "2 * iqr / pow(n, 1.0 / 3)", "auto": "CASE WHEN iqr > 0 THEN least(2 * iqr / pow(n, 1.0 / 3), (hi - lo) / (log2(n) + 1)) ELSE (hi - lo) / (log2(n) + 1) END", "scott": "pow(24 * sqrt(pi()) / n, 1.0 / 3) * dev", "rice": "(hi - lo) / (2 * pow(n, 1.0 / 3))"}
+
+
+def _bin_histogram(rule):
+    def f(spark, sf):
+        v = ad.table(spark, sf, "events").select(F.col("event_type").alias("influence"), "value")
+        h = rules.histogram(v, rules.influence_bins(v, bins=rule))
+        return h.select("influence", big("bin").alias("bin"), r6("lo").alias("lo"), r6("hi").alias("hi"), big("n").alias("n"))
+
+    return f
+
+
+for _name, _width in _WIDTHS.items():
+    query(f"""WITH {_QUART}, b AS (SELECT influence, lo, hi, CASE WHEN hi > lo AND {_width} > 0 THEN ceil(round((hi - lo) / ({_width}), 9))::BIGINT ELSE 1 END AS k FROM q), grid AS (SELECT influence, lo, hi, k, unnest(range(1, k + 1)) AS bin FROM b),
+v AS (SELECT event_type AS influence, CASE WHEN value = hi THEN k ELSE len(list_filter(range(0, k + 1), lambda i: lo + (hi - lo) * i / k <= value)) END AS bin FROM events JOIN b ON event_type = influence), c AS (SELECT influence, bin, count(*) AS n FROM v GROUP BY ALL)
+SELECT influence, bin, round(lo + (hi - lo) * (bin - 1) / k, 6) AS lo, round(lo + (hi - lo) * bin / k, 6) AS hi, coalesce(n, 0) AS n FROM grid LEFT JOIN c USING (influence, bin)""", f"bin_histogram_{_name}")(_bin_histogram(_name))
+
+
+_EDGES = [0.0, 1.0, 10.0, 50.0, 250.0, 1000.0]
+
+
+@query(f"""WITH e(bin, lo, hi) AS (VALUES {", ".join(f"({i + 1}, {a}::DOUBLE, {b}::DOUBLE)" for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:])))}), g AS (SELECT DISTINCT event_type AS influence FROM events WHERE value IS NOT NULL)
+SELECT influence, e.bin::BIGINT AS bin, lo, hi, (SELECT count(*) FROM events WHERE event_type = influence AND value >= lo AND (value < hi OR (hi = {_EDGES[-1]} AND value = hi))) AS n FROM g, e""")
+def bin_edges_given(spark, sf):
+    return _bin_histogram(_EDGES)(spark, sf)
+
+
 def _pairs(spark, sf):
     p, q = ad.parameters(spark, sf), ad.qualities(spark, sf)
     rel = experiments.relative(p, experiments.previous(ad.experiments(spark, sf)), 1).select("exp_id", F.col("key").alias("parameter"), F.col("value").alias("relative"))
@@ -294,10 +322,19 @@ def rule_fitted(spark, sf):
     return _rule_out(rules.fitted_rules(p, _bins(p))).select("condition", "parameter", "cond_lo", "cond_hi", "mean_value", "n_values")
 
 
-@query()
+_PAIRS8 = _PAIRS.replace("/ 4", "/ 8").replace("THEN 4", "THEN 8").replace("range(0, 5)", "range(0, 9)")
+
+
+@query(f"""{_PAIRS8}, r AS (SELECT a.*, {_ACTION} AS action, rn, rs, v FROM agg a JOIN (SELECT influence AS condition, bin, parameter, count(relative) AS rn, sum(relative) AS rs, var_pop(value) AS v FROM binned GROUP BY ALL) USING (condition, bin, parameter)),
+st AS (SELECT condition, parameter, count(*)::DOUBLE AS n, avg(step) AS mu, min(step) AS lo, max(step) AS hi FROM r GROUP BY ALL),
+sk AS (SELECT condition, parameter, st.n, lo, hi, avg(pow(step - mu, 3)) / pow(nullif(avg(pow(step - mu, 2)), 0), 1.5) AS g1 FROM r JOIN st USING (condition, parameter) GROUP BY ALL),
+k AS (SELECT condition, parameter, lo, hi, CASE WHEN n > 2 AND hi > lo THEN ceil(round(1 + log2(n) + log2(1 + abs(g1) / sqrt(6 * (n - 2) / ((n + 1) * (n + 3)))), 9))::BIGINT ELSE 1 END AS k FROM sk),
+l AS (SELECT r.*, CASE WHEN hi = lo THEN 1 WHEN step = hi THEN k ELSE len(list_filter(range(0, k + 1), lambda i: lo + (hi - lo) * i / k <= step)) END AS likeness FROM r JOIN k USING (condition, parameter)),
+m AS (SELECT condition, parameter, action, min(cond_lo) AS cond_lo, max(cond_hi) AS cond_hi, sum(n_values)::BIGINT AS n_values, sum(n_values * m) / sum(n_values) AS m, sum(n_values * (v + m * m)) / sum(n_values) AS sq, coalesce(sum(rs) / sum(rn), 0) AS step FROM l GROUP BY condition, parameter, action, likeness)
+SELECT condition, parameter, round(cond_lo, 4) AS cond_lo, round(cond_hi, 4) AS cond_hi, round(m, 4) AS mean_value, round(m - sqrt(greatest(sq - m * m, 0)), 4) AS range_start, round(m + sqrt(greatest(sq - m * m, 0)), 4) AS range_end, round(step, 4) + 0.0 AS step_size, action, n_values FROM m""")
 def rule_merged(spark, sf):
     p = _pairs(spark, sf)
-    return _rule_out(rules.merged_rules(p, _bins(p, 8)))
+    return _rule_out(rules.merged_rules(p, _bins(p, 8))).withColumn("step_size", F.col("step_size") + 0.0)
 
 
 def _two_rule_sets(p):
@@ -318,10 +355,115 @@ def rule_equality(spark, sf):
     return rules.level_flags(a, b).groupBy("a.condition", "a.parameter").agg(*(F.count_if(level).alias(level) for level in ("high", "mid", "low")))
 
 
-@query()
+_METRICS = f"""SELECT tp, fp, fn, 0::BIGINT AS tn, round(tp / nullif(tp + w, 0), 9) AS jaccard, round(js, 9) AS js_divergence, round(-(w * ln(2.220446049250313e-16) + tp * ln(1 - 2.220446049250313e-16)) / nullif(tp + w, 0), 9) AS cross_entropy, round(f1, 9) AS f1,
+ round(f1 / nullif(n, 0), 9) AS f1_by_length, round(f1 / nullif(w, 0), 9) AS f1_by_false, round(js / nullif(w, 0), 9) AS js_by_false, round(p, 9) AS precision, round(p / nullif(w, 0), 9) AS precision_by_false, round(r, 9) AS recall, round(r / nullif(w, 0), 9) AS recall_by_false, n AS rule_count
+ FROM (SELECT *, fp + fn AS w, 2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0) AS f1, tp::DOUBLE / nullif(tp + fp, 0) AS p, tp::DOUBLE / nullif(tp + fn, 0) AS r,
+  CASE WHEN tp + fn > 0 AND tp + fp > 0 THEN (CASE WHEN tp > 0 THEN tp * (ln(2.0 * (tp + fp) / (2 * tp + fp + fn)) / (tp + fn) + ln(2.0 * (tp + fn) / (2 * tp + fp + fn)) / (tp + fp)) ELSE 0 END + (fn::DOUBLE / (tp + fn) + fp::DOUBLE / (tp + fp)) * ln(2)) / 2 END AS js FROM cnt)"""
+
+
+@query(f"""{_RULES2}, cnt AS (SELECT (SELECT count(DISTINCT (condition, parameter, bin_b)) FROM j WHERE low) AS tp, (SELECT count(*) FROM b) - (SELECT count(DISTINCT (condition, parameter, bin_b)) FROM j WHERE low) AS fp,
+ (SELECT count(*) FROM a) - (SELECT count(DISTINCT (condition, parameter, bin_a)) FROM j WHERE low) AS fn, (SELECT count(*) FROM b) AS n) {_METRICS}""")
 def rule_metrics(spark, sf):
     a, b = _two_rule_sets(_pairs(spark, sf))
-    return rules.evaluate(a, b, "low")
+    e = rules.evaluate(a, b, "low")
+    return e.select(*(big(c).alias(c) for c in ("tp", "fp", "fn", "tn")), *(r6(c, 9).alias(c) for c in e.columns if c not in ("tp", "fp", "fn", "tn", "rule_count")), big("rule_count").alias("rule_count"))
+
+
+_PAIRS5 = _PAIRS.replace("/ 4", "/ 5").replace("THEN 4", "THEN 5").replace("range(0, 5)", "range(0, 6)").replace("binned AS", "binned5 AS").replace("FROM binned", "FROM binned5").replace("agg AS", "agg5 AS")
+_RULE_NAME = "condition || '|' || parameter || '|' || printf('%.4f', cond_lo)"
+
+
+@query(f"""WITH RECURSIVE {_PAIRS.removeprefix('WITH ')}, {_PAIRS5[_PAIRS5.index('binned5 AS'):]},
+e AS (SELECT a.condition, a.parameter, {_RULE_NAME.replace("cond_lo", "a.cond_lo").replace("condition", "a.condition").replace("parameter", "a.parameter")} AS bk, {_RULE_NAME.replace("cond_lo", "b.cond_lo").replace("condition", "b.condition").replace("parameter", "b.parameter")} AS pk FROM agg a JOIN agg5 b USING (condition, parameter) WHERE a.cond_lo < b.cond_hi - 1e-9 AND b.cond_lo < a.cond_hi - 1e-9),
+n AS (SELECT *, row_number() OVER (PARTITION BY condition, parameter ORDER BY bk) AS i FROM (SELECT condition, parameter, bk, list(pk ORDER BY pk) AS adj FROM e GROUP BY ALL)),
+t AS (SELECT DISTINCT condition, parameter, 0::BIGINT AS i, NULL::VARCHAR AS bk, NULL::VARCHAR AS pk, []::VARCHAR[] AS taken FROM n UNION ALL
+ SELECT condition, parameter, n.i, n.bk, list_filter(adj, lambda x: NOT list_contains(taken, x))[1], CASE WHEN len(list_filter(adj, lambda x: NOT list_contains(taken, x))) > 0 THEN list_append(taken, list_filter(adj, lambda x: NOT list_contains(taken, x))[1]) ELSE taken END FROM t JOIN n USING (condition, parameter) WHERE n.i = t.i + 1)
+SELECT bk AS base_key, pk AS pred_key FROM t WHERE pk IS NOT NULL""")
+def rule_matching(spark, sf):
+    p = _pairs(spark, sf)
+    a, b = (rules.binned_rules(p, _bins(p, n)).drop("n_values") for n in (4, 5))
+
+    def overlapping(a, b):
+        return rules.high_equal(a, b) & (F.col(f"{a}.cond_lo") < F.col(f"{b}.cond_hi") - 1e-9) & (F.col(f"{b}.cond_lo") < F.col(f"{a}.cond_hi") - 1e-9)
+
+    return rules.one_to_one(a, b, overlapping, F.format_string("%s|%s|%.4f", "condition", "parameter", "cond_lo"))
+
+
+def _det(m):
+    """The determinant of a matrix of SQL terms, expanded by its first row."""
+    if len(m) == 1:
+        return m[0][0]
+    return "(" + " ".join(f"{'-' if j % 2 else '+'} {m[0][j]} * {_det([row[:j] + row[j + 1:] for row in m[1:]])}" for j in range(len(m))) + ")"
+
+
+def _cramer(size, right, penalty, prefix="s"):
+    """SQL of the coefficients of normal equations over powers."""
+    cell = lambda i, j: f"({prefix}{i + j} + {penalty})" if i == j and i else f"{prefix}{i + j}"
+    whole = [[cell(i, j) for j in range(size)] for i in range(size)]
+    under = _det(whole)
+    return [f"{_det([[right(i) if j == k else whole[i][j] for j in range(size)] for i in range(size)])} / {under}" for k in range(size)]
+
+
+_GRID = [(f.degree, f.alpha) for f in fitting.GRID]
+_COEF = ", ".join(f"CASE degree " + " ".join(f"WHEN {d} THEN {_cramer(d + 1, 't{}'.format, 'alpha')[k]}" for d in (1, 2, 3) if k <= d) + f" ELSE 0 END AS c{k}" for k in range(4))
+_SUMS = [*(f"s{k}" for k in range(7)), *(f"t{k}" for k in range(4)), "yy"]
+_FIT = f"""{_PAIRS}, sc AS (SELECT influence, parameter, avg(iv) AS mx, stddev_pop(iv) AS sx FROM pairs GROUP BY ALL),
+zz AS (SELECT p.influence, p.parameter, exp_id % 3 AS fold, (iv - mx) / sx AS z, value AS y FROM pairs p JOIN sc USING (influence, parameter)),
+mo AS (SELECT influence, parameter, fold, {", ".join(f"sum(pow(z, {k})) AS s{k}" for k in range(7))}, {", ".join(f"sum(y * pow(z, {k})) AS t{k}" for k in range(4))}, sum(y * y) AS yy FROM zz GROUP BY ALL),
+tot AS (SELECT influence, parameter, {", ".join(f"sum({c}) AS {c}" for c in _SUMS)} FROM mo GROUP BY ALL),
+cand(degree, alpha) AS (VALUES {", ".join(f"({d}, {a}::DOUBLE)" for d, a in _GRID)}),
+tr AS (SELECT mo.influence, mo.parameter, mo.fold, degree, alpha, {", ".join(f"mo.{c} AS h_{c}, tot.{c} - mo.{c} AS {c}" for c in _SUMS)} FROM mo JOIN tot USING (influence, parameter), cand),
+cv AS (SELECT *, {_COEF} FROM tr),
+r2 AS (SELECT influence, parameter, degree, alpha, avg(1 - (h_yy - 2 * ({" + ".join(f"c{k} * h_t{k}" for k in range(4))}) + {" + ".join(f"c{i} * c{j} * h_s{i + j}" for i in range(4) for j in range(4))}) / (h_yy - h_t0 * h_t0 / h_s0)) AS score FROM cv GROUP BY ALL),
+best AS (SELECT * FROM r2 QUALIFY row_number() OVER (PARTITION BY influence, parameter ORDER BY round(score, 9) DESC, degree, alpha) = 1),
+fin AS (SELECT influence, parameter, degree, alpha, score, {_COEF} FROM best JOIN tot USING (influence, parameter)),
+atb AS (SELECT fin.*, mx, sx, lo + (hi - lo) * (k - 1) / 4 AS cond_lo, lo + (hi - lo) * k / 4 AS cond_hi, (lo + (hi - lo) * (k - 0.5) / 4 - mx) / sx AS z FROM fin JOIN sc USING (influence, parameter) JOIN bins USING (influence), (SELECT unnest(range(1, 5)) AS k))"""
+
+
+@query(f"{_FIT} SELECT influence AS condition, parameter, round(cond_lo, 4) AS cond_lo, round(cond_hi, 4) AS cond_hi, degree, alpha, round(score, 6) AS score, round(c0 + c1 * z + c2 * z * z + c3 * z * z * z, 3) AS mean_value FROM atb")
+def rule_best_fit(spark, sf):
+    p = _pairs(spark, sf)
+    method = fitting.RuleMethod("binned_influences_function", fitting.GRID, 3, "grid")
+    fits = fitting.best_fits(p, method, F.col("exp_id") % 3)
+    r = fitting.at_bins(fits, _bins(p))
+    y = sum((F.col("coef")[k] * F.pow("z", F.lit(k)) for k in range(1, 4)), F.col("coef")[0])
+    return r.select(F.col("influence").alias("condition"), "parameter", r6("cond_lo", 4).alias("cond_lo"), r6("cond_hi", 4).alias("cond_hi"), "degree", "alpha", r6("score").alias("score"), F.round(y, 3).alias("mean_value"))
+
+
+@query(f"{_FIT} SELECT influence AS condition, parameter, round(cond_lo, 4) AS cond_lo, round(c0 + c1 * z + c2 * z * z + c3 * z * z * z, 3) AS mean_value, n_values FROM atb JOIN (SELECT influence, parameter, count(*) AS n_values FROM pairs GROUP BY ALL) USING (influence, parameter)")
+def rule_function(spark, sf):
+    p = _pairs(spark, sf)
+    method = fitting.RuleMethod("binned_influences_function", fitting.GRID, 3, "grid")
+    r = fitting.curve_rules(p, _bins(p), method, F.col("exp_id") % 3)
+    return r.select("condition", "parameter", r6("cond_lo", 4).alias("cond_lo"), F.round("mean_value", 3).alias("mean_value"), big("n_values").alias("n_values"))
+
+
+def _typed_pairs(spark, sf):
+    """Order status as a truth value and priority as a category."""
+    o = ad.table(spark, sf, "orders")
+    p = o.select(F.col("o_orderkey").alias("exp_id"), F.explode(F.array(
+        F.struct(F.lit("finished").alias("parameter"), (F.col("o_orderstatus") == "F").cast("double").alias("value"), F.lit("boolean").alias("kind")),
+        F.struct(F.lit("priority").alias("parameter"), F.substring("o_orderpriority", 1, 1).cast("double").alias("value"), F.lit("string").alias("kind")),
+    )).alias("x")).select("exp_id", "x.*")
+    q = ad.qualities(spark, sf).select("exp_id", F.col("key").alias("influence"), F.col("value").alias("influence_value"))
+    return p.join(q, "exp_id").withColumn("relative", F.lit(None).cast("double"))
+
+
+_CLASS_COEF = _cramer(3, lambda i: f"(2 * u{i} - s{i})", "1")
+
+
+@query(f"""{ad.cte("quality")}, tp AS (SELECT o_orderkey AS exp_id, 'finished' AS parameter, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0 END AS class FROM orders UNION ALL SELECT o_orderkey, 'priority', left(o_orderpriority, 1)::DOUBLE FROM orders),
+pairs AS (SELECT exp_id, parameter, class, key AS influence, value AS iv FROM tp JOIN quality USING (exp_id) WHERE value IS NOT NULL AND class IS NOT NULL),
+bins AS (SELECT influence, min(iv) AS lo, max(iv) AS hi FROM pairs GROUP BY ALL), sc AS (SELECT influence, parameter, avg(iv) AS mx, stddev_pop(iv) AS sx, count(*) AS n_values FROM pairs GROUP BY ALL),
+u AS (SELECT p.influence, p.parameter, class, {", ".join(f"sum(pow((iv - mx) / sx, {k})) AS u{k}" for k in range(5))} FROM pairs p JOIN sc USING (influence, parameter) GROUP BY ALL),
+s AS (SELECT influence, parameter, {", ".join(f"sum(u{k}) AS s{k}" for k in range(5))} FROM u GROUP BY ALL),
+c AS (SELECT influence, parameter, class, {", ".join(f"{e} AS c{k}" for k, e in enumerate(_CLASS_COEF))} FROM u JOIN s USING (influence, parameter)),
+atb AS (SELECT c.*, n_values, lo + (hi - lo) * (k - 1) / 4 AS cond_lo, lo + (hi - lo) * k / 4 AS cond_hi, (lo + (hi - lo) * (k - 0.5) / 4 - mx) / sx AS z FROM c JOIN sc USING (influence, parameter) JOIN bins USING (influence), (SELECT unnest(range(1, 5)) AS k))
+SELECT influence AS condition, parameter, round(cond_lo, 4) AS cond_lo, round(cond_hi, 4) AS cond_hi, class AS quantifier, n_values FROM atb QUALIFY row_number() OVER (PARTITION BY influence, parameter, cond_lo ORDER BY round(c0 + c1 * z + c2 * z * z, 9) DESC, class) = 1""")
+def rule_classified(spark, sf):
+    p = _typed_pairs(spark, sf)
+    r = fitting.classified_rules(p, _bins(p))
+    return r.select("condition", "parameter", r6("cond_lo", 4).alias("cond_lo"), r6("cond_hi", 4).alias("cond_hi"), "quantifier", big("n_values").alias("n_values"))
 
 
 @query("""WITH c AS (SELECT r, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn FROM (SELECT o_orderpriority AS r, o_totalprice > 150000 AS t, o_orderkey % 3 = 0 AS p FROM orders) GROUP BY r)
@@ -449,6 +591,28 @@ def range_subgraph(spark, sf):
     return graphs.conditions_holding(ranges, values).select("quality", "parameter", big("bin").alias("bin"), r6("value").alias("value"))
 
 
+def _asked(spark, sf):
+    """Qualities with the values met, as queries of a quantified subgraph."""
+    return ad.table(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("q"), (F.round("l_tax", 2) + 0.005).alias("value")).distinct()
+
+
+def _holding(name, skip):
+    """SQL of the edges that hold for a quality and a value."""
+    e = f"{_REL}, e AS ({_u(_REPS[name])}), v AS (SELECT DISTINCT l_returnflag || l_linestatus AS q, round(l_tax, 2) + 0.005 AS value FROM lineitem), inside AS (SELECT DISTINCT q, value, tag, rel, 'my' || ix || '-ny' || ix || '-' || tag AS part FROM x JOIN v ON quality = q AND round(least(lo, hi), 6) < value AND value < round(greatest(lo, hi), 6))"
+    if "w3" in name:
+        always = "SELECT q, value, e.src, e.rel, e.dst, literal_included FROM v JOIN e ON e.src = v.q OR e.dst = v.q UNION SELECT q, value, e.src, e.rel, e.dst, literal_included FROM v JOIN r ON r.quality = v.q JOIN e ON e.src = r.rel AND e.rel = 'implied parameter'"
+        mine = "e.src = part OR e.dst = part"
+    else:
+        always = "SELECT q, value, src, rel, dst, literal_included FROM v JOIN e ON (e.src = v.q OR e.dst = v.q) AND e.rel = 'implies'"
+        mine = "e.src = 'my-' || tag OR e.dst = 'my-' || tag" + (" OR ((e.src = 'value-' || tag OR e.dst = 'value-' || tag) AND e.rel = 'quantified by')" if not skip else "")
+    keep = (" AND literal_included = 'None'" if "w3" in name else " AND e.rel = 'quantified by'") if skip else ""
+    return f"{e} SELECT q, round(value, 6) AS value, src, rel, dst, literal_included FROM ({always} UNION SELECT q, value, e.src, e.rel, e.dst, literal_included FROM inside i JOIN e ON ({mine}){keep})"
+
+
+for _n, _name, _skip in (("quantified_conditions_w3", "range_subgraph_w3", False), ("quantified_conditions_w3", "range_subgraph_w3_entities", True), ("quantified_conditions_with_shortcut", "range_subgraph_conditions", False), ("quantified_conditions_without_shortcut", "range_subgraph_conditions_entities", True)):
+    query(_holding(_n, _skip), _name)(lambda spark, sf, n=_n, skip=_skip: graphs.quantified_subgraph(*representations.encode(ad.relations(spark, sf), n), _asked(spark, sf), "w3" in n, skip).withColumn("value", r6("value")))
+
+
 _G = ad.cte("edges") + ", e AS (SELECT influence AS src, parameter AS dst FROM edges), v AS (SELECT src AS name FROM e UNION SELECT dst FROM e), o AS (SELECT src AS name, count(*) AS out_degree FROM e GROUP BY 1), i AS (SELECT dst AS name, count(*) AS in_degree FROM e GROUP BY 1), d AS (SELECT name, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree, coalesce(in_degree, 0) + coalesce(out_degree, 0) AS degree FROM v LEFT JOIN i USING (name) LEFT JOIN o USING (name))"
 
 
@@ -590,6 +754,43 @@ def link_rank(spark, sf):
     return m.select("side", *(r6(c).alias(c) for c in ("amri", "hits_at_1", "hits_at_5", "hits_at_10")))
 
 
+def _vector_triples(spark, sf):
+    """Vectors as entities, in whole numbers; each label is a relation from every
+    vector of it to another one, and has the vector of its least id."""
+    e = ad.table(spark, sf, "embeddings").where("vec_id is not null and embedding is not null and label is not null")
+    v = e.select(F.col("vec_id"), F.col("label"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("vec"))
+    ents = v.select(F.concat(F.lit("v"), F.col("vec_id")).alias("e"), "vec")
+    rels = v.groupBy(F.concat(F.lit("r"), F.col("label")).alias("r")).agg(F.min_by("vec", "vec_id").alias("vec"))
+    n = v.agg(F.count("*").alias("n"))
+    t = v.crossJoin(F.broadcast(n)).select(F.concat(F.lit("v"), F.col("vec_id")).alias("h"), F.concat(F.lit("r"), F.col("label")).alias("r"), F.concat(F.lit("v"), F.pmod(F.col("vec_id") * 31 + F.col("label"), F.col("n"))).alias("t"), (F.col("vec_id") % 10 == 0).alias("test"))
+    return ents, rels, t.where("not test").drop("test"), t.where("test").drop("test")
+
+
+_VT = """WITH e AS (SELECT 'v' || vec_id AS e, 'r' || label AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND label IS NOT NULL),
+rel AS (SELECT r, min_by(vec, vec_id) AS rv FROM e GROUP BY r), tr AS (SELECT e AS h, r, 'v' || ((vec_id * 31 + label) % (SELECT count(*) FROM e)) AS t, vec_id % 10 = 0 AS test FROM e),
+q AS (SELECT h, tr.r, t, a.vec AS hv, b.vec AS tv, rv FROM tr JOIN e a ON a.e = h JOIN e b ON b.e = t JOIN rel ON rel.r = tr.r WHERE test)"""
+_RANK = """, {side}1 AS (SELECT h, r, t, vec, e, {score} AS s, e = {open} AS own, EXISTS (SELECT 1 FROM tr k WHERE k.r = q.r AND k.{fixed} = q.{fixed} AND k.{open} = e) AS seen FROM q, (SELECT e, vec FROM e)),
+{side}2 AS (SELECT h, r, t, '{side}' AS side, max(s) FILTER (own) AS truth, list(s) FILTER (NOT own AND NOT seen) AS others FROM {side}1 GROUP BY h, r, t)"""
+_RANK_OUT = "SELECT h, r, t, side, len(list_filter(others, lambda x: x > truth)) + 1 + len(list_filter(others, lambda x: x = truth)) / 2.0 AS rank, len(others) + 1 AS candidates FROM {side}2"
+
+
+def _rank_sql(tail, head):
+    both = _RANK.format(side="tail", score=tail, open="t", fixed="h") + _RANK.format(side="head", score=head, open="h", fixed="t")
+    return f"{_VT}{both} {_RANK_OUT.format(side='tail')} UNION ALL {_RANK_OUT.format(side='head')}"
+
+
+_SQUARE = "-list_sum(list_transform(list_zip({a}, {b}, {c}), lambda x: (x[1] + x[2] - x[3]) ** 2))"
+_TRIPLE = "list_sum(list_transform(list_zip({a}, {b}, {c}), lambda x: x[1] * x[2] * x[3]))"
+for _m, _one, _two in (("TransE", _SQUARE.format(a="hv", b="rv", c="vec"), _SQUARE.format(a="vec", b="rv", c="tv")), ("DistMult", _TRIPLE.format(a="hv", b="rv", c="vec"), _TRIPLE.format(a="vec", b="rv", c="tv"))):
+
+    def _ranked(spark, sf, m=_m):
+        ents, rels, tr, te = _vector_triples(spark, sf)
+        out = evaluation.link_ranks_by_vectors(te, tr, ents, rels, m)
+        return out.select("h", "r", "t", "side", "rank", big("candidates").alias("candidates"))
+
+    query(_rank_sql(_one, _two), "link_rank_both_sides" if _m == "TransE" else "link_rank_both_sides_distmult")(_ranked)
+
+
 @query("SELECT o_orderpriority AS kg_type, round(avg(o_totalprice), 3) AS mean, round(stddev_samp(o_totalprice), 3) AS std FROM orders GROUP BY ALL")
 def over_iterations(spark, sf):
     m = ad.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("kg_type"), F.col("o_totalprice").alias("value"))
