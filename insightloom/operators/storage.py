@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 12
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; where that is unset, which
-    only a local master allows, under a folder of our own."""
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset, which only a local master
+    allows, a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is unset: the executors need a shared folder")
         root = "file://" + tempfile.mkdtemp(prefix="loom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared root."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import numeric as nm
 from ..functions import text as tx
 from ..functions.metrics import metric_columns
-from ..operators import clustering, embeddings, evaluation, experiments, features, fitting, graphs, lookups, representations, rules, synthesis
+from ..operators import clustering, embeddings, evaluation, experiments, features, fitting, graphs, lookups, representations, rules, sketches, stages, storage, synthesis
 from ..sources import adapters as ad
-from ..sources import readers, writers
+from ..sources import documents as doc_sources
+from ..sources import readers, snapshots, turtle, writers
 from ..sources.configs import DataSettings, Named, NoiseSettings, SeriesSettings
-from ..streaming import incremental
+from ..streaming import incremental, series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +66,24 @@ for _name, _sql in (("mean", "avg(weight)"), ("median", "quantile_cont(weight, 0
     query(f"{_KG} {_KG_OUT} WHERE weight >= (SELECT {_sql} FROM kg)", f"kg_filter_{_name}")(lambda spark, sf, t=_name: _kg_out(graphs.filter_aggregated(_kg(spark, sf), t)))
 
 
+@query(f"{_KG} {_KG_OUT} WHERE weight >= (SELECT quantile_disc(weight, 0.5) FROM kg)")
+def kg_filter_sketch(spark, sf):
+    """The median by sketches of two halves of the graph, merged; there are
+    fewer edges than a sketch keeps, so it is exact here."""
+    kg = _kg(spark, sf)
+    half = F.pmod(F.hash("influence", "parameter"), F.lit(2)) == 0
+    return _kg_out(sketches.filter_by_sketch(kg, [sketches.threshold_state(kg.where(half)), sketches.threshold_state(kg.where(~half))]))
+
+
+@query(ad.cte("edges") + "SELECT influence, parameter, count(weight) AS n, round(avg(weight), 6) AS mean FROM edges GROUP BY ALL")
+def edge_sketches(spark, sf):
+    """State of every edge from two runs, merged; counts and means are exact
+    (the tests hold quantiles and distinct counts to their bounds)."""
+    e = ad.insight_edges(spark, sf)
+    runs = [sketches.weight_sketches(e.where(F.col("exp_id") % 2 == k)) for k in (0, 1)]
+    return sketches.summary(sketches.merge(*runs)).select("influence", "parameter", big("n").alias("n"), r6("mean").alias("mean"))
+
+
 @query(f"{_KG}, t AS (SELECT avg(weight) AS t FROM kg) SELECT influence, parameter, weight < t AS filtered FROM kg, t")
 def graph_diff(spark, sf):
     kg = _kg(spark, sf)
@@ -138,14 +157,21 @@ def prev_experiment(spark, sf):
     return experiments.previous(ad.experiments(spark, sf))
 
 
-@query(ad.cte("exps", "prev", "quality") + "SELECT p.series_id, q.exp_id, q.key, round(-(q.value - o.value), 6) AS value FROM quality q JOIN prev p USING (exp_id) LEFT JOIN quality o ON o.exp_id = p.prev_id AND o.key = q.key")
+def _wide(exprs):
+    return "wide AS MATERIALIZED (SELECT l_orderkey AS exp_id, " + ", ".join(f"avg({e}) AS {k}" for k, e in exprs.items()) + " FROM lineitem GROUP BY l_orderkey)"
+
+
+_QWIDE = _wide({k: f"CASE WHEN {e} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for k, e in ad.QUALITIES.items()})
+
+
+@query(ad.cte("exps", "prev") + f", {_QWIDE}, j AS MATERIALIZED (SELECT p.series_id, q.exp_id, {', '.join(f'q.{k} - o.{k} AS {k}' for k in ad.QUALITIES)} FROM wide q JOIN prev p USING (exp_id) LEFT JOIN wide o ON o.exp_id = p.prev_id) " + " UNION ALL ".join(f"SELECT series_id, exp_id, '{k}' AS key, round(-{k}, 6) + 0.0 AS value FROM j" for k in ad.QUALITIES))
 def relative_quality(spark, sf):
-    return experiments.relative(ad.qualities(spark, sf), experiments.previous(ad.experiments(spark, sf))).withColumn("value", r6("value"))
+    return experiments.relative(ad.qualities(spark, sf), experiments.previous(ad.experiments(spark, sf))).withColumn("value", r6("value") + 0.0)
 
 
-@query(ad.cte("exps", "prev", "params") + "SELECT p.series_id, q.exp_id, q.key, round(q.value - o.value, 6) AS value FROM params q JOIN prev p USING (exp_id) LEFT JOIN params o ON o.exp_id = p.prev_id AND o.key = q.key")
+@query(ad.cte("exps", "prev") + f", {_wide(ad.PARAMS)}, j AS MATERIALIZED (SELECT p.series_id, q.exp_id, {', '.join(f'q.{k} - o.{k} AS {k}' for k in ad.PARAMS)} FROM wide q JOIN prev p USING (exp_id) LEFT JOIN wide o ON o.exp_id = p.prev_id) " + " UNION ALL ".join(f"SELECT series_id, exp_id, '{k}' AS key, round({k}, 6) + 0.0 AS value FROM j" for k in ad.PARAMS))
 def relative_param(spark, sf):
-    return experiments.relative(ad.parameters(spark, sf), experiments.previous(ad.experiments(spark, sf)), 1).withColumn("value", r6("value"))
+    return experiments.relative(ad.parameters(spark, sf), experiments.previous(ad.experiments(spark, sf)), 1).withColumn("value", r6("value") + 0.0)
 
 
 @query(ad.cte("exps", "quality") + "SELECT series_id, exp_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY value, exp_id) AS r FROM exps JOIN (SELECT exp_id, value FROM quality WHERE key = 'returned') USING (exp_id)) WHERE r = 1")
@@ -214,8 +240,7 @@ def experiment_counts(spark, sf):
     return ad.experiments(spark, sf).agg(F.count("*").alias("n_experiments"), F.countDistinct("series_id").alias("n_series"), r6(F.count("*") / F.countDistinct("series_id")).alias("mean_length"))
 
 
-@query(ad.cte("exps", "params") + """, d AS (SELECT * FROM params WHERE exp_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O')), h AS (SELECT DISTINCT series_id, key FROM d JOIN exps USING (exp_id))
-SELECT e.exp_id, h.key, round(coalesce(d.value, l.value), 6) AS value FROM exps e JOIN h USING (series_id) LEFT JOIN d ON d.exp_id = e.exp_id AND d.key = h.key LEFT JOIN params l ON l.exp_id = e.exp_id AND l.key = h.key""")
+@query(ad.cte("exps") + f", {_wide(ad.PARAMS)}, j AS MATERIALIZED (SELECT e.exp_id, {', '.join(ad.PARAMS)} FROM exps e LEFT JOIN wide USING (exp_id) WHERE series_id IN (SELECT o_custkey FROM orders JOIN wide ON o_orderkey = exp_id WHERE o_orderstatus <> 'O')) " + " UNION ALL ".join(f"SELECT exp_id, '{k}' AS key, round({k}, 6) AS value FROM j" for k in ad.PARAMS))
 def fill_from_series(spark, sf):
     p = ad.parameters(spark, sf)
     own = p.join(ad.table(spark, sf, "orders").where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("exp_id")), "exp_id", "left_semi")
@@ -838,11 +863,28 @@ def vif_gram(spark, sf):
     return spark.createDataFrame([{f"g{i}{j}": round(float(g[i, j]), 2) for i in range(3) for j in range(3) if i <= j}])
 
 
-@query()
+_G3 = [[f"g{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+
+
+@query("WITH g AS (SELECT " + ", ".join(f"sum({a} * {b}) AS g{i}{j}" for i, a in enumerate(_GRAM) for j, b in enumerate(_GRAM) if i <= j) + " FROM lineitem) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(g{i}{i} * {_det([[_G3[p][q] for q in range(3) if q != i] for p in range(3) if p != i])} / {_det(_G3)}, 2) AS vif FROM g" for i, c in enumerate(_GRAM)))
 def vif(spark, sf):
     return spark.createDataFrame(features.vif(ad.table(spark, sf, "lineitem").select(*_GRAM), _GRAM), "column string, vif double")
 
 
+_PREP = "WITH f AS (SELECT * FROM customer WHERE c_custkey % 3 <> 0), s AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS d FROM f WHERE c_acctbal IS NOT NULL), c AS (SELECT c_mktsegment, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS code FROM (SELECT DISTINCT c_mktsegment FROM f WHERE c_mktsegment IS NOT NULL)), n AS (SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT c_nationkey::VARCHAR AS v FROM f))"
+
+
+@query(f"{_PREP} SELECT c_custkey, round((c_acctbal - m) / d, 6) AS c_acctbal, c.code AS c_mktsegment, coalesce(n.code, (SELECT count(*) FROM n)) AS c_nationkey, c_acctbal >= 5000 AS rich FROM customer LEFT JOIN c USING (c_mktsegment) LEFT JOIN n ON v = c_nationkey::VARCHAR, s")
+def prepare_xy_pipeline(spark, sf):
+    """Fitted on two thirds of the customers, saved, loaded and applied to all."""
+    d = ad.table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey", F.col("c_acctbal").alias("rich"))
+    fitted = stages.XyPipeline.fit(d.where("c_custkey % 3 <> 0"), stages.XySettings(("c_acctbal",), ("c_mktsegment", "c_nationkey"), ("rich",), unseen="new", true_threshold=5000))
+    path = storage.shared_folder(spark, "pipeline")
+    fitted.save(path)
+    out = stages.XyPipeline.load(spark, path).transform(d)
+    return out.select("c_custkey", r6("c_acctbal").alias("c_acctbal"), "c_mktsegment", "c_nationkey", (F.col("rich") == 1).alias("rich"))
+
+
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount >= 0.05 THEN 1 ELSE 0 END::INT AS l_discount FROM lineitem WHERE l_tax IS NOT NULL")
 def binary_target(spark, sf):
     d = features.remove_artifacts(ad.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax"))
@@ -901,6 +943,71 @@ def nt_lines(spark, sf):
     return writers.relation_lines(ad.triples(spark, sf))
 
 
+_NT_SQL = ORACLES["nt_lines"]
+
+
+@query(_NT_SQL)
+def turtle_round_trip(spark, sf):
+    """Triples written as Turtle files and read back."""
+    t = writers.statements(ad.triples(spark, sf))
+    path = storage.shared_folder(spark, "turtle")
+    turtle.write_turtle(t, path, {"data": writers.BASE, "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "xsd": turtle.XSD})
+    return turtle.read_turtle(spark, path).select(F.concat_ws(" ", "s", "p", "o", F.lit(".")).alias("value")).distinct()
+
+
+def _order_source(spark, sf):
+    """Orders as JSON documents in the shared folder, with two broken lines."""
+    path = storage.shared_folder(spark, "documents")
+    lines = ad.documents(spark, sf).select(F.to_json(F.struct("*")).alias("value"))
+    broken = spark.createDataFrame([('{"exp_id": 1, "printer": ',), ('{"exp_id": "no number"}',)], "value string")
+    lines.unionByName(broken).write.text(path)
+    return doc_sources.ExperimentSource("orders", path, f"{storage.shared_root(spark)}/snapshots")
+
+
+@query("SELECT o_orderkey AS exp_id, o_custkey::VARCHAR AS series_id, o_orderpriority AS printer, CASE WHEN o_orderstatus = 'O' THEN 0.5 ELSE 1.0 END::DOUBLE AS completion FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+def source_documents(spark, sf):
+    d = _order_source(spark, sf).documents(spark, completed_only=True, include_oneoffs=False, containing_insights_only=True, material_type="F", printer="1-URGENT")
+    return d.select("exp_id", "series_id", "printer", "completion")
+
+
+@query("""SELECT DISTINCT 'printer' AS kind, o_orderpriority AS name FROM orders WHERE o_orderpriority IS NOT NULL UNION ALL SELECT DISTINCT 'material_type', lower(o_orderstatus) FROM orders WHERE o_orderstatus IS NOT NULL UNION ALL
+SELECT * FROM (VALUES ('material_producer', 'somemaker'), ('material_color', 'lightblue'), ('rating', 'blobs'), ('rating', 'warping'), ('rating', 'not_labelable'))""")
+def source_names(spark, sf):
+    return doc_sources.names(ad.documents(spark, sf))
+
+
+@query("SELECT 2::BIGINT AS n_malformed, count(*) AS n_documents FROM orders")
+def source_malformed(spark, sf):
+    s = _order_source(spark, sf)
+    return s.malformed(spark).agg(F.count("*").alias("n_malformed")).crossJoin(s.documents(spark).agg(F.count("*").alias("n_documents")))
+
+
+@query(ad.cte("params") + "SELECT exp_id, key, round(value, 6) AS value FROM params")
+def cached_dataset(spark, sf):
+    """The second opening of a snapshot of the long parameter table."""
+    settings = {"dataset": "parameters", "files": snapshots.fingerprint(spark, f"{sf}/lineitem.parquet"), "columns": sorted(ad.PARAMS)}
+    build = lambda: {"parameters": ad.parameters(spark, sf)}
+    snapshots.cached(spark, f"{storage.shared_root(spark)}/snapshots", settings, build)
+    return snapshots.cached(spark, f"{storage.shared_root(spark)}/snapshots", settings, build)["parameters"].select("exp_id", "key", r6("value").alias("value"))
+
+
+def _series_values(spark, sf):
+    o = ad.table(spark, sf, "orders").select(F.col("o_orderkey").alias("exp_id"), F.col("o_custkey").cast("string").alias("series_id"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    return ad.qualities(spark, sf).join(o, "exp_id").select("series_id", "key", "exp_id", "at", "value")
+
+
+@query(ad.cte("quality") + "SELECT o_custkey::VARCHAR AS series_id, key, exp_id, round(value, 6) AS value, round(-(value - lag(value) OVER (PARTITION BY o_custkey, key ORDER BY o_orderdate, exp_id)), 6) + 0.0 AS relative FROM quality JOIN orders ON o_orderkey = exp_id")
+def stream_relative_quality(spark, sf):
+    """Qualities replayed in three batches, each with rows of all times, under a
+    watermark that allows for it."""
+    values = _series_values(spark, sf)
+    path, folder = series.replay(values, 3), storage.shared_folder(spark, "relative")
+    stream = spark.readStream.schema(values.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    series.start_relative(stream, folder, storage.shared_folder(spark, "state"), "20000 days").awaitTermination()
+    told = spark.read.schema(series.OUT).option("basePath", folder).parquet(f"{folder}/batch=*").drop("batch")
+    return series.latest(told).select("series_id", "key", "exp_id", r6("value").alias("value"), (r6("relative") + 0.0).alias("relative"))
+
+
 @query("SELECT event_type AS influence, (user_id % 7)::VARCHAR AS parameter, round(sum(value), 4) AS weight, count(*) AS n FROM events GROUP BY ALL")
 def stream_edge_totals(spark, sf):
     import uuid
@@ -908,9 +1015,9 @@ def stream_edge_totals(spark, sf):
     schema = ad.table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
     edges = events.select(F.col("event_type").alias("influence"), (F.col("user_id") % 7).cast("string").alias("parameter"), F.col("value").alias("weight"))
-    name = f"totals_{uuid.uuid4().hex}"
-    incremental.start(incremental.edge_totals(edges), name).awaitTermination()
-    return spark.table(name).select("influence", "parameter", r6("weight", 4).alias("weight"), "n")
+    folder = storage.shared_folder(spark, "totals")
+    incremental.start(incremental.edge_totals(edges), f"totals_{uuid.uuid4().hex}", folder=folder).awaitTermination()
+    return spark.read.parquet(folder).select("influence", "parameter", r6("weight", 4).alias("weight"), "n")
 
 
 @query("SELECT event_type AS influence, (user_id % 3)::VARCHAR AS parameter, date_trunc('day', ts) AS start, round(sum(value), 4) AS weight, count(*) AS n FROM events GROUP BY ALL")

@@ -41,6 +41,16 @@ def _iri(name) -> Column:
     return F.concat(F.lit("<"), tx.iri(BASE, name), F.lit(">"))
 
 
+def statements(triples: DataFrame, literals: DataFrame | None = None, vertices: DataFrame | None = None) -> DataFrame:
+    """(s, p, o): the same statements as ``relation_lines``, as terms."""
+    out = triples.select(_iri("h").alias("s"), _iri("r").alias("p"), _iri("t").alias("o"))
+    if literals is not None:
+        out = out.union(literals.select(_iri("h"), _iri("r"), F.concat(F.lit('"'), F.col("value").cast("string"), F.lit('"^^<http://www.w3.org/2001/XMLSchema#float>'))))
+    if vertices is not None:
+        out = out.union(vertices.select(_iri("name"), F.lit("<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"), F.concat(F.lit('"'), F.col("type"), F.lit('"'))))
+    return out.distinct()
+
+
 def nt_lines(triples: DataFrame) -> DataFrame:
     """(value): one ``<h> <r> <t> .`` line a triple."""
     return triples.select(F.concat(_iri("h"), F.lit(" "), _iri("r"), F.lit(" "), _iri("t"), F.lit(" .")).alias("value"))
