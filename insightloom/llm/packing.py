@@ -46,20 +46,23 @@ _LETTERS = _class(lambda k: k[0] == "L")
 _NUMBERS = _class(lambda k: k[0] == "N")
 #: Pieces that the word tokenizer handles one by one, in lower-cased Latin text.
 PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+#: Letters whose small form lies beyond these (23 capitals such as U+0181).
+_LEAVING = {i for i in range(0x250) if any(ord(c) >= 0x250 for c in chr(i).lower())}
 #: Anything whose case, spacing or form might be read in another way.
-UNSURE = re.compile("[^\t\n\r\x20-\x7e\xa0-\u012f\u0131-\u024f]|<\\|")
+UNSURE = re.compile("[^" + "".join(re.escape(chr(i)) for i in [9, 10, 13, *range(0x20, 0x7F), *range(0xA0, 0x250)] if i not in _LEAVING) + "]")
 
 
 class WordCache:
     """Packed ids of texts, from ids of their parts.
 
-    Plain Latin text is cut into the pieces that the tokenizer itself keeps
-    apart; other text at ASCII white space, which it never looks across.  Parts
-    are encoded once and kept.  A tokenizer that joins parts (found out by a
-    probe) gets whole texts.
+    Text is cut at white space, which the tokenizer never looks across (only at
+    ASCII white space where it isn't plain Latin).  New words of plain Latin are
+    cut again, into the pieces that the tokenizer itself keeps apart.  Words and
+    pieces are encoded once and kept.  A tokenizer that joins parts (found out
+    by a probe) gets whole texts.
     """
 
-    MOST = 1_200_000  # parts; then it starts anew
+    MOST = 800_000  # parts; then it starts anew
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,14 +80,19 @@ class WordCache:
     def _ids(self, texts: list) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cut(self, text: str | None) -> list:
+    def _plain(self, text: str) -> bool:
+        return self.by_piece and "<|" not in text and not UNSURE.search(text)
+
+    def _cut(self, text: str | None) -> tuple[bool, list]:
         if not text:
-            return []
-        if self.by_piece and not UNSURE.search(text):
-            low = text.lower()
-            if not UNSURE.search(low):  # 23 capitals have small letters beyond U+024F
-                return PIECE.findall(low)
-        return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
+            return False, []
+        if self._plain(text):
+            return True, text.lower().split()
+        return False, [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
+
+    def _learn(self, parts: list) -> None:
+        for i in range(0, len(parts), 20_000):
+            self.parts.update(zip(parts[i : i + 20_000], self._ids(parts[i : i + 20_000]), strict=True))
 
     def ids_of_texts(self, texts: list) -> list[np.ndarray]:
         if not self.by_chunk:
@@ -92,15 +100,27 @@ class WordCache:
         cut = [self._cut(t) for t in texts]
         if len(self.parts) > self.MOST:
             self.parts = {}
-        new: set = set()
-        for parts in cut:
-            new.update(parts)
-        new.difference_update(self.parts)
-        missing = list(new)
-        for i in range(0, len(missing), 20_000):
-            self.parts.update(zip(missing[i : i + 20_000], self._ids(missing[i : i + 20_000]), strict=True))
+        words, others = set(), set()
+        for plain, parts in cut:
+            (words if plain else others).update(parts)
+        words.difference_update(self.parts)
+        pieces = {w: PIECE.findall(w) for w in words}
+        single = others.union(*pieces.values())
+        single.difference_update(self.parts)
+        self._learn(list(single))
         get = self.parts.__getitem__
-        return [np.frombuffer(b"".join(map(get, parts)), dtype="<u4") for parts in cut]
+        self.parts.update([(w, b"".join(map(get, p))) for w, p in pieces.items()])
+        return [np.frombuffer(b"".join(map(get, parts)), dtype="<u4") for _, parts in cut]
+
+
+_CACHES: dict[str, WordCache] = {}
+
+
+def word_cache(tokenizer_path: str) -> WordCache:
+    """A worker's cache, kept from task to task."""
+    if tokenizer_path not in _CACHES:
+        _CACHES[tokenizer_path] = WordCache(tokenizer_path)
+    return _CACHES[tokenizer_path]
 
 
 def class_sizes(capacity: int, max_waste: float) -> list[tuple[int, int]]:
@@ -191,7 +211,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
     def run(batches):
-        cache = WordCache(tokenizer_path)
+        cache = word_cache(tokenizer_path)
         packer = Packer(capacity, max_waste, TaskContext.get().partitionId() << 40)
         held: dict = {}
         end = np.array([end_id], dtype="<u4")
