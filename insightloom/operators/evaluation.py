@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import DISTANCES
+from . import rules
+from .storage import materialise
 
 # Thresholds of the three bias types, dominance share.
 BIAS_THRESHOLDS = (0.75, 0.5, 1.0)
@@ -376,8 +378,66 @@ def keep_unbiased(biases: list[str], thresholds: tuple = BIAS_THRESHOLDS) -> Col
     return out
 
 
+def bias_counts(facts: DataFrame, thresholds: tuple = BIAS_THRESHOLDS) -> DataFrame:
+    """(kg_type, train, test, <kind>_<side> ...): how many distinct test triples
+    of each encoding stay without those of a bias kind (b1, b2, b3) and without
+    any (all).  facts(kg_type, h, r, t, split).
+
+    All encodings go through each analysis at once: names carry their encoding,
+    so nothing of one meets another."""
+    tag = lambda c: F.concat(F.col("kg_type"), F.lit("|"), F.col(c)).alias(c)
+    d = materialise(facts.select("kg_type", "h", "r", "t", "split").where("h is not null and r is not null and t is not null").distinct(), "facts")
+    named = d.select(tag("h"), tag("r"), tag("t"), "split")
+    train, test = named.where("split = 'train'").drop("split"), named.where("split = 'test'").drop("split")
+    b = [bias_type1(train, test).toDF("h", "r", "t", "b1_head", "b1_tail"), bias_type2(train, test).toDF("h", "r", "t", "b2_head", "b2_tail"), bias_type3(train, test).select("h", "r", "t", F.col("bias").alias("b3_head"), F.col("bias").alias("b3_tail"))]
+    each = b[0].join(b[1], ["h", "r", "t"]).join(b[2], ["h", "r", "t"]).withColumn("kg_type", F.substring_index("r", "|", 1))
+    kept = {f"{k}_{side}": keep_unbiased([f"{n}_{side}" for n in kinds], limits) for k, kinds, limits in (("b1", ["b1"], thresholds[:1]), ("b2", ["b2"], thresholds[1:2]), ("b3", ["b3"], thresholds[2:]), ("all", ["b1", "b2", "b3"], thresholds)) for side in ("head", "tail")}
+    sizes = d.groupBy("kg_type").agg(F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "test").alias("test"))
+    return sizes.join(each.groupBy("kg_type").agg(*(F.count_if(c).alias(n) for n, c in kept.items())), "kg_type", "left").na.fill(0, list(kept))
+
+
+def count_text(kept, whole) -> Column:
+    """A count with the share that went, like "90 (-0.1%)"."""
+    change = F.round(1 - F.col(kept) / F.col(whole), 2) * -1
+    return F.when(F.col(whole) > 0, F.concat(F.col(kept).cast("string"), F.lit(" ("), (change + 0.0).cast("string"), F.lit("%)")))
+
+
 # ------------------------------------------------------------ result tables
 
+#: Encodings that the tables of matches leave out.
+WITHOUT_MATCHES = ("quantified_conditions_with_literal", "quantified_conditions_with_shortcut", "quantified_conditions_without_shortcut")
+
+
+def matches_table(results: DataFrame, k: int, methods: list[str], with_std: bool = True) -> DataFrame:
+    """The table of one k: a row for each encoding, use of the head and
+    distance, a column for each method; means over iterations to two places,
+    with their sample deviation.  results(kg_type, use_head, distance, method,
+    k, iteration, value); missing values don't count."""
+    rows = ["kg_type", "use_head", "distance"]
+    d = results.where((F.col("k") == k) & F.col("value").isNotNull() & ~F.isnan("value") & ~F.col("kg_type").isin(*WITHOUT_MATCHES))
+    g = d.groupBy(*rows, "method").agg(F.avg("value").alias("m"), F.stddev("value").alias("s"))
+    text = F.format_string("%.2f ± %.2f", "m", F.coalesce("s", F.lit(0.0))) if with_std else F.format_string("%.2f", "m")
+    return g.select(*rows, "method", text.alias("text")).groupBy(*rows).pivot("method", methods).agg(F.first("text"))
+
+
+def link_table(results: DataFrame, side: str, metrics: list[str]) -> DataFrame:
+    """Link prediction of one side: a row for each encoding and method, a column
+    for each metric, means over iterations.  results(kg_type, method, side,
+    metric, iteration, value)."""
+    d = results.where((F.col("side") == side) & F.col("value").isNotNull() & ~F.isnan("value"))
+    return d.groupBy("kg_type", "method").pivot("metric", metrics).agg(F.avg("value"))
+
+
+def rule_table(sets: dict[str, DataFrame], truth: DataFrame, levels: tuple = ("high", "mid", "low")) -> DataFrame:
+    """Metrics of several extraction methods against one set of rules, a row for
+    each method and level."""
+    out = None
+    for name, pred in sets.items():
+        for level in levels:
+            one = rules.evaluate(truth, pred, level).select(F.lit(name).alias("extraction"), F.lit(level).alias("level"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out
+
 
 def over_iterations(metrics: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Mean, sample deviation and ``m±s`` text over iterations."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import PqFunction, let
@@ -95,7 +95,10 @@ def _rows(relations: DataFrame, whole: list[Column], each: list[Column]) -> Data
     if whole:
         out = relations.select(F.explode(F.array(*whole)).alias("x")).select("x.*")
     if each:
-        bins = relations.select("*", F.posexplode("bins").alias("i", "b")).select(F.explode(F.array(*each)).alias("x")).select("x.*")
+        bins = relations.select("*", F.posexplode("bins").alias("i", "b"))
+        if "first" in relations.columns:  # several relations of one parameter and quality
+            bins = bins.withColumn("i", F.col("i") + F.col("first"))
+        bins = bins.select(F.explode(F.array(*each)).alias("x")).select("x.*")
         out = bins if out is None else out.unionByName(bins)
     return out
 
@@ -146,9 +149,11 @@ def split_triples(t: DataFrame, test_share: float = 0.2, seed: int = 0) -> DataF
 
 def relations_from_rules(rules: DataFrame) -> DataFrame:
     """Every rule is a relation with one bin, its condition's range; mean and
-    bin hold the rule's mean value."""
+    bin hold the rule's mean value.  ``first`` numbers the rules of a parameter
+    and quality, in the order of their ranges, so that their bins keep apart."""
     one = F.struct(F.col("cond_lo").alias("lo"), F.col("cond_hi").alias("hi"), F.col("mean_value").alias("value"))
-    return rules.select("parameter", F.col("condition").alias("quality"), F.col("mean_value").alias("mean"), F.array(one).alias("bins"), "action")
+    place = F.row_number().over(Window.partitionBy("parameter", "condition").orderBy("cond_lo", "cond_hi", "action", "mean_value")) - 1
+    return rules.select("parameter", F.col("condition").alias("quality"), F.col("mean_value").alias("mean"), F.array(one).alias("bins"), "action", place.alias("first"))
 
 
 def _mean(xs: Column) -> Column:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import numeric as nm
 from ..functions import text as tx
 from ..functions.metrics import metric_columns
-from ..operators import clustering, embeddings, evaluation, experiments, features, fitting, graphs, lookups, representations, rules, sketches, stages, storage, synthesis
+from ..operators import chain, clustering, embeddings, evaluation, experiments, features, fitting, graphs, lookups, representations, rules, sketches, stages, storage, synthesis
 from ..sources import adapters as ad
 from ..sources import documents as doc_sources
-from ..sources import readers, snapshots, turtle, writers
+from ..sources import readers, snapshots, turtle, workbook, writers
 from ..sources.configs import DataSettings, Named, NoiseSettings, SeriesSettings
 from ..streaming import incremental, series
 
@@ -779,6 +779,57 @@ def link_rank(spark, sf):
     return m.select("side", *(r6(c).alias(c) for c in ("amri", "hits_at_1", "hits_at_5", "hits_at_10")))
 
 
+def _encoded_facts(spark, sf):
+    """Triples of all encodings, split by the lengths of their names."""
+    rel, out = ad.relations(spark, sf), None
+    for n in _REPS:
+        e = representations.encode(rel, n)[1].select(F.lit(n).alias("kg_type"), F.col("src").alias("h"), F.col("rel").alias("r"), F.col("dst").alias("t"))
+        out = e if out is None else out.unionByName(e)
+    return out.withColumn("split", F.when((F.length("h") * 7 + F.length("t") * 3 + F.ascii(F.substring("h", -1, 1))) % 5 == 0, "test").otherwise("train"))
+
+
+def _kept(side):
+    keep = lambda *b: "CASE " + " ".join(f"WHEN {c} IS NULL THEN true WHEN {c} >= {t} THEN false" for c, t in b) + " ELSE true END"
+    one, two, three = (f"b1.{side}_bias", 0.75), (f"b2.{side}_bias", 0.5), ("b3.bias", 1.0)
+    return ", ".join(f"count(*) FILTER ({keep(*b)}) AS {n}_{side}" for n, b in (("b1", [one]), ("b2", [two]), ("b3", [three]), ("all", [one, two, three])))
+
+
+_BODY = [ORACLES[f"bias_type{i}"].removeprefix(_T).strip() for i in (1, 2, 3)]
+_BODY = [f"WITH {b[1:]}" if b.startswith(",") else b for b in _BODY]
+
+
+@query(f"""{_REL}, facts AS (SELECT DISTINCT kg_type, kg_type || '|' || src AS h, kg_type || '|' || rel AS r, kg_type || '|' || dst AS t, CASE WHEN (length(src) * 7 + length(dst) * 3 + ascii(right(src, 1))) % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM (
+ {" UNION ALL ".join(f"SELECT '{n}' AS kg_type, src, rel, dst FROM ({_u(rows)})" for n, rows in _REPS.items())})),
+tr AS (SELECT h, r, t FROM facts WHERE split = 'train'), te AS (SELECT h, r, t FROM facts WHERE split = 'test'), b1 AS ({_BODY[0]}), b2 AS ({_BODY[1]}), b3 AS ({_BODY[2]}),
+k AS (SELECT split_part(b1.r, '|', 1) AS kg_type, {_kept("head")}, {_kept("tail")} FROM b1 JOIN b2 USING (h, r, t) JOIN b3 USING (h, r, t) GROUP BY 1)
+SELECT f.kg_type, f.train, f.test, {", ".join(f"coalesce({n}_{side}, 0) AS {n}_{side}" for n in ("b1", "b2", "b3", "all") for side in ("head", "tail"))} FROM (SELECT kg_type, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'test') AS test FROM facts GROUP BY 1) f LEFT JOIN k USING (kg_type)""")
+def bias_tables(spark, sf):
+    b = evaluation.bias_counts(_encoded_facts(spark, sf))
+    return b.select("kg_type", *(big(c).alias(c) for c in b.columns if c != "kg_type"))
+
+
+def _results(spark, sf):
+    """Line items as results of runs: modes are methods, instructions encodings."""
+    li = ad.table(spark, sf, "lineitem").join(ad.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+    g = li.groupBy(F.col("o_orderpriority").alias("kg_type"), (F.col("l_returnflag") == "R").cast("int").alias("use_head"), F.col("l_linestatus").alias("distance"), (F.col("l_suppkey") % 3).cast("string").alias("method"), (F.col("l_partkey") % 2 * 2 + 3).alias("k"), F.col("l_linenumber").alias("iteration"))
+    return g.agg((F.avg("l_tax") * 100 + 1e-7).alias("value"))
+
+
+_RESULTS = "WITH res AS (SELECT o_orderpriority AS kg_type, (l_returnflag = 'R')::INT AS use_head, l_linestatus AS distance, (l_suppkey % 3)::VARCHAR AS method, l_partkey % 2 * 2 + 3 AS k, l_linenumber AS iteration, avg(l_tax) * 100 + 1e-7 AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), m AS (SELECT kg_type, use_head, distance, method, avg(value) AS m, coalesce(stddev_samp(value), 0) AS s FROM res WHERE k = 3 GROUP BY ALL)"
+
+
+@query(f"{_RESULTS} SELECT kg_type, use_head, distance, " + ", ".join(f"max(printf('%.2f ± %.2f', m, s)) FILTER (method = '{i}') AS method_{i}" for i in range(3)) + " FROM m GROUP BY ALL")
+def matches_tables(spark, sf):
+    t = evaluation.matches_table(_results(spark, sf), 3, ["0", "1", "2"])
+    return t.select("kg_type", "use_head", "distance", *(F.col(str(i)).alias(f"method_{i}") for i in range(3)))
+
+
+@query(f"{_RESULTS}, l AS (SELECT kg_type, method, CASE use_head WHEN 1 THEN 'head' ELSE 'tail' END AS side, 'hits_at_' || k AS metric, value FROM res) SELECT kg_type, method, round(avg(value) FILTER (metric = 'hits_at_3'), 6) AS hits_at_3, round(avg(value) FILTER (metric = 'hits_at_5'), 6) AS hits_at_5 FROM l WHERE side = 'head' GROUP BY ALL")
+def link_tables(spark, sf):
+    r = _results(spark, sf).select("kg_type", "method", F.when(F.col("use_head") == 1, "head").otherwise("tail").alias("side"), F.concat(F.lit("hits_at_"), F.col("k")).alias("metric"), "iteration", "value")
+    return evaluation.link_table(r, "head", ["hits_at_3", "hits_at_5"]).select("kg_type", "method", r6("hits_at_3").alias("hits_at_3"), r6("hits_at_5").alias("hits_at_5"))
+
+
 def _vector_triples(spark, sf):
     """Vectors as entities, in whole numbers; each label is a relation from every
     vector of it to another one, and has the vector of its least id."""
@@ -955,6 +1006,15 @@ def turtle_round_trip(spark, sf):
     return turtle.read_turtle(spark, path).select(F.concat_ws(" ", "s", "p", "o", F.lit(".")).alias("value")).distinct()
 
 
+@query(f"{_PAIRS} SELECT condition, parameter, {_ACTION} AS action, printf('%.2f', cond_lo)::DOUBLE AS cond_lo FROM agg")
+def survey_round_trip(spark, sf):
+    """Rules written as a spreadsheet for experts, and read back."""
+    p = _pairs(spark, sf)
+    path = f"{storage.shared_folder(spark, 'survey')}.xlsx"
+    workbook.write_survey(rules.binned_rules(p, _bins(p)), path)
+    return workbook.read_survey(spark, path).select("condition", "parameter", "action", "cond_lo")
+
+
 def _order_source(spark, sf):
     """Orders as JSON documents in the shared folder, with two broken lines."""
     path = storage.shared_folder(spark, "documents")
@@ -1197,3 +1257,16 @@ FROM orders LEFT JOIN r ON r.exp_id = o_orderkey LEFT JOIN m ON m.exp_id = o_ord
 def doc_executed_experiments(spark, sf):
     w = readers.executed_experiments(_docs(spark, sf))
     return w.select("exp_id", "series_id", "material_type", "material_color", *(r6(c).alias(c) for c in ("blobs", "warping", "humidity", "temperature", "speed", "fan")))
+
+
+_CHAIN = f"""{_DOC}, p AS (SELECT i.key AS influence, i.value AS iv, u.key AS parameter, try_cast(u.user_value AS DOUBLE) AS value FROM inf i JOIN ui u USING (exp_id) WHERE i.influential),
+b0 AS (SELECT influence, min(iv) AS lo, max(iv) AS hi FROM p WHERE iv IS NOT NULL GROUP BY ALL), b AS (SELECT influence, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi FROM b0),
+q AS (SELECT DISTINCT influence, parameter, CASE WHEN iv = hi THEN 4 ELSE len(list_filter(range(0, 5), lambda i: lo + (hi - lo) * i / 4 <= iv)) END AS bin FROM p JOIN b USING (influence) WHERE iv IS NOT NULL AND value IS NOT NULL),
+x AS (SELECT influence AS quality, parameter, parameter || '-' || influence || '-' || (row_number() OVER (PARTITION BY parameter, influence ORDER BY bin) - 1) AS tag FROM q)"""
+
+
+@query(f"{_CHAIN} SELECT src, rel, dst, literal_included FROM ({_u(_REPS['quantified_conditions_without_shortcut'])})")
+def doc_encoded_graph(spark, sf):
+    """Documents to insight graphs, the aggregated graph, rules, relations and
+    an encoding, in one call."""
+    return chain.encode_documents(_docs(spark, sf), "quantified_conditions_without_shortcut", 4)[1]
