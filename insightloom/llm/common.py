@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -116,14 +117,10 @@ class Words:
             with np.errstate(over="ignore"):
                 out[i : i + step] = mix(mix(spelt) + size.astype(np.uint64) * _B)
         long = np.flatnonzero(self.end - self.start > 8)
-        if len(long):
-            raw, known = self.buf.tobytes(), {}
-            for i, a, b in zip(long.tolist(), self.start[long].tolist(), self.end[long].tolist(), strict=True):
-                word = raw[a:b]
-                h = known.get(word)
-                if h is None:
-                    h = known[word] = xxhash.xxh3_64_intdigest(word)
-                out[i] = h
+        view = memoryview(self.buf)
+        for i in range(0, len(long), 1 << 14):  # few Python objects at a time
+            some = long[i : i + (1 << 14)]
+            out[some] = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(self.start[some].tolist(), self.end[some].tolist(), strict=True)]
         return out
 
 
@@ -152,6 +149,7 @@ def by_bytes(batches, column: str, most: int = 8_000_000, rows: int = 1 << 20):
             j = min(max(i + 1, j), i + rows, len(size))
             yield b.slice(i, j - i)
             i = j
+    pa.default_memory_pool().release_unused()  # workers live on, their neighbours need the memory
 
 
 def pack(*arrays: np.ndarray) -> bytes:

@@ -62,7 +62,7 @@ class WordCache:
     by a probe) gets whole texts.
     """
 
-    MOST = 800_000  # parts; then it starts anew
+    MOST = 200_000  # parts, some 50 MB; then it starts anew
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -232,7 +232,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
 
         names: dict = {}
         id_type = pa.int64()
-        for b in by_bytes(batches, "text_", 4_000_000):
+        for b in by_bytes(batches, "text_", 1_000_000):
             id_type = b.column("id_").type
             pieces: list = []
             for name, ids in zip(b.column("id_").to_pylist(), cache.ids_of_texts(b.column("text_").to_pylist()), strict=True):

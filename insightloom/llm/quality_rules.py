@@ -155,7 +155,7 @@ def clean_documents(docs: DataFrame, text_col: str = "text", size_col: str = "n_
     at, size_at = names.index(text_col), names.index(size_col)
 
     def run(batches):
-        for b in by_bytes(batches, text_col):
+        for b in by_bytes(batches, text_col, 2_000_000):
             found = [assess(t, rules) for t in b.column(text_col).to_pylist()]
             kept = [f for f in found if f["kept"]]
             b = b.filter(pa.array([f["kept"] for f in found], pa.bool_()))
