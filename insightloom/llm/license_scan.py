@@ -129,6 +129,14 @@ for _id, (_name, _versions) in GNU.items():
         NOTICES |= {f"{x}{_terms} version {_v} as published by the free software foundation": f"{_tag}_GRANT" for x in ("", "* is free software ")}
 
 #: (licence, pattern over the identifiers joined and framed by one space); order decides.
+#: Identifiers of the usual one-line marker, by the registry's names.
+SPDX = (
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later",
+    "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+)
+_spdx = {name: "SPDX_" + name.upper().replace("-", "_").replace(".", "_") for name in SPDX}
+NOTICES |= {"spdx license identifier " + name.lower().replace("-", " ").replace(".", " "): i for name, i in _spdx.items()}
+
 RULES = (
     ("BSD-3-Clause", " BSD_SOURCE (.* )?BSD_BINARY (.* )?BSD_NAME "),
     ("BSD-2-Clause", " BSD_SOURCE (.* )?BSD_BINARY "),
@@ -143,6 +151,7 @@ RULES = (
 
 #: RULES with those of whole notices.
 NOTICE_RULES = (
+    *((name.removesuffix("-only").removesuffix("-or-later"), f" {i} ") for name, i in _spdx.items()),
     ("BSD-4-Clause", " BSD_SOURCE (.* )?BSD_BINARY (.* )?BSD_ADVERT (.* )?BSD_NAME "),
     *RULES[:2],
     ("AGPL-3.0", " AGPL3_(TITLE|GRANT) "),

@@ -87,7 +87,7 @@ def _op7() -> str:
         sites.append((f"(host = {_quote(s.host)} OR ends_with(host, {_quote('.' + s.host)})) AND starts_with(path, {_quote(s.path)})", s))
     rule = " ".join(f"WHEN {c} THEN {_quote(s.name)}" for c, s in sites)
     site_verdict = " ".join(f"WHEN rule = {_quote(s.name)} THEN '{s.verdict}'" for _, s in sites)
-    ordered = sorted(url_rules.PATTERN_RULES, key=lambda p: p.verdict != "allow")
+    ordered = sorted(url_rules.REGISTERED_RULES, key=lambda p: p.verdict != "allow")
     pattern = " ".join(f"WHEN regexp_matches(lower(url), {_quote(p.pattern)}) THEN {_quote(p.name)}" for p in ordered)
     allow = ", ".join(_quote(p.name) for p in ordered if p.verdict == "allow") or "''"
     return f"""

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import url_lists
+
 TOKEN = re.compile(r"[a-z0-9]+")
 #: The same in Catalyst's dialect, for the token statistics.
 TOKEN_SQL = "[a-z0-9]+"
@@ -118,6 +120,10 @@ def read_filter_list(lines) -> tuple[PatternRule, ...]:
     return tuple(r for r in map(filter_rule, lines) if r)
 
 
+#: What the registered query runs: the rules above and the list's.
+REGISTERED_RULES = PATTERN_RULES + read_filter_list(url_lists.lines())
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     if url is None or "://" not in url:
         return "", ""
@@ -149,7 +155,7 @@ class SiteIndex:
 class PatternIndex:
     """Pattern rules filed under their rarest literal token or choice of tokens."""
 
-    def __init__(self, rules=PATTERN_RULES, frequency: dict | None = None):
+    def __init__(self, rules=REGISTERED_RULES, frequency: dict | None = None):
         frequency = frequency or {}
         self.filed: dict = defaultdict(list)
         self.always = []
@@ -181,7 +187,7 @@ def token_frequency(pages: DataFrame, url_col: str, rules) -> dict:
     return {r["t"]: r["count"] for r in rows}
 
 
-def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", sites=SITE_RULES, patterns=PATTERN_RULES) -> DataFrame:
+def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", sites=SITE_RULES, patterns=REGISTERED_RULES) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, pattern."""
     frequency = token_frequency(pages, url_col, patterns)
     kind = dict(pages.select(id_col).dtypes)[id_col]

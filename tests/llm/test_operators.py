@@ -393,7 +393,7 @@ def test_url_rules(spark):
     # the index finds what running every pattern finds
     urls = [r["url"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()] + list(cases)
     index = url_rules.PatternIndex(frequency={"ads": 5, "1": 9})
-    ordered = sorted(url_rules.PATTERN_RULES, key=lambda r: r.verdict != "allow")
+    ordered = sorted(url_rules.REGISTERED_RULES, key=lambda r: r.verdict != "allow")
     for u in urls:
         want = next(((r.name, r.verdict) for r in ordered if re.search(r.pattern, u.lower())), None)
         assert index.find(u) == want
@@ -408,11 +408,11 @@ def test_url_pattern_alternatives(spark):
     assert {w[0] for w in want.values() if w} == {r.name for r in ordered} - {"ad-host-single"}  # ad-host comes first wherever that matches
     tokens = sorted({t for r in ordered for c in r.tokens for t in ([c] if isinstance(c, str) else c)})
     for rare in [None, *tokens]:  # whichever token is rarest
-        index = url_rules.PatternIndex(frequency=rare and {t: 9 * (t != rare) for t in tokens})
+        index = url_rules.PatternIndex(url_rules.PATTERN_RULES, frequency=rare and {t: 9 * (t != rare) for t in tokens})
         for u in urls:
             assert index.find(u) == want[u], (rare, u)
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    for r in url_rules.url_filter(rows).collect():
+    for r in url_rules.url_filter(rows, patterns=url_rules.PATTERN_RULES).collect():
         hit = want[urls[r["page_id"]]]
         assert r["rule"] is None and (r["pattern"], r["verdict"]) == (hit or (None, "allow"))
 
@@ -480,6 +480,31 @@ GPL_IDS = "GPL_HOPE GPL_IMPLIED GPL_DETAILS"
 BSD_IDS = "RESERVED BSD_GRANT BSD_SOURCE BSD_BINARY %sBSD_WARRANTY"
 
 
+def test_license_markers(spark):
+    cases = {"// SPDX-License-Identifier: MIT\nint main() {}": "MIT", "/* SPDX-License-Identifier: GPL-2.0-or-later */\ncode": "GPL-2.0", "# spdx-license-identifier: Apache-2.0": "Apache-2.0", "x\n-- SPDX-License-Identifier: BSD-3-Clause\n": "BSD-3-Clause", "SPDX-License-Identifier: (MIT OR Apache-2.0)": None, "the SPDX-License-Identifier: MIT marker": None}
+    got = {r["doc_id"]: r["license"] for r in license_scan.license_scan(docs(spark, list(enumerate(cases)))).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_registered_url_list_against_all_rules(spark):
+    """The index finds what running every rule finds, whatever tokens are rare."""
+    ordered = sorted(url_rules.REGISTERED_RULES, key=lambda r: r.verdict != "allow")
+    assert len(ordered) > 200
+    compiled = [(r, re.compile(r.pattern)) for r in ordered]
+    rng = np.random.default_rng(4)
+    words = ["ads", "ad", "login", "track", "pixel", "docs", "org", "com", "a1", "casino", "poker", "cart", "utm_source", "sid", "search", "rss", "js", "png", "x", "archive", "adserver", "stats"]
+    urls = [f"https://{'.'.join(rng.choice(words, 3))}/{'/'.join(rng.choice(words, 3))}{rng.choice(['', '/', '.js', '.png', '.html', '?', '?sid=1', '&gclid=2', '-'])}{rng.choice(words)}" for _ in range(3000)]
+    urls += [r["url"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect() if r["url"]]
+    count = Counter(t for u in urls for t in set(url_rules.TOKEN.findall(u.lower())))
+    hits = 0
+    for index in (url_rules.PatternIndex(frequency=count), url_rules.PatternIndex(), url_rules.PatternIndex(frequency={t: -n for t, n in count.items()})):
+        for u in urls:
+            want = next(((r.name, r.verdict) for r, p in compiled if p.search(u.lower())), None)
+            assert index.find(u) == want
+            hits += want is not None
+    assert hits > 1000
+
+
 def test_license_scan_of_long_punctuation(spark):
     rows = [(1, "." * 1_000_000 + " word\nReleased under the MIT License."), (2, "!?" * 500_000), (3, "\n." * 400_000 + "x"), (4, ". " * 500_000)]
     began = time.time()
