@@ -9,7 +9,8 @@ Training reads a bounded sample: at most ``max_docs`` labelled documents a
 language, those with the smallest hash of their id.  A first count by language
 tells below which hash they lie, so that no more than a few times the sample is
 ever moved, however large a language is.  n-gram counts of the sample are summed
-in the cluster; only ``profile_size`` n-grams a language come to the driver.
+in the cluster; only ``profile_size`` n-grams a language come to the driver,
+of the ``max_langs`` languages that label most rows.
 Predictions read every whole text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0,
@@ -40,6 +41,7 @@ _LETTER: list[np.ndarray] = []
 class ProfileSettings:
     profile_size: int = 400
     max_docs: int = 1000  # bound of the training sample, per language
+    max_langs: int = 1000  # languages learned, those that label most rows
     max_n: int = 3
 
 
@@ -110,11 +112,15 @@ class Profiles:
         return self.langs[best], float(1 - away[best] / (penalty * len(mine)))
 
 
-def _lowest(named: DataFrame, most: int) -> DataFrame:
-    """Rows among which are the ``most`` of least hash ``h`` of each language.
+def _lowest(named: DataFrame, most: int, most_langs: int = 1000) -> DataFrame:
+    """Rows among which are the ``most`` of least hash ``h`` of each language,
+    of the ``most_langs`` languages that label most rows (ties by name).
     Hashes are spread evenly, so about four times as many are asked for; where
     repeated ids leave too few, more are."""
-    have = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    have = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs + 1).collect()}
+    if len(have) > most_langs:
+        have = dict(list(have.items())[:most_langs])
+        named = named.where(F.col("lang").isin(*have))
     share = {lang: 4 * most / n for lang, n in have.items()}
     while True:
         wide = sorted(lang for lang in have if share[lang] < 1)
@@ -135,7 +141,7 @@ def train(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
     named = named.where(F.col("ok") & F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
     order = Window.partitionBy("lang").orderBy("h", "id", F.xxhash64("text"))
     # the rank filter is applied before the shuffle as well (window group limit)
-    sample = _lowest(named.withColumn("h", F.xxhash64("id")), settings.max_docs).withColumn("r", F.row_number().over(order)).where(F.col("r") <= settings.max_docs).select("lang", "text")
+    sample = _lowest(named.withColumn("h", F.xxhash64("id")), settings.max_docs, settings.max_langs).withColumn("r", F.row_number().over(order)).where(F.col("r") <= settings.max_docs).select("lang", "text")
 
     def count(batches):
         for b in by_bytes(batches, "text"):

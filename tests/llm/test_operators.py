@@ -304,6 +304,15 @@ def test_language_sample_is_the_least_by_hash(spark):
     assert language_id._lowest(same, 50).where("lang = 'hot'").count() >= 50
 
 
+def test_language_labels_without_end(spark):
+    """Of very many labels the most frequent are learned."""
+    rows = [(i, "the plain words of a text " * 3, "en") for i in range(30)] + [(100 + i, "die einfachen Worte eines Textes " * 3, "de") for i in range(30)] + [(1000 + i, f"junk {i} words", f"x{i}") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    p = language_id.train(d, F.lit(True), settings=language_id.ProfileSettings(max_langs=2))
+    assert p.langs == ["de", "en"]
+    assert len(language_id.train(d, F.lit(True)).langs) == 302
+
+
 def test_language_id(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", F.length("text").alias("n"))
     got = queries.op1_language_id(spark, "/root/testdata/sf0.01").join(table, "doc_id").where("held_out").collect()
