@@ -137,11 +137,10 @@ def cluster_weight(spark, sf):
     return graphs.cluster_weights(ad.insight_edges(spark, sf), labels).withColumn("weight", r6("weight"))
 
 
-@query(f"{ad.cte('edges', 'params', 'quality')}, i AS (SELECT exp_id, sum(value) AS i FROM params WHERE key IN ('tax', 'discount') GROUP BY exp_id), q AS (SELECT exp_id, sum(value) AS q FROM quality WHERE key <> 'open_status' GROUP BY exp_id) SELECT influence, parameter, round(avg(coalesce(CASE WHEN q <> 0 THEN i / q END, 0)), 8) AS weight FROM edges LEFT JOIN i USING (exp_id) LEFT JOIN q USING (exp_id) GROUP BY ALL")
+@query(f"{ad.cte('edges', 'params', 'quality')}, i AS (SELECT exp_id, sum(value) AS i FROM params GROUP BY exp_id), q AS (SELECT exp_id, sum(value) AS q FROM quality GROUP BY exp_id) SELECT influence, parameter, round(avg(coalesce(CASE WHEN q <> 0 THEN i / q END, 0)), 4) AS weight FROM edges LEFT JOIN i USING (exp_id) LEFT JOIN q USING (exp_id) GROUP BY ALL")
 def influence_validity(spark, sf):
-    i = ad.parameters(spark, sf).where("key in ('tax', 'discount')").groupBy("exp_id").agg(F.sum("value").alias("value"))
-    q = ad.qualities(spark, sf).where("key <> 'open_status'").groupBy("exp_id").agg(F.sum("value").alias("value"))
-    return graphs.influence_validity(ad.insight_edges(spark, sf), i, q).withColumn("weight", r6("weight", 8))
+    i, q = (t.groupBy("exp_id").agg(F.sum("value").alias("value")) for t in (ad.parameters(spark, sf), ad.qualities(spark, sf)))
+    return graphs.influence_validity(ad.insight_edges(spark, sf), i, q).withColumn("weight", r6("weight", 4))
 
 
 @query(f"{ad.cte('edges')} SELECT exp_id, count(*) AS n_edges, count(DISTINCT influence) AS n_influences, count(DISTINCT parameter) AS n_parameters, round(sum(weight), 6) AS weight FROM edges GROUP BY exp_id")
@@ -247,14 +246,17 @@ def fill_from_series(spark, sf):
     return experiments.fill_from_series(own, p, ad.experiments(spark, sf)).withColumn("value", r6("value"))
 
 
-_EP = ad.cte("exps", "edges", "params", "quality") + """, pe AS (SELECT DISTINCT exp_id, 'returned' AS influence, 'tax' AS parameter FROM edges WHERE influence LIKE 'R%'),
+_EP = ad.cte("exps", "edges", "params", "quality") + f""", met AS (SELECT exp_id, 'returned' AS influence FROM edges WHERE influence LIKE 'R%' UNION SELECT exp_id, 'accepted' FROM edges WHERE influence LIKE 'A%' UNION SELECT exp_id, 'open_status' FROM edges WHERE influence LIKE '%O'),
+pe AS (SELECT exp_id, influence, parameter FROM met, (VALUES {', '.join(f'({chr(39)}{k}{chr(39)})' for k in ad.PARAMS)}) AS k(parameter)),
 ep AS (SELECT pe.parameter, pe.influence, series_id, pe.exp_id, p.value AS param_value, p.value * 2 AS param_original, i.value AS influence_value, q.value AS quality_aggregated
 FROM pe JOIN params p ON p.exp_id = pe.exp_id AND p.key = pe.parameter JOIN quality i ON i.exp_id = pe.exp_id AND i.key = pe.influence JOIN (SELECT exp_id, sum(value) AS value FROM quality GROUP BY exp_id) q ON q.exp_id = pe.exp_id JOIN exps ON exps.exp_id = pe.exp_id)"""
 
 
 @query(f"{_EP} SELECT parameter, influence, series_id, exp_id, round(param_value, 6) AS param_value, round(param_original, 6) AS param_original, round(influence_value, 6) AS influence_value, round(quality_aggregated, 6) AS quality_aggregated FROM ep")
 def ep_values(spark, sf):
-    e = ad.insight_edges(spark, sf).where("influence like 'R%'").select("exp_id", F.lit("returned").alias("influence"), F.lit("tax").alias("parameter")).distinct()
+    met = F.filter(F.array(*(F.when(F.col("influence").like(p), q) for p, q in (("R%", "returned"), ("A%", "accepted"), ("%O", "open_status")))), lambda x: x.isNotNull())
+    each = ad.insight_edges(spark, sf).select("exp_id", F.explode(met).alias("influence")).distinct()
+    e = each.select("exp_id", "influence", F.explode(F.array(*map(F.lit, ad.PARAMS))).alias("parameter"))
     p, q = ad.parameters(spark, sf), ad.qualities(spark, sf)
     total = q.groupBy("exp_id").agg(F.sum("value").alias("value"))
     ep = experiments.ep_values(e, p.withColumn("original", F.col("value") * 2), q, total, ad.experiments(spark, sf))
