@@ -55,21 +55,22 @@ UNSURE = re.compile("[^" + "".join(re.escape(chr(i)) for i in [9, 10, 13, *range
 class WordCache:
     """Packed ids of texts, from ids of their parts.
 
-    Text is cut at white space, which the tokenizer never looks across (only at
-    ASCII white space where it isn't plain Latin).  New words of plain Latin are
-    cut again, into the pieces that the tokenizer itself keeps apart.  Words and
-    pieces are encoded once and kept.  A tokenizer that joins parts (found out
-    by a probe) gets whole texts.
+    Plain Latin text is cut into the pieces that the tokenizer itself keeps
+    apart; other text at ASCII white space, which it never looks across.  Parts
+    are encoded once and kept in two tables, of which the older goes when the
+    newer is full; what is met again moves on.  A tokenizer that joins parts
+    (found out by a probe) gets whole texts.
     """
 
-    MOST = 200_000  # parts, some 50 MB; then it starts anew
+    MOST = 200_000  # parts of a table, some 50 MB
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.parts: dict = {}
+        self.old: dict = {}
+        self.new: dict = {}
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         probe = "The Cat's don't,, (we'll) \u00e9t\u00e9 12a.b  x\ny '' 's! \u00bd%%%"
         whole = self._ids([probe])[0]
@@ -87,31 +88,49 @@ class WordCache:
         if not text:
             return False, []
         if self._plain(text):
-            return True, text.lower().split()
+            return True, PIECE.findall(text.lower())
         return False, [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
 
-    def _learn(self, parts: list) -> None:
-        for i in range(0, len(parts), 20_000):
-            self.parts.update(zip(parts[i : i + 20_000], self._ids(parts[i : i + 20_000]), strict=True))
+    def _ids_of_pieces(self, pieces: list) -> list[bytes]:
+        """The same ids as of each piece alone, by one call: pieces with blanks
+        between them are the tokenizer's words, which it numbers."""
+        found = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        word = np.array([-1 if w is None else w for w in found.word_ids], dtype=np.int64)
+        if not len(word) or word[-1] != len(pieces) - 1 or (np.diff(word) < 0).any():
+            return self._ids(pieces)
+        raw, at = np.array(found.ids, dtype="<u4").tobytes(), 4 * np.searchsorted(word, np.arange(len(pieces) + 1))
+        return [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def _learn(self, parts: list, ids_of) -> None:
+        for i in range(0, len(parts), 5000):
+            self.new.update(zip(parts[i : i + 5000], ids_of(parts[i : i + 5000]), strict=True))
 
     def ids_of_texts(self, texts: list) -> list[np.ndarray]:
         if not self.by_chunk:
             return [np.frombuffer(i, dtype="<u4") for i in self._ids([t or "" for t in texts])]
         cut = [self._cut(t) for t in texts]
-        if len(self.parts) > self.MOST:
-            self.parts = {}
-        words, others = set(), set()
+        if len(self.new) > self.MOST:
+            self.old, self.new = self.new, {}
+        pieces, words = set(), set()
         for plain, parts in cut:
-            (words if plain else others).update(parts)
-        words.difference_update(self.parts)
-        pieces = {w: PIECE.findall(w) for w in words}
-        single = others.union(*pieces.values())
-        single.difference_update(self.parts)
-        self._learn(list(single))
-        get = self.parts.__getitem__
-        self.parts.update([(w, b"".join(map(get, p))) for w, p in pieces.items()])
+            (pieces if plain else words).update(parts)
+        self._learn(self._unknown(pieces), self._ids_of_pieces)
+        self._learn(self._unknown(words), self._ids)
+        get = self.new.__getitem__
         return [np.frombuffer(b"".join(map(get, parts)), dtype="<u4") for _, parts in cut]
 
+    def _unknown(self, parts: set) -> list:
+        """Parts that are to be learned; what only the old table has goes over
+        to the new one."""
+        parts.difference_update(self.new)
+        left = []
+        for p in parts:
+            if (ids := self.old.get(p)) is None:
+                left.append(p)
+            else:
+                self.new[p] = ids
+        return left
+
 
 _CACHES: dict[str, WordCache] = {}
 
