@@ -70,10 +70,12 @@ def rule_fields(value: str = "value", relative: str = "relative", kind: str = "k
 
 
 def action() -> Column:
-    """From the fields: by the step's sign; without a step, set for quantified
-    and for collapsed ranges (ends alike to nine digits)."""
+    """From the fields: by the step's sign; without a step (to nine digits, as
+    sums in any order leave a rest), set for quantified and for collapsed ranges
+    (ends alike to nine digits)."""
+    step = F.round("step_size", 9)
     return (
-        F.when(F.col("step_size") > 0, "increase incrementally").when(F.col("step_size") < 0, "decrease incrementally")
+        F.when(step > 0, "increase incrementally").when(step < 0, "decrease incrementally")
         .when(nm.close(F.col("range_start"), F.col("range_end"), 1e-9) | F.col("quantifier").isNotNull(), "set").otherwise("adjust incrementally")
     )
 
