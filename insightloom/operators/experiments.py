@@ -139,6 +139,17 @@ def relative(long: DataFrame, prev: DataFrame, sign: int = -1) -> DataFrame:
     return long.join(prev, "exp_id").join(old, ["prev_id", "key"], "left").select("series_id", "exp_id", "key", (F.lit(sign) * (F.col("value") - F.col("old"))).alias("value"))
 
 
+def with_previous(values: DataFrame, exps: DataFrame) -> DataFrame:
+    """(series_id, exp_id, the columns of ``values``, before): one row per
+    experiment with its values, and those of the one before it in its series as
+    a struct, its fields NULL where that has none.  One window gives what
+    ``relative`` joins, so experiments without a predecessor meet nowhere."""
+    names = [c for c in values.columns if c != "exp_id"]
+    both = exps.select("series_id", "exp_id").join(values.withColumn("has_", F.lit(True)), "exp_id", "left")
+    w = Window.partitionBy("series_id").orderBy("exp_id")
+    return both.withColumn("before", F.lag(F.struct(*names)).over(w)).where("has_").select("series_id", "exp_id", *names, "before")
+
+
 def relative_to_default(changes: DataFrame) -> DataFrame:
     """user value - original value, where both are numbers."""
     diff = F.col("user_value").try_cast("double") - F.col("original_value").try_cast("double")

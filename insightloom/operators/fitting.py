@@ -83,10 +83,11 @@ def _usable(pairs: DataFrame) -> DataFrame:
 
 
 def standardised(pairs: DataFrame) -> DataFrame:
-    """pairs with ``z``, the influence in standard units of its group."""
+    """pairs with ``z``, the influence in standard units of its group.  The
+    groups' scales go to the values, as bins do (``rules.in_bins``)."""
     d = _usable(pairs)
     scale = d.groupBy(*GROUP).agg(F.avg("influence_value").alias("mx"), F.stddev_pop("influence_value").alias("sx"))
-    return d.join(scale, GROUP).withColumn("z", F.when(F.col("sx") > 0, (F.col("influence_value") - F.col("mx")) / F.col("sx")).otherwise(0.0))
+    return d.join(F.broadcast(scale), GROUP).withColumn("z", F.when(F.col("sx") > 0, (F.col("influence_value") - F.col("mx")) / F.col("sx")).otherwise(0.0))
 
 
 def moments(z: DataFrame, fold: Column) -> DataFrame:

@@ -59,12 +59,13 @@ def rule_fields(value: str = "value", relative: str = "relative", kind: str = "k
     +- population deviation, mean relative change; for truth values the
     majority, for categories the most frequent rounded code (least on ties)."""
     v, k = F.col(value), F.first(kind)
+    code = F.when(F.col(kind) == "string", F.bround(v, 0))  # a mode counts every value it sees, so it sees categories only
     mean, dev = F.avg(v), F.stddev_pop(v)
     numeric = k == "numeric"
     return [
         F.first(kind).alias("param_type"), F.when(numeric, mean).alias("mean_value"), F.when(numeric, mean - dev).alias("range_start"), F.when(numeric, mean + dev).alias("range_end"),
         F.when(numeric, F.coalesce(F.avg(relative), F.lit(0.0))).alias("step_size"),
-        F.when(k == "boolean", (mean >= 0.5).cast("double")).when(k == "string", F.mode(F.bround(v, 0), True)).alias("quantifier"),
+        F.when(k == "boolean", (mean >= 0.5).cast("double")).when(k == "string", F.mode(code, True)).alias("quantifier"),
         F.count(v).alias("n_values"),
     ]
 
@@ -87,10 +88,18 @@ def finish(df: DataFrame) -> DataFrame:
     return df.withColumn("action", action()).withColumn("quantifier", F.when((F.col("action") == "set") & F.col("quantifier").isNull(), F.col("mean_value")).otherwise(F.col("quantifier"))).select(*RULE_COLUMNS, "n_values")
 
 
+def in_bins(pairs: DataFrame, bins: DataFrame) -> DataFrame:
+    """Usable pairs with the edges and the bin of their influence.  Bins go to
+    the values: there are as many as influences, of which a few hold all values,
+    so an exchange by influence would fill a few tasks."""
+    d = pairs.where("influence_value is not null and value is not null")
+    return d.join(F.broadcast(bins), "influence").withColumn("bin", nm.digitize("influence_value", "edges"))
+
+
 def binned_rules(pairs: DataFrame, bins: DataFrame) -> DataFrame:
     """A rule per influence, bin and parameter.  pairs(exp_id, influence,
     influence_value, parameter, value, relative, kind)."""
-    d = pairs.where("influence_value is not null and value is not null").join(bins, "influence").withColumn("bin", nm.digitize("influence_value", "edges"))
+    d = in_bins(pairs, bins)
     g = d.groupBy(F.col("influence").alias("condition"), "bin", "parameter").agg(F.first(F.element_at("edges", F.col("bin"))).alias("cond_lo"), F.first(F.element_at("edges", F.col("bin") + 1)).alias("cond_hi"), *rule_fields())
     return finish(g)
 
@@ -128,7 +137,7 @@ def merged_rules(pairs: DataFrame, bins: DataFrame, step_bins: int | str | list
     rule's start to the last one's end.  Values are merged as counts, means and
     second moments, so no row grows with the data.  A merged rule keeps its
     rules' action, also where it was set for a range that was one value."""
-    d = pairs.where("influence_value is not null and value is not null").join(bins, "influence").withColumn("bin", nm.digitize("influence_value", "edges"))
+    d = in_bins(pairs, bins)
     g = d.groupBy(F.col("influence").alias("condition"), "bin", "parameter").agg(
         F.first(F.element_at("edges", F.col("bin"))).alias("cond_lo"), F.first(F.element_at("edges", F.col("bin") + 1)).alias("cond_hi"), *rule_fields(),
         F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.count("relative").alias("rel_n"), F.sum("relative").alias("rel_sum"),

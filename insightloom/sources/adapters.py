@@ -40,8 +40,12 @@ def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("exp_id"), F.col("o_custkey").alias("series_id"), F.col("o_orderpriority").alias("printer"))
 
 
+def _wide(spark: SparkSession, sf_dir: str, exprs: dict) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("exp_id")).agg(*(F.avg(F.expr(e)).alias(k) for k, e in exprs.items()))
+
+
 def _long(spark: SparkSession, sf_dir: str, exprs: dict) -> DataFrame:
-    wide = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("exp_id")).agg(*(F.avg(F.expr(e)).alias(k) for k, e in exprs.items()))
+    wide = _wide(spark, sf_dir, exprs)
     stack = ", ".join(f"'{k}', `{k}`" for k in exprs)
     return wide.select("exp_id", F.expr(f"stack({len(exprs)}, {stack}) as (key, value)"))
 
@@ -50,8 +54,17 @@ def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(spark, sf_dir, PARAMS)
 
 
+def _shares() -> dict:
+    return {k: f"case when {e} then 1.0D else 0.0D end" for k, e in QUALITIES.items()}
+
+
 def qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(spark, sf_dir, {k: f"case when {e} then 1.0D else 0.0D end" for k, e in QUALITIES.items()})
+    return _long(spark, sf_dir, _shares())
+
+
+def values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters and qualities of an order as one row."""
+    return _wide(spark, sf_dir, PARAMS | _shares())
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

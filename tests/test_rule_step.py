@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from insightloom.operators import rules
+from insightloom.operators import experiments, fitting, rules
 
 PAIRS = "exp_id long, influence string, influence_value double, parameter string, value double, relative double, kind string"
 
@@ -16,3 +18,37 @@ def test_a_step_that_is_a_rest_of_sums_is_none(spark):
     bins = rules.influence_bins(pairs.select("influence", F.col("influence_value").alias("value")), bins=2)
     for got in (rules.binned_rules(pairs, bins), rules.merged_rules(pairs, bins)):
         assert {r["parameter"]: r["action"] for r in got.collect()} == {"p": "adjust incrementally", "c": "set"}
+
+
+def test_values_are_not_exchanged_by_the_few_influences(spark, monkeypatch):
+    """Bins that are too large to be broadcast by size alone: nothing with a row per value is exchanged by influence."""
+    rows = [(i, f"q{i % 2}", i / 40, f"p{i % 3}", float(i), 1.0, "numeric") for i in range(40)]
+    pairs = spark.createDataFrame(rows, PAIRS)
+    bins = rules.influence_bins(pairs.select("influence", F.col("influence_value").alias("value")), bins=4)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (rules.binned_rules(pairs, bins), fitting.standardised(pairs)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and re.search("BroadcastHashJoin", plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_modes_hold_categories_only(spark):
+    """The buffer of a mode has an entry for each value it saw."""
+    rows = [(i, "q", 0.5, "p", float(i), 1.0, "numeric") for i in range(9)] + [(i, "q", 0.5, "c", float(i % 4 == 0), None, "string") for i in range(9)]
+    pairs = spark.createDataFrame(rows, PAIRS)
+    bins = rules.influence_bins(pairs.select("influence", F.col("influence_value").alias("value")), bins=1)
+    df = rules.binned_rules(pairs, bins)
+    assert {r["parameter"]: r["quantifier"] for r in df.collect()} == {"p": None, "c": 0.0}
+    assert re.search(r"mode\(CASE WHEN \(kind#?\d* = string\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_values_with_previous_are_as_joined(spark):
+    exps = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 20), (2, 21), (3, None), (None, 30), (None, 31)], "series_id long, exp_id long")
+    wide = spark.createDataFrame([(10, 1.0, 5.0), (12, 4.0, None), (20, 2.0, 2.0), (21, None, 7.0), (30, 1.0, 1.0), (31, 3.0, 2.0), (99, 0.0, 0.0), (None, 1.0, 1.0)], "exp_id long, a double, b double")
+    long = wide.select("exp_id", F.expr("stack(2, 'a', a, 'b', b) as (key, value)"))
+    want = experiments.relative(long, experiments.previous(exps), 1).collect()
+    got = experiments.with_previous(wide, exps).select("series_id", "exp_id", F.expr("stack(2, 'a', a - before.a, 'b', b - before.b) as (key, value)")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 12
