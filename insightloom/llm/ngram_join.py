@@ -345,11 +345,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = materialise(_verify(_untried(_hub_pairs(member, hubs, percent), tried), sets, percent), "pairs")
         discard(hubs)
         told.append(found)
-        links = found.where("linked").select("a", "b")
-        last = links.isEmpty()
+        last = found.where("linked").isEmpty()
         tried = found if tried is None else tried.union(found)
         if last:
             break
+        # all links so far: labels are less than components, and a pair that was tried isn't found again
+        links = tried.where("linked").select("a", "b")
         old, edges = label, links if label is None else label.toDF("a", "b").union(links)
         label = components(edges) if seed == rounds - 1 else merged(edges)
         discard(old)
@@ -358,7 +359,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = materialise(_hubs(member, rounds, label is None), "hubs")
     more = materialise(_verify(_untried(_remaining_pairs(member, hubs, sets, percent), tried), sets, percent).where("linked").select("a", "b"), "links")
     if not more.isEmpty() or (last and label is not None):
-        label = components(more if label is None else label.toDF("a", "b").union(more))
+        known = more if label is None else label.toDF("a", "b").union(more)
+        # after the last round labels are components; those of an earlier one need the links they were made of
+        label = components(known.union(tried.where("linked").select("a", "b")) if last else known)
     discard(hubs, more, sets, *told)
     if label is None:
         out = named.withColumn("component", F.col("fp"))

@@ -194,3 +194,10 @@ def test_word_hashes_tell_words_apart():
         assert len(h) == len(words) == len(set(h.tolist()))
     mixed = Words(["Word LONGERTHANEIGHT word longerthaneight"], True).hashes().tolist()
     assert mixed[:2] == mixed[2:]
+
+
+def test_chains_stay_whole(spark):
+    """Texts that only link with their neighbours: a round's labels may be less than its components, and its links are not looked at again."""
+    rows = [(chain * 1000 + i, " ".join(f"c{chain}w{j}" for j in range(5 * i, 5 * i + 44))) for chain in range(30) for i in range(25)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_join(make(spark, rows)).collect()}
+    assert got == {d: d // 1000 * 1000 for d, _ in rows}
