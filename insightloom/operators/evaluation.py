@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,6 +153,31 @@ def _scores_of(q: np.ndarray, e: np.ndarray, product: bool) -> np.ndarray:
     return out
 
 
+def _beaten(q: np.ndarray, e: np.ndarray, truth: np.ndarray, product: bool, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """(better, equal): how many e score above, and like, the truth of each q.
+
+    One matrix product decides all but those that its rounding can't tell from
+    the truth; these are added up as in ``_scores_of``, so the counts are those
+    of its scores."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        dot, nq, ne = q @ e.T, np.square(q).sum(axis=1), np.square(e).sum(axis=1)
+        s = dot if product else 2 * dot - nq[:, None] - ne[None, :]
+        size = np.sqrt(nq)[:, None] * np.sqrt(ne)[None, :] if product else 2 * (nq[:, None] + ne[None, :])
+        slack = 8 * (q.shape[1] + 4) * np.finfo(np.float64).eps * size
+        s -= truth[:, None]
+        above = s > slack
+        i, j = np.nonzero(~(above | (s < -slack)))
+    better, equal = above.sum(axis=1), np.zeros(len(q), dtype=np.int64)
+    for at in range(0, len(i), most):
+        x, y = i[at : at + most], j[at : at + most]
+        exact = np.zeros(len(x))
+        for k in range(q.shape[1]):
+            exact += q[x, k] * e[y, k] if product else -np.square(q[x, k] - e[y, k])
+        better += np.bincount(x[exact > truth[x]], minlength=len(q))
+        equal += np.bincount(x[exact == truth[x]], minlength=len(q))
+    return better, equal
+
+
 def _vector_blocks(df: DataFrame, key: str, size: int, parts: int) -> DataFrame:
     """(part, names, blob): vectors of df (key, vec) in blocks of at most ``size``."""
 
@@ -221,22 +247,34 @@ def _pack_queries(method: str, side: str, size: int):
     return run
 
 
-def _count_ranks(method: str, side: str, open_: str):
+def _count_ranks(method: str, side: str, open_: str, most: int = 128):
+    """Counts of packs with blocks, added up per pack; at most ``most`` packs
+    wait for more of their blocks."""
     _, product = _sides(method, side)
 
+    def told(held):
+        for names, truth, counts in held.values():
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[c] for x in names], pa.string()) for c in ("h", "r", "t")), pa.array(truth), *(pa.array(x) for x in counts)], names=["h", "r", "t", "truth", "better", "equal", "n"])
+
     def run(batches):
+        held: dict = {}
         for b in batches:
-            for names, truth, q, e_names, blob in zip(*(b.column(c).to_pylist() for c in ("names", "truth", "q", "e_names", "blob")), strict=True):
-                truth = np.frombuffer(truth)
-                s = _scores_of(np.frombuffer(q).reshape(len(names), -1), np.frombuffer(blob).reshape(len(e_names), -1), product)
-                place = {e: i for i, e in enumerate(e_names)}
-                own = np.array([place.get(x[open_], -1) for x in names])
-                better, equal, n = (s > truth[:, None]).sum(axis=1), (s == truth[:, None]).sum(axis=1), np.full(len(names), len(e_names))
-                here = own >= 0  # the answer itself is no rival
-                equal[here] -= 1
-                n[here] -= 1
-                cols = [[x[c] for x in names] for c in ("h", "r", "t")]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(truth), *(pa.array(x.astype(np.int64)) for x in (better, equal, n))], names=["h", "r", "t", "truth", "better", "equal", "n"])
+            for names, truth, q, e_names, blob in zip(*(b.column(c) for c in ("names", "truth", "q", "e_names", "blob")), strict=True):
+                names, e_names, truth = names.values, e_names.values, np.frombuffer(truth.as_py())
+                q, e = (np.frombuffer(x.as_py()).reshape(n, -1) for x, n in ((q, len(names)), (blob, len(e_names))))
+                better, equal = _beaten(q, e, truth, product)
+                # the answer itself is no rival
+                here = pc.is_in(names.field(open_), value_set=e_names).to_numpy(zero_copy_only=False).astype(np.int64)
+                counts = np.stack([better, equal - here, len(e_names) - here])
+                key = tuple(names[0].as_py().values())  # a query is in one pack
+                if key in held:
+                    held[key][2] += counts
+                    continue
+                if len(held) == most:
+                    yield from told(held)
+                    held.clear()
+                held[key] = [names.to_pylist(), truth, counts]
+        yield from told(held)
 
     return run
 

@@ -52,3 +52,23 @@ def test_values_with_previous_are_as_joined(spark):
     want = experiments.relative(long, experiments.previous(exps), 1).collect()
     got = experiments.with_previous(wide, exps).select("series_id", "exp_id", F.expr("stack(2, 'a', a - before.a, 'b', b - before.b) as (key, value)")).collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 12
+
+
+def test_ranks_by_products_count_like_scores():
+    """Equal and nearly equal vectors, of whole numbers and of others: a product's rounding doesn't move a count."""
+    import numpy as np
+
+    from insightloom.operators import evaluation
+
+    rng = np.random.default_rng(3)
+    for e in (rng.integers(-256, 256, (300, 24)).astype(float), rng.normal(size=(300, 24)) * 1e3 + 1e6):
+        e[100:200] = e[7]
+        e[150] = np.nextafter(e[7], np.inf)
+        e[290, 3], e[291, 2] = np.nan, np.inf
+        q = np.vstack([e[:40], e[:10] + 1e-9])
+        for product in (True, False):
+            with np.errstate(invalid="ignore"):
+                s = evaluation._scores_of(q, e, product)
+                truth = np.array([s[i, (7 * i) % 200] for i in range(len(q))])
+                better, equal = evaluation._beaten(q, e, truth, product, 1000)
+            assert (better == (s > truth[:, None]).sum(axis=1)).all() and (equal == (s == truth[:, None]).sum(axis=1)).all()
