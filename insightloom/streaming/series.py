@@ -3,16 +3,17 @@
 A value's predecessor is the one before it in its series, by time and then by
 experiment.  Rows come in any order within the watermark: a row that arrives
 between two others gives its own relative value and a new one for its
-successor, with a higher version.  State per series and key holds the values
-that may still get a new neighbour, those younger than the watermark, and the
-last one before it; it lies in the stream's checkpoint, so a restarted query
-goes on where it stood.  Rows older than the watermark come too late: they are
+successor, with a higher version.  Series go through the operator in buckets by
+hash, so that a call works on many of them at once.  State holds the values that
+may still get a new neighbour, those younger than the watermark, and the last
+one before it of each series and key; it lies in the stream's checkpoint, so a
+restarted query goes on where it stood.  Rows older than the watermark come too late: they are
 left out, and counted in the output as version -1.
 """
 
 from __future__ import annotations
 
-import bisect
+import io
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -23,50 +24,46 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.storage import shared_folder
 
 OUT = "series_id string, key string, exp_id long, at timestamp, value double, relative double, version long"
-STATE = "at array<long>, exp array<long>, value array<double>, version long"
+STATE = "held binary, version long"
+
+#: Groups of series that are worked on at once; a group's state is one row of
+#: the store and should stay at a few MB.
+BUCKETS = 512
+_PLACE = ["series_id", "key", "us", "exp_id"]
 
 
 def _step(sign: float):
-    def run(key, frames, state: GroupState):
-        at, exp, value, version = map(lambda x: list(x) if isinstance(x, (list, tuple)) or hasattr(x, "tolist") else x, state.get) if state.exists else ([], [], [], 0)
-        order = list(zip(at, exp, strict=True))
+    def run(_, frames, state: GroupState):
+        held, version = (bytes(state.get[0]), state.get[1] + 1) if state.exists else (None, 1)
         mark = state.getCurrentWatermarkMs() * 1000
-        rows, touched = [], set()
         part = pd.concat(list(frames), ignore_index=True)
         part["us"] = part["at"].astype("datetime64[us]").astype("int64")
-        version += 1
-        for r in part.sort_values(["us", "exp_id"]).itertuples():
-            if r.us < mark:
-                rows.append((*key, r.exp_id, r.at, r.value, None, -1))
-                continue
-            place = (r.us, r.exp_id)
-            k = bisect.bisect_left(order, place)
-            if k < len(order) and order[k] == place:  # told again: the later value holds
-                value[k] = r.value
-            else:
-                order.insert(k, place)
-                value.insert(k, r.value)
-            touched |= {place} | ({order[k + 1]} if k + 1 < len(order) else set())
-        for k, (us, e) in enumerate(order):
-            if (us, e) in touched:
-                before = value[k - 1] if k else None
-                relative = None if before is None or pd.isna(before) or pd.isna(value[k]) else sign * (value[k] - before)
-                rows.append((*key, e, pd.Timestamp(us, unit="us"), value[k], relative, version))
+        part = part[[*_PLACE, "value"]].assign(fresh=True)
+        late, new = part[part["us"] < mark], part[part["us"] >= mark]
+        kept = [pd.read_feather(io.BytesIO(held)).assign(fresh=False)] if held else []
+        # told again: the later value holds
+        d = pd.concat([*kept, new], ignore_index=True).drop_duplicates(_PLACE, keep="last").sort_values(_PLACE, ignore_index=True)
+        follows = (d["series_id"] == d["series_id"].shift()) & (d["key"] == d["key"].shift())
+        d["relative"] = sign * (d["value"] - d["value"].shift()).where(follows)
+        touched = d["fresh"] | (follows & d["fresh"].shift(fill_value=False))
         # what lies behind the watermark gets no new neighbour, but its last value is one
-        first = max(0, bisect.bisect_left(order, (mark, -(1 << 63))) - 1)
-        state.update(([o[0] for o in order[first:]], [o[1] for o in order[first:]], [float(v) if v is not None else None for v in value[first:]], version))
-        names = [c.split()[0] for c in OUT.split(", ")]
-        yield pd.DataFrame(rows, columns=names).astype({"exp_id": "int64", "version": "int64", "value": "float64", "relative": "float64", "at": "datetime64[us]"})
+        settled = (d["us"] < mark) & follows.shift(-1, fill_value=False) & (d["us"].shift(-1, fill_value=mark) < mark)
+        blob = io.BytesIO()
+        d.loc[~settled, [*_PLACE, "value"]].reset_index(drop=True).to_feather(blob, compression="zstd")
+        state.update((blob.getvalue(), version))
+        out = pd.concat([d[touched].assign(version=version), late.assign(relative=float("nan"), version=-1)], ignore_index=True)
+        out["at"] = out["us"].astype("datetime64[us]")
+        yield out[[c.split()[0] for c in OUT.split(", ")]].astype({"exp_id": "int64", "version": "int64", "value": "float64", "relative": "float64"})
 
     return run
 
 
-def relative_stream(values: DataFrame, late: str = "1 day", sign: float = -1.0) -> DataFrame:
+def relative_stream(values: DataFrame, late: str = "1 day", sign: float = -1.0, buckets: int = BUCKETS) -> DataFrame:
     """values(series_id, key, exp_id, at, value), a stream -> relative values:
     the change from the predecessor times ``sign`` (-1: a fall is a gain), null
     for the first.  Rows without series, key, experiment or time are left out."""
     given = values.where("series_id is not null and key is not null and exp_id is not null and at is not null").withWatermark("at", late)
-    return given.groupBy("series_id", "key").applyInPandasWithState(_step(sign), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return given.withColumn("bucket", F.pmod(F.xxhash64("series_id", "key"), F.lit(buckets))).groupBy("bucket").applyInPandasWithState(_step(sign), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def start_relative(values: DataFrame, folder: str, checkpoint: str, late: str = "1 day", sign: float = -1.0) -> StreamingQuery:

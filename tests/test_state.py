@@ -232,3 +232,33 @@ def test_series_stream_with_late_rows_and_restarts(spark, tmp_path):
     got = {x["exp_id"]: x["relative"] for x in series.latest(told).collect()}
     assert got == {1: None, 2: 1.0, 3: 2.0, 5: -1.0, 4: 2.0}
     assert [x["exp_id"] for x in told.where("version = -1").collect()] == [9]
+
+
+def test_series_stream_works_on_many_series_at_once():
+    """A call takes a bucket of series; each keeps its own predecessor and its own last value behind the watermark."""
+    import types
+
+    import pandas as pd
+
+    day = lambda d: pd.Timestamp(2024, 1, d)
+
+    class State:
+        exists, get, mark = False, None, 0
+
+        def update(self, x):
+            self.exists, self.get = True, x
+
+        def getCurrentWatermarkMs(self):  # noqa: N802
+            return self.mark
+
+    state, step = State(), series._step(-1.0)
+    frame = lambda rows: pd.DataFrame(rows, columns=["series_id", "key", "exp_id", "at", "value"])
+    assert isinstance(step((0,), iter([frame([])]), State()), types.GeneratorType)
+    first = pd.concat(step((0,), iter([frame([("a", "q", 1, day(1), 5.0), ("b", "q", 1, day(2), 3.0), ("a", "r", 1, day(1), 1.0), ("a", "q", 2, day(4), 4.0)])]), state))
+    assert first.set_index(["series_id", "key", "exp_id"])["relative"].dropna().to_dict() == {("a", "q", 2): 1.0}
+    state.mark = day(10).value // 10**6
+    second = pd.concat(step((0,), iter([frame([("b", "q", 2, day(11), 1.0), ("a", "q", 3, day(12), 6.0), ("a", "r", 2, day(3), 9.0)])]), state))
+    got = second.set_index(["series_id", "key", "exp_id"])
+    assert got["relative"].dropna().to_dict() == {("b", "q", 2): 2.0, ("a", "q", 3): -2.0} and got.loc[("a", "r", 2), "version"] == -1
+    third = pd.concat(step((0,), iter([frame([("a", "r", 3, day(13), 0.0)])]), state))
+    assert third["relative"].tolist() == [1.0]
