@@ -11,6 +11,7 @@ a reader can split files at statements.
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,9 @@ RDF_TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
 #: No more distinct prefixes than this are expected in a data set.
 MOST_PREFIXES = 1000
 
+#: A reader holds no more triples than this as Python objects, however many a batch of statements has.
+READ_AT_ONCE = 10_000
+
 _LOCAL = re.compile(r"[A-Za-z0-9_](?:[A-Za-z0-9_-]*)\Z")
 _TOKEN = re.compile(
     r"""\s*(?:(?P<iri><[^>]*>)|(?P<text>"(?:[^"\\\n]|\\.)*")(?:\^\^(?P<kind><[^>]*>|[A-Za-z][\w-]*:[\w-]*)|(?P<lang>@[A-Za-z-]+))?|(?P<name>(?:[A-Za-z][\w-]*)?:[\w%-]*)|(?P<number>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<word>a|true|false)\b|(?P<mark>[;,.]))"""
@@ -119,6 +123,16 @@ def _terms(statement: str, prefixes: dict[str, str]):
             yield row[0], predicate, term
 
 
+def _triples(prefixes: dict[str, str]):
+    def run(batches):
+        for b in batches:
+            each = (x for v in b.column("value") for x in _terms(v.as_py(), prefixes))
+            while rows := list(islice(each, READ_AT_ONCE)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], names=["s", "p", "o"])
+
+    return run
+
+
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:
     """(s, p, o) of Turtle files whose statements end in " ." and a line break;
     a statement may run over several lines.  Blank nodes, collections and base
@@ -134,10 +148,4 @@ def read_turtle(spark: SparkSession, path: str) -> DataFrame:
         if not m or prefixes.setdefault(m[1] or "", m[2]) != m[2]:
             raise ValueError(f"not understood or two meanings: {r['value'][:80]!r}")
 
-    def run(batches):
-        for b in batches:
-            rows = [x for v in b.column("value").to_pylist() for x in _terms(v, prefixes)]
-            s, p, o = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (s, p, o)], names=["s", "p", "o"])
-
-    return records.where(~directive).mapInArrow(run, "s string, p string, o string")
+    return records.where(~directive).mapInArrow(_triples(prefixes), "s string, p string, o string")
