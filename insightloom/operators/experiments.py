@@ -211,6 +211,28 @@ def series_keys(edges: DataFrame, exps: DataFrame) -> DataFrame:
     """(series_id, parameters, influences): sorted sets of names ever used."""
     return edges.join(exps.select("series_id", "exp_id"), "exp_id").groupBy("series_id").agg(F.array_sort(F.collect_set("parameter")).alias("parameters"), F.array_sort(F.collect_set("influence")).alias("influences"))
 
+def metric_frames_wide(values: DataFrame, exps: DataFrame, ratings: list[str], changes: dict[str, tuple[Column, Column]], influences: dict[str, Column]) -> DataFrame:
+    """``metric_frames`` of experiments whose values are columns of one row:
+    ratings are columns of ``values``; changes (key: user value, original value)
+    and previous-quality influences (by the rating's name) are expressions over
+    it.  A row per experiment is exchanged by series, nothing else is: values
+    are unfolded in the result, which stands by series."""
+    c = F.col
+    number = {k: (user.try_cast("double"), original.try_cast("double")) for k, (user, original) in changes.items()}
+    parts = {
+        "quality": {k: c(k) for k in ratings},
+        "quality_relative": {k: F.lit(-1) * (c(k) - c("before")[k]) for k in ratings},
+        "changed_parameters": {k: user for k, (user, _) in number.items()},
+        "changed_parameters_relative": {k: user - original for k, (user, original) in number.items()},
+        "influences": influences,
+        "influences_relative": {k: -((c(k) if k in ratings else F.lit(None).cast("double")) - x) for k, x in influences.items()},
+    }
+    cell = lambda frame, k, x: F.struct(F.lit(frame).alias("frame"), F.lit(k).alias("key"), x.cast("double").alias("value"))
+    cells = F.array(*(cell(frame, k, x) for frame, of in parts.items() for k, x in of.items()))
+    out = with_previous(values, exps).select("series_id", "exp_id", F.explode(cells).alias("x")).select("x.frame", "series_id", "exp_id", "x.key", "x.value")
+    return out.where("value is not null or frame not in ('changed_parameters_relative', 'influences')")
+
+
 
 def series_best(exps: DataFrame, quality: DataFrame) -> DataFrame:
     """(series_id, exp_id, value): the experiment with the least rating; ties to

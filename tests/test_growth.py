@@ -18,3 +18,24 @@ def test_turtle_is_read_in_bounded_pieces():
     assert max(b.num_rows for b in got) <= turtle.READ_AT_ONCE
     assert [tuple(r.values()) for b in got for r in b.to_pylist()] == [(f"<http://x/s{i}>", "<http://x/p>", f'"{j}"') for i in range(5) for j in range(7_000)]
     assert sum(b.num_rows for b in turtle._triples({})([pa.RecordBatch.from_arrays([pa.array([], pa.string())], names=["value"])])) == 0
+
+
+EXPS = [(1, 10), (1, 11), (1, 12), (2, 20), (2, 21), (3, None), (None, 30), (None, 31)]
+WIDE = [(10, 1.0, 5.0), (12, 4.0, None), (20, 2.0, 2.0), (21, None, 7.0), (30, 1.0, 1.0), (31, 3.0, 2.0), (99, 0.0, 0.0), (None, 1.0, 1.0)]
+
+
+def _both(spark):
+    exps = spark.createDataFrame(EXPS, "series_id long, exp_id long")
+    wide = spark.createDataFrame(WIDE, "exp_id long, a double, b double")
+    return exps, wide, wide.select("exp_id", F.expr("stack(2, 'a', a, 'b', b) as (key, value)"))
+
+
+def test_frames_of_columns_are_those_of_long_tables(spark):
+    exps, wide, long = _both(spark)
+    changes = long.select("exp_id", "key", F.col("value").cast("string").alias("user_value"), F.lit("0.5").alias("original_value"))
+    influences = long.select("exp_id", "key", F.lit("qual_influence").alias("type"), (F.col("value") / 2).alias("value"))
+    want = experiments.metric_frames(exps, long, changes, influences)
+    got = experiments.metric_frames_wide(wide, exps, ["a", "b"], {k: (F.col(k), F.lit("0.5")) for k in "ab"}, {k: F.col(k) / 2 for k in "ab"})
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 60
+    plan = got.groupBy("frame", "series_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(frame" not in plan and plan.count("hashpartitioning(series_id") == 1
