@@ -252,6 +252,20 @@ def thin_out(exps: DataFrame, most: int) -> DataFrame:
     out = positions(exps).withColumn("n_", n).withColumn("drop_", F.greatest(F.col("n_") - most, F.lit(0)))
     step = F.when(F.col("drop_") > 1, F.floor((F.col("n_") - 1) / F.greatest(F.col("drop_") - 1, F.lit(1)))).otherwise(F.lit(0))
     gone = (F.col("drop_") > 0) & F.when(step > 0, (F.col("pos") % step == 0) & (F.col("pos") / step < F.col("drop_"))).otherwise(F.col("pos") == 0)
+def ep_values_wide(edges: DataFrame, values: DataFrame, exps: DataFrame, parameters: dict[str, tuple[Column, Column]], influences: dict[str, Column], quality: Column) -> DataFrame:
+    """``ep_values`` of experiments whose values are columns of one row:
+    parameters (name: value, original value), influences and the quality are
+    expressions over ``values``.  Everything is exchanged by experiment, once."""
+
+    def named(by: str, columns: dict[str, Column]) -> Column:
+        return F.coalesce(*(F.when(F.col(by) == k, x) for k, x in columns.items()))
+
+    each = edges.select("exp_id", "influence", "parameter").join(values.join(exps.select("series_id", "exp_id"), "exp_id"), "exp_id")
+    value, original = ({k: x[i] for k, x in parameters.items()} for i in (0, 1))
+    out = each.select("parameter", "influence", "series_id", "exp_id", named("parameter", value).alias("param_value"), named("parameter", original).alias("param_original"), named("influence", influences).alias("influence_value"), quality.alias("quality_aggregated"))
+    return out.dropna(subset=["param_value", "influence_value", "quality_aggregated"])
+
+
     return out.where(~gone).drop("pos", "n_", "drop_")
 
 

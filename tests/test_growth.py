@@ -39,3 +39,19 @@ def test_frames_of_columns_are_those_of_long_tables(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 60
     plan = got.groupBy("frame", "series_id").count()._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(frame" not in plan and plan.count("hashpartitioning(series_id") == 1
+
+
+def test_edge_values_of_columns_are_those_of_long_tables(spark):
+    exps, wide, long = _both(spark)
+    edges = spark.createDataFrame([(e, i, p) for e in (10, 12, 20, 21, 30, 99) for i in ("a", "b", "c") for p in ("a", "b", "c")], "exp_id long, influence string, parameter string")
+    quality = wide.select("exp_id", (F.col("a") + 1).alias("value"))
+    want = experiments.ep_values(edges, long.withColumn("original", F.col("value") * 2), long, quality, exps)
+    got = experiments.ep_values_wide(edges, wide, exps, {k: (F.col(k), F.col(k) * 2) for k in "ab"}, {k: F.col(k) for k in "ab"}, F.col("a") + 1)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 13
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "hashpartitioning(exp_id" in plan and ", parameter" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
