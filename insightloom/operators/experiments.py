@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import numeric as nm
 from ..functions import text as tx
 
 # Rating keys that are never aggregated; categories of the summed rating.
@@ -14,6 +15,19 @@ META_KEYS = ("user_id", "rating_date", "time", "comment")
 RATING_CATEGORIES = ("blobs", "gaps", "layer_misalignment", "layer_separation", "over_extrusion", "line_misalignment", "stringing", "under_extrusion", "warping", "poor_bridging")
 AGGREGATES: dict[str, Callable[[Column], Column]] = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max}
 
+
+def _mean_of(xs: Column) -> Column:
+    return F.when(F.size(xs) > 0, F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs))
+
+
+def _median_of(xs: Column) -> Column:
+    at = lambda s, n: F.get(s, F.floor(n / 2).cast("int")) * 0.5
+    return nm.let(F.sort_array(xs), lambda s: at(s, F.size(s) - 1) + at(s, F.size(s)))
+
+
+#: The same over an array without nulls.
+ROW_AGGREGATES: dict[str, Callable[[Column], Column]] = {"mean": _mean_of, "median": _median_of, "min": F.array_min, "max": F.array_max}
+
 # ------------------------------------------------------------ documents -> long tables
 
 
@@ -59,6 +73,21 @@ def parameters_long(docs: DataFrame) -> DataFrame:
     return docs.select("exp_id", F.explode(merged).alias("key", "value"))
 
 
+def values_of(rating_how: str = "mean", measurement_how: str = "median") -> Column:
+    """A document's parameters, aggregated ratings and measurements as one map:
+    what the long tables hold of it, without an exchange."""
+    none = F.expr("cast(map() as map<string,double>)")
+    typed = F.expr("cast(map() as map<string,struct<d:double,b:boolean,s:string>>)")
+    params = F.map_zip_with(F.coalesce("all_parameters", typed), F.coalesce("changed_parameters", typed), lambda k, a, c: tx.as_number(F.coalesce(c, a)))
+    rated = F.filter("ratings", lambda r: r.isNotNull())
+    keys = F.filter(F.array_distinct(F.flatten(F.transform(rated, F.map_keys))), lambda k: ~k.isin(*META_KEYS))
+    over = lambda how, xs: nm.let(F.array_compact(xs), ROW_AGGREGATES[how])
+    ratings = F.map_from_arrays(keys, F.transform(keys, lambda k: over(rating_how, F.transform(rated, lambda r: F.try_element_at(r, k)))))
+    measured = F.when(F.size("measurements") > 0, F.create_map(*(x for c in ("humidity", "temperature") for x in (F.lit(c), over(measurement_how, F.col("measurements")[c])))))
+    both = lambda a, b: F.map_zip_with(F.coalesce(a, none), F.coalesce(b, none), lambda k, x, y: F.coalesce(x, y))
+    return both(both(params, ratings), measured)
+
+
 def parameter_kinds(params: DataFrame) -> DataFrame:
     """(key, kind): numeric, boolean or string, by all of a key's values."""
     v = F.col("value")
@@ -182,6 +211,28 @@ def metric_frames(exps: DataFrame, ratings: DataFrame, changes: DataFrame, influ
     return out
 
 
+def metric_frames_wide(values: DataFrame, exps: DataFrame, ratings: list[str], changes: dict[str, tuple[Column, Column]], influences: dict[str, Column]) -> DataFrame:
+    """``metric_frames`` of experiments whose values are columns of one row:
+    ratings are columns of ``values``; changes (key: user value, original value)
+    and previous-quality influences (by the rating's name) are expressions over
+    it.  A row per experiment is exchanged by series, nothing else is: values
+    are unfolded in the result, which stands by series."""
+    c = F.col
+    number = {k: (user.try_cast("double"), original.try_cast("double")) for k, (user, original) in changes.items()}
+    parts = {
+        "quality": {k: c(k) for k in ratings},
+        "quality_relative": {k: F.lit(-1) * (c(k) - c("before")[k]) for k in ratings},
+        "changed_parameters": {k: user for k, (user, _) in number.items()},
+        "changed_parameters_relative": {k: user - original for k, (user, original) in number.items()},
+        "influences": influences,
+        "influences_relative": {k: -((c(k) if k in ratings else F.lit(None).cast("double")) - x) for k, x in influences.items()},
+    }
+    cell = lambda frame, k, x: F.struct(F.lit(frame).alias("frame"), F.lit(k).alias("key"), x.cast("double").alias("value"))
+    cells = F.array(*(cell(frame, k, x) for frame, of in parts.items() for k, x in of.items()))
+    out = with_previous(values, exps).select("series_id", "exp_id", F.explode(cells).alias("x")).select("x.frame", "series_id", "exp_id", "x.key", "x.value")
+    return out.where("value is not null or frame not in ('changed_parameters_relative', 'influences')")
+
+
 def fill_from_series(frame: DataFrame, lookup: DataFrame, exps: DataFrame) -> DataFrame:
     """Adds, for every key used anywhere in a series, the looked-up value of the
     series' experiments that lack it."""
@@ -201,6 +252,20 @@ def ep_values(edges: DataFrame, params: DataFrame, influences: DataFrame, qualit
     return out.select("parameter", "influence", "series_id", "exp_id", "param_value", "param_original", "influence_value", "quality_aggregated").dropna(subset=["param_value", "influence_value", "quality_aggregated"])
 
 
+def ep_values_wide(edges: DataFrame, values: DataFrame, exps: DataFrame, parameters: dict[str, tuple[Column, Column]], influences: dict[str, Column], quality: Column) -> DataFrame:
+    """``ep_values`` of experiments whose values are columns of one row:
+    parameters (name: value, original value), influences and the quality are
+    expressions over ``values``.  Everything is exchanged by experiment, once."""
+
+    def named(by: str, columns: dict[str, Column]) -> Column:
+        return F.coalesce(*(F.when(F.col(by) == k, x) for k, x in columns.items()))
+
+    each = edges.select("exp_id", "influence", "parameter").join(values.join(exps.select("series_id", "exp_id"), "exp_id"), "exp_id")
+    value, original = ({k: x[i] for k, x in parameters.items()} for i in (0, 1))
+    out = each.select("parameter", "influence", "series_id", "exp_id", named("parameter", value).alias("param_value"), named("parameter", original).alias("param_original"), named("influence", influences).alias("influence_value"), quality.alias("quality_aggregated"))
+    return out.dropna(subset=["param_value", "influence_value", "quality_aggregated"])
+
+
 def summed_rating(ratings: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(exp_id, value): weighted sum over the rating categories, weight 1 by default."""
     w = F.create_map(*(F.lit(x) for k in RATING_CATEGORIES for x in (k, float((weights or {}).get(k, 1.0)))))
@@ -211,28 +276,6 @@ def series_keys(edges: DataFrame, exps: DataFrame) -> DataFrame:
     """(series_id, parameters, influences): sorted sets of names ever used."""
     return edges.join(exps.select("series_id", "exp_id"), "exp_id").groupBy("series_id").agg(F.array_sort(F.collect_set("parameter")).alias("parameters"), F.array_sort(F.collect_set("influence")).alias("influences"))
 
-def metric_frames_wide(values: DataFrame, exps: DataFrame, ratings: list[str], changes: dict[str, tuple[Column, Column]], influences: dict[str, Column]) -> DataFrame:
-    """``metric_frames`` of experiments whose values are columns of one row:
-    ratings are columns of ``values``; changes (key: user value, original value)
-    and previous-quality influences (by the rating's name) are expressions over
-    it.  A row per experiment is exchanged by series, nothing else is: values
-    are unfolded in the result, which stands by series."""
-    c = F.col
-    number = {k: (user.try_cast("double"), original.try_cast("double")) for k, (user, original) in changes.items()}
-    parts = {
-        "quality": {k: c(k) for k in ratings},
-        "quality_relative": {k: F.lit(-1) * (c(k) - c("before")[k]) for k in ratings},
-        "changed_parameters": {k: user for k, (user, _) in number.items()},
-        "changed_parameters_relative": {k: user - original for k, (user, original) in number.items()},
-        "influences": influences,
-        "influences_relative": {k: -((c(k) if k in ratings else F.lit(None).cast("double")) - x) for k, x in influences.items()},
-    }
-    cell = lambda frame, k, x: F.struct(F.lit(frame).alias("frame"), F.lit(k).alias("key"), x.cast("double").alias("value"))
-    cells = F.array(*(cell(frame, k, x) for frame, of in parts.items() for k, x in of.items()))
-    out = with_previous(values, exps).select("series_id", "exp_id", F.explode(cells).alias("x")).select("x.frame", "series_id", "exp_id", "x.key", "x.value")
-    return out.where("value is not null or frame not in ('changed_parameters_relative', 'influences')")
-
-
 
 def series_best(exps: DataFrame, quality: DataFrame) -> DataFrame:
     """(series_id, exp_id, value): the experiment with the least rating; ties to
@@ -252,20 +295,6 @@ def thin_out(exps: DataFrame, most: int) -> DataFrame:
     out = positions(exps).withColumn("n_", n).withColumn("drop_", F.greatest(F.col("n_") - most, F.lit(0)))
     step = F.when(F.col("drop_") > 1, F.floor((F.col("n_") - 1) / F.greatest(F.col("drop_") - 1, F.lit(1)))).otherwise(F.lit(0))
     gone = (F.col("drop_") > 0) & F.when(step > 0, (F.col("pos") % step == 0) & (F.col("pos") / step < F.col("drop_"))).otherwise(F.col("pos") == 0)
-def ep_values_wide(edges: DataFrame, values: DataFrame, exps: DataFrame, parameters: dict[str, tuple[Column, Column]], influences: dict[str, Column], quality: Column) -> DataFrame:
-    """``ep_values`` of experiments whose values are columns of one row:
-    parameters (name: value, original value), influences and the quality are
-    expressions over ``values``.  Everything is exchanged by experiment, once."""
-
-    def named(by: str, columns: dict[str, Column]) -> Column:
-        return F.coalesce(*(F.when(F.col(by) == k, x) for k, x in columns.items()))
-
-    each = edges.select("exp_id", "influence", "parameter").join(values.join(exps.select("series_id", "exp_id"), "exp_id"), "exp_id")
-    value, original = ({k: x[i] for k, x in parameters.items()} for i in (0, 1))
-    out = each.select("parameter", "influence", "series_id", "exp_id", named("parameter", value).alias("param_value"), named("parameter", original).alias("param_original"), named("influence", influences).alias("influence_value"), quality.alias("quality_aggregated"))
-    return out.dropna(subset=["param_value", "influence_value", "quality_aggregated"])
-
-
     return out.where(~gone).drop("pos", "n_", "drop_")
 
 

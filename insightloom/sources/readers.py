@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import text as tx
 from ..operators import experiments as ex
+from ..operators.storage import materialise
 
 READERS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -56,11 +57,20 @@ def read_text_column(spark: SparkSession, df: DataFrame | None = None, column: s
 
 
 def executed_experiments(docs: DataFrame, rating_how="mean", measurement_how="median") -> DataFrame:
-    """One wide row per experiment: parameters, ratings, measurements, material."""
-    base = docs.select("exp_id", "series_id", "printer", "oneoff", "completion", tx.normalise(F.upper("material.type")).alias("material_type"), tx.normalise(F.upper("material.producer")).alias("material_producer"), tx.normalise("material.color").alias("material_color"))
-    params = ex.parameters_long(docs).select("exp_id", "key", tx.as_number(F.col("value")).alias("value"))
-    long = params.unionByName(ex.ratings_long(docs, rating_how)).unionByName(ex.measurements_long(docs, measurement_how))
-    return base.join(ex.wide(long), "exp_id", "left")
+    """One wide row per experiment: parameters, ratings, measurements, material.
+
+    Aggregates given by name are taken within the document, whose values go to a
+    table between, in which the names of the columns are found; aggregates of
+    one's own go over long tables."""
+    base = ["exp_id", "series_id", "printer", "oneoff", "completion", "material_type", "material_producer", "material_color"]
+    named = docs.withColumns({"material_type": tx.normalise(F.upper("material.type")), "material_producer": tx.normalise(F.upper("material.producer")), "material_color": tx.normalise("material.color")})
+    if callable(rating_how) or callable(measurement_how):
+        params = ex.parameters_long(docs).select("exp_id", "key", tx.as_number(F.col("value")).alias("value"))
+        long = params.unionByName(ex.ratings_long(docs, rating_how)).unionByName(ex.measurements_long(docs, measurement_how))
+        return named.select(*base).join(ex.wide(long), "exp_id", "left")
+    rows = materialise(named.select(*base, F.when(F.col("exp_id").isNotNull(), ex.values_of(rating_how, measurement_how)).alias("values_")), "experiments")
+    keys = sorted(r["key"] for r in rows.select(F.explode(F.map_keys("values_")).alias("key")).distinct().collect())  # column names of the result
+    return rows.select(*base, *(F.try_element_at("values_", F.lit(k)).alias(k) for k in keys))
 
 
 def read_rule_csv(spark: SparkSession, path: str, categorical: bool | None = None) -> DataFrame:

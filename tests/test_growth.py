@@ -55,3 +55,29 @@ def test_edge_values_of_columns_are_those_of_long_tables(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "hashpartitioning(exp_id" in plan and ", parameter" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+
+
+def _value(d=None, b=None):
+    return {"d": d, "b": b, "s": None}
+
+
+def test_documents_are_aggregated_within_their_row(spark):
+    base = {"series_id": "s", "printer": "p", "material": {"type": "PLA", "color": None, "producer": None}}
+    docs = [
+        {"exp_id": 1, "all_parameters": {"speed": _value(1.0), "fan": _value(b=True)}, "changed_parameters": {"speed": _value(3.0)}, "ratings": [{"blobs": 1.0, "user_id": 7.0}, {"blobs": 4.0, "gaps": None}, {}], "measurements": [{"humidity": 5.0}, {"humidity": 1.0, "temperature": 2.0}]},
+        {"exp_id": 2, "all_parameters": None, "ratings": [None, {"gaps": 2.0}], "measurements": []},
+        {"exp_id": 3, "all_parameters": {"s": _value()}, "ratings": None, "measurements": [{"humidity": 1.0}, None, {"humidity": 4.0}, {"humidity": 9.0}]},
+        {"exp_id": None, "all_parameters": {"speed": _value(9.0)}, "ratings": [{"blobs": 1.0}]},
+    ]
+    from insightloom import schemas
+
+    df = spark.read.schema(schemas.EXPERIMENT).json(spark.sparkContext.parallelize([json.dumps(base | d) for d in docs]))
+    for how in ("mean", "median", "min", "max"):
+        got = readers.executed_experiments(df, how, how)
+        want = readers.executed_experiments(df, experiments.AGGREGATES[how], experiments.AGGREGATES[how])  # over long tables
+        assert set(got.columns) == set(want.columns) >= {"speed", "fan", "blobs", "gaps", "humidity", "temperature", "s"} and "user_id" not in got.columns
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and got.count() == 4
+    row = readers.executed_experiments(df).where("exp_id = 1").first()
+    assert (row["speed"], row["fan"], row["blobs"], row["gaps"], row["humidity"], row["temperature"]) == (3.0, 1.0, 2.5, None, 3.0, 2.0)
+    plan = readers.executed_experiments(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
