@@ -30,16 +30,21 @@ class ExperimentSource:
     root: str
 
     def _tables(self, spark: SparkSession) -> dict[str, DataFrame]:
-        settings = {"source": self.name, "files": snapshots.fingerprint(spark, self.path), "schema": schemas.EXPERIMENT.jsonValue()}
-        return snapshots.cached(spark, self.root, settings, lambda: self._build(spark))
-
-    def _build(self, spark: SparkSession) -> dict[str, DataFrame]:
+        settings = {"source": self.name, "files": snapshots.fingerprint(spark, self.path), "schema": schemas.EXPERIMENT.jsonValue(), "tables": ["records"]}
+        records = snapshots.cached(spark, self.root, settings, lambda: {"records": self._build(spark)})["records"]
+        # null nearly everywhere: of no use among the filters that reach the scan
+        return {"documents": records.where("coalesce(file_, '') = ''").select(*schemas.EXPERIMENT.names), "malformed": records.where("file_ is not null").select(F.col("file_").alias("file"), F.col("text_").alias("text"))}
+
+    def _build(self, spark: SparkSession) -> DataFrame:
+        """One table, so that every line is parsed once: documents, or file_ and
+        text_ of what is set aside."""
         whole = T.StructType([*schemas.EXPERIMENT.fields, T.StructField(_BROKEN, T.StringType())])
         lines = spark.read.text(self.path).select("value", F.col("_metadata.file_path").alias("file")).where("trim(value) <> ''")
         read = lines.withColumn("d", F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}))
         # a document without an id can't be told from another
         fits = F.col("d").isNotNull() & F.col(f"d.{_BROKEN}").isNull() & F.col("d.exp_id").isNotNull()
-        return {"documents": read.where(fits).select(*(F.col(f"d.{f.name}").alias(f.name) for f in schemas.EXPERIMENT.fields)), "malformed": read.where(~fits).select("file", F.col("value").alias("text"))}
+        kept = read.withColumn("fits", fits)
+        return kept.select(*(F.when(F.col("fits"), F.col(f"d.{c}")).alias(c) for c in schemas.EXPERIMENT.names), F.when(~F.col("fits"), F.col("file")).alias("file_"), F.when(~F.col("fits"), F.col("value")).alias("text_"))
 
     def documents(self, spark: SparkSession, **filters) -> DataFrame:
         return prepare(self._tables(spark)["documents"], **filters)

@@ -81,3 +81,16 @@ def test_documents_are_aggregated_within_their_row(spark):
     assert (row["speed"], row["fan"], row["blobs"], row["gaps"], row["humidity"], row["temperature"]) == (3.0, 1.0, 2.5, None, 3.0, 2.0)
     plan = readers.executed_experiments(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_a_source_parses_its_lines_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"exp_id": 1}\n{"exp_id": "x"}\n{"exp_id": 2, "completion": "much"}\nno\n')
+    parsed = []
+    real = F.from_json
+    monkeypatch.setattr(documents.F, "from_json", lambda *a, **k: parsed.append(1) or real(*a, **k))
+    s = documents.ExperimentSource("once", f"file://{tmp_path}/in", f"file://{tmp_path}/cache")
+    assert [r["exp_id"] for r in s.documents(spark).collect()] == [1]
+    assert sorted(r["text"] for r in s.malformed(spark).collect()) == ['no', '{"exp_id": "x"}', '{"exp_id": 2, "completion": "much"}'] and parsed == [1]
+    plan = s._build(spark)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == 1
