@@ -185,7 +185,7 @@ def classified_rules(pairs: DataFrame, bins: DataFrame, penalty: float = 1.0, de
     each = at_bins(classes(d, penalty, degree), bins)
     score = F.aggregate("coef", F.lit(0.0), lambda a, c: a * 1.0 + c) if degree == 0 else sum((F.col("coef")[k] * F.pow("z", F.lit(k)) if k else F.col("coef")[0] for k in range(degree + 1)), F.lit(0.0))
     top = each.groupBy(*GROUP, "i").agg(F.first("cond_lo").alias("cond_lo"), F.first("cond_hi").alias("cond_hi"), F.max_by("class", F.struct(F.coalesce(F.round(score, 9), F.lit(-1e300)), F.when(F.col("coef").isNull(), F.col("n")).otherwise(0), -F.col("class"))).alias("quantifier"), F.sum("n").alias("n_values"))
-    kinds = _usable(d).groupBy(*GROUP).agg(F.first("kind").alias("param_type"))
+    kinds = _usable(d).groupBy(*GROUP).agg(rules.first_kind().alias("param_type"))
     none = F.lit(None).cast("double")
     out = top.join(kinds, GROUP).select(F.col("influence").alias("condition"), "cond_lo", "cond_hi", F.lit("set").alias("action"), "parameter", "param_type", none.alias("mean_value"), none.alias("range_start"), none.alias("range_end"), none.alias("step_size"), "quantifier", "n_values")
     return out.select(*rules.RULE_COLUMNS, "n_values")

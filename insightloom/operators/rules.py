@@ -54,16 +54,26 @@ def histogram(values: DataFrame, bins: DataFrame, by: str = "influence", value:
 # ------------------------------------------------------------ rules from values
 
 
+KINDS = ("numeric", "boolean", "string")
+
+
+def first_kind(kind: str = "kind") -> Column:
+    """A group's kind, aggregated as a number: where an aggregation's buffer
+    holds a text, Spark sorts all rows instead of hashing them."""
+    kinds = F.array(*map(F.lit, KINDS))
+    return F.get(kinds, F.first(F.array_position(kinds, F.col(kind))).cast("int") - 1)
+
+
 def rule_fields(value: str = "value", relative: str = "relative", kind: str = "kind") -> list[Column]:
     """Aggregates that make a rule of a group's parameter values: mean, mean
     +- population deviation, mean relative change; for truth values the
     majority, for categories the most frequent rounded code (least on ties)."""
-    v, k = F.col(value), F.first(kind)
+    v, k = F.col(value), first_kind(kind)
     code = F.when(F.col(kind) == "string", F.bround(v, 0))  # a mode counts every value it sees, so it sees categories only
     mean, dev = F.avg(v), F.stddev_pop(v)
     numeric = k == "numeric"
     return [
-        F.first(kind).alias("param_type"), F.when(numeric, mean).alias("mean_value"), F.when(numeric, mean - dev).alias("range_start"), F.when(numeric, mean + dev).alias("range_end"),
+        k.alias("param_type"), F.when(numeric, mean).alias("mean_value"), F.when(numeric, mean - dev).alias("range_start"), F.when(numeric, mean + dev).alias("range_end"),
         F.when(numeric, F.coalesce(F.avg(relative), F.lit(0.0))).alias("step_size"),
         F.when(k == "boolean", (mean >= 0.5).cast("double")).when(k == "string", F.mode(code, True)).alias("quantifier"),
         F.count(v).alias("n_values"),
@@ -119,7 +129,7 @@ def fitted_rules(pairs: DataFrame, bins: DataFrame) -> DataFrame:
     """A rule per influence bin and parameter from a straight line fitted over
     all values (the mean where the line is undefined), read at bin centres."""
     d = pairs.where("influence_value is not null and value is not null")
-    fit = d.groupBy("influence", "parameter").agg(F.regr_slope("value", "influence_value").alias("slope"), F.regr_intercept("value", "influence_value").alias("icept"), F.avg("value").alias("mean"), F.coalesce(F.avg("relative"), F.lit(0.0)).alias("step_size"), F.first("kind").alias("param_type"), F.count("*").alias("n_values"))
+    fit = d.groupBy("influence", "parameter").agg(F.regr_slope("value", "influence_value").alias("slope"), F.regr_intercept("value", "influence_value").alias("icept"), F.avg("value").alias("mean"), F.coalesce(F.avg("relative"), F.lit(0.0)).alias("step_size"), first_kind().alias("param_type"), F.count("*").alias("n_values"))
     centre = (F.col("cond_lo") + F.col("cond_hi")) / 2
     at = fit.join(bins, "influence").select("*", F.posexplode(F.slice("edges", F.lit(1), F.col("n_bins"))).alias("i", "cond_lo")).withColumn("cond_hi", F.element_at("edges", F.col("i") + 2))
     y = F.coalesce(F.col("slope") * centre + F.col("icept"), F.col("mean"))

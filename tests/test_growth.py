@@ -7,7 +7,7 @@ import json
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from insightloom.operators import experiments
+from insightloom.operators import experiments, fitting, representations, rules
 from insightloom.sources import documents, readers, turtle
 
 
@@ -94,3 +94,17 @@ def test_a_source_parses_its_lines_once(spark, tmp_path, monkeypatch):
     assert sorted(r["text"] for r in s.malformed(spark).collect()) == ['no', '{"exp_id": "x"}', '{"exp_id": 2, "completion": "much"}'] and parsed == [1]
     plan = s._build(spark)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_rules_are_hashed_not_sorted(spark):
+    """A text in an aggregation's buffer makes Spark sort all values."""
+    kinds = {"n": "numeric", "b": "boolean", "c": "string"}
+    rows = [(i, f"q{i % 2}", i / 40, p, float(i % 2), 1.0, k) for i in range(40) for p, k in kinds.items()]
+    pairs = spark.createDataFrame(rows, "exp_id long, influence string, influence_value double, parameter string, value double, relative double, kind string")
+    bins = rules.influence_bins(pairs.select("influence", F.col("influence_value").alias("value")), bins=2)
+    of = [representations.relations_from_rules(rules.binned_rules(pairs, bins)).select("parameter", "mean", "bins"), rules.fitted_rules(pairs, bins), rules.edge_rules(pairs, bins), fitting.classified_rules(pairs, bins)]
+    for df in of[:3]:
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+    for df in of[1:]:
+        assert {(r["parameter"], r["param_type"]) for r in df.collect()} <= set(kinds.items())
+    assert {(r["parameter"], r["param_type"]) for r in of[1].collect()} == set(kinds.items())
