@@ -122,9 +122,10 @@ class WordCache:
     def _unknown(self, parts: set) -> list:
         """Parts that are to be learned; what only the old table has goes over
         to the new one."""
-        parts.difference_update(self.new)
         left = []
         for p in parts:
+            if p in self.new:
+                continue
             if (ids := self.old.get(p)) is None:
                 left.append(p)
             else:

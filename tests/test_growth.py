@@ -108,3 +108,21 @@ def test_rules_are_hashed_not_sorted(spark):
     for df in of[1:]:
         assert {(r["parameter"], r["param_type"]) for r in df.collect()} <= set(kinds.items())
     assert {(r["parameter"], r["param_type"]) for r in of[1].collect()} == set(kinds.items())
+
+
+def test_packing_looks_up_only_the_words_of_a_batch():
+    """The table of known words is not gone through for every batch."""
+    import public_tokenizers
+
+    from insightloom.llm import packing
+
+    class Table(dict):
+        def __iter__(self):
+            raise AssertionError("the whole table is gone through")
+
+    cache = packing.WordCache(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["plain words, and more", "你好 other words", None, ""]
+    want = [i.tolist() for i in cache.ids_of_texts(texts)]
+    cache.new = Table(cache.new)
+    assert [i.tolist() for i in cache.ids_of_texts(texts)] == want
+    assert cache.ids_of_texts(["new words"])[0].tolist() == cache.tokenizer.encode("new words", add_special_tokens=False).ids
