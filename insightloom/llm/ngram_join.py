@@ -5,7 +5,8 @@ with fewer words, its whole word sequence.  Two sets link when their Jaccard
 similarity is at least ``threshold`` (whole percent).
 
 1. *Frequencies.*  Workers send each n-gram to the shard that owns it and learn
-   which of theirs also occur in a different set, and how often.
+   which of theirs also occur in a different set, and how often.  Which sets are
+   copies is told by fingerprints, sent only where a text occurs more than once.
 2. *Prefixes.*  N-grams are ordered rare first.  A set of n n-grams can only
    reach the threshold with a set that shares one of its first
    ``n - ceil(threshold * n) + 1``.  Those met in no other set come first and
@@ -14,8 +15,9 @@ similarity is at least ``threshold`` (whole percent).
    positional filters.  First every set meets only one set, the hub, of each of
    its n-grams; verified links give sets a common label, and the next round's
    hubs come from the largest label of each n-gram, so that groups of copies
-   grow together at a cost that is linear in their postings.  Then the pairs
-   that are left, those of different components, follow.  So no link that could
+   grow together at a cost that is linear in their postings; n-grams that one
+   label holds are left out from then on.  Then the pairs that are left, those
+   of different components, follow.  So no link that could
    join two components is left out, and no group emits all its pairs.
 4. *Verification.*  A pair that was looked at once is remembered and never
    looked at again: suffix filter, then the exact overlap.
@@ -68,9 +70,10 @@ def least_overlap(n: Column, m: Column, percent: int) -> Column:
 # ---------------------------------------------------------------- frequencies
 
 EXCHANGED = "key long, batch long, blob binary"
-#: What is asked of a shard: batch; n-grams; their documents as runs (number,
-#: length, fingerprint); n-grams that stand for many documents, with their count.
-ASKED = ("<i8", "<u8", "<u4", "<u4", "<u8", "<u8", "<u4")
+#: What is asked of a shard: batch; n-grams; their documents as runs (distance
+#: from the number before and length as planes, fingerprints of those that have
+#: copies); n-grams that stand for many documents, with their count.
+ASKED = ("<i8", "<u8", "u1", "u1", "<u8", "<u8", "<u4")
 #: What it answers: n-grams with document and frequency; the others with frequency.
 ANSWERED = ("<u8", "<u4", "<u4", "<u8", "<u4")
 
@@ -88,7 +91,53 @@ def _lengths(heads: np.ndarray, n: int) -> np.ndarray:
     return np.diff(np.append(heads, n))
 
 
-def _send(shards: int, k: int, local: int):
+def _planes(v: np.ndarray) -> np.ndarray:
+    """Lowest bytes of all numbers, then the next ones: small numbers leave
+    planes of zeros, of which the exchange's compression leaves nothing.  The
+    more shards, the shorter the runs of one document, down to one n-gram."""
+    return v.astype("<u4").view(np.uint8).reshape(-1, 4).T
+
+
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
+def _asked(serial: int, token: np.ndarray, doc: np.ndarray, fingerprint: np.ndarray, copied: np.ndarray, many: np.ndarray, much: np.ndarray) -> bytes:
+    """A message to a shard; doc: of each n-gram, in order; fingerprint, copied:
+    of each document.  Only documents with copies tell their fingerprint."""
+    runs = _heads(doc)
+    d = doc[runs]
+    c = copied[d]
+    return pack(np.array([serial]), token, _planes(np.diff(d, prepend=d[:1] * 0)), _planes(2 * _lengths(runs, len(doc)) + c), fingerprint[d[c]], many, much)
+
+
+def _told(blob: bytes) -> list[np.ndarray]:
+    """batch, n-grams, documents and lengths of runs, fingerprints, frequent
+    n-grams, their counts.  Documents without copies get a number of their own."""
+    batch, token, d, length, fingerprint, *rest = unpack(blob, *ASKED)
+    doc, length = np.cumsum(_numbers(d), dtype=np.uint32), _numbers(length)
+    with np.errstate(over="ignore"):
+        own = mix(mix(batch.view(np.uint64)) + doc.astype(np.uint64))
+    own[(length & 1).astype(bool)] = fingerprint
+    return [batch, token, doc, length >> 1, own, *rest]
+
+
+#: Slots for the hashes of texts that occur more than once, a bit each.
+SLOTS = 1 << 24
+
+
+def _copies(texts: DataFrame) -> np.ndarray:
+    """A bit for each slot that the xxhash64 of a repeated text falls on.  Where
+    a text only shares the slot, or a set is repeated by different texts, the
+    exchange carries more, the results are the same."""
+    h = texts.groupBy(F.xxhash64("text").alias("h")).agg(F.count("*").alias("c")).where("c > 1").select(F.pmod("h", F.lit(SLOTS)).alias("slot"))
+    words = h.groupBy((F.col("slot") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toPandas()
+    bits = np.zeros(SLOTS // 64, dtype=np.int64)
+    bits[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return bits.view(np.uint8)
+
+
+def _send(shards: int, k: int, local: int, copies: np.ndarray):
     """docs -> (key, batch, blob).  batch null: n-grams for the shard ``key``;
     otherwise the batch's own documents and its n-grams that need no asking."""
 
@@ -112,9 +161,12 @@ def _send(shards: int, k: int, local: int):
                     sets.append(s)
                     prints.append(fp)
                 node.append(of[fp])
-            raw = [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), seed=42) if t is not None else 0 for t in texts]
+            raw = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), seed=42) if t is not None else 0 for t in texts], dtype=np.uint64)
+            slot = (raw % np.uint64(SLOTS)).astype(np.int64)
+            copied = np.zeros(len(sets), dtype=bool)
+            copied[np.array(node, dtype=np.int64)[((copies[slot >> 3] >> (slot & 7)) & 1).astype(bool) & (np.array(node) >= 0)]] = True
             size = np.array([len(s) for s in sets], dtype=np.int64)
-            home = {"doc": b.column("doc_id").to_pylist(), "node": node, "raw": np.array(raw, dtype=np.uint64).view(np.int64), "fp": prints, "n": size}
+            home = {"doc": b.column("doc_id").to_pylist(), "node": node, "raw": raw.view(np.int64), "fp": prints, "n": size}
             if sets:
                 token, doc = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), size)
                 sets.clear()
@@ -136,11 +188,7 @@ def _send(shards: int, k: int, local: int):
                 many, much, hot_shard = many[order], much[order], hot_shard[order]
                 to = np.union1d(shard, hot_shard)
                 at, hot_at = (np.append(np.searchsorted(x, to), len(x)) for x in (shard, hot_shard))
-                blobs = []
-                for x, y, p, q in zip(at, at[1:], hot_at, hot_at[1:]):
-                    d = doc[x:y]
-                    runs = _heads(d)
-                    blobs.append(pack(np.array([serial]), token[x:y], d[runs], _lengths(runs, len(d)).astype(np.uint32), short[d[runs]], many[p:q], much[p:q]))
+                blobs = [_asked(serial, token[x:y], doc[x:y], short, copied, many[p:q], much[p:q]) for x, y, p, q in zip(at, at[1:], hot_at, hot_at[1:])]
                 yield _rows(to.astype(np.int64), [None] * len(to), blobs)
             yield _rows([serial], [serial], [pickle.dumps(home, protocol=5)])
 
@@ -161,7 +209,7 @@ def _count(batches):
         parts = []
         for _, (_, batch, blob) in rows:
             if batch is None:
-                parts.append(unpack(blob, *ASKED))
+                parts.append(_told(blob))
             else:
                 yield _rows([key], [batch], [blob])
         if not parts:
@@ -267,13 +315,19 @@ def _near_enough(x: str, y: str, percent: int) -> Column:
     return F.when(parts <= most, bits <= most).otherwise(False)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) -> (a, b, linked), by the exact overlap."""
-    held = sets.select("fp", "n", (F.col("n") - F.size("ids")).alias("alone"), "ids", "parity", "parts")
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) -> (a, b, near), by sizes and sketches, which are small."""
+    held = sets.select("fp", "n", (F.col("n") - F.size("ids")).alias("alone"), "parity", "parts")
     both = pairs.join(held.toDF("a", *(f"{c}_a" for c in held.columns[1:])), "a").join(held.toDF("b", *(f"{c}_b" for c in held.columns[1:])), "b")
+    return both.select("a", "b", _near_enough("_a", "_b", percent).alias("near"))
+
+
+def _linked(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, near) -> the linked pairs (a, b), by the exact overlap."""
+    held = sets.select("fp", "n", "ids")
+    both = near.where("near").select("a", "b").join(held.toDF("a", "n_a", "ids_a"), "a").join(held.toDF("b", "n_b", "ids_b"), "b")
     shared = F.size(F.array_intersect("ids_a", "ids_b"))
-    reached = 100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)
-    return both.select("a", "b", F.when(_near_enough("_a", "_b", percent), reached).otherwise(False).alias("linked"))
+    return both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
 
 
 def _hubs(member: DataFrame, seed: int, singles: bool) -> DataFrame:
@@ -300,9 +354,10 @@ def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
     return pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def _hub_pairs(member: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """For each n-gram its hub with every set of another label: as many pairs as postings."""
-    met = member.join(hubs, "gram").where((F.col("label") != F.col("hub")) & _may_link("n", "pos", "na", "pa", percent))
+def _hub_pairs(held: DataFrame, percent: int) -> DataFrame:
+    """For each n-gram its hub with every set of another label: as many pairs as
+    postings.  held: members beside the hubs of their n-grams."""
+    met = held.where((F.col("label") != F.col("hub")) & _may_link("n", "pos", "na", "pa", percent))
     return met.select("a", F.col("fp").alias("b"))
 
 
@@ -325,7 +380,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fp (the set, null without words), component (an fp of its component)."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = partitions(docs, 2)  # a worker holds one shard's n-grams at a time
-    asked = d.mapInArrow(_send(parts, k, local), EXCHANGED).repartition(parts, "key", "batch").sortWithinPartitions("key")
+    asked = d.mapInArrow(_send(parts, k, local, _copies(d)), EXCHANGED).repartition(parts, "key", "batch").sortWithinPartitions("key")
     counted = asked.mapInArrow(_count, EXCHANGED).repartition(parts, "batch").sortWithinPartitions("batch")
     rows = materialise(counted.mapInArrow(_prefixes(percent), OUT), "rows")
     named = rows.select("doc_id", "raw", "n", "fp")
@@ -333,36 +388,44 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialise(rows.where(F.col("ids").isNotNull()).select("fp", "n", "m", "ids", "parity", "parts").dropDuplicates(["fp"]), "sets")
     posted = sets.select("fp", "n", (F.col("n") - F.size("ids")).alias("alone"), F.posexplode(F.slice("ids", F.lit(1), F.col("m"))).alias("j", "gram")).select("gram", "fp", "n", (F.col("alone") + F.col("j")).alias("pos"))
 
-    def labelled(label: DataFrame | None) -> DataFrame:
+    def labelled(posted: DataFrame, label: DataFrame | None) -> DataFrame:
         if label is None:
             return posted.withColumn("label", F.col("fp"))
         return posted.join(label.toDF("fp", "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
-    label, tried, last, told = None, None, False, []
+    label, tried, links, last, told, held = None, None, None, False, [], None
     for seed in range(rounds):
-        member = labelled(label)
+        member = labelled(posted, label)
+        if label is not None:
+            member = materialise(member, "member")
         hubs = materialise(_hubs(member, seed, label is None), "hubs")
-        found = materialise(_verify(_untried(_hub_pairs(member, hubs, percent), tried), sets, percent), "pairs")
-        discard(hubs)
-        told.append(found)
-        last = found.where("linked").isEmpty()
-        tried = found if tried is None else tried.union(found)
+        # labels only grow together: an n-gram that one label holds meets nothing from here on
+        old, held = held, materialise(member.join(hubs, "gram"), "held")
+        posted = held.select("gram", "fp", "n", "pos")
+        discard(hubs, old, member)
+        near = materialise(_near(_untried(_hub_pairs(held, percent), tried), sets, percent), "near")
+        found = materialise(_linked(near, sets, percent), "pairs")
+        told += [near, found]
+        last = found.isEmpty()
+        tried, links = (near, found) if tried is None else (tried.union(near), links.union(found))
         if last:
             break
         # all links so far: labels are less than components, and a pair that was tried isn't found again
-        links = tried.where("linked").select("a", "b")
         old, edges = label, links if label is None else label.toDF("a", "b").union(links)
         label = components(edges) if seed == rounds - 1 else merged(edges)
         discard(old)
 
-    member = labelled(label)
+    member = labelled(posted, label)
+    if label is not None:
+        member = materialise(member, "member")
     hubs = materialise(_hubs(member, rounds, label is None), "hubs")
-    more = materialise(_verify(_untried(_remaining_pairs(member, hubs, sets, percent), tried), sets, percent).where("linked").select("a", "b"), "links")
+    near = materialise(_near(_untried(_remaining_pairs(member, hubs, sets, percent), tried), sets, percent), "near")
+    more = materialise(_linked(near, sets, percent), "links")
     if not more.isEmpty() or (last and label is not None):
         known = more if label is None else label.toDF("a", "b").union(more)
         # after the last round labels are components; those of an earlier one need the links they were made of
-        label = components(known.union(tried.where("linked").select("a", "b")) if last else known)
-    discard(hubs, more, sets, *told)
+        label = components(known.union(links) if last else known)
+    discard(hubs, member, near, more, sets, held, *told)
     if label is None:
         out = named.withColumn("component", F.col("fp"))
     else:

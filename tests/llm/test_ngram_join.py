@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from insightloom.llm import ngram_join, queries
@@ -201,3 +202,48 @@ def test_chains_stay_whole(spark):
     rows = [(chain * 1000 + i, " ".join(f"c{chain}w{j}" for j in range(5 * i, 5 * i + 44))) for chain in range(30) for i in range(25)]
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_join(make(spark, rows)).collect()}
     assert got == {d: d // 1000 * 1000 for d, _ in rows}
+
+
+def test_messages_of_short_runs_stay_small():
+    """Runs of one n-gram, as many shards make them: little beside the n-grams themselves, fingerprints for copies only."""
+    import zlib
+
+    rng = np.random.default_rng(5)
+    token, doc = rng.integers(1 << 63, size=900, dtype=np.uint64), np.sort(rng.integers(600, size=900).astype(np.uint32))
+    short = rng.integers(1 << 63, size=600, dtype=np.uint64)
+    none = np.empty(0, dtype=np.uint64)
+    copied = np.arange(600) % 50 == 0
+    blob = ngram_join._asked(7 << 32, token, doc, short, copied, none, none.astype(np.uint32))
+    assert len(zlib.compress(blob, 1)) < 10.5 * len(token)
+    batch, got, d, n, fp, *_ = ngram_join._told(blob)
+    assert batch[0] == 7 << 32 and (got == token).all() and (np.repeat(d, n) == doc).all()
+    assert (fp[copied[d]] == short[d[copied[d]]]).all() and len(set(fp.tolist())) == len(d)
+    other = ngram_join._told(ngram_join._asked(7 << 32 | 1, token, doc, short, copied, none, none.astype(np.uint32)))[4]
+    assert ((other == fp) == copied[d]).all()  # of two batches, only copies count as one set
+    empty = ngram_join._told(ngram_join._asked(1, none, none.astype(np.uint32), short, copied, token[:2], np.array([3, 4], dtype=np.uint32)))
+    assert [len(x) for x in empty[1:]] == [0, 0, 0, 0, 2, 2]
+
+
+def test_repeated_texts_are_known(spark):
+    texts = ["one", "two", None, "two", "", "", None, "three"]
+    bits = ngram_join._copies(spark.createDataFrame([(t,) for t in texts], "text string"))
+    slot = [xxhash.xxh64_intdigest(t.encode(), seed=42) % ngram_join.SLOTS for t in ("one", "two", "three", "")]
+    assert [bool(bits[x >> 3] >> (x & 7) & 1) for x in slot] == [False, True, False, True] and len(bits) == ngram_join.SLOTS // 8
+    assert not ngram_join._copies(spark.createDataFrame([], "text string")).any()
+
+
+def test_settled_ngrams_are_not_met_again(spark, monkeypatch):
+    """Once all holders of an n-gram have one label, later rounds leave it out."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(g * 100 + i, " ".join(f"{w}g{g}" for w in words) + f" end{i}") for g in range(3) for i in range(12)]
+    sizes, real = {}, ngram_join.materialise
+
+    def counted(df, name):
+        out = real(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", counted)
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i // 100 * 100 for i, _ in rows}
+    assert sizes["held"][0] > 500 and sizes["held"][-1] < sizes["held"][0] / 10 and max(sizes["member"][1:]) < sizes["held"][0] / 10
