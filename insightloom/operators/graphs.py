@@ -113,7 +113,13 @@ def threshold(weights: DataFrame, how: str | Callable[[Column], Column]) -> Data
 
 
 def filter_aggregated(kg: DataFrame, how: str | Callable[[Column], Column]) -> DataFrame:
-    """Edges whose weight reaches the threshold; NULL weights go."""
+    """Edges whose weight reaches the threshold; NULL weights go.  The graph is
+    kept as a table first: summed anew, in another order, a weight that is the
+    threshold itself could fall below it by its last bit."""
+    return _reaching(materialise(kg, "kg"), how)
+
+
+def _reaching(kg: DataFrame, how: str | Callable[[Column], Column]) -> DataFrame:
     return kg.crossJoin(F.broadcast(threshold(kg, how))).where(F.col("weight") >= F.col("t")).drop("t")
 
 
@@ -139,9 +145,9 @@ def methods(edges: DataFrame, n_graphs: DataFrame | int, weightings: list[str],
     freq = edge_frequency(edges)
     for w in weightings:
         weighted = weight_edges(edges, w, freq, gain)
-        kg = aggregate(weighted, n_graphs)
+        kg = materialise(aggregate(weighted, n_graphs), "kg")
         for t in thresholds:
-            one = filter_aggregated(kg, t).withColumn("method", F.lit(f"{w}#{t}"))
+            one = _reaching(kg, t).withColumn("method", F.lit(f"{w}#{t}"))
             out = one if out is None else out.unionByName(one)
     return out
 

@@ -52,7 +52,9 @@ def threshold_state(weights: DataFrame, weight: str = "weight") -> DataFrame:
 
 def filter_by_sketch(kg: DataFrame, states: list[DataFrame], how: str = "median") -> DataFrame:
     """Edges whose weight reaches the quantile of the merged states; where no
-    weight was seen, none."""
+    weight was seen, none.  Where the states are of this very graph, it has to
+    be a table: the quantile is one of its weights, and one that is summed anew,
+    in another order, could fall below it by its last bit."""
     all_ = states[0]
     for s in states[1:]:
         all_ = all_.unionByName(s)
