@@ -146,12 +146,17 @@ def merged_rules(pairs: DataFrame, bins: DataFrame, step_bins: int | str | list
     all rules of a bin end up in one.  The condition reaches from the first
     rule's start to the last one's end.  Values are merged as counts, means and
     second moments, so no row grows with the data.  A merged rule keeps its
-    rules' action, also where it was set for a range that was one value."""
+    rules' action, also where it was set for a range that was one value.
+
+    The binned rules are kept as a table first: the least and the greatest step
+    are the ends of the bins of steps, and steps that are averaged anew, in
+    another order, could fall outside by their last bits."""
     d = in_bins(pairs, bins)
     g = d.groupBy(F.col("influence").alias("condition"), "bin", "parameter").agg(
         F.first(F.element_at("edges", F.col("bin"))).alias("cond_lo"), F.first(F.element_at("edges", F.col("bin") + 1)).alias("cond_hi"), *rule_fields(),
         F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.count("relative").alias("rel_n"), F.sum("relative").alias("rel_sum"),
     ).withColumn("action", action())
+    g = materialise(g, "binned")
     steps = influence_bins(g.where("step_size is not null"), ["condition", "parameter"], "step_size", step_bins).withColumnRenamed("edges", "step_edges").drop("n_bins")
     group = ["condition", "parameter", "action", "param_type", "like"]
     like = F.when(F.col("param_type") == "numeric", F.coalesce(nm.digitize("step_size", "step_edges"), F.lit(0)).cast("double")).otherwise(F.col("quantifier"))
